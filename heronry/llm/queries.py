@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .embed_dedup import op7_embedding_dedup
+from .langid import op10_language_id
+from .mixing import op2_mixing
 from .simhash import op3_simhash
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
 from .embed_dedup import op7_embedding_dedup
 from .langid import op10_language_id
+from .lm_score import op6_lm_scoring
 from .mixing import op2_mixing
 from .simhash import op3_simhash
 from .suffix_dedup import op8_suffix_dedup
@@ -11,8 +13,10 @@ from .suffix_dedup import op8_suffix_dedup
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
 

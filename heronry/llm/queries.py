@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op4_chat_format
 from .decontaminate import op9_decontamination
 from .embed_dedup import op7_embedding_dedup
 from .langid import op10_language_id
@@ -9,10 +10,13 @@ from .lm_score import op6_lm_scoring
 from .mixing import op2_mixing
 from .simhash import op3_simhash
 from .suffix_dedup import op8_suffix_dedup
+from .warc import op5_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_chat_format": op4_chat_format,
+    "op5_warc": op5_warc,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -11,8 +11,10 @@ from .mixing import op2_mixing
 from .simhash import op3_simhash
 from .suffix_dedup import op8_suffix_dedup
 from .warc import op5_warc
+from .wrapper import op1_html_extraction
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,

@@ -70,7 +70,7 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = own.fp.to_numpy().view(np.uint64), other.fp.to_numpy().view(np.uint64)
     ids, inv = np.unique(np.concatenate((own.rep.to_numpy(), other.rep.to_numpy())), return_inverse=True)
     ia, ib = inv[: len(a)], inv[len(a) :]
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= pdf.attrs.get("bits", 3) if len(a) and len(b) else np.zeros((0, 0), bool)
+    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= 3 if len(a) and len(b) else np.zeros((0, 0), bool)
     i, j = np.nonzero(near)
     i, j = ia[i], ib[j]
     differ = i != j
@@ -91,19 +91,17 @@ def links(fps: DataFrame) -> DataFrame:
     # a cell's own rows and arrivals; only those with both sides can hold a link
     sizes = right.groupBy("half", "cell").agg(F.count_if(~F.col("up")).alias("n_own"), F.count("*").alias("n_all"))
     heavy = materialize(sizes.where(F.col("n_own") * F.col("n_all") > CELL_PAIRS), "cells")
-    a, b = own.alias("a"), right.alias("b")
-    light = a.join(b, (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 3) & (F.col("b.up") | (F.col("a.fp") < F.col("b.fp"))))
-    light = light.select(F.col("a.half").alias("half"), F.col("a.cell").alias("cell"), F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    if heavy.isEmpty():
-        return light.select("a", "b")
-    own_l, right_l = own.join(heavy, ["half", "cell"], "left_anti").alias("a"), right.join(heavy, ["half", "cell"], "left_anti").alias("b")
-    light = own_l.join(right_l, (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 3) & (F.col("b.up") | (F.col("a.fp") < F.col("b.fp")))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    dense = not heavy.isEmpty()
+    a, b = (x.join(heavy, ["half", "cell"], "left_anti") if dense else x for x in (own, right))
+    light = a.alias("a").join(b.alias("b"), (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 3) & (F.col("b.up") | (F.col("a.fp") < F.col("b.fp")))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    if not dense:
+        return light
     grid = heavy.select("half", "cell", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("ka"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("kb"))
     h = F.abs(F.hash("fp"))
     left = own.join(grid, ["half", "cell"]).select("half", "cell", (h % F.col("ka")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("y"), F.lit(0).alias("side"), "fp", "rep")
     arrive = right.join(grid, ["half", "cell"]).select("half", "cell", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("x"), (h % F.col("kb")).alias("y"), F.lit(1).alias("side"), "fp", "rep")
-    dense = left.union(arrive).groupBy("half", "cell", "x", "y").applyInPandas(_blocks, "a long, b long")
-    return light.union(dense)
+    blocks = left.union(arrive).groupBy("half", "cell", "x", "y").applyInPandas(_blocks, "a long, b long")
+    return light.union(blocks)
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -116,9 +114,12 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def dedup_simhash(docs: DataFrame) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id. Repeated rows of that doc_id stay one."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep one document of each group: the one with the smallest doc_id; of repeated rows of that doc_id, one."""
+    found = materialize(simhash_components(docs).select("doc_id", "component_id"), "components")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    return out if rows == ids else out.dropDuplicates(["doc_id"])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import materialize
 
@@ -258,7 +259,7 @@ SHIP = "array<struct<g: long, p: int, b: binary, many: boolean>>"
 FIRST = f"doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, starts array<int>, counts array<int>, ship {SHIP}"
 
 
-def _first_pass(length: int, texts: bool):
+def _first_pass(length: int, texts: bool, extra: list[str]):
     """Finishes documents whose repeated strings are all known; the others pass on, with the contexts to compare."""
 
     def run(batches):
@@ -281,7 +282,8 @@ def _first_pass(length: int, texts: bool):
                     if texts:
                         row["text"] = t if not removed else _text(data, cover)
                 out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=_FIRST_ARROW)
+            own = pa.RecordBatch.from_pylist(out, schema=_FIRST_ARROW)
+            yield pa.RecordBatch.from_arrays([*own.columns, *(b.column(c) for c in extra)], [*own.schema.names, *extra])
 
     return run
 
@@ -292,7 +294,7 @@ _FIRST_ARROW = pa.schema(
 LAST = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
-def _last_pass(length: int, texts: bool):
+def _last_pass(length: int, texts: bool, extra: list[str]):
     def run(batches):
         for b in batches:
             out = []
@@ -304,14 +306,19 @@ def _last_pass(length: int, texts: bool):
                 out.append((i.as_py(), tg.as_py(), len(data), removed, spans, hashlib.sha256(left).hexdigest(), _text(data, cover) if texts else None))
             names = ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)), *(b.column(c) for c in extra)], [*names, *extra])
 
     return run
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none", texts: bool = False) -> DataFrame:
-    """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256, text) for every row; text only with ``texts``."""
-    pairs = docs.select("doc_id", "text", tag())
+    """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256, text) for every row; text only with ``texts``, as
+    are the other columns of ``docs``, under names that begin with x_."""
+    others = [f for f in docs.schema.fields if texts and f.name not in ("doc_id", "text")]
+    extra = [f"x_{f.name}" for f in others]
+    schema = lambda text: StructType([*StructType.fromDDL(text).fields, *(StructField(f"x_{f.name}", f.dataType) for f in others)])
+    whole = docs.select("doc_id", "text", tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
+    pairs = whole.select("doc_id", "text", "tag")
     occ = pairs.mapInArrow(_occurrences(length), "g long, c long, doc long, tag int, p int, n int")
     groups = occ.groupBy("g").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("multi")).where("k > 1").select("g", "multi")
     occ2 = materialize(occ.join(groups, "g"), "occ")
@@ -324,8 +331,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
         full, is_open = F.col("k") > 1, (F.col("k") == 1) & F.col("multi")
     rows = rows.select("doc", "tag", F.struct("p", "n", full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", F.coalesce("many", F.lit(False)).alias("many")).alias("r")).where("r.full or r.ship")
     per = rows.groupBy("doc", F.col("tag").alias("dtag")).agg(F.collect_list("r").alias("rows"))
-    joined = pairs.join(per, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("dtag")), "left").select("doc_id", "text", "tag", "rows")
-    first = materialize(joined.mapInArrow(_first_pass(length, texts), FIRST), "pass1")
+    joined = whole.join(per, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("dtag")), "left").select("doc_id", "text", "tag", "rows", *extra)
+    first = materialize(joined.mapInArrow(_first_pass(length, texts, extra), schema(FIRST)), "pass1")
     ship = first.select(F.col("doc_id").alias("doc"), "tag", F.explode("ship").alias("s")).select("s.g", "doc", "tag", "s.p", "s.b", "s.many")
     few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", "doc", "tag", "p").mapInArrow(_resolve(length, keep), RESOLVED)
     strings = ship.where("many").drop("many").mapInArrow(_strings(length), "g long, s1 long, s2 long, doc long, tag int, p int")
@@ -336,19 +343,19 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     resolved = few.union(again.select("doc", "tag", "p", F.lit(1).alias("n")))
     more = resolved.groupBy("doc", F.col("tag").alias("mtag")).agg(F.collect_list(F.struct("p", "n")).alias("more"))
     pending = first.where("starts is not null").drop("ship").join(more, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("mtag")), "left")
-    last = pending.select("doc_id", "tag", "text", "starts", "counts", "more").mapInArrow(_last_pass(length, texts), LAST)
-    return first.where("starts is null").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text").union(last)
+    last = pending.select("doc_id", "tag", "text", "starts", "counts", "more", *extra).mapInArrow(_last_pass(length, texts, extra), schema(LAST))
+    return first.where("starts is null").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *extra).union(last)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with later copies of strings of ``length`` bytes cut from their texts, the first one kept.
 
     ``n_chars`` follows the text where there is such a column; documents left without text stay, empty."""
-    new = repeated_strings(docs, length, "first", texts=True).where("n_removed > 0").select("doc_id", "tag", "text").dropDuplicates(["doc_id", "tag"])
-    d = docs.withColumn("__tag", tag())
-    out = d.alias("d").join(new.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.__tag") == F.col("n.tag")), "left")
-    text = F.coalesce("n.text", "d.text")
-    return out.select(*(text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns))
+    out = repeated_strings(docs, length, "first", texts=True)
+    column = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        column["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(column.get(c, F.col(f"x_{c}")).alias(c) for c in docs.columns))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -109,8 +110,9 @@ def _occurrences(length: int):
         def flush(held):
             doc, lo, count, g, c = find([t for _, t, _ in held])
             ids = pa.array([i for i, _, _ in held], pa.int64()).take(pa.array(doc))
-            tags = np.array([k for _, _, k in held], np.int32)[doc]
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids, pa.array(tags), pa.array(lo.astype(np.int32)), pa.array(count.astype(np.int32))], ["g", "c", "doc", "tag", "p", "n"])
+            tags = np.array([k for _, _, k in held], np.int64)[doc]
+            q = tags << 39 | lo << 8 | count  # a context holds less than 256 strings
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids, pa.array(q)], ["g", "c", "doc", "q"])
 
         held, size = [], 0
         for b in batches:
@@ -255,8 +257,24 @@ def _text(data: bytes, cover: np.ndarray | None) -> str:
     return data.decode("utf-8", "replace")
 
 
+def unpack(data: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
+def _packed(extra: list[str]):
+    """Texts as compressed bytes: half of what the shuffle would write of them. Null stays null."""
+
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data = [None if (t := x.as_py()) is None else z.compress(t.encode("utf-8", "replace")) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), b.column("tag"), *(b.column(c) for c in extra)], ["doc_id", "data", "tag", *extra])
+
+    return run
+
+
 SHIP = "array<struct<g: long, p: int, b: binary, many: boolean>>"
-FIRST = f"doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, starts array<int>, counts array<int>, ship {SHIP}"
+FIRST = f"doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, data binary, starts array<int>, counts array<int>, ship {SHIP}"
 
 
 def _first_pass(length: int, texts: bool, extra: list[str]):
@@ -265,22 +283,22 @@ def _first_pass(length: int, texts: bool, extra: list[str]):
     def run(batches):
         for b in batches:
             out = []
-            for i, t, tg, rows in zip(b.column("doc_id"), b.column("text"), b.column("tag"), b.column("rows")):
-                t = t.as_py()
-                data = (t or "").encode("utf-8", "replace")
+            for i, packed, tg, rows in zip(b.column("doc_id"), b.column("data"), b.column("tag"), b.column("rows")):
+                packed = packed.as_py()
+                data = unpack(packed)
                 rows = rows.as_py() or []
                 full = [(r["p"], r["n"]) for r in rows if r["full"]]
                 starts, counts = [r[0] for r in full], [r[1] for r in full]
                 ship = [{"g": r["g"], "p": r["p"], "b": data[r["p"] : r["p"] + r["n"] + length - 1], "many": r["many"]} for r in rows if r["ship"]]
                 row = {"doc_id": i.as_py(), "tag": tg.as_py(), "n_bytes": len(data), "ship": ship}
                 if any(r["open"] for r in rows):
-                    row |= {"text": t, "starts": starts, "counts": counts}
+                    row |= {"data": packed, "starts": starts, "counts": counts}
                 else:
                     cover = _cover(len(data), starts, counts, length) if full else None
                     left, removed, spans = _finish(data, cover)
                     row |= {"n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(left).hexdigest()}
                     if texts:
-                        row["text"] = t if not removed else _text(data, cover)
+                        row["text"] = None if packed is None else _text(data, cover)
                 out.append(row)
             own = pa.RecordBatch.from_pylist(out, schema=_FIRST_ARROW)
             yield pa.RecordBatch.from_arrays([*own.columns, *(b.column(c) for c in extra)], [*own.schema.names, *extra])
@@ -289,7 +307,7 @@ def _first_pass(length: int, texts: bool, extra: list[str]):
 
 
 _FIRST_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("tag", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ship", pa.list_(pa.struct([("g", pa.int64()), ("p", pa.int32()), ("b", pa.binary()), ("many", pa.bool_())])))]
+    [("doc_id", pa.int64()), ("tag", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("data", pa.binary()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ship", pa.list_(pa.struct([("g", pa.int64()), ("p", pa.int32()), ("b", pa.binary()), ("many", pa.bool_())])))]
 )
 LAST = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
@@ -298,9 +316,8 @@ def _last_pass(length: int, texts: bool, extra: list[str]):
     def run(batches):
         for b in batches:
             out = []
-            for i, tg, t, starts, counts, more in zip(*(b.column(c) for c in ("doc_id", "tag", "text", "starts", "counts", "more"))):
-                t, more = t.as_py(), more.as_py() or []
-                data = (t or "").encode("utf-8", "replace")
+            for i, tg, packed, starts, counts, more in zip(*(b.column(c) for c in ("doc_id", "tag", "data", "starts", "counts", "more"))):
+                more, data = more.as_py() or [], unpack(packed.as_py())
                 cover = _cover(len(data), starts.as_py() + [m["p"] for m in more], counts.as_py() + [m["n"] for m in more], length)
                 left, removed, spans = _finish(data, cover)
                 out.append((i.as_py(), tg.as_py(), len(data), removed, spans, hashlib.sha256(left).hexdigest(), _text(data, cover) if texts else None))
@@ -316,22 +333,26 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     are the other columns of ``docs``, under names that begin with x_."""
     others = [f for f in docs.schema.fields if texts and f.name not in ("doc_id", "text")]
     extra = [f"x_{f.name}" for f in others]
+    quoted = [f"`{x}`" for x in extra]
     schema = lambda text: StructType([*StructType.fromDDL(text).fields, *(StructField(f"x_{f.name}", f.dataType) for f in others)])
     whole = docs.select("doc_id", "text", tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
     pairs = whole.select("doc_id", "text", "tag")
-    occ = pairs.mapInArrow(_occurrences(length), "g long, c long, doc long, tag int, p int, n int")
-    groups = occ.groupBy("g").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("multi")).where("k > 1").select("g", "multi")
+    occ = pairs.mapInArrow(_occurrences(length), "g long, c long, doc long, q long")
+    groups = occ.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     occ2 = materialize(occ.join(groups, "g"), "occ")
-    classes = occ2.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("doc", "tag", "p")).alias("f"), F.first("multi").alias("multi"))
-    many = classes.where("multi").groupBy("g").agg((F.count("*") > MANY).alias("many")).where("many")
-    rows = occ2.drop("multi").join(classes, ["g", "c"]).join(many, "g", "left").withColumn("own", F.struct("doc", "tag", "p").eqNullSafe(F.col("f")))
+    classes = materialize(occ2.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("doc", "q")).alias("f")), "classes")
+    different = classes.groupBy("g").agg((F.count("*") > 1).alias("multi"), (F.count("*") > MANY).alias("many"))
+    rows = occ2.join(classes.join(different, "g"), ["g", "c"]).withColumn("own", F.struct("doc", "q").eqNullSafe(F.col("f")))
     if keep == "first":
         full, is_open = ~F.col("own"), F.col("own") & F.col("multi")
     else:
         full, is_open = F.col("k") > 1, (F.col("k") == 1) & F.col("multi")
-    rows = rows.select("doc", "tag", F.struct("p", "n", full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", F.coalesce("many", F.lit(False)).alias("many")).alias("r")).where("r.full or r.ship")
-    per = rows.groupBy("doc", F.col("tag").alias("dtag")).agg(F.collect_list("r").alias("rows"))
-    joined = whole.join(per, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("dtag")), "left").select("doc_id", "text", "tag", "rows", *extra)
+    place = [F.shiftright("q", 39).cast("int").alias("dtag"), F.shiftright("q", 8).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("p"), F.col("q").bitwiseAND(F.lit(0xFF)).cast("int").alias("n")]
+    rows = rows.select("doc", *place, full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", "many").where("full or ship")
+    rows = rows.select("doc", "dtag", F.struct("p", "n", "full", "open", "ship", "g", "many").alias("r"))
+    per = rows.groupBy("doc", "dtag").agg(F.collect_list("r").alias("rows"))
+    sent = whole.mapInArrow(_packed(extra), schema("doc_id long, data binary, tag int"))
+    joined = sent.join(per, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("dtag")), "left").select("doc_id", "data", "tag", "rows", *quoted)
     first = materialize(joined.mapInArrow(_first_pass(length, texts, extra), schema(FIRST)), "pass1")
     ship = first.select(F.col("doc_id").alias("doc"), "tag", F.explode("ship").alias("s")).select("s.g", "doc", "tag", "s.p", "s.b", "s.many")
     few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", "doc", "tag", "p").mapInArrow(_resolve(length, keep), RESOLVED)
@@ -343,8 +364,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     resolved = few.union(again.select("doc", "tag", "p", F.lit(1).alias("n")))
     more = resolved.groupBy("doc", F.col("tag").alias("mtag")).agg(F.collect_list(F.struct("p", "n")).alias("more"))
     pending = first.where("starts is not null").drop("ship").join(more, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("mtag")), "left")
-    last = pending.select("doc_id", "tag", "text", "starts", "counts", "more", *extra).mapInArrow(_last_pass(length, texts, extra), schema(LAST))
-    return first.where("starts is null").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *extra).union(last)
+    last = pending.select("doc_id", "tag", "data", "starts", "counts", "more", *quoted).mapInArrow(_last_pass(length, texts, extra), schema(LAST))
+    return first.where("starts is null").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *quoted).union(last)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -355,7 +376,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     column = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in docs.columns:
         column["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*(column.get(c, F.col(f"x_{c}")).alias(c) for c in docs.columns))
+    return out.select(*(column.get(c, F.col(f"`x_{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_key", "size"], kind="stable").reset_index(drop=True)
         pi, size = pdf.pi.to_numpy(float), (pdf["size"] * pdf["m"]).to_numpy(float)
         whole = bool(pdf.whole_source.iloc[0]) or last
         if not whole or len(pdf) > LANDING:
@@ -117,7 +117,12 @@ def _fly(seed: int, last: bool):
     return run
 
 
-KEY = ["doc_id", "source", "size"]
+KEY = ["doc_key", "source", "size"]
+
+
+def doc_key() -> Column:
+    """A doc_id as text, empty for null: pandas would make a number with nulls a float."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_key")
 
 
 def _same(a: str, b: str) -> Column:
@@ -128,11 +133,11 @@ def _same(a: str, b: str) -> Column:
 
 
 def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, source, size) and the plan (doc_id, source, size, source_size, target, copies).
+    """The rows (doc_id, doc_key, source, size) and the plan (doc_key, source, size, source_size, target, copies).
 
     Rows equal in all three columns are one unit of the plan: each of them is taken as often."""
     spark = docs.sparkSession
-    base = materialize(docs.select("doc_id", "source", words().alias("size")), "sizes")
+    base = materialize(docs.select("doc_id", doc_key(), "source", words().alias("size")), "sizes")
     units = base.groupBy(*KEY).agg(F.count("*").alias("m"))
     # one row a source, none of the documents: the targets depend on the sources' totals
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("n"), F.count_if(F.col("size") > 0).alias("c")).collect()
@@ -146,31 +151,28 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     rows = materialize(rows, "pi")
     names = [*KEY, "m", "pi", "whole_source", "block"]
     blocks = max([math.ceil(c / BLOCK) for _, _, c in per], default=1)
-    fly = rows.where("pi > 0").withColumn("whole_source", F.col("blocks") == 1).withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), "blocks"))
+    fly = rows.where("pi > 0").withColumn("whole_source", F.col("blocks") == 1).withColumn("block", F.pmod(F.xxhash64("doc_key", "size"), "blocks"))
     done = None
     while True:
         last = blocks <= 1
-        flown = materialize(fly.select(*names).groupBy("source", "block").applyInPandas(_fly(seed, last), "doc_id long, source string, size long, m long, pi double, whole_source boolean, block long"), "flown")
+        flown = materialize(fly.select(*names).groupBy("source", "block").applyInPandas(_fly(seed, last), "doc_key string, source string, size long, m long, pi double, whole_source boolean, block long"), "flown")
         settled = flown.where("pi = 0 or pi = 1").select(*KEY, "pi")
         done = settled if done is None else done.union(settled)
         if last:
             break
         blocks = math.ceil(2 * blocks / BLOCK)
-        fly = flown.where("pi > 0 and pi < 1").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(blocks)), F.lit(blocks)))
+        fly = flown.where("pi > 0 and pi < 1").withColumn("block", F.pmod(F.xxhash64("doc_key", "size", F.lit(blocks)), F.lit(blocks)))
     plan = rows.alias("r").join(done.alias("d"), _same("r", "d"), "left")
     copies = F.when(F.col("r.size") > 0, F.col("r.whole") + F.coalesce("d.pi", F.lit(0.0))).otherwise(0).cast("long")
-    return base, plan.select("r.doc_id", "r.source", "r.size", "r.source_size", "r.target", copies.alias("copies"))
+    return base, plan.select("r.doc_key", "r.source", "r.size", "r.source_size", "r.target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the input's columns: every row as many times as the plan takes it."""
     _, plan = mix_plan(docs, **options)
-    p = plan.where("copies > 0")
-    on = F.lit(True)
-    for c in ("doc_id", "source"):
-        on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
-    out = docs.alias("d").join(p.alias("p"), on & (words("d.text") == F.col("p.size"))).select("d.*", F.explode(F.sequence(F.lit(1), "p.copies")).alias("__copy"))
-    return out.drop("__copy")
+    d, p = docs.withColumn("__key", doc_key()).alias("d"), plan.where("copies > 0").alias("p")
+    on = (F.col("d.__key") == F.col("p.doc_key")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (words("d.text") == F.col("p.size"))
+    return d.join(p, on).select("d.*", F.explode(F.sequence(F.lit(1), "p.copies")).alias("__copy")).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

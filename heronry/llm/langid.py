@@ -219,16 +219,19 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, seed: int = 5, rate: flo
 def fit(docs: DataFrame) -> Model | None:
     """Learns from documents with a language whose crc32(doc_id) mod 5 is not 0, within the sample's bounds."""
     pool = docs.where("lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = pool.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang")
+    # the smallest hashes lie under this share of the range, but for a vanishing chance: only those are shuffled
+    share = pool.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count("*")).alias("share"))
+    near = pool.join(share, "lang").withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id")
+    ids = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang")
     # at most SAMPLE_DOCS rows a language
     rows = docs.where("text is not null").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     got = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.collect())
     return train([(t, label) for _, t, label in got if has_letter(t)])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(columns of docs, lang_pred, score): only the text is read for the prediction."""
+def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns of docs, a language and its score: only the text is read for the prediction."""
     # plain arrays of a fixed size; the class travels with the function
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.labels, model.weights, model.trans, model.start))
     names = docs.columns
@@ -258,9 +261,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                         flush()
                         size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p for p, _ in pred], pa.string()), pa.array([s for _, s in pred], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p for p, _ in pred], pa.string()), pa.array([s for _, s in pred], pa.float64())], [*names, lang, score])
 
-    out = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
     return docs.mapInArrow(run, out)
 
 

@@ -35,7 +35,7 @@ def remap(c: str | Column) -> Column:
 
 
 def vocabulary_map() -> Column:
-    return F.create_map(*(F.lit(x) for kv in VOCABULARY.items() for x in kv))
+    return F.map_from_arrays(F.split(F.lit("\x01".join(VOCABULARY)), "\x01"), F.split(F.lit(",".join(map(str, VOCABULARY.values()))), ",").cast("array<int>"))
 
 
 def encode(c: str | Column, strict: bool = False, pad: bool = True) -> Column:
@@ -51,7 +51,7 @@ def encode(c: str | Column, strict: bool = False, pad: bool = True) -> Column:
 
 def unknown_symbols(c: str | Column) -> Column:
     """Symbols outside the vocabulary, spaces exempt, in order and with repeats."""
-    known = F.array(*map(F.lit, VOCABULARY))
+    known = F.split(F.lit("\x01".join(VOCABULARY)), "\x01")
     return F.filter(F.split(col(c), ""), lambda x: (x != " ") & (F.length(x) > 0) & ~F.array_contains(known, x))
 
 

@@ -34,7 +34,7 @@ LIMIT = 10**12
 
 
 def _pick(words: list[str], at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, words)), at.cast("int") + 1)
+    return F.element_at(F.split(F.lit(" ".join(words)), " "), at.cast("int") + 1)  # folded to a literal list
 
 
 def _below_100(n: Column) -> Column:
@@ -80,7 +80,7 @@ def ordinal_words(c: str | Column) -> Column:
 
 
 def _ordinal(n: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for k, v in ORDINALS.items() for x in (k, v)))
+    table = F.transform_keys(F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ORDINALS.items()))), lambda k, _: k.cast("int"))
     return F.when((n > 20) & (n < 30), F.concat(F.lit("tjugo"), F.try_element_at(table, n - 20))).otherwise(F.coalesce(F.try_element_at(table, n), int_words(n)))
 
 

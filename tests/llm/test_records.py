@@ -120,7 +120,7 @@ def test_simple_tree_matching():
 
 def test_targets():
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
-    assert mixing.targets([10, 100, 1000]) == [20.0, 200.0, 1435.0]
+    assert mixing.targets([10, 100, 1000]) == [20.0, 200.0, 1.5 * 1110 - 220]
     t = mixing.targets([100, 100, 100, 100])
     assert sum(t) == pytest.approx(600) and max(t) <= 200
 

@@ -8,7 +8,7 @@ The score is the best local alignment's share of the full score of the item.
 
 The items travel to the executors, in slices of at most ``SLICE`` words; a larger benchmark takes more passes.
 
-Defined cases: words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; null and empty texts
+Defined cases: words are runs of letters, digits and non-ASCII characters, lower-cased; null and empty texts
 hold nothing; items of fewer than ``least`` words are not looked for; repeated items are reported each, repeated
 documents give a row each; ties go to the leftmost place; empty tables give an empty result. Extra columns are
 ignored.
@@ -71,7 +71,7 @@ def _chunks(batches, size=CHUNK):
     ids, texts, n = [], [], 0
     for b in batches:
         for i, t in zip(b.column(0), b.column(1)):
-            t = (t.as_py() or "").encode("utf-8", "replace")
+            t = (t.as_py() or "").lower().encode("utf-8", "replace")
             if not t:
                 continue
             if texts and n + len(t) > size:
@@ -179,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)
         if not rows:
             continue
-        of, h = word_hashes([t.encode("utf-8", "replace") for _, t in rows], LETTERS)
+        of, h = word_hashes([t.lower().encode("utf-8", "replace") for _, t in rows], LETTERS)
         begin = np.searchsorted(of, np.arange(len(rows) + 1))
         place, g = grams(h, of)
         long_enough = np.diff(begin)[of[place]] >= least

@@ -27,6 +27,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what ``materialize`` and the archives wrote; call it once the results that read them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/heronry")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

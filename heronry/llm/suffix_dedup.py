@@ -338,7 +338,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     whole = docs.select("doc_id", "text", tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
     pairs = whole.select("doc_id", "text", "tag")
     occ = pairs.mapInArrow(_occurrences(length), "g long, c long, doc long, q long")
-    groups = occ.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    # a table of its own: a join of two shuffles can split an anchor that very many documents share
+    groups = materialize(occ.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "anchors")
     occ2 = materialize(occ.join(groups, "g"), "occ")
     classes = materialize(occ2.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("doc", "q")).alias("f")), "classes")
     different = classes.groupBy("g").agg((F.count("*") > 1).alias("multi"), (F.count("*") > MANY).alias("many"))

@@ -122,3 +122,11 @@ def test_vectors_empty_and_recall(spark):
 def test_simhash_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert simhash.dedup_simhash(spark.createDataFrame([(1, "a"), (1, "a"), (2, "zz top hat on")], "doc_id long, text string").withColumn("fp", F.lit(1))).count() <= 2
+
+
+def test_shared_folder(spark):
+    df = common.materialize(spark.range(3), "t")
+    assert df.count() == 3 and common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    common.clear_shared(spark)
+    common.clear_shared(spark)
+    assert common.materialize(spark.range(2), "t").count() == 2

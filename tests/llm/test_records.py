@@ -96,6 +96,13 @@ def test_html_blocks():
     assert e("<article><p>uppdaterad</p><p class='loading'>header</p></article>") == "uppdaterad\nheader"
 
 
+def test_html_headers_and_names():
+    e = wrapper.extract
+    assert e("<body><header>H</header><div><p>x</p></div><div class='site-header'>t</div><div class='commentlist'>c</div><p class='cookie-bar'>k</p></body>") == "x"
+    assert e("<article><header><h1>R</h1></header><p>x</p><footer>f</footer></article>") == "R\nx"
+    assert e("<div role='navigation'>n</div><p hidden>h</p><p style='display: none'>d</p><p>a<button>b</button>c</p>") == "ac"
+
+
 SITE = "<body><div class=top>Min sajt</div><div id=body><h2>{0}</h2><div><p>{1}</p><p>Mer om {0}, och mer.</p></div></div><div class=end>Alla rättigheter</div></body>"
 
 

@@ -97,9 +97,8 @@ def links(fps: DataFrame) -> DataFrame:
     if not dense:
         return light
     grid = heavy.select("half", "cell", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("ka"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("kb"))
-    h = F.abs(F.hash("fp"))
-    left = own.join(grid, ["half", "cell"]).select("half", "cell", (h % F.col("ka")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("y"), F.lit(0).alias("side"), "fp", "rep")
-    arrive = right.join(grid, ["half", "cell"]).select("half", "cell", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("x"), (h % F.col("kb")).alias("y"), F.lit(1).alias("side"), "fp", "rep")
+    left = own.join(grid, ["half", "cell"]).select("half", "cell", F.pmod(F.hash("fp"), "ka").alias("x"), F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("y"), F.lit(0).alias("side"), "fp", "rep")
+    arrive = right.join(grid, ["half", "cell"]).select("half", "cell", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("x"), F.pmod(F.hash("fp"), "kb").alias("y"), F.lit(1).alias("side"), "fp", "rep")
     blocks = left.union(arrive).groupBy("half", "cell", "x", "y").applyInPandas(_blocks, "a long, b long")
     return light.union(blocks)
 
@@ -114,12 +113,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def dedup_simhash(docs: DataFrame) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id; of repeated rows of that doc_id, one."""
+    """Keep one document of each group: the one with the smallest doc_id; of repeated rows of that doc_id, one.
+
+    Rows with a null doc_id can't be told apart and stay."""
     found = materialize(simhash_components(docs).select("doc_id", "component_id"), "components")
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi")
     rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return out if rows == ids else out.dropDuplicates(["doc_id"])
+    out = out if rows == ids else out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

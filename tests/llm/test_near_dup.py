@@ -119,6 +119,12 @@ def test_vectors_empty_and_recall(spark):
     assert (1 - meet) ** passes <= 1e-6 and embed_dedup.plan_passes(500, 0.9, 0.99) == (0, 1)
 
 
+def test_simhash_null_ids(spark):
+    docs = spark.createDataFrame([(1, "samma text här"), (None, "samma text här"), (2, "samma text här"), (None, "helt egen text finns")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in simhash.dedup_simhash(docs).collect()) == [0, 0, 1]
+    assert simhash.simhash_components(docs).count() == 4
+
+
 def test_simhash_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert simhash.dedup_simhash(spark.createDataFrame([(1, "a"), (1, "a"), (2, "zz top hat on")], "doc_id long, text string").withColumn("fp", F.lit(1))).count() <= 2

@@ -185,7 +185,9 @@ def _batch(rows):
 
 
 def new_folder(spark: SparkSession) -> str:
-    folder = f"{shared_dir(spark)}/heronry/warc-{uuid.uuid4().hex}"
+    # with its file system, which a path without a scheme leaves to the cluster's default
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/heronry/warc-{uuid.uuid4().hex}")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     return folder

@@ -44,59 +44,70 @@ def _planes(dim: int, bits: int, passes: int, seed: int) -> np.ndarray:
 
 
 def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): the components as little-endian doubles, or null where the vector links with nothing."""
+    """(vec_id, dim, v): the components as little-endian floats where they lose nothing by it, else doubles; v is null
+    where the vector links with nothing."""
 
     def run(batches):
         for b in batches:
-            out = []
+            out, dims = [], []
             for x in b.column(1):
                 a = None
                 if x.is_valid and len(x.values) and not x.values.null_count:
                     a = x.values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0
                     if not np.isfinite(a).all() or not a.any():
                         a = None
-                out.append(None if a is None else a.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
+                dims.append(None if a is None else len(a))
+                with np.errstate(over="ignore"):
+                    out.append(None if a is None else a.astype("<f4").tobytes() if (a.astype("<f4") == a).all() else a.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
 
-    return vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(run, "vec_id long, v binary")
+    return vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("e")).mapInArrow(run, "vec_id long, dim int, v binary")
 
 
-def _unit(blobs) -> np.ndarray:
-    a = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+def _unit(blobs, dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    if len({len(x) for x in blobs}) == 1:
+        a = np.frombuffer(b"".join(blobs), f"<f{len(blobs[0]) // dim}").reshape(-1, dim).astype(np.float64)
+    else:
+        a = np.stack([np.frombuffer(x, f"<f{len(x) // dim}").astype(np.float64) for x in blobs])
     a = a / np.abs(a).max(1, keepdims=True)
     return a / np.sqrt((a * a).sum(1, keepdims=True))
 
 
+def _kind(bits: int) -> str:
+    return "<i4" if bits < 31 else "<i8"
+
+
 def _expand(bits: int, passes: int, seed: int):
     """Rows (pass, run, rep, w, v, runs): a vector once for each pass, with the runs of all passes."""
 
     def run(batches):
         for b in batches:
-            v, rep, w = b.column("v").to_pylist(), b.column("rep").to_numpy(), b.column("w").to_numpy()
-            sizes = np.array([len(x) for x in v])
-            for size in np.unique(sizes):
-                at = np.nonzero(sizes == size)[0]
-                a = _unit([v[i] for i in at])
-                keys = np.full((len(at), passes), size << 20, np.int64)
+            v, rep, w, dims = b.column("v").to_pylist(), b.column("rep").to_numpy(), b.column("w").to_numpy(), b.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                at = np.nonzero(dims == dim)[0]
+                a = _unit([v[i] for i in at], dim)
+                keys = np.zeros((len(at), passes), np.int64)
                 if bits:
-                    signs = (a @ _planes(size // 8, bits, passes, seed).T > 0).reshape(len(at), passes, bits)
+                    signs = (a @ _planes(dim, bits, passes, seed).T > 0).reshape(len(at), passes, bits)
                     keys = (signs * (1 << np.arange(bits, dtype=np.int64))[::-1]).sum(2)
+                keys = keys.astype(_kind(bits))
                 own = [k.tobytes() for k in keys]
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), size // 8, np.int32)), pa.array(keys[:, p]), pa.array(rep[at]), pa.array(w[at]), pa.array([v[i] for i in at], pa.binary()), pa.array(own, pa.binary())],
+                        [pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(keys[:, p].astype(np.int64)), pa.array(rep[at]), pa.array(w[at]), pa.array([v[i] for i in at], pa.binary()), pa.array(own, pa.binary())],
                         ["pass", "dim", "run", "rep", "w", "v", "runs"],
                     )
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, bits: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p, same = int(key[0]), key[3] == key[4]
         part = pdf.part.to_numpy()
         x, y = np.nonzero(part == key[3])[0], np.nonzero(part == key[4])[0]
-        a, runs = _unit(pdf.v.tolist()), np.frombuffer(b"".join(pdf.runs), np.int64).reshape(len(pdf), -1)[:, :p]
+        a, runs = _unit(pdf.v.tolist(), int(key[1])), np.frombuffer(b"".join(pdf.runs), _kind(bits)).reshape(len(pdf), -1)[:, :p]
         rep, w = pdf.rep.to_numpy(), pdf.w.to_numpy()
         n_links = np.zeros(len(pdf), np.int64)
         ia, ib = [], []
@@ -126,15 +137,15 @@ def _compare(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 1 - 1e-6, seed: int = 7, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
-    rows = materialize(classes(vectors, vec_id, embedding).withColumn("k", F.sha2("v", 256)), "vec")
-    reps = materialize(rows.where("v is not null").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v")).where("rep is not null"), "rep")
+    rows = materialize(classes(vectors, vec_id, embedding).withColumn("k", F.sha2(F.concat(F.col("v"), F.encode(F.col("dim").cast("string"), "utf-8")), 256)), "vec")
+    reps = materialize(rows.where("v is not null").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v"), F.first("dim").alias("dim")).where("rep is not null"), "rep")
     bits, passes = plan_passes(reps.count(), threshold, recall)
     keyed = materialize(reps.mapInArrow(_expand(bits, passes, seed), "pass int, dim int, run long, rep long, w long, v binary, runs binary"), "runs")
     g = ["pass", "dim", "run"]
     sizes = keyed.groupBy(*g).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 0")
     cut = keyed.join(sizes, g).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     pairs = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("part", "o")).withColumn("hi", F.greatest("part", "o")).drop("o", "k")
-    found = materialize(pairs.groupBy("pass", "dim", "run", "lo", "hi").applyInPandas(_compare(threshold), "a long, b long, n long"), "links")
+    found = materialize(pairs.groupBy("pass", "dim", "run", "lo", "hi").applyInPandas(_compare(threshold, bits), "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     cc = connected_components(found.where("a != b"))
     per = reps.select("k", "rep", "w").join(counts, "rep", "left").join(cc, F.col("rep") == F.col("node"), "left")

@@ -53,6 +53,13 @@ def test_equals_brute_force(spark, monkeypatch, keep, many):
     assert [i for i in range(len(texts)) if got[i] != want[i]] == []
 
 
+@pytest.mark.parametrize("length", [12, 400])
+def test_other_lengths(spark, length):
+    texts = corpus()[:40] + ["z" * 900 + "q" * 5]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.repeated_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, length, "none")
+
+
 def test_columns_and_repeats(spark):
     t = "åäö " * 80
     docs = spark.createDataFrame([(1, t, "en", 5), (1, t, "en", 5), (2, t + "mer", "sv", 6), (None, None, None, None)], "doc_id long, text string, rows string, n_chars int")

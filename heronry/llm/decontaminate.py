@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import LETTERS, mix, word_hashes
 
 SEED_WORDS, SPREAD = 3, 4
 THRESHOLD, LEAST = 0.5, 5
 SLICE = 4_000_000
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 MATCH, MISS, GAP = 2, -1, -1
 
@@ -186,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         place, g = place[long_enough], g[long_enough]
         counts = dict(zip(np.unique(g).tolist(), [0] * len(g)))
         shared = spark.sparkContext.broadcast(np.unique(g))
-        found = pairs.mapInArrow(_count(shared), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # n-grams of the items only
+        found = pairs.mapInArrow(tidy(_count(shared)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # n-grams of the items only
         counts |= {r["g"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in found}
         seeds = []
         for i in range(len(rows)):
@@ -196,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         keys = np.array(sorted({x[0] for x in seeds}), np.uint64)
         offset = np.searchsorted(np.array([x[0] for x in seeds], np.uint64), keys).tolist() + [len(seeds)]
         plan = (keys, offset, np.array([x[1] for x in seeds], np.int64), np.array([x[2] for x in seeds], np.int64), np.array([i for i, _ in rows], np.int64), h, begin)
-        part = pairs.mapInArrow(_match(spark.sparkContext.broadcast(plan), threshold), RESULT)
+        part = pairs.mapInArrow(tidy(_match(spark.sparkContext.broadcast(plan), threshold)), RESULT)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], RESULT) if out is None else out
 

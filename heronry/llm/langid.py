@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import pieces, tidy
+
 #: Bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 1500
 #: log2 of the entries of the n-gram and word tables.
@@ -242,7 +244,7 @@ def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", scor
         if shared.value is not None:
             m = Model(shared.value[0])
             m.weights, m.trans, m.start = shared.value[1:]
-        for b in batches:
+        for b in pieces(batches, 1024):
             texts = b.column(at)
             pred, held, size = [("und", 0.0)] * b.num_rows, [], 0
 
@@ -264,7 +266,7 @@ def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", scor
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p for p, _ in pred], pa.string()), pa.array([s for _, s in pred], pa.float64())], [*names, lang, score])
 
     out = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

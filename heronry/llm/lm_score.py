@@ -28,13 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .words import mix, word_hashes
 
 BACKOFF, MIN_COUNT = 0.4, 2
 HOT_SHARE, KNOWN_SHARE = 1e-3, 2e-6
 #: Words of a batch, and of a partition at expectation.
-BATCH, PART = 2_000_000, 3_000_000
+BATCH, PART = 1_000_000, 1_500_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -73,7 +73,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out, at, n = [], 0, 0
     for k, t in enumerate(texts):  # hashing needs some 50 bytes a byte of text
         n += len(t)
-        if n > 1 << 20 or k == len(texts) - 1:
+        if n > 1 << 18 or k == len(texts) - 1:
             of, h = word_hashes(texts[at : k + 1])
             out.append((of + at, h))
             at, n = k + 1, 0
@@ -232,14 +232,14 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, hot_share: float = HO
     """(doc_id, n_words, log_score, mean_score) for every document."""
     spark = docs.sparkSession
     pairs = docs.select("doc_id", "text")
-    words = materialize(pairs.mapInArrow(_unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    words = materialize(pairs.mapInArrow(tidy(_unigrams), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     # at most 1 / known_share rows
     known = sorted((r["w"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in words.where(F.col("n") > known_share * total).collect())
     table = {"total": max(total, 1), "words": np.array([w for w, _ in known], np.uint64), "words_n": np.array([n for _, n in known], np.int64)}
     hot = table["words_n"] > hot_share * total
     table |= {"hot": table["words"][hot], "hot_n": table["words_n"][hot]}
-    got = pairs.mapInArrow(_hot_pairs(spark.sparkContext.broadcast(table["hot"])), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 1 / hot_share^2 rows
+    got = pairs.mapInArrow(tidy(_hot_pairs(spark.sparkContext.broadcast(table["hot"]))), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 1 / hot_share^2 rows
     table["hot_start"] = np.ones(len(table["hot"]), np.int64)
     for r in got:
         if r["p"] < 0:
@@ -248,7 +248,7 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, hot_share: float = HO
     table |= {"pairs": np.array([p for p, _ in both], np.int64), "pairs_n": np.array([n for _, n in both], np.int64)}
     shared = spark.sparkContext.broadcast(table)
     parts = max(1, math.ceil(total / PART))
-    sent = pairs.mapInArrow(_explode(shared, parts, min_count), "part int, blob binary, doc long, n long, score double")
+    sent = pairs.mapInArrow(tidy(_explode(shared, parts, min_count)), "part int, blob binary, doc long, n long, score double")
     found = sent.groupBy("part").applyInPandas(_join(shared, min_count), JOINED)
     rare = words.where(F.col("n") <= known_share * total).select(F.col("w").alias("u"), F.col("n").alias("c"))
     scored = found.join(rare, F.col("w") == F.col("u"), "left")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, materialize
+from .common import connected_components, forest, materialize, tidy
 
 #: A grid cell whose join would compare more pairs than this is compared in blocks instead.
 CELL_PAIRS = 1 << 14
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py() or b"", width, seed) for t in texts), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _cell(half: Column) -> Column:

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialize
+from .common import materialize, pieces, tidy
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Anchors with more different contexts than this are settled by grouping their strings.
 MANY = 4096
 
@@ -45,8 +45,9 @@ MANY = 4096
 class Anchors:
     """Finds the anchors of chunks of texts."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
+    def __init__(self, length: int = LENGTH):
+        # an anchor stands for 251 strings at most
+        self.length, self.gram = length, max(length - 250, min(GRAM, max(1, length // 2)))
         self.base = 0x9E3779B97F4A7C15
         self.power = self.inverse = np.ones(1, np.uint64)
 
@@ -266,7 +267,7 @@ def _packed(extra: list[str]):
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in pieces(batches):
             data = [None if (t := x.as_py()) is None else z.compress(t.encode("utf-8", "replace")) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), b.column("tag"), *(b.column(c) for c in extra)], ["doc_id", "data", "tag", *extra])
 
@@ -281,7 +282,7 @@ def _first_pass(length: int, texts: bool, extra: list[str]):
     """Finishes documents whose repeated strings are all known; the others pass on, with the contexts to compare."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for i, packed, tg, rows in zip(b.column("doc_id"), b.column("data"), b.column("tag"), b.column("rows")):
                 packed = packed.as_py()
@@ -314,7 +315,7 @@ LAST = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_s
 
 def _last_pass(length: int, texts: bool, extra: list[str]):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for i, tg, packed, starts, counts, more in zip(*(b.column(c) for c in ("doc_id", "tag", "data", "starts", "counts", "more"))):
                 more, data = more.as_py() or [], unpack(packed.as_py())
@@ -337,7 +338,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     schema = lambda text: StructType([*StructType.fromDDL(text).fields, *(StructField(f"x_{f.name}", f.dataType) for f in others)])
     whole = docs.select("doc_id", "text", tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
     pairs = whole.select("doc_id", "text", "tag")
-    occ = pairs.mapInArrow(_occurrences(length), "g long, c long, doc long, q long")
+    occ = pairs.mapInArrow(tidy(_occurrences(length)), "g long, c long, doc long, q long")
     # a table of its own: a join of two shuffles can split an anchor that very many documents share
     groups = materialize(occ.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "anchors")
     occ2 = materialize(occ.join(groups, "g"), "occ")
@@ -352,12 +353,12 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     rows = rows.select("doc", *place, full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", "many").where("full or ship")
     rows = rows.select("doc", "dtag", F.struct("p", "n", "full", "open", "ship", "g", "many").alias("r"))
     per = rows.groupBy("doc", "dtag").agg(F.collect_list("r").alias("rows"))
-    sent = whole.mapInArrow(_packed(extra), schema("doc_id long, data binary, tag int"))
+    sent = whole.mapInArrow(tidy(_packed(extra)), schema("doc_id long, data binary, tag int"))
     joined = sent.join(per, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("dtag")), "left").select("doc_id", "data", "tag", "rows", *quoted)
-    first = materialize(joined.mapInArrow(_first_pass(length, texts, extra), schema(FIRST)), "pass1")
+    first = materialize(joined.mapInArrow(tidy(_first_pass(length, texts, extra)), schema(FIRST)), "pass1")
     ship = first.select(F.col("doc_id").alias("doc"), "tag", F.explode("ship").alias("s")).select("s.g", "doc", "tag", "s.p", "s.b", "s.many")
-    few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", "doc", "tag", "p").mapInArrow(_resolve(length, keep), RESOLVED)
-    strings = ship.where("many").drop("many").mapInArrow(_strings(length), "g long, s1 long, s2 long, doc long, tag int, p int")
+    few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", "doc", "tag", "p").mapInArrow(tidy(_resolve(length, keep)), RESOLVED)
+    strings = ship.where("many").drop("many").mapInArrow(tidy(_strings(length)), "g long, s1 long, s2 long, doc long, tag int, p int")
     found = strings.groupBy("g", "s1", "s2").agg(F.count("*").alias("k"), F.min(F.struct("doc", "tag", "p")).alias("f")).where("k > 1")
     again = strings.join(found, ["g", "s1", "s2"])
     if keep == "first":
@@ -365,7 +366,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     resolved = few.union(again.select("doc", "tag", "p", F.lit(1).alias("n")))
     more = resolved.groupBy("doc", F.col("tag").alias("mtag")).agg(F.collect_list(F.struct("p", "n")).alias("more"))
     pending = first.where("starts is not null").drop("ship").join(more, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("mtag")), "left")
-    last = pending.select("doc_id", "tag", "data", "starts", "counts", "more", *quoted).mapInArrow(_last_pass(length, texts, extra), schema(LAST))
+    last = pending.select("doc_id", "tag", "data", "starts", "counts", "more", *quoted).mapInArrow(tidy(_last_pass(length, texts, extra)), schema(LAST))
     return first.where("starts is null").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *quoted).union(last)
 
 

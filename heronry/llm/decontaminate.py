@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment over words.
 
-Every window of ``SPREAD`` neighbouring n-grams of a test item gives its rarest one as a seed, by the n-gram's
-count over all training documents; so seeds lie all over an item, and a frequent n-gram is a seed only where
-nothing near it is rarer (an item that leaked into a third of all documents keeps its seeds). A document that
-holds a seed is aligned to the item around the place: +2 for equal words, -1 for unequal ones and for gaps.
-The score is the best local alignment's share of the full score of the item.
+An alignment gives +2 for equal words, -1 for unequal ones and for gaps; a document's score is the best local
+alignment's share of the full score of the item. Seeds are the rarest word of every window of ``SPREAD``
+neighbouring words of an item, by counts over all documents, and all of its word pairs. No seed has to survive an
+edit: places of a text are aligned where so many of an item's seeds lie that the threshold is in reach. With m of
+n words matched, b neighbouring pairs of them unbroken, a score is m + b + 1 at most, and m is at most the words
+that are no seeds plus the seeds that are there; so what reaches the threshold is always aligned. An alignment that
+reaches T takes 3 n - T words of a text at most, so seeds are counted in overlapping windows of twice as many.
 
 The items travel to the executors, in slices of at most ``SLICE`` words; a larger benchmark takes more passes.
 
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import tidy
 from .words import LETTERS, mix, word_hashes
 
-SEED_WORDS, SPREAD = 3, 4
+SEED_WORDS, SPREAD = 2, 4
 THRESHOLD, LEAST = 0.5, 5
 SLICE = 4_000_000
 CHUNK = 1 << 18
+#: Seeds found in texts that are counted at once, unless one text has more.
+FOUND = 1 << 21
 
 MATCH, MISS, GAP = 2, -1, -1
 
@@ -108,53 +112,87 @@ def _count(shared):
         find, total = _Lookup(shared.value), None
         for _, texts in _chunks(batches):
             of, h = word_hashes(texts, LETTERS)
-            _, k = find(grams(h, of)[1])
+            _, k = find(h)
             n = np.bincount(k, minlength=len(find.keys))
             total = n if total is None else total + n
         if total is not None:
             at = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(find.keys[at].view(np.int64)), pa.array(total[at])], ["g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(find.keys[at].view(np.int64)), pa.array(total[at])], ["w", "n"])
 
     return run
 
 
 def choose_seeds(counts: np.ndarray) -> np.ndarray:
-    """Places of the rarest n-gram of every window of SPREAD n-grams; the leftmost of equals."""
+    """Places of the rarest of every window of SPREAD neighbours; the leftmost of equals."""
     w = min(SPREAD, len(counts))
     return np.unique([i + int(np.argmin(counts[i : i + w])) for i in range(len(counts) - w + 1)]) if w else np.zeros(0, np.int64)
 
 
+def _postings(h: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, where the seeds of each begin, and the seeds."""
+    order = np.argsort(h, kind="stable")
+    keys, first = np.unique(h[order], return_index=True)
+    return keys, np.append(first, len(h)), seed[order]
+
+
+def _windows(d, p, seed, n_seeds, item_of, step, need):
+    """(text, item, window) where enough of the item's seeds lie; windows are two steps long, one begins at every step."""
+    item = item_of[seed]
+    u = p // step[item]
+    back = u > 0
+    d, u, seed = np.concatenate((d, d[back])), np.concatenate((u, u[back] - 1)), np.concatenate((seed, seed[back]))
+    if not len(d):
+        return []
+    per_text = int(u.max()) + 1
+    key = np.unique((d * per_text + u) * n_seeds + seed)
+    place, item = key // n_seeds, item_of[key % n_seeds]
+    begin = np.nonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (item[1:] != item[:-1]))))[0]
+    ok = begin[np.diff(np.append(begin, len(key))) >= need[item[begin]]]
+    return sorted(zip((place[ok] // per_text).tolist(), item[ok].tolist(), (place[ok] % per_text).tolist()))
+
+
 def _match(shared, threshold):
     def run(batches):
-        keys, offset, seed_item, seed_at, item_ids, words, begin = shared.value
-        find = _Lookup(keys)
+        seeds, item_of, step, need, least_score, item_ids, words, begin = shared.value
+        find = [(_Lookup(keys), first, seed) for keys, first, seed in seeds]
         for ids, texts in _chunks(batches):
             of, h = word_hashes(texts, LETTERS)
-            place, g = grams(h, of)
-            at, k = find(g)
-            spans = defaultdict(list)
-            for p, s in zip(place[at].tolist(), k.tolist()):
-                for e in range(offset[s], offset[s + 1]):
-                    spans[int(of[p]), int(seed_item[e])].append(p - int(seed_at[e]))
             bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-            out = []
-            for (d, item), starts in sorted(spans.items()):
-                words_of = words[begin[item] : begin[item + 1]]
-                n, slack = len(words_of), len(words_of) // 2 + 2
-                lo, hi = int(bounds[d]), int(bounds[d + 1])
-                regions = []
-                for s in sorted(set(starts)):
-                    a, b = max(lo, s - slack), min(hi, s + n + slack)
-                    if regions and a <= regions[-1][1]:
-                        regions[-1][1] = max(b, regions[-1][1])
+            found = []
+            for n, (look, first, seed) in enumerate(find, 1):
+                place, g = (np.arange(len(h)), h) if n == 1 else grams(h, of)
+                at, k = look(g) if len(look.keys) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                found.append((place[at], k, first, seed))
+            sizes = sum(np.bincount(of[p], first[k + 1] - first[k], len(texts)) for p, k, first, _ in found)
+            part = (np.cumsum(sizes) // FOUND).astype(np.int64)
+            regions = {}
+            for lo, hi in zip(cut := np.unique(np.searchsorted(part, part)).tolist(), [*cut[1:], len(texts)]):
+                at, seed = [], []
+                for p, k, first, own in found:
+                    a, b = np.searchsorted(p, bounds[[lo, hi]])
+                    p, k = p[a:b], k[a:b]
+                    times = first[k + 1] - first[k]
+                    at.append(np.repeat(p, times))
+                    seed.append(own[np.arange(times.sum()) + np.repeat(first[k] - np.cumsum(times) + times, times)])
+                at, seed = np.concatenate(at), np.concatenate(seed)
+                for d, item, u in _windows(of[at], at - bounds[of[at]], seed, 2 * len(words), item_of, step, need):
+                    a, b = u * int(step[item]), (u + 2) * int(step[item])
+                    spans = regions.setdefault((d, item), [])
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = b
                     else:
-                        regions.append([a, b])
+                        spans.append([a, b])
+            out = []
+            for (d, item), spans in sorted(regions.items()):
+                words_of, text = words[begin[item] : begin[item + 1]], h[bounds[d] : bounds[d + 1]]
                 top = (0, 0, 0)
-                for a, b in regions:
-                    score, s, e = align(words_of, h[a:b])
+                for a, b in spans:
+                    if 2 * np.isin(words_of, text[a:b]).sum() < least_score[item]:
+                        continue
+                    score, s, e = align(words_of, text[a:b])
                     if score > top[0]:
-                        top = (score, a - lo + s, a - lo + e)
-                share = top[0] / (MATCH * n)
+                        top = (score, a + s, a + e)
+                share = top[0] / (MATCH * len(words_of))
                 if share >= threshold:
                     out.append((ids[d], int(item_ids[item]), share, top[1], top[2]))
             if out:
@@ -182,21 +220,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
             continue
         of, h = word_hashes([t.lower().encode("utf-8", "replace") for _, t in rows], LETTERS)
         begin = np.searchsorted(of, np.arange(len(rows) + 1))
+        length = np.diff(begin)
+        own = np.unique(h[(length >= least)[of]])
+        shared = spark.sparkContext.broadcast(own)
+        found = pairs.mapInArrow(tidy(_count(shared)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect() if len(own) else []  # words of the items only
+        counts = np.zeros(len(own), np.int64)
+        counts[np.searchsorted(own, np.array([r["w"] & 0xFFFFFFFFFFFFFFFF for r in found], np.uint64))] = [r["n"] for r in found]
+        least_score = np.array([next(x for x in range(int(MATCH * n * threshold), MATCH * n + 2) if x > 0 and (x >= MATCH * n or x / (MATCH * n) >= threshold)) if n else 1 for n in length.tolist()])
+        need, rare = np.zeros(len(rows), np.int64), []
+        for i in np.nonzero(length >= least)[0].tolist():
+            n, t = counts[np.searchsorted(own, h[begin[i] : begin[i + 1]])], int(least_score[i])
+            chosen = choose_seeds(n)
+            more = np.setdiff1d(np.argsort(n, kind="stable"), chosen, assume_unique=True)[: max(0, len(n) + 2 - t - len(chosen))]
+            chosen = np.concatenate((chosen, more))  # so many that an alignment needs a seed
+            need[i] = t - 1 - (len(n) - len(chosen))
+            rare.append(begin[i] + chosen)
+        rare = np.concatenate(rare) if rare else np.zeros(0, np.int64)
         place, g = grams(h, of)
-        long_enough = np.diff(begin)[of[place]] >= least
+        long_enough = (length >= least)[of[place]]
         place, g = place[long_enough], g[long_enough]
-        counts = dict(zip(np.unique(g).tolist(), [0] * len(g)))
-        shared = spark.sparkContext.broadcast(np.unique(g))
-        found = pairs.mapInArrow(tidy(_count(shared)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()  # n-grams of the items only
-        counts |= {r["g"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in found}
-        seeds = []
-        for i in range(len(rows)):
-            own = np.nonzero(of[place] == i)[0]
-            seeds += [(int(g[j]), i, int(place[j] - begin[i])) for j in own[choose_seeds(np.array([counts[int(x)] for x in g[own]]))]] if len(own) else []
-        seeds.sort()
-        keys = np.array(sorted({x[0] for x in seeds}), np.uint64)
-        offset = np.searchsorted(np.array([x[0] for x in seeds], np.uint64), keys).tolist() + [len(seeds)]
-        plan = (keys, offset, np.array([x[1] for x in seeds], np.int64), np.array([x[2] for x in seeds], np.int64), np.array([i for i, _ in rows], np.int64), h, begin)
+        # seed 2 j is word j of the items, 2 j + 1 the pair that begins there
+        plan = ([_postings(h[rare], 2 * rare), _postings(g, 2 * place + 1)], np.repeat(of, 2), np.maximum(3 * length - least_score, 1), need, least_score, np.array([i for i, _ in rows], np.int64), h, begin)
         part = pairs.mapInArrow(tidy(_match(spark.sparkContext.broadcast(plan), threshold)), RESULT)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], RESULT) if out is None else out

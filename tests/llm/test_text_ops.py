@@ -135,3 +135,32 @@ def test_leaks(spark):
 
 def test_seeds_are_the_rarest():
     assert dc.choose_seeds(np.array([5, 1, 5, 5, 5, 0, 9])).tolist() == [1, 5] and dc.choose_seeds(np.array([3])).tolist() == [0]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.3, 0.75])
+def test_edited_copies_equal_brute_force(spark, monkeypatch, threshold):
+    monkeypatch.setattr(dc, "FOUND", 500, raising=False)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(12)]
+    items = [[rng.choice(common) if rng.random() < 0.5 else f"ord{k}x{i}" for i in range(n)] for k, n in enumerate((5, 6, 10, 17, 40, 40))]
+    noise = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"brus{rng.randrange(300)}" for _ in range(n)]
+    docs = []
+    for item in items:
+        for every in (1, 2, 3, 4, 5, 6, 10):
+            for kind in ("replace", "insert", "delete"):
+                copy = []
+                for i, w in enumerate(item, 1):
+                    copy += [w] if i % every else ["ny"] if kind == "replace" else [w, "ny"] if kind == "insert" else []
+                docs.append(noise(rng.randrange(60)) + copy + noise(rng.randrange(60)))
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            share = int(plain_align(item, doc)) / (2 * len(item))
+            if share >= threshold:
+                want[d, i] = share
+    got = dc.leaks(
+        spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string").repartition(4),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"), threshold=threshold,
+    ).collect()
+    assert len(want) > 60 and {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want and len(got) == len(want)
+    assert all(int(plain_align(items[r["item_id"]], docs[r["doc_id"]][r["start_word"] : r["end_word"]])) == round(r["score"] * 2 * len(items[r["item_id"]])) for r in got)

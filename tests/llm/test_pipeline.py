@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import __spark_entry__ as entry
 
@@ -19,3 +21,39 @@ def test_stages(spark, sf_dir):
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(7)
+    texts = [None, "", "ett", "ett två", "Ett  två", "ett två tre fyra fem"]
+    for n in (8, 30, 120, 400):
+        for _ in range(5):
+            base = [f"ord{rng.randrange(400)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, 5, 8):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(n)] = f"ny{rng.randrange(9)}"
+                texts.append(" ".join(copy[: rng.randrange(n * 9 // 10, n + 1)]))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = sorted(set(group)) + [-1]
+    assert 50 < len(want) < 110 and sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == sorted(want)
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0

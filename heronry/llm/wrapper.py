@@ -1,23 +1,30 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-A page's DOM is reduced to a skeleton: its block elements, runs of alike siblings folded into one. Skeletons of a
-host are aligned by simple tree matching and merged into a template, whose nodes remember whether the text seen
-there was the same on every page. Constant nodes are template; varying slots are content, unless their role is
-not (menus, headers, footers, sidebars, notices, adverts, forms, comments). The content region is the template's
-article or main element or, where a host has none, the smallest node that holds most of the varying text and its headings. A page is
-then aligned to its host's template and gives the blocks of the region. A region that the author declared
-(article, main) keeps constant blocks too: a paragraph that all near copies share is text, not template.
-
-Templates are made in two steps, from what each task saw of a host and then for each host, so a host may hold any
-share of the pages. Pages meet templates by a join on host.
+A page's DOM is reduced to a skeleton: its block elements, runs of siblings of one shape folded into one node. The
+skeletons of a host are aligned by simple tree matching and merged into a template, whose slots remember whether
+the text seen there was the same on every page. A slot whose text never changed over pages that are no near copies
+of each other is template and is dropped; varying slots are content, unless their role is not (menus, headers,
+footers, sidebars, notices, adverts, forms, comments). Near copies are told by three min-hashes of a page's
+shingles of eight words: a slot is constant only where each of the three took two values or more.
+
+Where pages declare an article or main element, it bounds the content; the template still decides what of it stays.
+On other pages the template's content region does: the descent from the root goes into the node that holds most of
+the varying text as long as no sibling holds prose (varying text in paragraphs, headings, tables and the like,
+or a tenth of all varying text outside links).
+
+Slots of equal skeletons are merged by operations whose order doesn't matter, and different skeletons of a host in
+the order of their hashes: templates do not depend on how pages are dealt over tasks. A host may hold any share of
+the pages: merging goes by (host, skeleton, salt), (host, skeleton), (host, one of 64 buckets) and host. Pages meet
+templates by a join on host.
 
 Blocks are block-level elements; character references are decoded, white space is one space, blocks are joined by
 line ends in page order. Broken markup is read as browsers do: unclosed elements end with their parent, a block
 ends a paragraph, a cut-off tag is dropped.
 
 Defined cases: null and empty html give an empty text; pages without markup are their text; a null or strange url is
-a host of its own text; hosts with one distinct page have no constants; repeated rows give equal rows; an empty
-table gives an empty result. Extra columns are ignored.
+a host of its own text; hosts whose pages are all copies or near copies have no constants; repeated rows give equal
+rows; pages of any length and any number of siblings are read whole, elements nested over 60 deep belong to their
+60th ancestor; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +33,17 @@ import html as entities
 import json
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pieces, tidy
+from .decontaminate import grams
+from .words import mix, word_hashes
 
 #: Element names (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,18 +53,21 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 BOILERPLATE = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input label map math menu nav noscript noembed noframes object script select style svg template textarea title video".split()
+    "aside audio button canvas datalist dialog footer form head iframe input map menu nav noscript noembed noframes object script select style template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of class and id that tell what is not main text.
+#: Whole words of class and id that tell what is not main text; parts of other words ("share-price") don't count.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad-?box|ad-?slot|adverts?|advertisement|adsense|advertising|alert|banner|breadcrumbs?|comments?|comment-?list|colophon|consent|cookies?|copyright|disqus|footer|gdpr|"
-    r"masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|paywall|popup|promo|promoted|rail|recommended|related|replies|respond|"
-    r"share|sharing|sidebar|side-bar|signup|(?:site|page|global|top)-?header|skip-link|social|sponsor|sponsored|subscribe|subscription|toolbar|topbar|widget)(?:$|[\s_-]|\d)",
+    r"(?:(?:site|page|global|top|main|left|right|bottom|post|article|user|reader|google)[-_]?)?"
+    r"(?:ads?|adverts?|advertisements?|adsense|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|"
+    r"notices?|overlay|pager|pagination|paywall|popup|promo|promoted|replies|sharing|share|sidebar|side-bar|signup|skip-link|social|sponsors?|sponsored|subscribe|subscription|toolbar|topbar|"
+    r"site-?header|page-?header|related-?(?:posts|articles|links|stories)|recommended-?(?:posts|articles|links|stories))"
+    r"(?:[-_]?(?:area|banner|bar|block|box|buttons?|container|form|inner|items?|left|links?|list|menu|notice|outer|right|section|slot|thread|top|unit|widget|wrap|wrapper|\d+))*",
     re.I,
 )
 REGIONS = frozenset(("article", "main"))
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is prose.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: An open element that a new one ends, up to an element that keeps it open.
 ENDS = {
     "li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
@@ -63,8 +77,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
-#: Levels of a skeleton, and kids of a template's node.
-DEEPEST, MOST_KIDS = 60, 64
+#: Levels of a skeleton.
+DEEPEST = 60
+#: Parts that a host's skeletons are merged in.
+SALTS = 64
 
 
 class Node:
@@ -78,12 +94,12 @@ def _element(tag: str, attrs: str) -> Node:
     if not attrs or attrs.isspace():
         return Node(tag, "", tag in BOILERPLATE)
     found = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
-    name = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    words = f"{found.get('class', '')} {found.get('id', '')}".split()
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    skip = tag in BOILERPLATE or role in ROLES or hidden or (tag not in ("html", "body", "article", "main") and bool(NAMES.search(name)))
-    words = [w for w in name.split() if len(w) < 24 and not re.search(r"\d", w)][:2]  # names made by machines differ on every page
-    return Node("main" if role == "main" else tag, " ".join(words), skip)
+    skip = tag in BOILERPLATE or role in ROLES or hidden or (tag not in ("html", "body", "article", "main") and any(map(NAMES.fullmatch, words)))
+    # names made by machines differ on every page
+    return Node("main" if role == "main" else tag, " ".join(sorted({w for w in words if not re.search(r"\d", w)})), skip)
 
 
 def parse(text: str) -> Node:
@@ -143,33 +159,38 @@ def squeeze(text: str) -> str:
 
 
 class Skeleton:
-    """Block elements with their blocks of text; ``kids`` folds runs of alike siblings."""
+    """A block element with its blocks of text, and how many of their characters are in links."""
 
-    __slots__ = ("key", "kids", "blocks", "skip")
+    __slots__ = ("key", "kids", "blocks", "linked", "skip", "slot")
 
     def __init__(self, key: str, skip: bool):
-        self.key, self.skip, self.kids, self.blocks = key, skip, [], []
+        self.key, self.skip, self.kids, self.blocks, self.linked, self.slot = key, skip, [], [], 0, 0
 
 
 def skeleton(node: Node, order: list) -> Skeleton:
     """Skeleton of a DOM; ``order`` gets (skeleton node, text) for every block in page order."""
     top = Skeleton("#root", False)
     run: list[str] = []
+    linked = 0
 
     def flush(s):
+        nonlocal linked
         t = squeeze("".join(run))
         run.clear()
         if t:
             s.blocks.append(t)
+            s.linked += min(linked, len(t))
             order.append((s, t))
+        linked = 0
 
-    stack = [(top, iter(node.kids), None, False)]
+    stack = [(top, iter(node.kids), None, False, False)]
     while stack:
-        s, kids, inline, inside = stack[-1]
+        s, kids, inline, inside, link = stack[-1]
         # an inline element's text belongs to the block around it
         for k in kids:
             if isinstance(k, str):
                 run.append(k)
+                linked += len(k) if link else 0
                 continue
             skip = k.skip or (k.tag == "header" and not inside)  # an article's own header holds its title
             if skip and (k.tag not in BLOCK or len(stack) > DEEPEST):
@@ -180,12 +201,12 @@ def skeleton(node: Node, order: list) -> Skeleton:
                 if len(stack) <= DEEPEST:
                     child = Skeleton(f"{k.tag} {k.name}".strip(), skip)
                     s.kids.append(child)
-                stack.append((child, iter(k.kids), None, inside or k.tag in REGIONS))
+                stack.append((child, iter(k.kids), None, inside or k.tag in REGIONS, link))
                 break
             elif k.tag in ("br", "wbr"):
                 run.append(" " if k.tag == "br" else "")
             else:
-                stack.append((s, iter(k.kids), k, inside))
+                stack.append((s, iter(k.kids), k, inside, link or k.tag == "a"))
                 break
         else:
             stack.pop()
@@ -194,254 +215,368 @@ def skeleton(node: Node, order: list) -> Skeleton:
     return top
 
 
-def shape(s: Skeleton, memo: dict) -> tuple:
-    """(key, skip, shapes of the kids with runs of equal ones folded); memo maps skeleton nodes to folded places."""
-    out = []
-    for k in s.kids:
-        f = shape(k, memo)
-        if not out or out[-1] != f:
-            out.append(f)
-        memo[id(k)] = len(out) - 1
-    return (s.key, s.skip, tuple(out))
+class Shapes:
+    """Numbers for tree shapes (key, skip, numbers of the kids' shapes), and their common nodes by tree matching."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.shape: list[tuple] = []
+        self.common: dict[tuple[int, int], int] = {}
+
+    def of(self, key: str, skip: bool, kids: tuple) -> int:
+        x = (key, skip, kids)
+        if x not in self.number:
+            self.number[x] = len(self.shape)
+            self.shape.append(x)
+        return self.number[x]
+
+    def weight(self, a: int, b: int) -> int:
+        """Nodes that two trees have in common by simple tree matching; 0 where their roots differ."""
+        if (a, b) not in self.common:
+            (ka, _, xa), (kb, _, xb) = self.shape[a], self.shape[b]
+            self.common[a, b] = 0 if ka != kb else 1 + (int(self.rows(xa, xb)[-1]) if xa and xb else 0)
+        return self.common[a, b]
+
+    def rows(self, a, b) -> np.ndarray:
+        """The last row of the matching of two lists of trees: nodes in common of all of a and the first j of b."""
+        ub, at = np.unique(np.array(b, np.int64), return_inverse=True)
+        row = np.zeros(len(b) + 1, np.int64)
+        gain: dict[int, np.ndarray] = {}
+        for x in a:
+            if x not in gain:
+                gain[x] = np.array([self.weight(x, y) for y in ub.tolist()], np.int64)[at]
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain[x]))
+        return row
+
+    def match(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+        """Simple tree matching of two lists of trees: pairs of places, in order, of the largest matching.
+
+        Divide and conquer: memory grows with one list only."""
+        out, todo = [], [(0, len(a), 0, len(b))]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+                out.append((i0, j0))
+                i0, j0 = i0 + 1, j0 + 1
+            while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
+                i1, j1 = i1 - 1, j1 - 1
+                out.append((i1, j1))
+            if i0 == i1 or j0 == j1:
+                continue
+            if i1 - i0 == 1:
+                gain = [self.weight(a[i0], y) for y in b[j0:j1]]
+                best = max(gain)
+                if best:
+                    out.append((i0, j0 + gain.index(best)))
+                continue
+            mid = (i0 + i1) // 2
+            head, tail = self.rows(a[i0:mid], b[j0:j1]), self.rows(a[mid:i1][::-1], b[j0:j1][::-1])[::-1]
+            cut = j0 + int((head + tail).argmax())
+            todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+        return sorted(out)
 
 
 class Slot:
-    """A node of a template: what was seen there over ``pages`` distinct pages."""
+    """A node of a template: the text seen there, and the least and largest of each min-hash of the pages that have it."""
 
-    __slots__ = ("key", "skip", "kids", "pages", "chars", "first", "varies")
+    __slots__ = ("key", "skip", "kids", "chars", "linked", "first", "varies", "low", "high")
 
-    def __init__(self, key, skip, pages=0, chars=0, first=None, varies=False):
-        self.key, self.skip, self.kids, self.pages, self.chars, self.first, self.varies = key, skip, [], pages, chars, first, varies
+    def __init__(self, key, skip, chars=0, linked=0, first=0, varies=False, low=(), high=(), kids=()):
+        self.key, self.skip, self.chars, self.linked, self.first, self.varies, self.low, self.high, self.kids = key, bool(skip), chars, linked, first, bool(varies), list(low), list(high), list(kids)
 
     def dump(self):
-        return [self.key, self.skip, self.pages, self.chars, self.first, self.varies, [k.dump() for k in self.kids]]
+        return [self.key, int(self.skip), self.chars, self.linked, self.first, int(self.varies), self.low, self.high, [k.dump() for k in self.kids]]
 
     @staticmethod
     def load(x):
-        s = Slot(*x[:6])
-        s.kids = [Slot.load(k) for k in x[6]]
-        return s
-
-
-def from_page(s: Skeleton) -> Slot:
-    """A template of one page."""
-    text = "\n".join(s.blocks)
-    out = Slot(s.key, s.skip, 1, len(text), xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) & 0x7FFFFFFFFFFFFFFF if text else None)
-    last = None
-    for k in s.kids:
-        f, t = shape(k, {}), from_page(k)
-        if last == f:
-            absorb(out.kids[-1], t, 0)
-        else:
-            out.kids.append(t)
-        last = f
-    return out
+        return Slot(*x[:8], [Slot.load(k) for k in x[8]])
+
+    @property
+    def proved(self) -> bool:
+        """Seen on pages that are no near copies of each other."""
+        return bool(self.low) and all(a != b for a, b in zip(self.low, self.high))
+
+    def shape(self, shapes: Shapes) -> int:
+        return shapes.of(self.key, self.skip, tuple(k.shape(shapes) for k in self.kids))
+
+    def name(self) -> str:
+        """A hash of the shape."""
+        out: list[str] = []
+        stack: list = [self]
+        while stack:
+            s = stack.pop()
+            if s is None:
+                out.append(")")
+                continue
+            out.append(f"({int(s.skip)}{s.key}")
+            stack += [None, *s.kids[::-1]]
+        return xxhash.xxh3_128_hexdigest("".join(out).encode("utf-8", "replace"))
+
+    def see(self, s: "Slot") -> None:
+        self.varies |= s.varies or self.first != s.first
+        self.first = min(self.first, s.first)
+        self.chars, self.linked = self.chars + s.chars, self.linked + s.linked
+        self.low, self.high = [*map(min, self.low, s.low)], [*map(max, self.high, s.high)]
+
+
+def signature(texts: list[str], n: int = 3, width: int = 8) -> list[int]:
+    """Min-hashes of the shingles of a page's longer blocks; of all its text where it has none."""
+    of, h = word_hashes([t.encode("utf-8", "replace") for t in texts if len(t) > 2 * width])
+    g = grams(h, of, width)[1]
+    if not len(g):
+        g = np.array([xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "replace"))], np.uint64)
+    return [int((mix(g ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) >> np.uint64(33)).min()) for k in range(n)]
+
+
+def fold(s: Skeleton, low: list[int] | None, shapes: Shapes) -> tuple[Slot, int]:
+    """(template of one page, its shape); runs of siblings of one shape are one slot. ``slot`` of the skeleton's
+    nodes is set to the preorder place of their slot. Without min-hashes the template is a shape only."""
+
+    def build(nodes: list[Skeleton]) -> tuple[Slot, int, list]:
+        out, number, places = None, None, []
+        for s in nodes:
+            slot = Slot(s.key, s.skip)
+            if low is not None:
+                text = "\n".join(s.blocks)
+                slot = Slot(s.key, s.skip, len(text), s.linked, xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1 if text else 0, False, low, low)
+            kids = [build([k]) for k in s.kids]
+            merged: list[list] = []
+            for made in kids:
+                if merged and merged[-1][1] == made[1]:
+                    if low is not None:
+                        overlay(merged[-1][0], made[0])
+                    merged[-1][2].append(made[2])
+                else:
+                    merged.append([made[0], made[1], [made[2]]])
+            slot.kids = [m[0] for m in merged]
+            number = shapes.of(s.key, s.skip, tuple(m[1] for m in merged))
+            out, places = slot, [s, [m[2] for m in merged]]
+        return out, number, places
+
+    def number_slots(places: list) -> None:
+        at, stack = 0, [[places]]
+        while stack:
+            group = stack.pop()  # skeleton nodes of one slot
+            for node, _ in group:
+                node.slot = at
+            at += 1
+            width = len(group[0][1])
+            stack += [[x for _, kids in group for x in kids[i]] for i in range(width)][::-1]
+
+    slot, number, places = build([s])
+    number_slots(places)
+    return slot, number
+
+
+def overlay(t: Slot, s: Slot) -> None:
+    """Merge a template of the same shape into t; the order of such merges doesn't matter."""
+    stack = [(t, s)]
+    while stack:
+        a, b = stack.pop()
+        a.see(b)
+        stack += zip(a.kids, b.kids)
 
 
-def match(a: list, b: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of trees: pairs of places, in order, of the largest matching."""
-    if [x.key for x in a] == [x.key for x in b]:
-        return [(i, i) for i in range(len(a))]
-    n, m = len(a), len(b)
-    w = [[0] * (m + 1) for _ in range(n + 1)]
-    value = {}
-    for i in range(n):
-        for j in range(m):
-            if a[i].key == b[j].key:
-                value[i, j] = 1 + weight(a[i].kids, b[j].kids)
-            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + value.get((i, j), 0))
-    out, i, j = [], n, m
-    while i and j:
-        if w[i][j] == w[i - 1][j]:
-            i -= 1
-        elif w[i][j] == w[i][j - 1]:
-            j -= 1
-        else:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-    return out[::-1]
-
-
-def weight(a: list, b: list) -> int:
-    """Nodes that two lists of trees have in common by simple tree matching."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(max(row[j + 1], new[j], row[j] + (1 + weight(x.kids, y.kids) if x.key == y.key else 0)))
-        row = new
-    return row[-1]
-
-
-def absorb(t: Slot, s: Slot, pages: int | None = None) -> None:
-    """Merge template s into t; ``pages`` of 0 is for another part of the same page."""
-    t.pages += s.pages if pages is None else pages
-    t.chars += s.chars
-    t.varies |= s.varies or t.first != s.first
+def absorb(t: Slot, s: Slot, shapes: Shapes) -> None:
+    """Merge template s into t, their kids aligned by simple tree matching."""
+    t.see(s)
     kids, i0, j0 = [], 0, 0
-    for i, j in match(t.kids, s.kids):
+    for i, j in shapes.match([k.shape(shapes) for k in t.kids], [k.shape(shapes) for k in s.kids]):
         kids += t.kids[i0:i] + s.kids[j0:j]
-        absorb(t.kids[i], s.kids[j], pages)
+        absorb(t.kids[i], s.kids[j], shapes)
         kids.append(t.kids[i])
         i0, j0 = i + 1, j + 1
-    kids += t.kids[i0:] + s.kids[j0:]
-    if len(kids) > MOST_KIDS:  # the template forgets its rarest nodes; pages keep theirs
-        least = sorted(range(len(kids)), key=lambda k: kids[k].pages)[: len(kids) - MOST_KIDS]
-        kids = [x for k, x in enumerate(kids) if k not in set(least)]
-    t.kids = kids
+    t.kids = kids + t.kids[i0:] + s.kids[j0:]
 
 
-def merge(templates: list[Slot]) -> Slot:
-    out = templates[0]
-    for t in templates[1:]:
-        absorb(out, t)
+def merge(templates: list[tuple[str, Slot]]) -> Slot:
+    """One template of (name of its shape, template): equal shapes first, then the different ones in order of name."""
+    by: dict[str, Slot] = {}
+    for name, t in templates:
+        if name in by:
+            overlay(by[name], t)
+        else:
+            by[name] = t
+    shapes = Shapes()
+    out = None
+    for name in sorted(by):
+        if out is None:
+            out = by[name]
+        else:
+            absorb(out, by[name], shapes)
     return out
 
 
-def page_template(html: str) -> Slot:
+def page(html: str, shapes: Shapes, learn: bool = True) -> tuple[Skeleton, list, Slot, int]:
+    """(skeleton, blocks in order, template of the page, number of its shape)."""
     order: list = []
     s = skeleton(parse(html), order)
-    t = from_page(s)
-    t.first = xxhash.xxh3_64_intdigest("\n".join(x for _, x in order).encode("utf-8", "replace")) & 0x7FFFFFFFFFFFFFFF
-    return t
+    slot, number = fold(s, signature([t for _, t in order]) if learn else None, shapes)
+    return s, order, slot, number
 
 
-def region(t: Slot) -> Slot | None:
-    """The smallest node that holds most of the varying text outside boilerplate, with the headings it is under."""
+def region(t: Slot) -> Slot:
+    """The smallest node that holds the varying prose outside boilerplate."""
+    whole = {}
 
     def chars(s: Slot) -> int:
-        return 0 if s.skip else (s.chars if s.varies else 0) + sum(map(chars, s.kids))
+        """Varying characters outside links and boilerplate."""
+        if id(s) not in whole:
+            own = s.chars - s.linked if s.varies else 0
+            whole[id(s)] = 0 if s.skip else own + sum(map(chars, s.kids))
+        return whole[id(s)]
 
-    def heads(s: Slot) -> bool:
-        return not s.skip and ((s.varies and s.key[:2] in HEADINGS) or any(map(heads, s.kids)))
+    def prose(s: Slot) -> bool:
+        return not s.skip and ((s.varies and s.key.split(" ")[0] in PROSE and 2 * s.linked < s.chars) or any(map(prose, s.kids)))
 
-    whole, best = chars(t), t
-    while whole:
+    total, best = chars(t), t
+    while total:
         inner = max(best.kids, key=chars, default=None)
-        if inner is None or not inner.kids or chars(inner) < 0.6 * whole or any(heads(k) for k in best.kids if k is not inner):
+        if inner is None or not inner.kids or 2 * chars(inner) < total:
+            break
+        if any(prose(k) or 10 * chars(k) >= total for k in best.kids if k is not inner) or (best.varies and 10 * (best.chars - best.linked) >= total):
             break
         best = inner
     return best
 
 
-def align(s: Skeleton, t: Slot, found: dict) -> None:
-    """found[id(node)] = slot for every node of a page that the template has."""
-    found[id(s)] = t
-    memo: dict = {}
-    shape(s, memo)
-    lead: list[Skeleton] = []
-    for k in s.kids:
-        if memo[id(k)] == len(lead):
-            lead.append(k)
-    for i, j in match(lead, t.kids):
-        for k in s.kids:
-            if memo[id(k)] == i:
-                align(k, t.kids[j], found)
+def verdicts(slot: Slot, template: Slot, shapes: Shapes) -> list[tuple[bool, bool]]:
+    """(constant, inside the region) for each slot of a page's template, in preorder."""
+    best = region(template)
+    out: list[tuple[bool, bool]] = []
 
+    def walk(s: Slot, t: Slot | None, inside: bool):
+        inside = inside or t is best
+        out.append((t is not None and not t.varies and t.proved, inside))
+        pairs = dict(shapes.match([k.shape(shapes) for k in s.kids], [k.shape(shapes) for k in t.kids])) if t is not None else {}
+        for i, k in enumerate(s.kids):
+            walk(k, t.kids[pairs[i]] if i in pairs else None, inside)
 
-def extract(html: str, template: Slot | None = None) -> str:
-    """The main text of a page, with its host's template."""
-    order: list = []
-    s = skeleton(parse(html), order)
-    landmarks: list[Skeleton] = []
-    skipped: set[int] = set()
+    walk(slot, template, False)
+    return out
 
-    def visit(k: Skeleton, skip: bool, inside: bool):
-        skip = skip or k.skip
-        if skip:
-            skipped.add(id(k))
-        tag = k.key.split(" ")[0]
-        mark = tag in REGIONS and not skip
-        if mark and not (inside and tag == "article"):
-            landmarks.append(k)
-        for x in k.kids:
-            visit(x, skip, inside or (mark and tag == "article"))
 
-    visit(s, False, False)
+def declared(s: Skeleton, order: list, skipped: set[int]) -> set[int]:
+    """Nodes inside the articles of a page, or inside its main element where that holds more than twice as much text."""
     sizes: dict[int, int] = {}
     for k, x in order:
         if id(k) not in skipped:
             sizes[id(k)] = sizes.get(id(k), 0) + len(x)
+    held: dict[str, set[int]] = {"article": set(), "main": set()}
+    stack = [(s, frozenset())]
+    while stack:
+        k, within = stack.pop()
+        tag = k.key.split(" ")[0]
+        if tag in held and id(k) not in skipped:
+            within |= {tag}
+        for tag in within:
+            held[tag].add(id(k))
+        stack += [(x, within) for x in k.kids]
+    total = {tag: sum(n for k, n in sizes.items() if k in nodes) for tag, nodes in held.items()}
+    tag = "article" if total["article"] and 2 * total["article"] >= total["main"] else "main"
+    return held[tag] if total[tag] else set()
+
+
+class Extractor:
+    """Main text of pages of one host; what the template says of a shape is kept for the next page of that shape."""
+
+    def __init__(self, template: Slot | None = None):
+        self.template, self.shapes, self.known = template if template is not None and template.proved else None, Shapes(), {}
+
+    def __call__(self, html: str) -> str:
+        s, order, slot, number = page(html, self.shapes, learn=False)
+        skipped: set[int] = set()
+        stack = [(s, False)]
+        while stack:
+            k, skip = stack.pop()
+            if skip or k.skip:
+                skipped.add(id(k))
+            stack += [(x, skip or k.skip) for x in k.kids]
+        if number not in self.known:
+            if len(self.known) > 256:
+                self.shapes, self.known = Shapes(), {}
+                number = slot.shape(self.shapes)
+            self.known[number] = verdicts(slot, self.template, self.shapes) if self.template is not None else None
+        known = self.known[number]
+        inside = declared(s, order, skipped)
+        kept = []
+        for k, x in order:
+            if id(k) in skipped or (inside and id(k) not in inside):
+                continue
+            if known is not None and (known[k.slot][0] or not (inside or known[k.slot][1])):
+                continue
+            kept.append(x)
+        return "\n".join(kept)
 
-    def below(k: Skeleton, out: set[int]) -> set[int]:
-        out.add(id(k))
-        for x in k.kids:
-            below(x, out)
-        return out
-
-    articles = [k for k in landmarks if k.key.startswith("article")]
-    mains = [k for k in landmarks if k.key.startswith("main")]
-    held = [set().union(*(below(k, set()) for k in group)) for group in (articles, mains)]
-    total = [sum(n for k, n in sizes.items() if k in h) for h in held]
-    chosen = held[0] if total[0] and 2 * total[0] >= total[1] else held[1]
-    if chosen and sum(total):
-        return "\n".join(x for k, x in order if id(k) in chosen and id(k) not in skipped)
-    found: dict[int, Slot] = {}
-    constant: set[int] = set()
-    inside: set[int] = below(s, set())
-    if template is not None and template.varies:  # two distinct pages at least
-        align(s, template, found)
-        constant = {k for k, t in found.items() if not t.varies and t.pages > 1}
-        r = region(template)
-        roots: list[Skeleton] = []
-
-        def look(k: Skeleton):
-            if found.get(id(k)) is r:
-                roots.append(k)
-            for x in k.kids:
-                look(x)
-
-        look(s)
-        if roots:
-            inside = set().union(*(below(k, set()) for k in roots))
-    return "\n".join(x for k, x in order if id(k) in inside and id(k) not in skipped and id(k) not in constant)
+
+def extract(html: str, template: Slot | None = None) -> str:
+    """The main text of a page, with its host's template."""
+    return Extractor(template)(html)
 
 
 def host(url) -> object:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+PARTS = pa.schema([("host", pa.string()), ("name", pa.string()), ("salt", pa.int32()), ("template", pa.string())])
+#: Slots that a task holds of templates not yet handed on.
+HELD = 200_000
+
+
 def _induce(batches):
-    held: dict[str, Slot] = {}
+    held: dict[tuple[str, str], Slot] = {}
+    shapes, names, slots = Shapes(), {}, 0
+    salt = int(TaskContext.get().partitionId()) % SALTS
 
     def flush():
-        return pa.RecordBatch.from_pydict({"host": list(held), "template": [json.dumps(t.dump()) for t in held.values()]}, schema=pa.schema([("host", pa.string()), ("template", pa.string())]))
+        return pa.RecordBatch.from_pydict({"host": [h for h, _ in held], "name": [n for _, n in held], "salt": [salt] * len(held), "template": [json.dumps(t.dump()) for t in held.values()]}, schema=PARTS)
 
     for b in batches:
         for h, x in zip(b.column(0).to_pylist(), b.column(1)):
-            t = page_template(x.as_py() or "")
-            if h in held:
-                absorb(held[h], t)
+            _, _, t, number = page(x.as_py() or "", shapes)
+            if number not in names:
+                names[number] = t.name()
+            at = (h, names[number])
+            if at in held:
+                overlay(held[at], t)
             else:
-                held[h] = t
-            if len(held) >= 20000:
+                held[at] = t
+                slots += 1 + len(shapes.shape[number][2]) * 4
+            if slots > HELD or len(shapes.shape) > HELD:
                 yield flush()
-                held.clear()
+                held, shapes, names, slots = {}, Shapes(), {}, 0
     if held:
         yield flush()
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    whole = merge([Slot.load(json.loads(x)) for x in sorted(pdf.template)])
-    return pd.DataFrame({"host": pdf.host.iloc[:1], "template": [json.dumps(whole.dump())]})
+    whole = merge([(n, Slot.load(json.loads(x))) for n, x in zip(pdf.name, pdf.template)])
+    out = pdf.iloc[:1].copy()
+    out["template"] = json.dumps(whole.dump())
+    return out
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): one row a host."""
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_induce, "host string, template string")
-    return seen.groupBy("host").applyInPandas(_merge, "host string, template string")
+    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(tidy(_induce), "host string, name string, salt int, template string")
+    bucket = F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")
+    for keys, salt in ((["host", "name", "salt"], None), (["host", "name"], bucket), (["host", "salt"], None), (["host"], None)):
+        seen = seen.groupBy(*keys).applyInPandas(_merge, "host string, name string, salt int, template string")
+        if salt is not None:
+            seen = seen.withColumn("salt", salt)
+    return seen.select("host", "template")
 
 
 def _extract(batches):
-    cache: dict[str, Slot] = {}
-    for b in batches:
+    cache: dict[str, Extractor] = {}
+    for b in pieces(batches):
         out = []
         for h, t, x in zip(b.column("host").to_pylist(), b.column("template"), b.column("html")):
             if h not in cache:
-                if len(cache) > 5000:
+                if len(cache) > 200:
                     cache.clear()
-                cache[h] = Slot.load(json.loads(t.as_py())) if t.is_valid else None
-            out.append(extract(x.as_py() or "", cache[h]))
+                cache[h] = Extractor(Slot.load(json.loads(t.as_py())) if t.is_valid else None)
+            out.append(cache[h](x.as_py() or ""))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -449,7 +584,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     made = materialize(templates(pages), "templates")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    return rows.join(made, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(made, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -118,13 +118,6 @@ def test_templates(spark):
     assert wrapper.main_text(df.where("false")).count() == 0
 
 
-def test_simple_tree_matching():
-    slot = lambda key, *kids: setattr(s := wrapper.Slot(key, False, 1), "kids", list(kids)) or s
-    a = [slot("div", slot("p")), slot("nav"), slot("div", slot("p"), slot("ul"))]
-    b = [slot("div", slot("p"), slot("ul")), slot("footer")]
-    assert wrapper.match(a, b) == [(2, 0)] and wrapper.weight(a, b) == 3
-
-
 def test_targets():
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
     assert mixing.targets([10, 100, 1000]) == [20.0, 200.0, 1.5 * 1110 - 220]

@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
 
 1. language ID: documents without letters, or whose text no learned language accounts for, go
-2. near-dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one document stays
+2. SimHash near-dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one document stays
 3. suffix-array dedup: later copies of strings of 200 bytes are cut, the first one stays
 4. benchmark decontamination: documents that hold an edited copy of a test item go
 5. mixing: sources are taken by weight, a document at most twice
@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import materialize, read_table
+from heronry.llm.common import materialize, read_table, release, written
 from heronry.llm.decontaminate import decontaminate
 from heronry.llm.langid import fit, identify
 from heronry.llm.mixing import mix
-from heronry.llm.near_dup import dedup_near
+from heronry.llm.near_dup import dedup_simhash
 from heronry.llm.suffix_dedup import dedup_substrings
 
 #: Mean word probability that a document's best language needs.
@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_near(docs)
+    return dedup_simhash(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = written(spark)
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, before - (name != STAGES[0][0]), but=1)  # the stage's own tables and its predecessor's result
     return docs
 
 

@@ -9,38 +9,64 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Folders of sessions without a setting, by application.
+#: Folders of local sessions without a setting, by application.
 _own: dict[str, str] = {}
+#: Tables written by each application, in order.
+_tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in ``spark.checkpoint.dir``, with the application's id.
+
+    Where it is unset a local session gets a temporary one; a cluster's executors would not share that, so there it is
+    an error."""
+    path, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not path:
-        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="heronry-")
         _own[app] = path
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/heronry/{app}"
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heronry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Delete what ``materialize`` and the archives wrote; call it once the results that read them are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/heronry")
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables this application has written; a mark for ``release``."""
+    return len(_tables.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the tables written after the mark ``since``, besides the last ``but`` ones: their results are stored."""
+    tables = _tables.get(spark.sparkContext.applicationId, [])
+    end = len(tables) - but
+    for path in tables[since:end]:
+        _delete(spark, path)
+    del tables[since:end]
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application wrote, archives included; call it once the results that read them are stored."""
+    _delete(spark, shared_dir(spark))
+    _tables.pop(spark.sparkContext.applicationId, None)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches, so that what a step makes of one stays small."""
     for b in batches:
@@ -72,22 +98,74 @@ def _digest(edges: DataFrame) -> tuple:
     return (row["n"], row["x"], row["s"])
 
 
+#: Edges of a node that one task takes at expectation.
+HUB = 1 << 16
+
+
+def _salted(edges: DataFrame, name: str) -> DataFrame:
+    """(u, m, k, salt): the smallest neighbour of every node, once for each of its k salts."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / HUB).cast("int").alias("k"))
+    return materialize(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))), name)
+
+
+def _meet(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """(u, v, m) for every edge; edges of hubs are spread over the hub's salts."""
+    hubs = low.where("k > 1")
+    if hubs.isEmpty():
+        return edges.join(low.select("u", "m"), "u").select("u", "v", "m")
+    # a row a hub, at most 2 edges / HUB: small against the edges, and the plan of its joins goes by its size
+    heads = materialize(hubs.where("salt = 0").select("u", "k"), "hubs")
+    one = edges.join(heads.select("u"), "u", "left_anti").join(low.where("k = 1").select("u", "m"), "u").select("u", "v", "m")
+    many = edges.join(heads, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
+    return one.union(many.join(hubs.select("u", "salt", "m"), ["u", "salt"]).select("u", "v", "m"))
+
+
+def row_key(text: str = "text") -> Column:
+    """A column that tells rows of one doc_id (or of none) apart by 128 bits of their text; rows equal in both are alike."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that lose in their group: ``found`` names each row (doc_id, key) with its group.
+
+    The row with the smallest doc_id stays, a null one only where there is no other; of different texts of that doc_id
+    the one with the smallest key, of rows equal in both the one with the smallest hash of all columns."""
+    rows = materialize(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n")), "rows")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = materialize(rows.groupBy("group").agg(F.min(own).alias("best"), F.count("*").alias("k")).where("k > 1").select("group", "best"), "best")
+    lost = materialize(rows.join(best, "group").where(~own.eqNullSafe(F.col("best"))).select("doc_id", "key"), "lost")
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+
+    def without(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (row_key("d.text") == F.col("k.key"))
+        return left.alias("d").join(keys.alias("k"), same, how).select(*names)
+
+    out = without(docs, lost, "left_anti")
+    again = materialize(rows.where("n > 1").select("doc_id", "key"), "again")
+    if again.isEmpty():
+        return out
+    one = without(out, again, "left_semi").groupBy("doc_id", row_key().alias("__key")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    return without(out, again, "left_anti").union(one.select("__row.*"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge list; component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each moves every neighbour to the smallest one known,
-    so a hub's neighbours are never gathered in one task, and the number of rounds grows with the
-    logarithm of the longest path. Each round is written to the shared folder. Empty in, empty out.
+    Alternating large-star and small-star steps: each moves every neighbour to the smallest one known, and the
+    number of rounds grows with the logarithm of the longest path. The smallest neighbours are aggregated before the
+    shuffle and written as a table, with a row for each of a hub's ``salts``: a hub's edges meet them in as many
+    tasks. Each round is written to the shared folder. Empty in, empty out.
     """
     cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "cc")
     seen = _digest(cur)
     while seen[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        nxt = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).distinct()
+        low = _salted(both, "low")
+        large = _meet(both.where("v > u"), low.select("u", F.least("u", "m").alias("m"), "k", "salt")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "large")
+        low2 = _salted(large, "low")
+        small = _meet(large, low2).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = small.union(low2.where("salt = 0").select("u", F.col("m").alias("v"))).distinct()
         cur = materialize(nxt, "cc")
         now = _digest(cur)
         if now == seen:

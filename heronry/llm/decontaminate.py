@@ -12,7 +12,7 @@ The items travel to the executors, in slices of at most ``SLICE`` words; a large
 
 Defined cases: words are runs of letters, digits and non-ASCII characters, lower-cased; null and empty texts
 hold nothing; items of fewer than ``least`` words are not looked for; repeated items are reported each, repeated
-documents give a row each; ties go to the leftmost place; empty tables give an empty result. Extra columns are
+documents give a row each; a null doc_id is reported as null; ties go to the leftmost place; empty tables give an empty result. Extra columns are
 ignored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import pieces, tidy
 from .words import LETTERS, mix, word_hashes
 
 SEED_WORDS, SPREAD = 2, 4
@@ -151,52 +151,79 @@ def _windows(d, p, seed, n_seeds, item_of, step, need):
     return sorted(zip((place[ok] // per_text).tolist(), item[ok].tolist(), (place[ok] % per_text).tolist()))
 
 
+def _finder(plan, threshold):
+    """A function that gives (text, item, score, start, end) for the items that each of some texts holds."""
+    seeds, item_of, step, need, least_score, item_ids, words, begin = plan
+    find = [(_Lookup(keys), first, seed) for keys, first, seed in seeds]
+
+    def run(texts: list[bytes]):
+        of, h = word_hashes(texts, LETTERS)
+        bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+        found = []
+        for n, (look, first, seed) in enumerate(find, 1):
+            place, g = (np.arange(len(h)), h) if n == 1 else grams(h, of)
+            at, k = look(g) if len(look.keys) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            found.append((place[at], k, first, seed))
+        sizes = sum(np.bincount(of[p], first[k + 1] - first[k], len(texts)) for p, k, first, _ in found)
+        part = (np.cumsum(sizes) // FOUND).astype(np.int64)
+        regions = {}
+        for lo, hi in zip(cut := np.unique(np.searchsorted(part, part)).tolist(), [*cut[1:], len(texts)]):
+            at, seed = [], []
+            for p, k, first, own in found:
+                a, b = np.searchsorted(p, bounds[[lo, hi]])
+                p, k = p[a:b], k[a:b]
+                times = first[k + 1] - first[k]
+                at.append(np.repeat(p, times))
+                seed.append(own[np.arange(times.sum()) + np.repeat(first[k] - np.cumsum(times) + times, times)])
+            at, seed = np.concatenate(at), np.concatenate(seed)
+            for d, item, u in _windows(of[at], at - bounds[of[at]], seed, 2 * len(words), item_of, step, need):
+                a, b = u * int(step[item]), (u + 2) * int(step[item])
+                spans = regions.setdefault((d, item), [])
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        for (d, item), spans in sorted(regions.items()):
+            words_of, text = words[begin[item] : begin[item + 1]], h[bounds[d] : bounds[d + 1]]
+            top = (0, 0, 0)
+            for a, b in spans:
+                if 2 * np.isin(words_of, text[a:b]).sum() < least_score[item]:
+                    continue
+                score, s, e = align(words_of, text[a:b])
+                if score > top[0]:
+                    top = (score, a + s, a + e)
+            share = top[0] / (MATCH * len(words_of))
+            if share >= threshold:
+                yield d, int(item_ids[item]), share, top[1], top[2]
+
+    return run
+
+
 def _match(shared, threshold):
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+
     def run(batches):
-        seeds, item_of, step, need, least_score, item_ids, words, begin = shared.value
-        find = [(_Lookup(keys), first, seed) for keys, first, seed in seeds]
+        find = _finder(shared.value, threshold)
         for ids, texts in _chunks(batches):
-            of, h = word_hashes(texts, LETTERS)
-            bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-            found = []
-            for n, (look, first, seed) in enumerate(find, 1):
-                place, g = (np.arange(len(h)), h) if n == 1 else grams(h, of)
-                at, k = look(g) if len(look.keys) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                found.append((place[at], k, first, seed))
-            sizes = sum(np.bincount(of[p], first[k + 1] - first[k], len(texts)) for p, k, first, _ in found)
-            part = (np.cumsum(sizes) // FOUND).astype(np.int64)
-            regions = {}
-            for lo, hi in zip(cut := np.unique(np.searchsorted(part, part)).tolist(), [*cut[1:], len(texts)]):
-                at, seed = [], []
-                for p, k, first, own in found:
-                    a, b = np.searchsorted(p, bounds[[lo, hi]])
-                    p, k = p[a:b], k[a:b]
-                    times = first[k + 1] - first[k]
-                    at.append(np.repeat(p, times))
-                    seed.append(own[np.arange(times.sum()) + np.repeat(first[k] - np.cumsum(times) + times, times)])
-                at, seed = np.concatenate(at), np.concatenate(seed)
-                for d, item, u in _windows(of[at], at - bounds[of[at]], seed, 2 * len(words), item_of, step, need):
-                    a, b = u * int(step[item]), (u + 2) * int(step[item])
-                    spans = regions.setdefault((d, item), [])
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = b
-                    else:
-                        spans.append([a, b])
-            out = []
-            for (d, item), spans in sorted(regions.items()):
-                words_of, text = words[begin[item] : begin[item + 1]], h[bounds[d] : bounds[d + 1]]
-                top = (0, 0, 0)
-                for a, b in spans:
-                    if 2 * np.isin(words_of, text[a:b]).sum() < least_score[item]:
-                        continue
-                    score, s, e = align(words_of, text[a:b])
-                    if score > top[0]:
-                        top = (score, a + s, a + e)
-                share = top[0] / (MATCH * len(words_of))
-                if share >= threshold:
-                    out.append((ids[d], int(item_ids[item]), share, top[1], top[2]))
+            out = [(ids[d], *rest) for d, *rest in find(texts)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+
+    return run
+
+
+def _clean(shared, threshold, at: int):
+    """The rows whose text, the column at ``at``, holds no item."""
+
+    def run(batches):
+        find = _finder(shared.value, threshold)
+        for b in pieces(batches):
+            held = np.zeros(b.num_rows, bool)
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], ["i", "text"])
+            for rows, texts in _chunks([numbered]):
+                for d, *_ in find(texts):
+                    held[rows[d]] = True
+            yield b.filter(pa.array(~held)) if held.any() else b
 
     return run
 
@@ -204,15 +231,14 @@ def _match(shared, threshold):
 RESULT = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, slice_words: int = SLICE) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): documents that hold an edited copy of an item."""
+def _plans(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int, slice_words: int):
+    """What the executors need to find the items, one broadcast a slice of the benchmark."""
     spark = docs.sparkSession
     pairs = docs.select("doc_id", "text")
     words = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
     items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(words)).first()[0] or 0
     slices = max(1, -(-total // slice_words))
-    out = None
     for s in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).collect()  # at most about slice_words words
         rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)
@@ -222,10 +248,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         begin = np.searchsorted(of, np.arange(len(rows) + 1))
         length = np.diff(begin)
         own = np.unique(h[(length >= least)[of]])
-        shared = spark.sparkContext.broadcast(own)
-        found = pairs.mapInArrow(tidy(_count(shared)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect() if len(own) else []  # words of the items only
         counts = np.zeros(len(own), np.int64)
-        counts[np.searchsorted(own, np.array([r["w"] & 0xFFFFFFFFFFFFFFFF for r in found], np.uint64))] = [r["n"] for r in found]
+        if len(own):  # 16 bytes a different word of the items
+            found = pairs.mapInArrow(tidy(_count(spark.sparkContext.broadcast(own))), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+            counts[np.searchsorted(own, found["w"].to_numpy().view(np.uint64))] = found["n"].to_numpy()
         least_score = np.array([next(x for x in range(int(MATCH * n * threshold), MATCH * n + 2) if x > 0 and (x >= MATCH * n or x / (MATCH * n) >= threshold)) if n else 1 for n in length.tolist()])
         need, rare = np.zeros(len(rows), np.int64), []
         for i in np.nonzero(length >= least)[0].tolist():
@@ -241,15 +267,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         place, g = place[long_enough], g[long_enough]
         # seed 2 j is word j of the items, 2 j + 1 the pair that begins there
         plan = ([_postings(h[rare], 2 * rare), _postings(g, 2 * place + 1)], np.repeat(of, 2), np.maximum(3 * length - least_score, 1), need, least_score, np.array([i for i, _ in rows], np.int64), h, begin)
-        part = pairs.mapInArrow(tidy(_match(spark.sparkContext.broadcast(plan), threshold)), RESULT)
+        yield spark.sparkContext.broadcast(plan)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, slice_words: int = SLICE) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word): documents that hold an edited copy of an item."""
+    pairs, out = docs.select("doc_id", "text"), None
+    for plan in _plans(docs, benchmark, threshold, least, slice_words):
+        part = pairs.mapInArrow(tidy(_match(plan, threshold)), RESULT)
         out = part if out is None else out.union(part)
-    return spark.createDataFrame([], RESULT) if out is None else out
+    return docs.sparkSession.createDataFrame([], RESULT) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold a benchmark item."""
-    bad = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, slice_words: int = SLICE) -> DataFrame:
+    """The rows whose texts hold no benchmark item; every row is judged by its own text, whatever its doc_id."""
+    out = docs
+    for plan in _plans(docs, benchmark, threshold, least, slice_words):
+        out = out.mapInArrow(tidy(_clean(plan, threshold, docs.columns.index("text"))), docs.schema)
+    return out
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Near-duplicate documents: sets of five-word shingles with a Jaccard similarity of 0.8 or more, all of them.
+"""SimHash near-dedup of documents: groups of five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
-In any one order of shingles, two sets that are similar enough share a shingle among the first n - ceil(0.8 n) + 1
-of each (prefix filter). Only those meet; every pair that meets is verified by the exact similarity. The order puts
-shingles that are frequent in a sample last; it decides the work, not the result. Pairs are taken in two steps: each
-set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet.
-
-SimHash can't do this: at similarity 0.8 two 64-bit fingerprints differ by 10 bits on average, with a long tail.
+SimHash alone can't hold that bound: at similarity 0.8 two 64-bit fingerprints differ by 10 bits on average, with a
+long tail. So the segment-popcount grid of ``simhash`` gives the pairs at three bits or fewer, a prefix filter gives
+all others - in any one order of shingles, two sets that are similar enough share a shingle among the first
+n - ceil(0.8 n) + 1 of each - and every pair that meets is verified by the exact similarity. The order puts shingles
+that are frequent in a sample last; it decides the work, not the result. Pairs are taken in two steps: those of the
+grid and each set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet.
 
 Defined cases: words are as in ``simhash``; a text of fewer words than five is one shingle; texts without words are
-equal; a null doc_id links its text with others, and stays; repeated rows of a doc_id give one row.
+equal; rows with a null doc_id link like any other; of a group one row stays, see ``common.keep_one``.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, tidy
+from .common import connected_components, keep_one, materialize, row_key, tidy
 from .decontaminate import grams
+from .simhash import links
 from .words import BASE, mix, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -68,6 +69,18 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(mix(s)) if len(s) else 0], np.uint64)).view(np.int64)[0])
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    """SimHash of a shingle set."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(s), 4096):
+        total += np.unpackbits(s[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(s), bitorder="little").view(np.int64)[0])
+
+
+#: What names a row.
+ROW = pa.struct([("doc_id", pa.int64()), ("key", pa.struct([("a", pa.int64()), ("b", pa.int64())]))])
+
+
 def _sets(width, whole):
     def run(batches):
         for ids, texts in _texts(batches):
@@ -75,9 +88,10 @@ def _sets(width, whole):
             node = pa.array([_digest(s) for s in sets], pa.int64())
             if whole:
                 pack = zstandard.ZstdCompressor(level=3)
-                yield pa.RecordBatch.from_arrays([node, pa.array([pack.compress(t) for t in texts], pa.binary())], ["node", "text"])
+                fp = pa.array([_fingerprint(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([node, fp, pa.array([pack.compress(t) for t in texts], pa.binary())], ["node", "fp", "text"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), node], ["doc_id", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, ROW), node], ["r", "node"])
 
     return run
 
@@ -139,22 +153,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(_similar(width, similarity)), "a long, b long")
 
 
-def near_dup_components(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): every document with the smallest doc_id of its group."""
+def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, key, group): every row, named by its doc_id and ``row_key``, with the number of its group."""
     spark = docs.sparkSession
     pairs = docs.select("doc_id", "text")
-    ids = materialize(pairs.mapInArrow(tidy(_sets(width, False)), "doc_id long, node long"), "nodes")
-    sets = materialize(pairs.mapInArrow(tidy(_sets(width, True)), "node long, text binary").groupBy("node").agg(F.first("text").alias("text")), "sets")
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(tidy(_sample(width)), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    named = docs.select(F.struct("doc_id", row_key().alias("key")).alias("r"), "text")
+    ids = materialize(named.mapInArrow(tidy(_sets(width, False)), "r struct<doc_id: long, key: struct<a: long, b: long>>, node long").select("r.doc_id", "r.key", "node"), "nodes")
+    sets = materialize(pairs.mapInArrow(tidy(_sets(width, True)), "node long, fp long, text binary").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")), "sets")
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "text").mapInArrow(tidy(_sample(width)), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
     often = sorted((r["h"], r["count"]) for r in sample.orderBy(F.desc("count"), "h").limit(MOST).collect())
     shared = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
-    prefix = sets.mapInArrow(tidy(_prefixes(shared, width, similarity)), "h long, node long, n long")
+    prefix = sets.select("node", "text").mapInArrow(tidy(_prefixes(shared, width, similarity)), "h long, node long, n long")
     met = prefix.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("low")).where("k > 1").select("h", "low")
     places = materialize(prefix.join(met, "h"), "places")
     held = materialize(sets.join(places.select("node").distinct(), "node", "left_semi"), "held")
-    first = places.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_verified(first, held, width, similarity), "links")
-    cc = connected_components(links)
+    reps = materialize(sets.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+    alike = sets.select("fp", "node").join(reps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    grid = alike.union(links(reps).select(F.least("a", "b"), F.greatest("a", "b")))
+    first = places.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).union(grid).distinct()
+    linked = materialize(_verified(first, held, width, similarity), "links")
+    cc = connected_components(linked)
     # what is still apart at a shingle
     part = materialize(places.join(cc, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c")), "places")
     apart = part.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
@@ -164,19 +182,10 @@ def near_dup_components(docs: DataFrame, width: int = WIDTH, similarity: float =
     near &= (F.col("x.n") >= similarity * F.col("y.n") - 1e-6) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6)
     rest = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
-    cc = connected_components(links.union(_verified(rest, held, width, similarity)))
-    named = ids.join(cc, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
-    named = materialize(named, "named")
-    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
-
-
-def dedup_near(docs: DataFrame, **options) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id; of repeated rows of that doc_id, one.
-
-    Rows with a null doc_id can't be told apart and stay."""
-    found = materialize(near_dup_components(docs, **options), "components")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    out = out if rows == ids else out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
+    cc = connected_components(linked.union(_verified(rest, held, width, similarity)))
+    return ids.join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))
+
+
+def dedup_simhash(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near copies."""
+    return keep_one(docs, near_dup_groups(docs, **options))

@@ -7,8 +7,9 @@ half, probed at the own cell and at the cells one step up, meets every such pair
 verified exactly. Only distinct fingerprints are compared; copies share one.
 
 Defined cases: a null text, an empty text and one of white space only have fingerprint zero and link like any
-other; equal fingerprints always link; repeated rows each give a row; an empty table gives an empty result;
-a null doc_id is kept, with the component of its fingerprint. Other columns of the input are ignored.
+other; equal fingerprints always link; repeated rows each give a row; an empty table gives an empty result; rows with a
+null doc_id link like any other and get their component's smallest doc_id, null where it has none. Other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -103,25 +104,16 @@ def links(fps: DataFrame) -> DataFrame:
     return light.union(blocks)
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): every document with its fingerprint and its group's smallest doc_id."""
-    all_fps = materialize(fingerprints(docs), "fp")
-    reps = materialize(all_fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "rep")
-    cc = connected_components(links(reps.where("rep is not null")))
-    found = reps.join(cc, reps.rep == cc.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return all_fps.join(found, "fp").select("doc_id", "fp", "component_id")
+def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): every document with its fingerprint and its group's smallest doc_id.
 
-
-def dedup_simhash(docs: DataFrame) -> DataFrame:
-    """Keep one document of each group: the one with the smallest doc_id; of repeated rows of that doc_id, one.
-
-    Rows with a null doc_id can't be told apart and stay."""
-    found = materialize(simhash_components(docs).select("doc_id", "component_id"), "components")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    rows, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    out = out if rows == ids else out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
+    The nodes of the graph are fingerprints, so a row needs no doc_id to link others."""
+    all_fps = materialize(fingerprints(docs, width), "fp")
+    reps = materialize(all_fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "rep")
+    cc = connected_components(links(reps.select("fp", F.col("fp").alias("rep"))))
+    found = materialize(reps.join(cc, reps.fp == cc.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c")), "found")
+    lows = found.groupBy("c").agg(F.min("low").alias("component_id"))
+    return all_fps.join(found.join(lows, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

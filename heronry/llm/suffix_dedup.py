@@ -17,7 +17,8 @@ Documents come in order of doc_id. ``keep="first"`` removes bytes covered by a s
 
 Defined cases: null text counts as empty; texts shorter than ``length`` bytes keep everything; repeated rows
 (equal doc_id and text) are copies of each other, so ``keep="none"`` removes both and ``keep="first"`` treats
-them alike; a null doc_id is a document of its own text; runs of one byte and periodic texts match themselves
+them alike; a null doc_id is a document of its own text, and texts of one doc_id are told apart
+by 87 bits of their hash; runs of one byte and periodic texts match themselves
 at the next place; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql.types import StructField, StructType
 from .common import materialize, pieces, tidy
 
 LENGTH, GRAM = 200, 32
-#: Bytes that are hashed at once; a longer text is a chunk of its own.
+#: Bytes that are hashed at once; a longer text goes in pieces.
 CHUNK = 1 << 18
 #: Anchors with more different contexts than this are settled by grouping their strings.
 MANY = 4096
@@ -100,8 +101,12 @@ class Anchors:
 
 
 def tag():
-    """Tells texts of one doc_id apart."""
-    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFF)).cast("int").alias("tag")
+    """Tells texts of one doc_id, or of none, apart: 64 bits here, 23 more travel beside the places."""
+    return F.xxhash64("text").alias("tag")
+
+
+def more_tag():
+    return F.xxhash64(F.lit(1), F.col("text")).bitwiseAND(F.lit(0x7FFFFF)).cast("int").alias("more_tag")
 
 
 def _occurrences(length: int):
@@ -109,23 +114,25 @@ def _occurrences(length: int):
         find = Anchors(length)
 
         def flush(held):
-            doc, lo, count, g, c = find([t for _, t, _ in held])
-            ids = pa.array([i for i, _, _ in held], pa.int64()).take(pa.array(doc))
-            tags = np.array([k for _, _, k in held], np.int64)[doc]
-            q = tags << 39 | lo << 8 | count  # a context holds less than 256 strings
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids, pa.array(q)], ["g", "c", "doc", "q"])
+            doc, lo, count, g, c = find([h[1] for h in held])
+            lo = lo + np.array([h[4] for h in held], np.int64)[doc]
+            ids = pa.array([h[0] for h in held], pa.int64()).take(pa.array(doc))
+            tags = np.array([h[2] for h in held], np.int64)[doc]
+            q = np.array([h[3] for h in held], np.int64)[doc] << 39 | lo << 8 | count  # a context holds less than 256 strings
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), ids, pa.array(tags), pa.array(q)], ["g", "c", "doc", "tag", "q"])
 
         held, size = [], 0
         for b in batches:
-            for i, t, k in zip(*b.columns):
+            for i, t, k, m in zip(*b.columns):
                 t = (t.as_py() or "").encode("utf-8", "replace")
-                if len(t) < length:
-                    continue
-                if held and size + len(t) > CHUNK:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((i.as_py(), t, k.as_py()))
-                size += len(t)
+                # a long text goes in pieces by where its strings start: an anchor is a property of the string alone
+                for at in range(0, len(t) - length + 1, CHUNK):
+                    piece = t[at : at + CHUNK + length - 1]
+                    if held and size + len(piece) > CHUNK:
+                        yield flush(held)
+                        held, size = [], 0
+                    held.append((i.as_py(), piece, k.as_py(), m.as_py(), at))
+                    size += len(piece)
         if held:
             yield flush(held)
 
@@ -184,15 +191,15 @@ def _runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], np.diff(np.append(first, len(start)))
 
 
-RESOLVED = "doc long, tag int, p int, n int"
+RESOLVED = "doc long, tag long, more_tag int, p int, n int"
 
 
 def _resolve(length: int, keep: str):
-    """Runs of repeated strings among contexts (g, doc, tag, p, b), sorted by (g, doc, tag, p)."""
+    """Runs of repeated strings among contexts (g, doc, tag, more_tag, p, b), sorted by (g, doc, tag, more_tag, p)."""
 
     def run(batches):
         def settle(rows):
-            text, start, cls = suffix_classes([r[4] for r in rows], length)
+            text, start, cls = suffix_classes([r[5] for r in rows], length)
             early, late = earlier_and_later(cls)
             hit = early if keep == "first" else early | late
             text, start = text[hit], start[hit]
@@ -201,16 +208,16 @@ def _resolve(length: int, keep: str):
             cut = np.nonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(start) != 1))))[0] if len(text) else np.zeros(0, np.int64)
             n = np.diff(np.append(cut, len(text)))
             own = text[cut].tolist()
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in own], pa.int64()), pa.array([rows[i][2] for i in own], pa.int32()), pa.array([rows[i][3] + s for i, s in zip(own, start[cut].tolist())], pa.int32()), pa.array(n.astype(np.int32))], ["doc", "tag", "p", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in own], pa.int64()), pa.array([rows[i][2] for i in own], pa.int64()), pa.array([rows[i][3] for i in own], pa.int32()), pa.array([rows[i][4] + s for i, s in zip(own, start[cut].tolist())], pa.int32()), pa.array(n.astype(np.int32))], ["doc", "tag", "more_tag", "p", "n"])
 
         held, size = [], 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "doc", "tag", "p", "b"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "doc", "tag", "more_tag", "p", "b"))):
                 if size > CHUNK and held[-1][0] != r[0]:
                     yield settle(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if held:
             yield settle(held)
 
@@ -218,14 +225,14 @@ def _resolve(length: int, keep: str):
 
 
 def _strings(length: int):
-    """A row for each string of a context: (g, s1, s2, doc, tag, p)."""
+    """A row for each string of a context: (g, s1, s2, doc, tag, more_tag, p)."""
 
     def run(batches):
         for b in batches:
-            for g, doc, t, p, ctx in zip(*(b.column(c).to_pylist() for c in ("g", "doc", "tag", "p", "b"))):
+            for g, doc, t, m, p, ctx in zip(*(b.column(c).to_pylist() for c in ("g", "doc", "tag", "more_tag", "p", "b"))):
                 n = len(ctx) - length + 1
                 h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(ctx[i : i + length]) for i in range(n)), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int64)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([doc] * n, pa.int64()), pa.array(np.full(n, t, np.int32)), pa.array(np.arange(p, p + n, dtype=np.int32))], ["g", "s1", "s2", "doc", "tag", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int64)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([doc] * n, pa.int64()), pa.array(np.full(n, t, np.int64)), pa.array(np.full(n, m, np.int32)), pa.array(np.arange(p, p + n, dtype=np.int32))], ["g", "s1", "s2", "doc", "tag", "more_tag", "p"])
 
     return run
 
@@ -269,13 +276,13 @@ def _packed(extra: list[str]):
         z = zstandard.ZstdCompressor(level=3)
         for b in pieces(batches):
             data = [None if (t := x.as_py()) is None else z.compress(t.encode("utf-8", "replace")) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), b.column("tag"), *(b.column(c) for c in extra)], ["doc_id", "data", "tag", *extra])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), b.column("tag"), b.column("more_tag"), *(b.column(c) for c in extra)], ["doc_id", "data", "tag", "more_tag", *extra])
 
     return run
 
 
 SHIP = "array<struct<g: long, p: int, b: binary, many: boolean>>"
-FIRST = f"doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, data binary, starts array<int>, counts array<int>, ship {SHIP}"
+FIRST = f"doc_id long, tag long, more_tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, data binary, starts array<int>, counts array<int>, ship {SHIP}"
 
 
 def _first_pass(length: int, texts: bool, extra: list[str]):
@@ -284,14 +291,14 @@ def _first_pass(length: int, texts: bool, extra: list[str]):
     def run(batches):
         for b in pieces(batches):
             out = []
-            for i, packed, tg, rows in zip(b.column("doc_id"), b.column("data"), b.column("tag"), b.column("rows")):
+            for i, packed, tg, mt, rows in zip(b.column("doc_id"), b.column("data"), b.column("tag"), b.column("more_tag"), b.column("rows")):
                 packed = packed.as_py()
                 data = unpack(packed)
                 rows = rows.as_py() or []
                 full = [(r["p"], r["n"]) for r in rows if r["full"]]
                 starts, counts = [r[0] for r in full], [r[1] for r in full]
                 ship = [{"g": r["g"], "p": r["p"], "b": data[r["p"] : r["p"] + r["n"] + length - 1], "many": r["many"]} for r in rows if r["ship"]]
-                row = {"doc_id": i.as_py(), "tag": tg.as_py(), "n_bytes": len(data), "ship": ship}
+                row = {"doc_id": i.as_py(), "tag": tg.as_py(), "more_tag": mt.as_py(), "n_bytes": len(data), "ship": ship}
                 if any(r["open"] for r in rows):
                     row |= {"data": packed, "starts": starts, "counts": counts}
                 else:
@@ -308,66 +315,67 @@ def _first_pass(length: int, texts: bool, extra: list[str]):
 
 
 _FIRST_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("tag", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("data", pa.binary()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ship", pa.list_(pa.struct([("g", pa.int64()), ("p", pa.int32()), ("b", pa.binary()), ("many", pa.bool_())])))]
+    [("doc_id", pa.int64()), ("tag", pa.int64()), ("more_tag", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("data", pa.binary()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ship", pa.list_(pa.struct([("g", pa.int64()), ("p", pa.int32()), ("b", pa.binary()), ("many", pa.bool_())])))]
 )
-LAST = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+LAST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def _last_pass(length: int, texts: bool, extra: list[str]):
     def run(batches):
         for b in pieces(batches):
             out = []
-            for i, tg, packed, starts, counts, more in zip(*(b.column(c) for c in ("doc_id", "tag", "data", "starts", "counts", "more"))):
+            for i, packed, starts, counts, more in zip(*(b.column(c) for c in ("doc_id", "data", "starts", "counts", "more"))):
                 more, data = more.as_py() or [], unpack(packed.as_py())
                 cover = _cover(len(data), starts.as_py() + [m["p"] for m in more], counts.as_py() + [m["n"] for m in more], length)
                 left, removed, spans = _finish(data, cover)
-                out.append((i.as_py(), tg.as_py(), len(data), removed, spans, hashlib.sha256(left).hexdigest(), _text(data, cover) if texts else None))
-            names = ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((i.as_py(), len(data), removed, spans, hashlib.sha256(left).hexdigest(), _text(data, cover) if texts else None))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)), *(b.column(c) for c in extra)], [*names, *extra])
 
     return run
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none", texts: bool = False) -> DataFrame:
-    """(doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256, text) for every row; text only with ``texts``, as
-    are the other columns of ``docs``, under names that begin with x_."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) for every row; text only with ``texts``, as are the
+    other columns of ``docs``, under names that begin with x_."""
     others = [f for f in docs.schema.fields if texts and f.name not in ("doc_id", "text")]
     extra = [f"x_{f.name}" for f in others]
     quoted = [f"`{x}`" for x in extra]
     schema = lambda text: StructType([*StructType.fromDDL(text).fields, *(StructField(f"x_{f.name}", f.dataType) for f in others)])
-    whole = docs.select("doc_id", "text", tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
-    pairs = whole.select("doc_id", "text", "tag")
-    occ = pairs.mapInArrow(tidy(_occurrences(length)), "g long, c long, doc long, q long")
+    whole = docs.select("doc_id", "text", tag(), more_tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
+    same = ("doc", "tag", "more_tag")  # what tells rows apart
+    occ = whole.select("doc_id", "text", "tag", "more_tag").mapInArrow(tidy(_occurrences(length)), "g long, c long, doc long, tag long, q long")
     # a table of its own: a join of two shuffles can split an anchor that very many documents share
-    groups = materialize(occ.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "anchors")
+    counted = whole.select("doc_id", "text", F.lit(0).alias("tag"), F.lit(0).alias("more_tag")).mapInArrow(tidy(_occurrences(length)), "g long, c long, doc long, tag long, q long")
+    groups = materialize(counted.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "anchors")
     occ2 = materialize(occ.join(groups, "g"), "occ")
-    classes = materialize(occ2.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("doc", "q")).alias("f")), "classes")
+    classes = materialize(occ2.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("doc", "tag", "q")).alias("f")), "classes")
     different = classes.groupBy("g").agg((F.count("*") > 1).alias("multi"), (F.count("*") > MANY).alias("many"))
-    rows = occ2.join(classes.join(different, "g"), ["g", "c"]).withColumn("own", F.struct("doc", "q").eqNullSafe(F.col("f")))
+    rows = occ2.join(classes.join(different, "g"), ["g", "c"]).withColumn("own", F.struct("doc", "tag", "q").eqNullSafe(F.col("f")))
     if keep == "first":
         full, is_open = ~F.col("own"), F.col("own") & F.col("multi")
     else:
         full, is_open = F.col("k") > 1, (F.col("k") == 1) & F.col("multi")
-    place = [F.shiftright("q", 39).cast("int").alias("dtag"), F.shiftright("q", 8).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("p"), F.col("q").bitwiseAND(F.lit(0xFF)).cast("int").alias("n")]
-    rows = rows.select("doc", *place, full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", "many").where("full or ship")
-    rows = rows.select("doc", "dtag", F.struct("p", "n", "full", "open", "ship", "g", "many").alias("r"))
-    per = rows.groupBy("doc", "dtag").agg(F.collect_list("r").alias("rows"))
-    sent = whole.mapInArrow(tidy(_packed(extra)), schema("doc_id long, data binary, tag int"))
-    joined = sent.join(per, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("dtag")), "left").select("doc_id", "data", "tag", "rows", *quoted)
+    place = [F.shiftright("q", 39).cast("int").alias("more_tag"), F.shiftright("q", 8).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("p"), F.col("q").bitwiseAND(F.lit(0xFF)).cast("int").alias("n")]
+    rows = rows.select("doc", "tag", *place, full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", "many").where("full or ship")
+    per = rows.groupBy(*same).agg(F.collect_list(F.struct("p", "n", "full", "open", "ship", "g", "many")).alias("rows"))
+    sent = whole.mapInArrow(tidy(_packed(extra)), schema("doc_id long, data binary, tag long, more_tag int"))
+    mine = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag")) & (F.col(f"{a}.more_tag") == F.col(f"{b}.more_tag"))
+    joined = sent.alias("s").join(per.alias("r"), mine("s", "r"), "left").select("s.doc_id", "s.data", "s.tag", "s.more_tag", "r.rows", *(f"s.{x}" for x in quoted))
     first = materialize(joined.mapInArrow(tidy(_first_pass(length, texts, extra)), schema(FIRST)), "pass1")
-    ship = first.select(F.col("doc_id").alias("doc"), "tag", F.explode("ship").alias("s")).select("s.g", "doc", "tag", "s.p", "s.b", "s.many")
-    few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", "doc", "tag", "p").mapInArrow(tidy(_resolve(length, keep)), RESOLVED)
-    strings = ship.where("many").drop("many").mapInArrow(tidy(_strings(length)), "g long, s1 long, s2 long, doc long, tag int, p int")
-    found = strings.groupBy("g", "s1", "s2").agg(F.count("*").alias("k"), F.min(F.struct("doc", "tag", "p")).alias("f")).where("k > 1")
+    ship = first.select(F.col("doc_id").alias("doc"), "tag", "more_tag", F.explode("ship").alias("s")).select("s.g", *same, "s.p", "s.b", "s.many")
+    few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", *same, "p").mapInArrow(tidy(_resolve(length, keep)), RESOLVED)
+    strings = ship.where("many").drop("many").mapInArrow(tidy(_strings(length)), "g long, s1 long, s2 long, doc long, tag long, more_tag int, p int")
+    found = strings.groupBy("g", "s1", "s2").agg(F.count("*").alias("k"), F.min(F.struct(*same, "p")).alias("f")).where("k > 1")
     again = strings.join(found, ["g", "s1", "s2"])
     if keep == "first":
-        again = again.where(~F.struct("doc", "tag", "p").eqNullSafe(F.col("f")))
-    resolved = few.union(again.select("doc", "tag", "p", F.lit(1).alias("n")))
-    more = resolved.groupBy("doc", F.col("tag").alias("mtag")).agg(F.collect_list(F.struct("p", "n")).alias("more"))
-    pending = first.where("starts is not null").drop("ship").join(more, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("tag") == F.col("mtag")), "left")
-    last = pending.select("doc_id", "tag", "data", "starts", "counts", "more", *quoted).mapInArrow(tidy(_last_pass(length, texts, extra)), schema(LAST))
-    return first.where("starts is null").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *quoted).union(last)
+        again = again.where(~F.struct(*same, "p").eqNullSafe(F.col("f")))
+    resolved = few.union(again.select(*same, "p", F.lit(1).alias("n")))
+    more = resolved.groupBy(*same).agg(F.collect_list(F.struct("p", "n")).alias("more"))
+    pending = first.where("starts is not null").drop("ship").alias("s").join(more.alias("r"), mine("s", "r"), "left")
+    last = pending.select("s.doc_id", "s.data", "s.starts", "s.counts", "r.more", *(f"s.{x}" for x in quoted)).mapInArrow(tidy(_last_pass(length, texts, extra)), schema(LAST))
+    return first.where("starts is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *quoted).union(last)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -8,9 +8,11 @@ damaged bytes the search goes on.
 Records with equal payloads of at least ``least`` bytes: the one with the smallest page_id is a response, the
 others are revisits that refer to it. Payload digests are bare upper-case base32 SHA-1.
 
-Archives are written and read through the file system of the folder (a URI that Arrow knows), so any
-shared store does. A writing task names its files anew in every attempt and reports them; only the files of
-successful attempts are in the table that the reader gets.
+Archives are written and read through the file system of the folder, as Arrow knows it: ``file``, ``s3`` (and
+``s3a``), ``gs``, ``abfss``, and ``hdfs`` where its native library is installed. A writing task names its files
+anew in every attempt and reports them; only the files of successful attempts are in the table that the reader
+gets. Payloads stay where they are read: what meets the pages is the table of revisits, by page and digest, so a
+payload with very many copies burdens no task.
 
 Defined cases: null html is an empty payload; a null url has no target header; rows with equal page_id and payload
 are alike (all response or all revisit); a null page_id comes after all others; an empty table gives an empty
@@ -29,12 +31,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_dir, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20
 #: An archive is closed at this size.
 ROLL = 1 << 30
+#: Tasks that ranges are dealt to; with more ranges a task takes several.
+MOST_TASKS = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -79,15 +83,21 @@ def urn_page(value: str | None):
     return int(number) if number else None
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a folder, and the folder's path in it."""
+    return pafs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a:") else folder)
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """(path, size, records) of the archives that now hold a record for every page (page_id, url, html)."""
-    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
-    sums = rows.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("n")).where(F.col("n") >= least)
-    first = sums.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("sha", "first")
-    marked = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload"))).join(first, "sha", "left")
+    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload")).withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload")))
+    sums = materialize(rows.where("sha is not null").select("page_id", "sha"), "digests")
+    first = materialize(sums.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1 and first is not null").select("sha", "first"), "firsts")
+    again = materialize(sums.join(first, "sha").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first").distinct(), "revisits")
+    marked = rows.alias("p").join(again.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.sha") == F.col("r.sha")), "left").select("p.page_id", "p.url", "p.payload", "r.first")
 
     def run(batches):
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         out, name, size, count = None, None, 0, 0
         for b in batches:
             for i, url, payload, f in zip(*(b.column(c) for c in ("page_id", "url", "payload", "first"))):
@@ -95,8 +105,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
                 if out is None:
                     name, size, count = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(name, compression=None)
-                again = f is not None and i != f
-                data = member(record("revisit" if again else "response", page_urn(i), url.as_py(), payload, digest(payload), page_urn(f) if again else None, date))
+                data = member(record("response" if f is None else "revisit", page_urn(i), url.as_py(), payload, digest(payload), None if f is None else page_urn(f), date))
                 out.write(data)
                 size += len(data)
                 count += 1
@@ -108,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "1
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "size": [size], "records": [count]})
 
-    return materialize(marked.select("page_id", "url", "payload", "first").mapInArrow(run, "path string, size long, records long"), "archives")
+    return materialize(marked.mapInArrow(tidy(run), "path string, size long, records long"), "archives")
 
 
 def members(read, size: int, lo: int, hi: int):
@@ -159,7 +168,7 @@ def read_archives(files: DataFrame, folder: str, range_bytes: int = RANGE) -> Da
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         for b in batches:
             for path, size, lo in zip(*(b.column(c).to_pylist() for c in ("path", "size", "lo"))):
                 rows = []
@@ -175,7 +184,9 @@ def read_archives(files: DataFrame, folder: str, range_bytes: int = RANGE) -> Da
                 if rows:
                     yield _batch(rows)
 
-    return ranges.repartition("path", "lo").select("path", "size", "lo").mapInArrow(run, schema)
+    # a task a range: without a number the plan would merge ranges by the few bytes that name them
+    tasks = files.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    return ranges.repartition(int(min(tasks, MOST_TASKS))).mapInArrow(tidy(run), schema)
 
 
 def _batch(rows):
@@ -186,9 +197,9 @@ def _batch(rows):
 
 def new_folder(spark: SparkSession) -> str:
     # with its file system, which a path without a scheme leaves to the cluster's default
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/heronry/warc-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     return folder
 

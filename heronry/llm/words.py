@@ -33,16 +33,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes that are hashed at once: some 50 bytes of memory a byte.
+BLOCK = 1 << 19
+
+
 def word_hashes(texts: list[bytes], table: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hash) of every word of the texts, in order."""
+    """(text index, hash) of every word of the texts, in order. Long data goes in blocks that end at a space."""
     data = b" " + b" ".join(texts).translate(table) + b" "
-    x = np.frombuffer(data, np.uint8)
-    gap = x == 32
-    edge = np.nonzero(gap[1:] != gap[:-1])[0] + 1
-    start, end = edge[0::2], edge[1::2]
-    power, inverse = powers(len(x) + 1)
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    starts, hashes, lo, last = [], [], 0, len(data) - 1
+    while lo < last:
+        hi = last
+        if last - lo > BLOCK:
+            hi = data.rfind(b" ", lo + 1, lo + BLOCK)
+            if hi < 0:
+                hi = data.find(b" ", lo + BLOCK)
+        x = np.frombuffer(data, np.uint8, hi + 1 - lo, lo)
+        gap = x == 32
+        edge = np.nonzero(gap[1:] != gap[:-1])[0] + 1
+        start, end = edge[0::2], edge[1::2]
+        power, inverse = powers(len(x) + 1)
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+        starts.append(start + lo)
+        hashes.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        lo = hi
     ends = 1 + np.cumsum([len(t) + 1 for t in texts])
-    return np.searchsorted(ends, start, "right"), h
+    return np.searchsorted(ends, np.concatenate(starts), "right"), np.concatenate(hashes)

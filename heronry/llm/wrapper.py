@@ -23,7 +23,8 @@ ends a paragraph, a cut-off tag is dropped.
 
 Defined cases: null and empty html give an empty text; pages without markup are their text; a null or strange url is
 a host of its own text; hosts whose pages are all copies or near copies have no constants; repeated rows give equal
-rows; pages of any length and any number of siblings are read whole, elements nested over 60 deep belong to their
+rows; a host of one page gives that page's region;
+pages of any length and any number of siblings are read whole, elements nested over 60 deep belong to their
 60th ancestor; an empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -294,7 +295,12 @@ class Slot:
     @property
     def proved(self) -> bool:
         """Seen on pages that are no near copies of each other."""
-        return bool(self.low) and all(a != b for a, b in zip(self.low, self.high))
+        return bool(self.low) and all(a != b for a, b in zip(self.low[:-1], self.high[:-1]))
+
+    @property
+    def several(self) -> bool:
+        """Seen on two different pages at least."""
+        return bool(self.low) and self.low[-1] != self.high[-1]
 
     def shape(self, shapes: Shapes) -> int:
         return shapes.of(self.key, self.skip, tuple(k.shape(shapes) for k in self.kids))
@@ -320,12 +326,13 @@ class Slot:
 
 
 def signature(texts: list[str], n: int = 3, width: int = 8) -> list[int]:
-    """Min-hashes of the shingles of a page's longer blocks; of all its text where it has none."""
+    """Min-hashes of the shingles of a page's longer blocks, or of all its text where it has none, and a hash of all."""
     of, h = word_hashes([t.encode("utf-8", "replace") for t in texts if len(t) > 2 * width])
     g = grams(h, of, width)[1]
+    whole = xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "replace"))
     if not len(g):
-        g = np.array([xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "replace"))], np.uint64)
-    return [int((mix(g ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) >> np.uint64(33)).min()) for k in range(n)]
+        g = np.array([whole], np.uint64)
+    return [*(int((mix(g ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) >> np.uint64(33)).min()) for k in range(n)), whole >> 33]
 
 
 def fold(s: Skeleton, low: list[int] | None, shapes: Shapes) -> tuple[Slot, int]:
@@ -416,25 +423,26 @@ def page(html: str, shapes: Shapes, learn: bool = True) -> tuple[Skeleton, list,
 
 
 def region(t: Slot) -> Slot:
-    """The smallest node that holds the varying prose outside boilerplate."""
+    """The smallest node that holds the varying prose outside boilerplate; all text counts as varying on a single page."""
     whole = {}
+    alone = not t.several
 
     def chars(s: Slot) -> int:
         """Varying characters outside links and boilerplate."""
         if id(s) not in whole:
-            own = s.chars - s.linked if s.varies else 0
+            own = s.chars - s.linked if s.varies or alone else 0
             whole[id(s)] = 0 if s.skip else own + sum(map(chars, s.kids))
         return whole[id(s)]
 
     def prose(s: Slot) -> bool:
-        return not s.skip and ((s.varies and s.key.split(" ")[0] in PROSE and 2 * s.linked < s.chars) or any(map(prose, s.kids)))
+        return not s.skip and (((s.varies or alone) and s.chars and s.key.split(" ")[0] in PROSE and 2 * s.linked < s.chars) or any(map(prose, s.kids)))
 
     total, best = chars(t), t
     while total:
         inner = max(best.kids, key=chars, default=None)
         if inner is None or not inner.kids or 2 * chars(inner) < total:
             break
-        if any(prose(k) or 10 * chars(k) >= total for k in best.kids if k is not inner) or (best.varies and 10 * (best.chars - best.linked) >= total):
+        if any(prose(k) or 10 * chars(k) >= total for k in best.kids if k is not inner) or ((best.varies or alone) and 10 * (best.chars - best.linked) >= total):
             break
         best = inner
     return best
@@ -481,7 +489,7 @@ class Extractor:
     """Main text of pages of one host; what the template says of a shape is kept for the next page of that shape."""
 
     def __init__(self, template: Slot | None = None):
-        self.template, self.shapes, self.known = template if template is not None and template.proved else None, Shapes(), {}
+        self.template, self.shapes, self.known = template, Shapes(), {}
 
     def __call__(self, html: str) -> str:
         s, order, slot, number = page(html, self.shapes, learn=False)

@@ -61,8 +61,6 @@ def test_simhash_equals_brute_force(spark):
     got = simhash.simhash_components(docs).collect()
     assert len(got) == len(rows)
     assert all(r["fp"] & (2**64 - 1) == fp[r["doc_id"]] and r["component_id"] == want[r["doc_id"]] for r in got)
-    kept = simhash.dedup_simhash(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
 def test_simhash_dense_cells(spark, monkeypatch):
@@ -119,20 +117,47 @@ def test_vectors_empty_and_recall(spark):
     assert (1 - meet) ** passes <= 1e-6 and embed_dedup.plan_passes(500, 0.9, 0.99) == (0, 1)
 
 
-def test_simhash_null_ids(spark):
+def test_simhash_null_ids_bridge(spark):
+    word = lambda fp: fp - 2**64 if fp >= 2**63 else fp
     docs = spark.createDataFrame([(1, "samma text här"), (None, "samma text här"), (2, "samma text här"), (None, "helt egen text finns")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0) for r in simhash.dedup_simhash(docs).collect()) == [0, 0, 1]
-    assert simhash.simhash_components(docs).count() == 4
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.simhash_components(docs).collect()) == [(0, 0), (0, 1), (1, 1), (2, 1)]
+    assert common.connected_components(simhash.links(spark.createDataFrame([(word(x), word(x)) for x in (0, 7, 63)], "fp long, rep long"))).count() == 3
 
 
 def test_simhash_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert simhash.dedup_simhash(spark.createDataFrame([(1, "a"), (1, "a"), (2, "zz top hat on")], "doc_id long, text string").withColumn("fp", F.lit(1))).count() <= 2
+
+
+def test_keep_one_row_of_a_group(spark):
+    rows = [(1, "a", 1.0, 1), (1, "a", 2.0, 1), (1, "b", 3.0, 1), (2, "c", 4.0, 1), (None, "d", 5.0, 1), (None, "e", 6.0, 2), (None, "e", 6.0, 2), (5, "f", 7.0, 3), (5, "g", 8.0, 4)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, key double")
+    group = F.when(F.col("text").isin("a", "b", "c", "d"), 1).when(F.col("text") == "e", 2).when(F.col("text") == "f", 3).otherwise(4)
+    found = docs.select("doc_id", common.row_key().alias("key"), group.alias("group"))
+    got = common.keep_one(docs, found)
+    assert got.columns == docs.columns
+    out = sorted((str(r["doc_id"]), r["text"]) for r in got.collect())
+    assert len(out) == 4 and out[1:] == [("5", "f"), ("5", "g"), ("None", "e")] and out[0] in (("1", "a"), ("1", "b"))
+
+
+@pytest.mark.parametrize("hub", [1 << 16, 3])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(50, 120)] + [(rng.randrange(130, 200), rng.randrange(130, 200)) for _ in range(45)] + [(300, 300)]
+    want = components(301, edges)
+    got = dict(common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert all(got.get(i, i) == want[i] for i in range(301))
 
 
 def test_shared_folder(spark):
     df = common.materialize(spark.range(3), "t")
-    assert df.count() == 3 and common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert df.count() == 3 and common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir")) and spark.sparkContext.applicationId in common.shared_dir(spark)
     common.clear_shared(spark)
     common.clear_shared(spark)
     assert common.materialize(spark.range(2), "t").count() == 2
+    mark = common.written(spark)
+    first, last = common.materialize(spark.range(2), "t"), common.materialize(spark.range(5), "t")
+    common.release(spark, mark, but=1)
+    assert last.count() == 5 and common.written(spark) == mark + 1
+    with pytest.raises(Exception):
+        spark.read.parquet(first.inputFiles()[0]).count()

@@ -54,6 +54,6 @@ def test_near_dedup_equals_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
-    want = sorted(set(group)) + [-1]
-    assert 50 < len(want) < 110 and sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == sorted(want)
+    want = sorted(set(group))
+    assert 50 < len(want) < 110 and sorted(r["doc_id"] for r in kept.collect()) == want
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0

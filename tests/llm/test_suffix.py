@@ -53,6 +53,26 @@ def test_equals_brute_force(spark, monkeypatch, keep, many):
     assert [i for i in range(len(texts)) if got[i] != want[i]] == []
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_long_texts_go_in_pieces(spark, monkeypatch, keep):
+    monkeypatch.setattr(sd, "CHUNK", 700)
+    texts = corpus()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.repeated_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=keep).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200, keep)
+
+
+def test_many_texts_of_one_or_no_doc_id(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"ord{rng.randrange(10**6)}" for _ in range(30))
+    texts = [f"{rng.randrange(10**12)} " * 16 + (shared if k % 3 == 0 else "") for k in range(9000)]
+    for doc_id in (None, 7):
+        docs = spark.createDataFrame([(doc_id, t, str(k)) for k, t in enumerate(texts)], "doc_id long, text string, more_tag string")
+        got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.repeated_strings(docs).collect())
+        assert got == sorted(brute(texts, 200, "none"))
+        kept = {r["more_tag"]: r["text"] for r in sd.dedup_substrings(docs).collect()}
+        assert len(kept) == 9000 and sum(shared in t for t in kept.values()) == 1 and all(kept[str(k)] == t for k, t in enumerate(texts) if k % 3)
+
+
 @pytest.mark.parametrize("length", [12, 400])
 def test_other_lengths(spark, length):
     texts = corpus()[:40] + ["z" * 900 + "q" * 5]

@@ -130,6 +130,8 @@ def test_leaks(spark):
     assert (place["start_word"], place["end_word"], place["score"]) == (50, 90, 1.0)
     kept = dc.decontaminate(d, b)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
+    mixed = spark.createDataFrame([(None, docs[0][1]), (None, "ren text"), (7, docs[6][1]), (7, "ren också"), (8, None)], "doc_id long, text string")
+    assert sorted(r["text"] or "" for r in dc.decontaminate(mixed, b, slice_words=30).collect()) == ["", "ren också", "ren text"]
     assert dc.leaks(d, b.where("false")).count() == 0 and dc.leaks(d.where("false"), b).count() == 0
 
 

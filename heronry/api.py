@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from .functions import phonemes as ph
 from .functions import swedish
 from .operators import gates, joins, sampling, stats
+from .sources.scratch import scratch
 
 
 def prepare(rows: DataFrame, target_sec: float, order: list[str], bucket: Column, used: DataFrame | None = None, least_chars: int = 8, least_quality: float = 3.6, speaker_cap: bool = True) -> DataFrame:
     """Gate, normalise and take a budget: speakers in ``used`` out, quality, length; a speaker gives a sixth at most."""
     rows = rows if used is None else joins.exclude(rows, used, "speaker_id")
     rows = rows.where(F.col("quality_score").isNull() | (F.col("quality_score") >= least_quality)).withColumn("text", swedish.normalise("text")).where(gates.long_enough("text", least_chars))
+    # running totals read the rows several times; the rewrite is done once
+    path = scratch(rows.sparkSession, "prepared")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     if speaker_cap:
         return sampling.take_capped(rows, "speaker_id", "duration_sec", target_sec / 6, target_sec, bucket, order)
     return sampling.take_budget(rows, "duration_sec", target_sec, bucket, order)

@@ -27,11 +27,11 @@ register_g2p("letters", lambda: spelled_out)
 
 
 def resolve_g2p(backend: str = "auto", module: str | None = None) -> str:
-    """a registered name; "auto" takes the module named by SV_NEURAL_G2P if it loads, else warns and takes the
+    """a registered name; "auto" takes the module named by HERONRY_G2P_MODULE if it loads, else warns and takes the
     built-in; "neural" fails where that module can't be loaded."""
     if backend in _G2P:
         return backend
-    module = module or os.environ.get("SV_NEURAL_G2P")
+    module = module or os.environ.get("HERONRY_G2P_MODULE")
     try:
         if not module:
             raise ImportError("no neural module is named")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup
 from .text import SENTENCE, TOKEN, col, is_word
 
 #: Symbols and their sparse ids in a space of 178 (fixed values).
@@ -51,8 +50,8 @@ def encode(c: str | Column, strict: bool = False, pad: bool = True) -> Column:
 
 def unknown_symbols(c: str | Column) -> Column:
     """Symbols outside the vocabulary, spaces exempt, in order and with repeats."""
-    known = F.split(F.lit("\x01".join(VOCABULARY)), "\x01")
-    return F.filter(F.split(col(c), ""), lambda x: (x != " ") & (F.length(x) > 0) & ~F.array_contains(known, x))
+    # what is known goes first, in one pass over the text; only the rest is split
+    return F.filter(F.split(F.translate(col(c), " " + "".join(VOCABULARY), ""), ""), lambda x: F.length(x) > 0)
 
 
 def lexicon_with_precedence(*lexicons: DataFrame) -> DataFrame:
@@ -64,22 +63,39 @@ def lexicon_with_precedence(*lexicons: DataFrame) -> DataFrame:
     return best
 
 
+#: Bytes of a lexicon that travels with the plan as one map.
+MAP_BYTES = 16 << 20
+
+
 def phonemise(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text", fallback=None) -> DataFrame:
     """(key, phonemes). Words are looked up, misses go to ``fallback`` once each, else give nothing.
 
     A space stands between words that follow one another, none after punctuation; sentences without a phoneme are
-    left out, the others are joined by a space. ``fallback`` maps a frame of (word) to (word, ipa)."""
-    sents = df.select(F.col(key).alias("k"), F.posexplode(F.regexp_extract_all(text, F.lit(SENTENCE), 0)).alias("s", "sent"))
-    toks = sents.select("k", "s", F.posexplode(F.regexp_extract_all("sent", F.lit(TOKEN), 0)).alias("t", "tok"))
-    toks = toks.withColumn("word", F.when(is_word("tok"), F.lower("tok")))
+    left out, the others are joined by a space. ``fallback`` maps a frame of (word) to (word, ipa). A lexicon that is
+    checked to be small is one map that every text's tokens are looked up in, without a shuffle; of a larger one
+    each text meets the words that it holds."""
+    sents = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), 0), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), 0))
+    rows = df.select(F.col(key), sents.alias("__s"))
+    words = F.filter(F.flatten("__s"), is_word)
     if fallback is not None:
-        missing = toks.where("word is not null").select("word").distinct().join(lexicon.select("word"), "word", "left_anti")
-        lexicon = lexicon.select("word", "ipa").unionByName(fallback(missing))
-    found = lookup(toks, lexicon.select("word", "ipa"), "word")
-    piece = F.when(F.col("word").isNull(), F.array("tok")).otherwise(F.coalesce("ipa", F.array().cast("array<string>")))
-    rows = found.select("k", "s", F.struct("t", F.col("word").isNotNull().alias("is_word"), piece.alias("p")).alias("x"))
-    per = rows.groupBy("k", "s").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    joined = F.transform("xs", lambda x, i: F.concat(F.when((i > 0) & x.is_word & F.get("xs", i - 1)["is_word"], " ").otherwise(""), F.array_join(x.p, "")))
-    sent = per.select("k", "s", F.array_join(joined, "").alias("ph")).where("ph <> ''")
-    whole = sent.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "ph"))), lambda x: x.ph), " ").alias("phonemes"))
-    return df.select(F.col(key).alias("k")).join(whole, "k", "left").select(F.col("k").alias(key), F.coalesce("phonemes", F.lit("")).alias("phonemes"))
+        held = rows.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")).distinct()
+        lexicon = lexicon.select("word", "ipa").unionByName(fallback(held.join(lexicon.select("word"), "word", "left_anti")))
+    lexicon = lexicon.select("word", F.array_join("ipa", "").alias("ipa"))
+    size, n = lexicon.agg(F.sum(F.octet_length("word") + F.octet_length("ipa") + 32), F.count("*")).first()
+    if not n or size <= MAP_BYTES:
+        table = lexicon.agg(F.map_from_entries(F.collect_list(F.struct("word", "ipa"))).alias("__m"))
+        rows = rows.crossJoin(F.broadcast(table))  # one row
+    else:
+        used = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(TOKEN), 0), is_word), F.lower))).alias("word")).distinct()
+        per = used.join(lexicon, "word").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "ipa"))).alias("__m"))
+        rows = rows.join(per, F.col(key) == F.col("k"), "left").drop("k")
+
+    def spoken(toks: Column) -> Column:
+        def piece(t: Column, i: Column) -> Column:
+            gap = F.when((i > 0) & is_word(t) & is_word(F.get(toks, i - 1)), " ").otherwise("")
+            return F.concat(gap, F.when(is_word(t), F.coalesce(F.try_element_at(F.col("__m"), F.lower(t)), F.lit(""))).otherwise(t))
+
+        return F.array_join(F.transform(toks, piece), "")
+
+    whole = F.array_join(F.filter(F.transform("__s", spoken), lambda s: F.length(s) > 0), " ")
+    return rows.select(key, F.coalesce(whole, F.lit("")).alias("phonemes"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a dimension is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The dimension with a broadcast hint if it is checked to have ``rows`` rows at most."""
-    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
+def small(dim: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The dimension with a broadcast hint if the plan's statistics, an upper bound, say ``most`` bytes at most.
+
+    Nothing is run for it; a dimension that only turns out small is left to the adaptive plan."""
+    return F.broadcast(dim) if int(str(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else dim
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str | list[str]) -> DataFrame:
@@ -54,9 +56,11 @@ def at_length(vectors: DataFrame, n: str | Column) -> DataFrame:
 
 
 def dense_index(df: DataFrame, key: str, name: str = "speaker_index") -> DataFrame:
-    """0-based index of each key by sorted order; the window sees only the distinct keys."""
-    keys = df.select(key).distinct()
-    return df.join(small(keys.withColumn(name, F.dense_rank().over(Window.orderBy(key)) - 1)), key)
+    """0-based index of each key by sorted order; distinct keys are numbered by a prefix sum over their first letters."""
+    from .sampling import sequence_ids
+
+    keys = sequence_ids(df.select(key).distinct(), F.substring(F.col(key).cast("string"), 1, 3), [F.col(key).cast("string")], name)
+    return df.join(small(keys), key)
 
 
 def paired(df: DataFrame, system: str, a: str, b: str, on: str, value: str) -> DataFrame:

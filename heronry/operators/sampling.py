@@ -1,19 +1,22 @@
 """Budgets, caps, deterministic shuffles and splits.
 
-Running totals over a whole table use a two-level prefix sum: totals of buckets of the order, the sums before
-each bucket (over one small row a bucket), and running sums inside buckets. No task holds more than a bucket.
+Running totals over a whole table use prefix sums on three levels: running sums inside buckets of the order, the sums
+before each bucket in its bucket of buckets, and the sums before those. No task holds more than one of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .joins import small
 
 SEED = 1337
 #: Buckets of an order: two hexadecimal digits of a hash at least.
 DIGITS = 3
+#: Numbered buckets in a bucket of buckets.
+SUPER = 4096
 
 
 def shuffle_key(*keys: str | Column, seed: int = SEED) -> Column:
@@ -27,9 +30,14 @@ def sum_before(df: DataFrame, value: str, bucket: Column, order: list, by: list[
     ``bucket`` must rise with the order; orders must tell all rows apart."""
     by = by or []
     marked = df.withColumn("__b", bucket)
-    totals = marked.groupBy(*by, "__b").agg(F.sum(value).alias("__t"))
-    ahead = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__b", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__o"))
+    numeric = not isinstance(marked.schema["__b"].dataType, StringType)
+    totals = marked.groupBy(*by, "__b").agg(F.sum(value).alias("__t")).withColumn("__s", F.floor(F.col("__b") / SUPER) if numeric else F.substring("__b", 1, 1))
+    # buckets of buckets: the last window sees one row for each of them
+    before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    supers = totals.groupBy(*by, "__s").agg(F.sum("__t").alias("__t")).select(*by, "__s", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__p"))
+    ahead = Window.partitionBy(*by, "__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    own = totals.select(*by, "__s", "__b", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__q"))
+    offsets = own.join(small(supers), [*by, "__s"]).select(*by, "__b", (F.col("__p") + F.col("__q")).alias("__o"))
     inside = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = marked.withColumn("__i", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(small(offsets), [*by, "__b"])
     return out.withColumn(name, F.col("__i") + F.col("__o")).drop("__b", "__t", "__i", "__o")

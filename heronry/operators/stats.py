@@ -1,4 +1,4 @@
-"""Aggregations (A1-A16) and top-k."""
+"""Aggregations (A1-A16) and top-k."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import col
 
 
-def manifest_stats(df: DataFrame, *by: str, seconds: str = "duration_sec", speaker: str = "speaker_id", dataset: str = "dataset") -> DataFrame:
+def manifest_stats(df: DataFrame, *by: str, seconds: str = "duration_sec", speaker: str = "speaker_id", dataset: str = "dataset", extra: list[Column] | None = None) -> DataFrame:
     """A1: clips, hours, distinct speakers, sorted datasets."""
     return df.groupBy(*by).agg(
-        F.count("*").alias("clips"), F.round(F.sum(seconds) / 3600, 2).alias("hours"), F.countDistinct(speaker).alias("speakers"), F.array_join(F.array_sort(F.collect_set(dataset)), ",").alias("datasets")
+        F.count("*").alias("clips"), F.round(F.sum(seconds) / 3600, 2).alias("hours"), F.countDistinct(speaker).alias("speakers"), F.array_join(F.array_sort(F.collect_set(dataset)), ",").alias("datasets"), *(extra or [])
     )
 
 
@@ -56,6 +56,17 @@ def failure_rate(df: DataFrame, flags: Column) -> DataFrame:
     return df.agg(F.count("*").alias("scored"), F.count_if(F.size(flags) > 0).alias("failing")).withColumn("share", F.col("failing") / F.greatest("scored", F.lit(1)))
 
 
+def ranked_by_mean(df: DataFrame, key: str, value: str, *ties: str, k: int | None = None) -> DataFrame:
+    """O3: keys by their mean, then by the means of ``ties``, then by the key itself; ``k`` takes the first ones."""
+    per = means(df, key, value, *ties).orderBy(f"mean_{value}", *(f"mean_{t}" for t in ties), key)
+    return per if k is None else per.limit(k)
+
+
+def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows of an explicit order that tells all rows apart."""
+    return df.orderBy(*order).limit(n)
+
+
 def spread_two_level(df: DataFrame, outer: str, inner: str, value: str, least: int) -> DataFrame:
     """The standard deviation within each inner group of more than ``least`` rows, averaged over the outer one."""
     per = df.groupBy(outer, inner).agg(F.stddev_pop(value).alias("sd"), F.count("*").alias("n")).where(F.col("n") > least)

@@ -132,9 +132,9 @@ def normalised_levels(spark, sf_dir):
 
 @query(None)
 def spectral_metrics(spark, sf_dir):
-    """M6-M8: cepstral and spectral metrics of each user's values as a signal at 1 kHz."""
+    """M6-M8: cepstral and spectral metrics of each user's values as a signal at 24 kHz, short ones repeated."""
     rows = signal(spark, sf_dir).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s.value).alias("x"))
-    rows = rows.withColumn("x", sg.tile("x", 6000)).withColumn("sr", F.lit(24000))
+    rows = rows.withColumn("x", F.when(F.size("x") < 6000, sg.tile("x", 6000)).otherwise(F.col("x"))).withColumn("sr", F.lit(24000))
     return rows.select("clip", sg.comb_score("x", "sr").alias("comb"), sg.echo_ratio("x", "sr").alias("echo"), sg.band_ratio("x", "sr").alias("bands"))
 
 

@@ -38,12 +38,12 @@ def norm_text(spark, sf_dir):
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, turn, left({_NORM.format('text')}, 120) AS norm FROM conversations), p AS (SELECT a.conv_id, a.turn, {_FOLD.format('a.norm')} AS r, {_FOLD.format('b.norm')} AS h FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+    f"""WITH t AS (SELECT conv_id, turn, {_NORM.format('text')} AS norm FROM conversations), p AS (SELECT a.conv_id, a.turn, {_FOLD.format('a.norm')} AS r, {_FOLD.format('b.norm')} AS h FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
     SELECT conv_id, turn, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) > 0 THEN 1.0 ELSE 0.0 END ELSE levenshtein(r, h)::DOUBLE / length(r) END AS cer FROM p"""
 )
 def cer_pairs(spark, sf_dir):
-    """A turn against the next one; 120 characters are what an utterance has (the distance is quadratic)."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left(text.norm_metric("text"), F.lit(120)).alias("norm"))
+    """A turn against the next one."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.norm_metric("text").alias("norm"))
     b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("norm").alias("hyp"))
     return t.join(b, ["conv_id", "turn"]).select("conv_id", "turn", text.cer("norm", "hyp").alias("cer"))
 
@@ -131,7 +131,7 @@ _LISTS = "[" + ", ".join(map(quoted, swedish.ONES)) + "] AS ones, [" + ", ".join
     FROM n, l WHERE n < 1000000"""
 )
 def int_words(spark, sf_dir):
-    """T5."""
+    """T5, below a million; ``large_numbers`` goes on."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("n")).distinct()
     n = o.union(o.select(F.col("n") * 977)).distinct().where("n < 1000000")
     return n.select("n", swedish.int_words("n").alias("words"))

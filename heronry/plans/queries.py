@@ -1,6 +1,6 @@
 """All queries of the engine but those of the training-data package, and their SQL."""
 
-from . import audio, corpus, language
+from . import audio, corpus, language, records
 
-QUERIES = corpus.QUERIES | language.QUERIES | audio.QUERIES
-ORACLE_SQL = corpus.SQL | language.SQL | audio.SQL
+QUERIES = corpus.QUERIES | language.QUERIES | audio.QUERIES | records.QUERIES
+ORACLE_SQL = corpus.SQL | language.SQL | audio.SQL | records.SQL

@@ -1,4 +1,4 @@
-"""Scans (S1-S14). Every reader takes an explicit schema; nothing is inferred from the data."""
+"""Scans (S1-S14, P22). Every reader takes an explicit schema; nothing is inferred from the data."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.gates import cast_or_drop
 from ..schemas import MANIFEST, SPEAKERS_CSV
+from .scratch import get_text
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +66,9 @@ def lexicon(spark: SparkSession, path: str, custom: bool = False) -> DataFrame:
     return df.where(F.size(p) >= 2).select(word.alias("word"), F.split(p[1], " ").alias("ipa"), "seq")
 
 
-def config(path: str) -> dict:
-    """A small YAML or JSON config, on the driver."""
-    text = Path(path).read_text(encoding="utf-8")
+def config(path: str, spark: SparkSession | None = None) -> dict:
+    """A small YAML or JSON config, on the driver; with a session from any store."""
+    text = get_text(spark, path) if spark is not None else Path(path).read_text(encoding="utf-8")
     if path.endswith(".json"):
         return json.loads(text)
     try:
@@ -138,3 +139,9 @@ def decode_audio(df: DataFrame, content: str = "content", mix: str = "mean") ->
         return pd.DataFrame({"sr": pd.array([g[0] if g else None for g in got], "Int32"), "samples": [g[1].tolist() if g else None for g in got]})
 
     return df.withColumn("audio", run(content)).withColumn("audio", F.when(F.col("audio.sr").isNotNull(), F.col("audio")))
+
+
+def set_aside(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows to go on with, rejects); a bad row never fails its batch. Unknown counts as bad."""
+    fine = F.coalesce(~bad, F.lit(False))
+    return df.where(fine), df.where(~fine)

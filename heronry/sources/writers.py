@@ -6,13 +6,14 @@ import io
 import json
 import uuid
 import wave
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .scratch import put_text
+
 
 def write_manifest(df: DataFrame, path: str) -> None:
     """K1: JSONL with nulls written; an empty ``extra`` is dropped."""
@@ -41,7 +42,8 @@ def write_lookup(df: DataFrame, key: str, value: str, path: str, most: int = 1_0
     rows = df.select(key, value).orderBy(key).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows are no lookup")
-    Path(path).write_text(json.dumps({r[0]: r[1] for r in rows}, ensure_ascii=False, indent=1), encoding="utf-8")
+    plain = {r[0]: r[1].asDict() if isinstance(r[1], Row) else r[1] for r in rows}
+    put_text(df.sparkSession, path, json.dumps(plain, ensure_ascii=False, indent=1))
 
 
 def rewrite(df: DataFrame, path: str) -> str:

@@ -1,6 +1,6 @@
 """A corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
 
-1. language ID: documents without letters, or whose text no learned language accounts for, go
+1. language ID: documents without letters, or in a language that the learned labels do not cover, go
 2. SimHash near-dedup: of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one document stays
 3. suffix-array dedup: later copies of strings of 200 bytes are cut, the first one stays
 4. benchmark decontamination: documents that hold an edited copy of a test item go
@@ -21,13 +21,15 @@ from heronry.llm.mixing import mix
 from heronry.llm.near_dup import dedup_simhash
 from heronry.llm.suffix_dedup import dedup_substrings
 
-#: Mean word probability that a document's best language needs.
-LEAST_SCORE = 0.3
+#: Share of a document's four-byte grams that the training of the language model must have met.
+LEAST_KNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = identify(docs, fit(docs), "__lang", "__score")
-    return named.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    marks = ("__lang", "__score", "__known")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    named = identify(rows, fit(docs), *marks)
+    return named.where((F.col("__lang") != "und") & (F.col("__known") >= LEAST_KNOWN)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,43 +1,54 @@
 """Chat formatting: schema fingerprints choose the mapping to canonical turns, a template marks them reversibly.
 
-A layout is told by the hash of its nested field paths (``messages[].role``); ``LAYOUTS`` lists, for each, how its
-fields become (role, text) turns. Typed tables are fingerprinted once, by their schema; JSON records one by one.
+A layout is told by the hash of its nested field paths (``messages[].role``); ``LAYOUTS`` lists, for each, the paths it
+must have, those it may have, and how its fields become (role, text) turns. Every record is fingerprinted by its own
+fields: a JSON record by what it holds, a row of a table by its columns. Records of any mix of layouts go through the
+same code. Dots, brackets and backslashes in field names are escaped, so a flat name never looks like a nested one.
+
 A turn is written as ``<turn:role>``, a line end, the text, ``</turn>`` and a line end. In texts a backslash, and
 each control string, gets a backslash before it, so every text is read back as it was. The loss mask covers
 the texts of assistant turns.
 
 Conversations of any length are formatted turn by turn: rows are sorted by conversation and turn, and only a
-hash state is kept.
+hash state is kept. ``read_chats`` reads what ``format_chats`` gives: partitions that hold whole conversations in order.
 
 Defined cases: null texts are empty, a null role is the empty role; turns with equal numbers go in order of role
-and text; repeated rows are turns of their own; a null conv_id is one conversation; a record of unknown
-layout gives no turns and its fingerprint as error; an empty table gives an empty result; other columns are ignored.
+and text; repeated rows are turns of their own; a null conv_id is one conversation; a record with an empty list of
+messages is known and has no turns; a record of unknown layout gives no turns and its fingerprint as error; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import urllib.parse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
 
-#: Layouts as declarations: a list of turns with the fields of role and text, or (role, fields to join) pairs.
+from .common import pieces, tidy
+
+#: Fields that any record may have beside its turns; they are not read.
+META = ("id", "source", "lang")
+#: Layouts as declarations: paths that must be there, paths that may be, and the turns: ("row", role, text),
+#: ("turns", list, role, text), or ("fields", [(role, fields to join) ...]); ``system`` leads where there is one.
 LAYOUTS = [
-    {"paths": ["conv_id", "role", "text", "turn"], "row": ("role", "text")},
-    {"paths": ["messages[].content", "messages[].role"], "turns": ("messages", "role", "content")},
-    {"paths": ["conversations[].from", "conversations[].value"], "turns": ("conversations", "from", "value")},
-    {"paths": ["turns[].role", "turns[].text"], "turns": ("turns", "role", "text")},
-    {"paths": ["prompt", "response"], "fields": [("user", ["prompt"]), ("assistant", ["response"])]},
-    {"paths": ["completion", "prompt"], "fields": [("user", ["prompt"]), ("assistant", ["completion"])]},
-    {"paths": ["answer", "question"], "fields": [("user", ["question"]), ("assistant", ["answer"])]},
-    {"paths": ["instruction", "output"], "fields": [("user", ["instruction"]), ("assistant", ["output"])]},
-    {"paths": ["input", "instruction", "output"], "fields": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
-    {"paths": ["prompt", "response", "system"], "fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
+    {"must": ["conv_id", "role", "text", "turn"], "row": ("role", "text")},
+    {"must": ["messages[].content", "messages[].role"], "may": ["messages[].name", "system"], "turns": ("messages", "role", "content")},
+    {"must": ["conversations[].from", "conversations[].value"], "may": ["system"], "turns": ("conversations", "from", "value")},
+    {"must": ["turns[].role", "turns[].text"], "may": ["system"], "turns": ("turns", "role", "text")},
+    {"must": ["messages[]"], "may": ["system"], "turns": ("messages", "role", "content")},
+    {"must": ["conversations[]"], "may": ["system"], "turns": ("conversations", "from", "value")},
+    {"must": ["turns[]"], "may": ["system"], "turns": ("turns", "role", "text")},
+    {"must": ["prompt", "response"], "may": ["system"], "fields": [("user", ["prompt"]), ("assistant", ["response"])]},
+    {"must": ["completion", "prompt"], "may": ["system"], "fields": [("user", ["prompt"]), ("assistant", ["completion"])]},
+    {"must": ["answer", "question"], "may": ["system", "context"], "fields": [("user", ["context", "question"]), ("assistant", ["answer"])]},
+    {"must": ["instruction", "output"], "may": ["system", "input"], "fields": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    {"must": ["chosen", "prompt", "rejected"], "may": ["system"], "fields": [("user", ["prompt"]), ("assistant", ["chosen"])]},
+    {"must": ["chosen[].content", "chosen[].role", "rejected[].content", "rejected[].role"], "may": ["prompt"], "turns": ("chosen", "role", "content")},
 ]
 #: Names of roles in other layouts (fixed values).
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant", "prompter": "user"}
@@ -53,23 +64,28 @@ def fingerprint(paths) -> str:
     return hashlib.sha1("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-def paths_of_type(kind: DataType, at: str = "") -> list[str]:
-    if isinstance(kind, StructType):
-        return [p for f in kind.fields for p in paths_of_type(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    if isinstance(kind, ArrayType):
-        return paths_of_type(kind.elementType, at + "[]")
-    return [at]
+def _escaped_name(name: str) -> str:
+    return re.sub(r"([\\.\[\]])", r"\\\1", name)
 
 
 def paths_of_value(value, at: str = "") -> list[str]:
-    if isinstance(value, dict):
-        return [p for k, v in value.items() for p in paths_of_value(v, f"{at}.{k}" if at else k)]
+    """Nested field paths of a record; an empty list or object is a path of its own."""
+    if isinstance(value, dict) and value:
+        return [p for k, v in value.items() for p in paths_of_value(v, f"{at}.{_escaped_name(k)}" if at else _escaped_name(k))]
     if isinstance(value, list):
-        return [p for v in value for p in paths_of_value(v, at + "[]")]
-    return [at]
+        return [p for v in value for p in paths_of_value(v, at + "[]")] or [at + "[]"]
+    return [at + "{}" if isinstance(value, dict) else at]
+
 
+def _fingerprints(layout: dict):
+    """The fingerprints of a layout: one for each choice of the paths it may have."""
+    may = [*layout.get("may", []), *(() if "row" in layout else META)]
+    for k in range(len(may) + 1):
+        for some in itertools.combinations(may, k):
+            yield fingerprint([*layout["must"], *some])
 
-BY_FINGERPRINT = {fingerprint(layout["paths"]): layout for layout in LAYOUTS}
+
+BY_FINGERPRINT = {f: layout for layout in LAYOUTS for f in _fingerprints(layout)}
 
 
 def turns_of(record: dict) -> tuple[list[tuple[str, str]], str | None]:
@@ -79,40 +95,58 @@ def turns_of(record: dict) -> tuple[list[tuple[str, str]], str | None]:
     if layout is None:
         return [], key
     text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-    if "turns" in layout:
-        rows, role, body = layout["turns"]
-        return [(ROLES.get(text(t.get(role)).lower(), text(t.get(role))), text(t.get(body))) for t in record[rows]], None
     if "row" in layout:
         role, body = layout["row"]
         return [(text(record[role]), text(record[body]))], None
-    return [(role, "\n\n".join(t for f in fields if (t := text(record[f])))) for role, fields in layout["fields"]], None
+    lead = [("system", t)] if (t := text(record.get("system"))) else []
+    if "turns" in layout:
+        rows, role, body = layout["turns"]
+        return lead + [(ROLES.get(text(t.get(role)).lower(), text(t.get(role))), text(t.get(body))) for t in record[rows]], None
+    return lead + [(role, "\n\n".join(t for f in fields if (t := text(record.get(f))))) for role, fields in layout["fields"]], None
 
 
-def canonical_records(records: DataFrame, column: str = "record", key: str = "conv_id") -> DataFrame:
-    """(key, turn, role, text, error) of JSON records of any known layout; one row with an error for the others."""
+TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("error", pa.string())])
+TURN_ROWS = "conv_id long, turn long, role string, text string, error string"
+
+
+def _canonical(named):
+    """A step that maps records to turns; ``named`` gives (conv_id, number of the first turn, record) of a batch's rows."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1024):
             out = []
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                turns, error = turns_of(value) if isinstance(value, dict) else ([], "not a record")
-                out += [(i, k, r, t, None) for k, (r, t) in enumerate(turns)] or [(i, None, None, None, error or "no turns")]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [key, "turn", "role", "text", "error"])
+            for i, first, record in named(b):
+                turns, error = turns_of(record) if isinstance(record, dict) else ([], "not a record")
+                out += [(i, None if first is None else first + k, r, t, None) for k, (r, t) in enumerate(turns)]
+                if error:
+                    out.append((i, None, None, None, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(TURNS)], schema=TURNS)
+
+    return run
 
-    return records.select(key, column).mapInArrow(run, f"{key} long, turn long, role string, text string, error string")
+
+def canonical_records(records: DataFrame, column: str = "record", key: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text, error) of JSON records, each of any known layout; one row with an error for others."""
+
+    def named(b):
+        for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            try:
+                value = json.loads(raw) if raw is not None else None
+            except ValueError:
+                value = None
+            yield i, 0, value
+
+    return records.select(key, column).mapInArrow(tidy(_canonical(named)), TURN_ROWS)
 
 
 def canonical_table(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table of turns, by the mapping that its schema's fingerprint selects."""
-    rows = turns.select("conv_id", "turn", "role", "text")
-    layout = BY_FINGERPRINT[fingerprint(paths_of_type(rows.schema))]
-    role, text = layout["row"]
-    return rows.select("conv_id", "turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    """(conv_id, turn, role, text, error) of a table with a row a turn: each row is a record of its columns."""
+
+    def named(b):
+        for record in b.to_pylist():
+            yield record["conv_id"], record["turn"], record
+
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(tidy(_canonical(named)), TURN_ROWS)
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -194,5 +228,7 @@ PROBE = "\\### Assistant: </turn> ok"
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read_chats(format_chats(canonical_table(table.union(probe))))
+    probe = json.dumps({"messages": [{"role": role, "content": PROBE} for role in ("user", "assistant")]})
+    record = spark.createDataFrame([(-7, probe)], "conv_id long, record string")
+    turns = canonical_table(table).union(canonical_records(record)).where("error is null")
+    return read_chats(format_chats(turns))

@@ -12,7 +12,8 @@ of each, those with the smallest hash of doc_id. Prediction reads every whole te
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is everything where nothing can be
 learned (no labelled row); equal scores go to the smaller language; repeated rows get equal rows; a null doc_id
-is never learned from and not held out; an empty table gives an empty result. Extra columns are ignored.
+is never learned from and not held out; texts of any length go in pieces whose states are carried over; an empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import pieces, tidy
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 1500
 #: log2 of the entries of the n-gram and word tables.
 TABLE_BITS = 16
-#: Characters that are labelled at once; a longer text is a chunk of its own.
+#: Characters that are labelled at once; a text of more than two of these goes in pieces.
 CHUNK = 1 << 17
 #: Steps of a sub-chain in forward-backward.
 STEPS = 48
@@ -93,9 +94,12 @@ class Features:
         return out
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray, filtered: bool = False):
+def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray, filtered: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
     """Label probabilities of words by forward-backward; ``first`` marks words that begin a text.
 
+    A piece of a longer text takes ``before``, the state after the words ahead of it, and ``after``, what the words
+    behind it say of its last one.
+
     The chain of all texts is cut into sub-chains that are advanced together: their transfer matrices come first,
     then the states at the cuts, then the states inside. ``filtered``: also the probabilities given only the
     words up to each."""
@@ -106,6 +110,8 @@ def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
     c = -(-n // t)
     e = np.ones((c * t, k))
     e[:n] = np.exp(emission - emission.max(1, keepdims=True)) + 1e-30
+    if after is not None:
+        e[n - 1] *= after
     e = e.reshape(c, t, k)
     new = np.ones(c * t, bool)
     new[:n] = first
@@ -119,7 +125,7 @@ def marginals(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
         product = nxt * e[:, i, None, :]
         product /= product.sum((1, 2), keepdims=True)
     into, out = np.empty((c, k)), np.empty((c, k))
-    v = np.full(k, 1 / k)
+    v = np.full(k, 1 / k) if before is None else before
     for i in range(c):
         into[i] = v
         v = v @ product[i]
@@ -165,12 +171,80 @@ class Model:
         first = np.concatenate(([True], of[1:] != of[:-1]))[: len(of)]
         return of, marginals(f.emissions(self.weights), first, self.trans, self.start), data, f
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        of, p, _, _ = self.words(texts)
-        n = np.bincount(of, minlength=len(texts))
-        mean = np.stack([np.bincount(of, p[:, k], len(texts)) for k in range(p.shape[1])], 1) / np.maximum(n, 1)[:, None]
+    def long_words(self, data: bytes):
+        """Probabilities of the words of one long text, piece by piece from its end, with the features of each piece.
+
+        States are carried over the cuts, at spaces: forward in a first run that keeps one state a cut, backward in a
+        second one. The result is that of the whole chain; memory grows with the piece and the number of cuts."""
+        cuts = [0]
+        while len(data) - cuts[-1] > CHUNK:
+            at = data.rfind(b" ", cuts[-1] + 1, cuts[-1] + CHUNK)
+            if at < 0:
+                at = data.find(b" ", cuts[-1] + CHUNK)
+            if at < 0:
+                break
+            cuts.append(at)
+        cuts.append(len(data))
+        parts = [(lo, hi) for lo, hi in zip(cuts, cuts[1:]) if data[lo:hi].strip()]
+        states: list[np.ndarray | None] = [None]
+
+        def emissions(lo, hi):
+            f = Features(data[lo:hi])
+            first = np.zeros(len(f.start), bool)
+            first[0] = lo == parts[0][0]
+            return f, f.emissions(self.weights), first
+
+        for lo, hi in parts[:-1]:
+            _, e, first = emissions(lo, hi)
+            states.append(marginals(e, first, self.trans, self.start, True, before=states[-1])[1][-1])
+        after = None
+        for (lo, hi), before in zip(parts[::-1], states[::-1]):
+            f, e, first = emissions(lo, hi)
+            p, forward = marginals(e, first, self.trans, self.start, True, before=before, after=after)
+            yield f, p
+            head = np.exp(e[0] - e[0].max()) + 1e-30
+            if len(e) == 1 and after is not None:
+                head = head * after
+            after = np.exp(self.trans - self.trans.max()) @ (head * (p[0] / np.maximum(forward[0], 1e-300)))
+            after = after / after.max()
+
+    def seen(self) -> np.ndarray:
+        """Which table entries training met."""
+        return self.weights.any(1)
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """(language, score, share of the four-byte grams that training met) of each text."""
+        data = [t.lower().encode("utf-8", "replace").translate(LETTERS) for t in texts]
+        k = len(self.labels)
+        total, n, met, all_ = np.zeros((len(texts), k)), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+        seen = self.seen()
+
+        def add(of, p, f, rows):
+            for j in range(k):
+                total[:, j] += np.bincount(of, p[:, j], len(texts))
+            n[:] += np.bincount(of, minlength=len(texts))
+            at = np.nonzero(f.valid[2])[0]
+            text = rows(at)
+            all_[:] += np.bincount(text, minlength=len(texts))
+            met[:] += np.bincount(text, seen[f.grams[2][at]], len(texts))
+
+        short = [i for i, d in enumerate(data) if len(d) <= 2 * CHUNK]
+        if short:
+            f = Features(b" ".join(data[i] for i in short))
+            ends, index = 1 + np.cumsum([len(data[i]) + 1 for i in short]), np.array(short)
+            of = np.searchsorted(ends, f.start, "right")
+            first = np.concatenate(([True], of[1:] != of[:-1]))[: len(of)]
+            p = marginals(f.emissions(self.weights), first, self.trans, self.start)
+            if len(of):
+                add(index[of], p, f, lambda at: index[np.minimum(np.searchsorted(ends, at, "right"), len(short) - 1)])
+        for i, d in enumerate(data):
+            if len(d) > 2 * CHUNK and d.strip():
+                for f, p in self.long_words(d):
+                    add(np.full(len(p), i), p, f, lambda at, i=i: np.full(len(at), i))
+        mean = total / np.maximum(n, 1)[:, None]
         best = mean.argmax(1)
-        return [(self.labels[b], min(1.0, float(m[b]))) if c else ("und", 0.0) for b, m, c in zip(best, mean, n)]
+        known = np.where(all_ > 0, met / np.maximum(all_, 1), 1.0)
+        return [(self.labels[b], min(1.0, float(m[b])), float(s)) if c else ("und", 0.0, 0.0) for b, m, c, s in zip(best, mean, n, known)]
 
 
 def has_letter(text: str | None) -> bool:
@@ -232,10 +306,14 @@ def fit(docs: DataFrame) -> Model | None:
     return train([(t, label) for _, t, label in got if has_letter(t)])
 
 
-def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns of docs, a language and its score: only the text is read for the prediction."""
+def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+    """The columns of docs, a language and its score: only the text is read for the prediction.
+
+    Columns of docs that have these names are replaced. ``known`` adds the share of a text's four-byte grams that
+    training met: low for a language that none of the labels stands for."""
     # plain arrays of a fixed size; the class travels with the function
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.labels, model.weights, model.trans, model.start))
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (lang, score, known)))
     names = docs.columns
     at = names.index("text")
 
@@ -246,7 +324,7 @@ def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", scor
             m.weights, m.trans, m.start = shared.value[1:]
         for b in pieces(batches, 1024):
             texts = b.column(at)
-            pred, held, size = [("und", 0.0)] * b.num_rows, [], 0
+            pred, held, size = [("und", 0.0, 0.0)] * b.num_rows, [], 0
 
             def flush():
                 if m is not None and held:
@@ -263,9 +341,10 @@ def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", scor
                         flush()
                         size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p for p, _ in pred], pa.string()), pa.array([s for _, s in pred], pa.float64())], [*names, lang, score])
+            made = [pa.array([p[0] for p in pred], pa.string()), *(pa.array([p[k] for p in pred], pa.float64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made[: 3 if known else 2]], [*names, lang, score, *([known] if known else [])])
 
-    out = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    out = StructType([*docs.schema.fields, StructField(lang, StringType()), *(StructField(c, DoubleType()) for c in (score, known) if c)])
     return docs.mapInArrow(tidy(run), out)
 
 

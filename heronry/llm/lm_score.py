@@ -1,10 +1,10 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
-S(w | v) = c(v w) / c(v) where the pair is in the table, else 0.4 c(w) / N; a document's first word is scored
-c(w) / N. c(v) counts the pairs that start with v. The pair table holds pairs seen at least ``min_count`` times
-(so a document's own single pairs don't vouch for it); the word table holds every word. Words are runs of
-characters other than space and U+0009 to U+000D, A-Z lower-cased; pairs do not cross documents. A document's
-score is the sum of ln S over its words.
+A document doesn't vouch for itself: c'(x) is the count of x in all other rows, the corpus count less the row's own.
+S(w | v) = c'(v w) / c'(v) where another row holds the pair, else 0.4 c'(w) / N', where c'(v) counts the pairs that
+start with v and N' the words of all other rows; a word that no other row holds counts as one. A row's first word is
+scored c'(w) / N'. Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased; pairs do not
+cross rows. A document's score is the sum of ln S over its words. ``scores_by_joins`` is the same for any order.
 
 Both tables are partitioned by hash and met by the documents' exploded n-grams; what travels is packed: a batch
 of documents sends each partition its distinct pairs once, with the documents that hold them. The partition of a
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, tidy
 from .words import mix, word_hashes
 
-BACKOFF, MIN_COUNT = 0.4, 2
+BACKOFF = 0.4
 HOT_SHARE, KNOWN_SHARE = 1e-3, 2e-6
 #: Words of a batch, and of a partition at expectation.
 BATCH, PART = 1_000_000, 1_500_000
@@ -121,11 +121,21 @@ def _hot_pairs(shared):
     return run
 
 
-KINDS = (np.int64, np.bool_, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32)
+KINDS = (np.int64, np.bool_, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 SENT = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
 
-def _explode(shared, parts: int, min_count: int):
+def _own(*keys: np.ndarray) -> np.ndarray:
+    """How often each entry's combination of keys is found."""
+    order = np.lexsort(keys)
+    begin = _runs(*(k[order] for k in keys))
+    n = np.diff(np.append(begin, len(order)))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
+
+
+def _explode(shared, parts: int):
     """Packed pairs for each partition, and a row for each document: its words and the score of its hot pairs."""
 
     def run(batches):
@@ -140,24 +150,32 @@ def _explode(shared, parts: int, min_count: int):
             first = np.concatenate(([True], of[1:] != of[:-1]))[: len(of)]
             v, w, d, kv, kw, inner = h[:-1], h[1:], of[1:], k[:-1], k[1:], ~first[1:]
             both = inner & (kv >= 0) & (kw >= 0)
+            count = np.bincount(of, minlength=m)
+            own_word = _own(h, of)  # of the word itself
+            own_start = np.zeros(len(h), np.int64)  # pairs of the row that start with the word
+            begins = np.nonzero(inner)[0]
+            own_start[begins] = _own(v[begins], d[begins])
             at = np.nonzero(both)[0]
             j = _find(t["pairs"], kv[at] * len(hot) + kw[at])
-            n = t["pairs_n"][j] if len(at) else np.zeros(0)
-            s = np.where(n >= min_count, np.log(n / t["hot_start"][kv[at]]), np.log(BACKOFF * t["hot_n"][kw[at]] / total)) if len(at) else n
-            score = np.bincount(d[at], s, m)
-            count = np.bincount(of, minlength=m)
+            own_pair = _own(v[at], w[at], d[at])
+            n = (t["pairs_n"][j] if len(at) else np.zeros(0, np.int64)) - own_pair
+            others = np.maximum(total - count, 1)
+            hit = np.log(np.maximum(n, 1) / np.maximum(t["hot_start"][kv[at]] - own_start[at], 1)) if len(at) else np.zeros(0)
+            miss = np.log(BACKOFF * np.maximum(t["hot_n"][kw[at]] - own_word[at + 1], 1) / others[d[at]]) if len(at) else np.zeros(0)
+            score = np.bincount(d[at], np.where(n > 0, hit, miss), m)
             yield pa.RecordBatch.from_arrays([pa.array(mix(keys.view(np.uint64)) % np.uint64(parts), pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(count), pa.array(score)], schema=SENT)
             # the first word of a text follows the word 0
             rest, begin = np.nonzero(inner & ~both)[0], np.nonzero(first)[0]
             a = np.concatenate((v[rest], np.zeros(len(begin), np.uint64)))
             b, doc = np.concatenate((w[rest], h[begin])), np.concatenate((d[rest], of[begin]))
+            starts, words = np.concatenate((own_start[rest], np.zeros(len(begin), np.int64))), np.concatenate((own_word[rest + 1], own_word[begin]))
             spread = np.where(np.concatenate((kv[rest] >= 0, np.ones(len(begin), bool))), mix(a * np.uint64(3) + b), mix(a))
             part = (spread % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((doc, b, a, part))
-            a, b, doc, part = a[order], b[order], doc[order], part[order]
+            a, b, doc, part, starts, words = a[order], b[order], doc[order], part[order], starts[order], words[order]
             post = _runs(part, a, b, doc)
             times = np.diff(np.append(post, len(a)))
-            a, b, doc, part = a[post], b[post], doc[post], part[post]
+            a, b, doc, part, starts, words = a[post], b[post], doc[post], part[post], starts[post], words[post]
             cut = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 lo, hi = int(cut[p]), int(cut[p + 1])
@@ -167,34 +185,36 @@ def _explode(shared, parts: int, min_count: int):
                 docs, local = np.unique(doc[lo:hi], return_inverse=True)
                 pair, ctx = _runs(x, y), _runs(x)
                 blob = pack(
-                    keys[docs], known[docs], x[ctx], np.diff(np.append(np.searchsorted(pair, ctx), len(pair))).astype(np.uint32),
+                    keys[docs], known[docs], count[docs].astype(np.uint32), x[ctx], np.diff(np.append(np.searchsorted(pair, ctx), len(pair))).astype(np.uint32),
                     y[pair], np.diff(np.append(pair, hi - lo)).astype(np.uint32), local.astype(np.uint32), times[lo:hi].astype(np.uint32),
+                    starts[lo:hi].astype(np.uint32), words[lo:hi].astype(np.uint32),
                 )
                 yield pa.RecordBatch.from_pylist([{"part": p, "blob": blob}], schema=SENT)
 
     return run
 
 
-JOINED = "w long, times long, doc long, n long, score double"
+JOINED = "w long, times long, own long, others long, doc long, n long, score double"
 
 
-def _join(shared, min_count: int):
+def _join(shared):
     """Counts a partition's pairs and scores them; a row for each document, and one for each word to look up."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = shared.value
         plain = pdf[pdf.blob.isnull()]
-        out = [pd.DataFrame({"w": mix(plain.doc.fillna(0).to_numpy(np.int64).view(np.uint64)).view(np.int64), "times": 0, "doc": plain.doc.astype("Int64"), "n": plain.n.astype("int64"), "score": plain.score})]
-        cols = [[] for _ in range(5)]
+        out = [pd.DataFrame({"w": mix(plain.doc.fillna(0).to_numpy(np.int64).view(np.uint64)).view(np.int64), "times": 0, "own": 0, "others": 1, "doc": plain.doc.astype("Int64"), "n": plain.n.astype("int64"), "score": plain.score})]
+        cols = [[] for _ in range(8)]
         for blob in pdf.blob[pdf.blob.notnull()]:
-            ids, known, c, per_ctx, b, per_pair, local, times = unpack(blob, KINDS)
-            for held, x in zip(cols, (np.repeat(np.repeat(c, per_ctx), per_pair), np.repeat(b, per_pair), ids[local], known[local], times)):
+            ids, known, size, c, per_ctx, b, per_pair, local, times, starts, own = unpack(blob, KINDS)
+            for held, x in zip(cols, (np.repeat(np.repeat(c, per_ctx), per_pair), np.repeat(b, per_pair), ids[local], known[local], times, starts, own, size[local])):
                 held.append(x)
         if cols[0]:
-            ctx, nxt, doc, known, times = map(np.concatenate, cols)
+            ctx, nxt, doc, known, times, starts, own, size = map(np.concatenate, cols)
             cols.clear()
             order = np.lexsort((nxt, ctx))
             ctx, nxt, doc, known, times = ctx[order], nxt[order], doc[order], known[order], times[order].astype(np.int64)
+            starts, own, others = starts[order].astype(np.int64), own[order].astype(np.int64), np.maximum(t["total"] - size[order].astype(np.int64), 1)
             pair, start = _runs(ctx, nxt), _runs(ctx)
             n_pair = np.repeat(np.add.reduceat(times, pair), np.diff(np.append(pair, len(ctx))))
             n_start = np.repeat(np.add.reduceat(times, start), np.diff(np.append(start, len(ctx))))
@@ -202,16 +222,16 @@ def _join(shared, min_count: int):
             if len(t["hot"]):
                 n_start = np.where(kv >= 0, t["hot_start"][kv], n_start)
             opening = ctx == 0
-            hit = (n_pair >= min_count) & ~opening
+            hit = (n_pair > times) & ~opening
             kw = _find(t["words"], nxt)
-            s = np.where(hit, np.log(n_pair / n_start), np.where(opening, 0.0, math.log(BACKOFF)) - math.log(t["total"]))
+            s = np.where(hit, np.log(np.maximum(n_pair - times, 1) / np.maximum(n_start - starts, 1)), np.where(opening, 0.0, math.log(BACKOFF)))
             if len(t["words"]):
-                s = s + np.where(~hit & (kw >= 0), np.log(t["words_n"][kw]), 0.0)
+                s = s + np.where(~hit & (kw >= 0), np.log(np.maximum(t["words_n"][kw] - own, 1) / others), 0.0)
             ask = ~hit & (kw < 0)
             s *= times
             # documents in order; the first word to look up carries the document's score, else a row of its own
             order = np.lexsort((nxt, ~ask, doc, known))
-            doc, known, nxt, ask, times, s = doc[order], known[order], nxt[order], ask[order], times[order], s[order]
+            doc, known, nxt, ask, times, s, own, others = doc[order], known[order], nxt[order], ask[order], times[order], s[order], own[order], others[order]
             begin = _runs(doc, known)
             total = np.add.reduceat(s, begin)
             row = ask.copy()
@@ -222,18 +242,19 @@ def _join(shared, min_count: int):
             w = np.where(ask, nxt, mix(doc.view(np.uint64)))[keep].view(np.int64)
             ids = pd.array(doc[keep], dtype="Int64")
             ids[~known[keep]] = pd.NA
-            out.append(pd.DataFrame({"w": w, "times": np.where(ask, times, 0)[keep], "doc": ids, "n": 0, "score": score[keep]}))
+            out.append(pd.DataFrame({"w": w, "times": np.where(ask, times, 0)[keep], "own": own[keep], "others": others[keep], "doc": ids, "n": 0, "score": score[keep]}))
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, hot_share: float = HOT_SHARE, known_share: float = KNOWN_SHARE) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_score) for every document."""
+def lm_scores(docs: DataFrame, hot_share: float = HOT_SHARE, known_share: float = KNOWN_SHARE) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_score) for every document, by word pairs."""
     spark = docs.sparkSession
     pairs = docs.select("doc_id", "text")
     words = materialize(pairs.mapInArrow(tidy(_unigrams), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
+    hot_share = min(hot_share, max(PART / max(total, 1), known_share))  # a word that would fill a partition is hot
     # at most 1 / known_share rows
     known = sorted((r["w"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in words.where(F.col("n") > known_share * total).collect())
     table = {"total": max(total, 1), "words": np.array([w for w, _ in known], np.uint64), "words_n": np.array([n for _, n in known], np.int64)}
@@ -248,13 +269,74 @@ def lm_scores(docs: DataFrame, min_count: int = MIN_COUNT, hot_share: float = HO
     table |= {"pairs": np.array([p for p, _ in both], np.int64), "pairs_n": np.array([n for _, n in both], np.int64)}
     shared = spark.sparkContext.broadcast(table)
     parts = max(1, math.ceil(total / PART))
-    sent = pairs.mapInArrow(tidy(_explode(shared, parts, min_count)), "part int, blob binary, doc long, n long, score double")
-    found = sent.groupBy("part").applyInPandas(_join(shared, min_count), JOINED)
+    sent = pairs.mapInArrow(tidy(_explode(shared, parts)), "part int, blob binary, doc long, n long, score double")
+    found = sent.groupBy("part").applyInPandas(_join(shared), JOINED)
     rare = words.where(F.col("n") <= known_share * total).select(F.col("w").alias("u"), F.col("n").alias("c"))
     scored = found.join(rare, F.col("w") == F.col("u"), "left")
-    per = scored.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum(F.col("score") + F.col("times") * F.coalesce(F.log("c"), F.lit(0.0))).alias("log_score"))
+    per = scored.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum(F.col("score") + F.when(F.col("times") > 0, F.col("times") * F.log(F.greatest(F.col("c") - F.col("own"), F.lit(1)) / F.col("others"))).otherwise(0.0)).alias("log_score"))
     return per.select(F.col("doc").alias("doc_id"), "n_words", "log_score", (F.col("log_score") / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_score"))
 
 
+def _grams(order: int):
+    """For every distinct n-gram ending of a row: hashes of the last 1 ... order words and of what stands before the
+    last one, the row's own counts of both, and how often the whole is found."""
+
+    def run(batches):
+        for b in batches:
+            for i, n, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                h = _words([(t or "").encode("utf-8", "replace")])[1]
+                if not len(h):
+                    continue
+                ends = []  # ends[k][p]: the k + 1 words that end at p, 0 where the text is shorter
+                for k in range(order):
+                    g = h if not k else np.concatenate((np.zeros(k, np.uint64), mix(ends[k - 1][k - 1 : -1] * np.uint64(0x9E3779B97F4A7C15) + h[k:])[: len(h) - k] if len(h) > k else h[:0]))[: len(h)]
+                    ends.append(g)
+                own = [np.where(g != 0, _own(g), 0) for g in ends]
+                lead = [np.concatenate((np.zeros(1, np.uint64), g[:-1])) for g in ends]
+                # contexts: k words that another word follows
+                lead_own = [np.where(x != 0, _own(np.where(x != 0, x, 0)), 0) for x in lead]
+                key = np.stack(ends)
+                first = np.unique(key, axis=1, return_index=True, return_counts=True)
+                at, times = first[1], first[2]
+                col = lambda xs, kind: pa.FixedSizeListArray.from_arrays(pa.array(np.stack(xs)[:, at].T.ravel().astype(kind)), order).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(at), pa.int64()), pa.array([n] * len(at), pa.int64()), pa.array(np.full(len(at), len(h), np.int64)), col([e.view(np.int64) for e in ends], np.int64), col(own, np.int64), col([x.view(np.int64) for x in lead], np.int64), col(lead_own, np.int64), pa.array(times.astype(np.int64))],
+                    ["row", "doc_id", "size", "g", "o", "x", "xo", "times"],
+                )
+
+    return run
+
+
+def scores_by_joins(docs: DataFrame, order: int = 3) -> DataFrame:
+    """(doc_id, log_score) by n-grams of any order, as plain joins: count tables of n-grams and of contexts, partitioned
+    by hash, met by the exploded n-grams from the highest order down; what misses goes on to the next lower one."""
+    named = materialize(docs.select(F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("row"), "doc_id", "text"), "rows")
+    rows = named.mapInArrow(tidy(_grams(order)), "row long, doc_id long, size long, g array<long>, o array<long>, x array<long>, xo array<long>, times long")
+    rows = materialize(rows, "grams")
+    total = rows.agg(F.sum("times")).first()[0] or 0
+    out, left = None, rows
+    for k in range(order, 0, -1):
+        i = k - 1
+        table = rows.where(F.col("g")[i] != 0).groupBy(F.col("g")[i].alias("gram")).agg(F.sum("times").alias("n"))
+        here = left.where(F.col("g")[i] != 0).join(table, F.col("g")[i] == F.col("gram"))
+        n = F.col("n") - F.col("o")[i]
+        # a text's first words have no longer context: no penalty for the orders they can't have
+        steps = F.size(F.filter(F.slice("g", k + 1, order), lambda v: v != 0))
+        if k > 1:
+            starts = rows.where(F.col("x")[i - 1] != 0).groupBy(F.col("x")[i - 1].alias("context")).agg(F.sum("times").alias("m"))
+            here = here.join(starts, F.col("x")[i - 1] == F.col("context"))
+            value = n / F.greatest(F.col("m") - F.col("xo")[i - 1], F.lit(1))
+            hit = n > 0
+        else:
+            value, hit = F.greatest(n, F.lit(1)) / F.greatest(F.lit(total) - F.col("size"), F.lit(1)), F.lit(True)
+        scored = here.withColumn("hit", hit).withColumn("s", F.when(F.col("hit"), F.col("times") * (F.log(value) + steps * math.log(BACKOFF)))).select("row", "doc_id", "size", "g", "o", "x", "xo", "times", "hit", "s")
+        scored = materialize(scored, "scored")
+        part = scored.where("hit").groupBy("row", "doc_id").agg(F.sum("s").alias("s"))
+        out = part if out is None else out.union(part)
+        left = scored.where("not hit").drop("hit", "s").union(left.where(F.col("g")[i] == 0))
+    per = out.groupBy("row", "doc_id").agg(F.sum("s").alias("log_score"))
+    return named.select("row", "doc_id").join(per.select("row", "log_score"), "row", "left").select("doc_id", F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+
+
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -170,9 +170,9 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the input's columns: every row as many times as the plan takes it."""
     _, plan = mix_plan(docs, **options)
-    d, p = docs.withColumn("__key", doc_key()).alias("d"), plan.where("copies > 0").alias("p")
-    on = (F.col("d.__key") == F.col("p.doc_key")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (words("d.text") == F.col("p.size"))
-    return d.join(p, on).select("d.*", F.explode(F.sequence(F.lit(1), "p.copies")).alias("__copy")).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_key(), "source", words().alias("size"))
+    d, p = rows.alias("d"), plan.where("copies > 0").alias("p")
+    return d.join(p, _same("d", "p")).select("d.row", F.explode(F.sequence(F.lit(1), "p.copies"))).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

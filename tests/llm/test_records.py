@@ -22,16 +22,22 @@ def test_turns_round_trip():
 
 
 def test_layouts(spark):
-    rows = [
-        (1, '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}'), (2, '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}'),
-        (3, '{"instruction": "i", "input": "x", "output": "o"}'), (4, '{"instruction": "i", "output": "o"}'), (5, '{"prompt": "p", "response": null}'), (6, '{"odd": 1}'), (7, "not json"), (8, None),
+    ask, say = ("user", "a", True), ("assistant", "b", True)
+    pair = '[{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]'
+    cases = [
+        (f'{{"messages": {pair}}}', [ask, say]), ('{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', [ask, say]),
+        ('{"instruction": "i", "input": "x", "output": "b"}', [("user", "i\n\nx", True), say]), ('{"instruction": "a", "output": "b"}', [ask, say]), ('{"prompt": "a", "response": null}', [ask, ("assistant", "", True)]),
+        (f'{{"system": "s", "messages": {pair}}}', [("system", "s", True), ask, say]), ('{"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "bot", "content": "b"}], "id": 3}', [ask, say]),
+        ('{"system": "s", "instruction": "a", "output": "b", "source": "x"}', [("system", "s", True), ask, say]), ('{"prompt": "a", "chosen": "b", "rejected": "c"}', [ask, say]), (f'{{"chosen": {pair}, "rejected": {pair}}}', [ask, say]),
+        ('{"turns": [{"role": "user", "text": "a"}]}', [ask]), ('{"question": "a", "answer": "b", "context": ""}', [ask, say]), ('{"messages": []}', []), ('{"system": "s", "conversations": []}', [("system", "s", True)]),
+        ('{"messages[].role": "user", "messages[].content": "a"}', None), ('{"a.b": 1}', None), ('{"a": {"b": 1}}', None), ('{"odd": 1}', None), ("{}", None), ("[1]", None), ("not json", None), (None, None),
     ]
     got = {}
-    for r in chat.canonical_records(spark.createDataFrame(rows, "conv_id long, record string")).collect():
-        got.setdefault(r["conv_id"], []).append((r["role"], r["text"], r["error"] is None))
-    assert got[1] == got[2] == [("user", "a", True), ("assistant", "b", True)]
-    assert got[3] == [("user", "i\n\nx", True), ("assistant", "o", True)] and got[4][0] == ("user", "i", True) and got[5] == [("user", "p", True), ("assistant", "", True)]
-    assert all(got[k] == [(None, None, False)] for k in (6, 7, 8))
+    for r in chat.canonical_records(spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "conv_id long, record string").repartition(3)).collect():
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"], r["error"] is None))
+    for k, (_, want) in enumerate(cases):
+        assert [x[1:] for x in sorted(got.get(k, []), key=lambda x: x[0] or 0)] == ([(None, None, False)] if want is None else want), cases[k]
+    assert chat.fingerprint(chat.paths_of_value({"a.b": 1})) != chat.fingerprint(chat.paths_of_value({"a": {"b": 1}}))
 
 
 def test_chats_equal_plain_digests(spark):

@@ -58,37 +58,60 @@ def test_language_without_labels(spark):
     assert langid.identify(docs.select("doc_id", "text").where("false"), None).count() == 0
 
 
-def plain_scores(texts, min_count):
+def plain_scores(texts, order):
+    """Stupid backoff where a text's own n-grams don't count, by definition."""
     w = [(t or "").encode().lower().split() for t in texts]
-    one, two, start = Counter(), Counter(), Counter()
-    for x in w:
-        one.update(x)
-        two.update(zip(x, x[1:]))
-        start.update(x[:-1])
-    n = sum(one.values())
+    grams = [Counter(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1)) for x in w]
+    starts = [Counter(tuple(x[i : i + n]) for n in range(1, order) for i in range(len(x) - n)) for x in w]
+    all_grams, all_starts = sum(grams, Counter()), sum(starts, Counter())
+    total = sum(map(len, w))
     out = []
-    for x in w:
-        s = math.log(one[x[0]] / n) if x else 0.0
-        for a, b in zip(x, x[1:]):
-            s += math.log(two[a, b] / start[a]) if two[a, b] >= min_count else math.log(0.4 * one[b] / n)
-        out.append((len(x), s))
+    for x, g, st in zip(w, grams, starts):
+        score = 0.0
+        for i in range(len(x)):
+            most = min(order, i + 1)
+            for n in range(most, 0, -1):
+                gram = tuple(x[i - n + 1 : i + 1])
+                c = all_grams[gram] - g[gram]
+                if n == 1:
+                    value = max(c, 1) / max(total - len(x), 1)
+                elif c > 0:
+                    value = c / max(all_starts[gram[:-1]] - st[gram[:-1]], 1)
+                else:
+                    continue
+                score += math.log(value) + (most - n) * math.log(0.4)
+                break
+        out.append((len(x), score))
     return out
 
 
+def score_texts():
+    rng = random.Random(2)
+    texts = [None, "", " \n", "Ensam", "ensam", "a a a a a"] + [words_of(rng, SYLLABLES["aa"] + ["the "] * 3, rng.randint(1, 80)) for _ in range(120)]
+    return texts + [texts[20]] * 5
+
+
 @pytest.mark.parametrize("hot,known,part", [(1e-3, 2e-6, 3_000_000), (0.02, 0.01, 500), (0.9, 0.9, 200)])
 def test_scores_equal_brute_force(spark, monkeypatch, hot, known, part):
     monkeypatch.setattr(lm_score, "PART", part)
-    rng = random.Random(2)
-    texts = [None, "", " \n", "Ensam", "ensam", "a a a a a"] + [words_of(rng, SYLLABLES["aa"] + ["the "] * 3, rng.randint(1, 80)) for _ in range(120)]
-    texts += [texts[20]] * 5
-    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int").repartition(3)
+    texts = score_texts()
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, own int").repartition(3)
     got = {r["doc_id"]: r for r in lm_score.lm_scores(docs, hot_share=hot, known_share=known).collect()}
-    for i, (n, s) in enumerate(plain_scores(texts, lm_score.MIN_COUNT)):
+    for i, (n, s) in enumerate(plain_scores(texts, 2)):
         assert got[i]["n_words"] == n and math.isclose(got[i]["log_score"], s, rel_tol=1e-9, abs_tol=1e-9)
         assert (got[i]["mean_score"] is None) == (n == 0)
     assert lm_score.lm_scores(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_any_order(spark, order):
+    texts = score_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["log_score"] for r in lm_score.scores_by_joins(docs, order).collect()}
+    for i, (_, s) in enumerate(plain_scores(texts, order)):
+        assert math.isclose(got[i], s, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def plain_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

@@ -34,13 +34,14 @@ from .words import mix, word_hashes
 BACKOFF = 0.4
 HOT_SHARE, KNOWN_SHARE = 1e-3, 2e-6
 #: Words of a batch, and of a partition at expectation.
-BATCH, PART = 1_000_000, 1_500_000
+BATCH, PART = 1_500_000, 1_500_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Sorted 64-bit arrays and small counts, compressed; see unpack."""
+    """Arrays, compressed; those of small numbers byte by byte, so that their zeros lie together. See unpack."""
     head = np.array([len(a) for a in arrays], np.uint32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    body = (a.tobytes() if a.dtype.itemsize != 4 else a.view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(body))
 
 
 def unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
@@ -48,8 +49,12 @@ def unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     sizes = np.frombuffer(data, np.uint32, len(kinds))
     at, out = 4 * len(kinds), []
     for n, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        if width == 4:
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view(kind).ravel())
+        else:
+            out.append(np.frombuffer(data, kind, n, at))
+        at += n * width
     return out
 
 
@@ -185,16 +190,16 @@ def _explode(shared, parts: int):
                 docs, local = np.unique(doc[lo:hi], return_inverse=True)
                 pair, ctx = _runs(x, y), _runs(x)
                 blob = pack(
-                    keys[docs], known[docs], count[docs].astype(np.uint32), x[ctx], np.diff(np.append(np.searchsorted(pair, ctx), len(pair))).astype(np.uint32),
+                    keys[docs], known[docs], count[docs].astype(np.uint32), np.diff(x[ctx], prepend=np.uint64(0)), np.diff(np.append(np.searchsorted(pair, ctx), len(pair))).astype(np.uint32),
                     y[pair], np.diff(np.append(pair, hi - lo)).astype(np.uint32), local.astype(np.uint32), times[lo:hi].astype(np.uint32),
-                    starts[lo:hi].astype(np.uint32), words[lo:hi].astype(np.uint32),
+                    (starts[lo:hi] - times[lo:hi]).astype(np.int32).view(np.uint32), (words[lo:hi] - times[lo:hi]).astype(np.uint32),
                 )
                 yield pa.RecordBatch.from_pylist([{"part": p, "blob": blob}], schema=SENT)
 
     return run
 
 
-JOINED = "w long, times long, own long, others long, doc long, n long, score double"
+JOINED = "w long, own long, doc long, n long, score double"
 
 
 def _join(shared):
@@ -203,10 +208,12 @@ def _join(shared):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t = shared.value
         plain = pdf[pdf.blob.isnull()]
-        out = [pd.DataFrame({"w": mix(plain.doc.fillna(0).to_numpy(np.int64).view(np.uint64)).view(np.int64), "times": 0, "own": 0, "others": 1, "doc": plain.doc.astype("Int64"), "n": plain.n.astype("int64"), "score": plain.score})]
+        out = [pd.DataFrame({"w": mix(plain.doc.fillna(0).to_numpy(np.int64).view(np.uint64)).view(np.int64), "own": 0, "doc": plain.doc.astype("Int64"), "n": plain.n.astype("int64"), "score": plain.score})]
+        # own: the row's own count of the word in the upper half, how often it is asked for in the lower one
         cols = [[] for _ in range(8)]
         for blob in pdf.blob[pdf.blob.notnull()]:
             ids, known, size, c, per_ctx, b, per_pair, local, times, starts, own = unpack(blob, KINDS)
+            c, starts, own = np.cumsum(c, dtype=np.uint64), starts.view(np.int32) + times.astype(np.int64), own + times.astype(np.int64)
             for held, x in zip(cols, (np.repeat(np.repeat(c, per_ctx), per_pair), np.repeat(b, per_pair), ids[local], known[local], times, starts, own, size[local])):
                 held.append(x)
         if cols[0]:
@@ -224,14 +231,14 @@ def _join(shared):
             opening = ctx == 0
             hit = (n_pair > times) & ~opening
             kw = _find(t["words"], nxt)
-            s = np.where(hit, np.log(np.maximum(n_pair - times, 1) / np.maximum(n_start - starts, 1)), np.where(opening, 0.0, math.log(BACKOFF)))
+            s = np.where(hit, np.log(np.maximum(n_pair - times, 1) / np.maximum(n_start - starts, 1)), np.where(opening, 0.0, math.log(BACKOFF)) - np.log(others))
             if len(t["words"]):
-                s = s + np.where(~hit & (kw >= 0), np.log(np.maximum(t["words_n"][kw] - own, 1) / others), 0.0)
+                s = s + np.where(~hit & (kw >= 0), np.log(np.maximum(t["words_n"][kw] - own, 1)), 0.0)
             ask = ~hit & (kw < 0)
             s *= times
             # documents in order; the first word to look up carries the document's score, else a row of its own
             order = np.lexsort((nxt, ~ask, doc, known))
-            doc, known, nxt, ask, times, s, own, others = doc[order], known[order], nxt[order], ask[order], times[order], s[order], own[order], others[order]
+            doc, known, nxt, ask, times, s, own = doc[order], known[order], nxt[order], ask[order], times[order], s[order], own[order]
             begin = _runs(doc, known)
             total = np.add.reduceat(s, begin)
             row = ask.copy()
@@ -242,7 +249,7 @@ def _join(shared):
             w = np.where(ask, nxt, mix(doc.view(np.uint64)))[keep].view(np.int64)
             ids = pd.array(doc[keep], dtype="Int64")
             ids[~known[keep]] = pd.NA
-            out.append(pd.DataFrame({"w": w, "times": np.where(ask, times, 0)[keep], "own": own[keep], "others": others[keep], "doc": ids, "n": 0, "score": score[keep]}))
+            out.append(pd.DataFrame({"w": w, "own": np.where(ask, own << 32 | times, 0)[keep], "doc": ids, "n": 0, "score": score[keep]}))
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -273,7 +280,8 @@ def lm_scores(docs: DataFrame, hot_share: float = HOT_SHARE, known_share: float
     found = sent.groupBy("part").applyInPandas(_join(shared), JOINED)
     rare = words.where(F.col("n") <= known_share * total).select(F.col("w").alias("u"), F.col("n").alias("c"))
     scored = found.join(rare, F.col("w") == F.col("u"), "left")
-    per = scored.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum(F.col("score") + F.when(F.col("times") > 0, F.col("times") * F.log(F.greatest(F.col("c") - F.col("own"), F.lit(1)) / F.col("others"))).otherwise(0.0)).alias("log_score"))
+    times = F.col("own").bitwiseAND(F.lit(0xFFFFFFFF))
+    per = scored.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum(F.col("score") + F.when(times > 0, times * F.log(F.greatest(F.col("c") - F.shiftright("own", 32), F.lit(1)))).otherwise(0.0)).alias("log_score"))
     return per.select(F.col("doc").alias("doc_id"), "n_words", "log_score", (F.col("log_score") / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_score"))
 
 

@@ -347,4 +347,5 @@ def scores_by_joins(docs: DataFrame, order: int = 3) -> DataFrame:
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_score", 9).alias("mean_score"))

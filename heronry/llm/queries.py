@@ -26,4 +26,55 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op4: the template, the escapes and the loss mask, written out.
+_CHAT = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    sum(length('<turn:' || url_encode(role) || '>') + 1 + length(regexp_replace(text, '(\\|<turn:|</turn>)', '\\\1', 'g')) + length('</turn>') + 1)::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id"""
+
+#: op5: the digest's 40 hexadecimal digits as bits, five at a time as letters.
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes,
+    array_to_string(list_transform(string_split(sha1(html), ''), lambda x: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', x) - 1) + 1, 4)), '') AS bits FROM p),
+    d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
+        + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest FROM b),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+#: op6: every count less the row's own.
+_SCORES = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x0B]', ' ', 'g'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT r, unnest(ws) AS b, unnest(list_prepend(NULL, ws[:-2])) AS a, len(ws) AS size FROM d WHERE len(ws) > 0),
+    c1 AS (SELECT b, count(*) AS n FROM w GROUP BY b), o1 AS (SELECT r, b, count(*) AS o FROM w GROUP BY ALL),
+    c2 AS (SELECT a, b, count(*) AS n FROM w WHERE a IS NOT NULL GROUP BY ALL), o2 AS (SELECT r, a, b, count(*) AS o FROM w WHERE a IS NOT NULL GROUP BY ALL),
+    s2 AS (SELECT a, count(*) AS n FROM w WHERE a IS NOT NULL GROUP BY ALL), os AS (SELECT r, a, count(*) AS o FROM w WHERE a IS NOT NULL GROUP BY ALL),
+    x AS (SELECT w.r, CASE WHEN c2.n > o2.o THEN ln((c2.n - o2.o) / greatest(s2.n - os.o, 1)) ELSE CASE WHEN w.a IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(c1.n - o1.o, 1) / greatest((SELECT count(*) FROM w) - w.size, 1)) END AS s
+        FROM w JOIN c1 USING (b) JOIN o1 ON o1.r = w.r AND o1.b = w.b LEFT JOIN c2 ON c2.a = w.a AND c2.b = w.b LEFT JOIN o2 ON o2.r = w.r AND o2.a = w.a AND o2.b = w.b LEFT JOIN s2 ON s2.a = w.a LEFT JOIN os ON os.r = w.r AND os.a = w.a),
+    y AS (SELECT r, sum(s) AS s FROM x GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score, round(s / nullif(len(ws), 0), 9) AS mean_score FROM d LEFT JOIN y USING (r)"""
+
+#: op7: every pair, and the smallest vector reachable.
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+    m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m ON m.a = vec_id"""
+
+#: op8: every string of 200 bytes of every text, in hexadecimal.
+_STRINGS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    b AS (SELECT r, n, j, substr(h, 400 * j + 1, 800) AS ch FROM (SELECT r, h, n, unnest(range(0, n // 200)) AS j FROM d)),
+    w AS (SELECT r, 200 * j + k AS i, md5(substr(ch, 2 * k + 1, 400)) AS k FROM (SELECT r, n, j, ch, unnest(range(200)) AS k FROM b) WHERE 200 * j + k <= n - 200),
+    s AS (SELECT r, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+    g AS (SELECT r, i, sum(CASE WHEN i - before > 200 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s)),
+    c AS (SELECT r, run, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY ALL), p AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS last FROM c),
+    q AS (SELECT r, sum(hi - lo) AS removed, count(*) AS spans, string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo) AS kept, max(hi) AS top FROM p JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN q.r IS NULL THEN h ELSE kept || substr(h, 2 * top + 1) END)) AS kept_sha256 FROM d LEFT JOIN q USING (r)"""
+
+#: The others can't be put in SQL: they are tested against brute force or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": _CHAT,
+    "op5_warc": _WARC,
+    "op6_lm_scoring": _SCORES,
+    "op7_embedding_dedup": _VECTORS,
+    "op8_suffix_dedup": _STRINGS,
+}

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck(sf_dir):
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "null" if v is None or v != v else repr(float(v)) if isinstance(v, float) or getattr(getattr(v, "dtype", None), "kind", "") == "f" else str(v)
+    show = lambda v: "null" if pd.isna(v) else repr(float(v)) if isinstance(v, float) or getattr(getattr(v, "dtype", None), "kind", "") == "f" else str(v)
     return sorted(tuple(map(show, r)) for r in df.itertuples(index=False))
 
 

@@ -7,6 +7,9 @@ n - ceil(0.8 n) + 1 of each - and every pair that meets is verified by the exact
 that are frequent in a sample last; it decides the work, not the result. Pairs are taken in two steps: those of the
 grid and each set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet.
 
+Texts are fetched only for pairs whose sketches (``SKETCH`` min-hashes of a byte) agree in ``AGREE`` places at least:
+at similarity 0.8 a pair has fewer with a probability of 1e-9, unrelated ones never come near.
+
 Defined cases: words are as in ``simhash``; a text of fewer words than five is one shingle; texts without words are
 equal; rows with a null doc_id link like any other; of a group one row stays, see ``common.keep_one``.
 """
@@ -81,33 +84,48 @@ def _fingerprint(s: np.ndarray) -> int:
 ROW = pa.struct([("doc_id", pa.int64()), ("key", pa.struct([("a", pa.int64()), ("b", pa.int64())]))])
 
 
-def _sets(width, whole):
+#: Min-hashes of a set's sketch, and how many of two similar sets agree.
+SKETCH, AGREE = 128, 73
+_ODD = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """A byte of each min-hash of a shingle set."""
+    low = np.full(SKETCH, ~np.uint64(0))
+    for k in range(0, len(s), 1024):
+        np.minimum(low, np.multiply.outer(s[k : k + 1024], _ODD).min(0), out=low)
+    return (mix(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _sets(width):
+    """A row for each document: its name, its set's digest, fingerprint, size and sketch."""
+
     def run(batches):
         for ids, texts in _texts(batches):
             sets = shingles(texts, width)
-            node = pa.array([_digest(s) for s in sets], pa.int64())
-            if whole:
-                pack = zstandard.ZstdCompressor(level=3)
-                fp = pa.array([_fingerprint(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([node, fp, pa.array([pack.compress(t) for t in texts], pa.binary())], ["node", "fp", "text"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, ROW), node], ["r", "node"])
+            ints = [pa.array([f(s) for s in sets], pa.int64()) for f in (_digest, _fingerprint, len)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, ROW), *ints, pa.array([sketch(s) for s in sets], pa.binary())], ["r", "node", "fp", "n", "sk"])
 
     return run
 
 
-def _unpacked(b: pa.RecordBatch, width: int):
-    """(row, shingles) of each row's packed text."""
-    unpack = zstandard.ZstdDecompressor()
-    for i, t in enumerate(b.column(1)):
-        yield i, shingles([unpack.decompress(t.as_py())], width)[0].view(np.int64)
+def _held(width):
+    """Packed texts of the sets whose digest is wanted."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for _, texts in _texts(batches):
+            nodes = [_digest(s) for s in shingles(texts, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["node", "text"])
+
+    return run
 
 
 def _sample(width):
     def run(batches):
-        for b in batches:
-            for _, h in _unpacked(b, width):
-                yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+        for _, texts in _texts(batches):
+            for h in shingles(texts, width):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
     return run
 
@@ -115,20 +133,31 @@ def _sample(width):
 def _prefixes(shared, width, similarity):
     def run(batches):
         keys, often = shared.value
-        for b in batches:
-            for i, h in _unpacked(b, width):
-                size = len(h)
+        done: set[int] = set()  # copies that one task meets are sent once
+        for _, texts in _texts(batches):
+            for s in shingles(texts, width):
+                node, size, h = _digest(s), len(s), s.view(np.int64)
                 n = size - math.ceil(similarity * size - 1e-9) + 1
-                if not size:
+                if not size or node in done:
                     continue
+                if len(done) < 1 << 20:
+                    done.add(node)
                 if len(keys):
                     k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     h = h[np.lexsort((h, np.where(keys[k] == h, often[k], 0)))]
-                yield pa.RecordBatch.from_arrays([pa.array(h[:n]), pa.array(np.full(n, b.column(0)[i].as_py()), pa.int64()), pa.array(np.full(n, size), pa.int64())], ["h", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:n]), pa.array(np.full(n, node), pa.int64())], ["h", "node"])
 
     return run
 
 
+def _agree(batches):
+    """The pairs whose sketches agree."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH) for c in ("sa", "sb"))
+        keep = pa.array((x == y).sum(1) >= AGREE)
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+
 def _similar(width, similarity):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -147,10 +176,17 @@ def _similar(width, similarity):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is high enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is high enough, as a table."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}")) for x in ("a", "b"))
+    sized = pairs.join(a, "a").join(b, "b").where((F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6))
+    near = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(tidy(_agree), "a long, b long"), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
+    texts = materialize(packed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(_similar(width, similarity)), "a long, b long")
+    whole = near.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+    return materialize(whole.mapInArrow(tidy(_similar(width, similarity)), "a long, b long"), "links")
 
 
 def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -158,32 +194,33 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     spark = docs.sparkSession
     pairs = docs.select("doc_id", "text")
     named = docs.select(F.struct("doc_id", row_key().alias("key")).alias("r"), "text")
-    ids = materialize(named.mapInArrow(tidy(_sets(width, False)), "r struct<doc_id: long, key: struct<a: long, b: long>>, node long").select("r.doc_id", "r.key", "node"), "nodes")
-    sets = materialize(pairs.mapInArrow(tidy(_sets(width, True)), "node long, fp long, text binary").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")), "sets")
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "text").mapInArrow(tidy(_sample(width)), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    ids = named.mapInArrow(tidy(_sets(width)), "r struct<doc_id: long, key: struct<a: long, b: long>>, node long, fp long, n long, sk binary")
+    ids = materialize(ids.select("r.doc_id", "r.key", "node", "fp", "n", "sk"), "nodes")
+    sets = materialize(ids.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sk").alias("sk")), "sets")
+    sample = pairs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(tidy(_sample(width)), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
     often = sorted((r["h"], r["count"]) for r in sample.orderBy(F.desc("count"), "h").limit(MOST).collect())
     shared = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
-    prefix = sets.select("node", "text").mapInArrow(tidy(_prefixes(shared, width, similarity)), "h long, node long, n long")
-    met = prefix.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("low")).where("k > 1").select("h", "low")
-    places = materialize(prefix.join(met, "h"), "places")
-    held = materialize(sets.join(places.select("node").distinct(), "node", "left_semi"), "held")
+    # one shuffle serves the aggregation and the join
+    prefix = pairs.mapInArrow(tidy(_prefixes(shared, width, similarity)), "h long, node long").repartition("h")
+    met = prefix.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("h", "low")
+    places = materialize(prefix.join(met.hint("shuffle_merge"), "h"), "places")
     reps = materialize(sets.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
     alike = sets.select("fp", "node").join(reps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     grid = alike.union(links(reps).select(F.least("a", "b"), F.greatest("a", "b")))
-    first = places.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).union(grid).distinct()
-    linked = materialize(_verified(first, held, width, similarity), "links")
-    cc = connected_components(linked)
+    first = materialize(places.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).union(grid).distinct(), "first")
+    linked = _verified(first, sets, docs, width, similarity)
+    cc = materialize(connected_components(linked), "components")
     # what is still apart at a shingle
-    part = materialize(places.join(cc, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c")), "places")
+    part = materialize(places.select("h", "node").distinct().join(cc, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c")), "places")
     apart = part.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-    part = part.join(apart, "h", "left_semi")
+    part = materialize(part.join(apart, "h", "left_semi").join(sets.select("node", "n"), "node"), "apart")
     x, y = part.alias("x"), part.alias("y")
     near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node"))
     near &= (F.col("x.n") >= similarity * F.col("y.n") - 1e-6) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6)
     rest = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    cc = connected_components(linked.union(_verified(rest, held, width, similarity)))
-    return ids.join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    cc = connected_components(linked.union(_verified(rest, sets, docs, width, similarity)))
+    return ids.select("doc_id", "key", "node").join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))
 
 
 def dedup_simhash(docs: DataFrame, **options) -> DataFrame:

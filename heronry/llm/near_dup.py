@@ -4,7 +4,9 @@ SimHash alone can't hold that bound: at similarity 0.8 two 64-bit fingerprints d
 long tail. So the segment-popcount grid of ``simhash`` gives the pairs at three bits or fewer, a prefix filter gives
 all others - in any one order of shingles, two sets that are similar enough share a shingle among the first
 n - ceil(0.8 n) + 1 of each - and every pair that meets is verified by the exact similarity. The order puts shingles
-that are frequent in a sample last; it decides the work, not the result. Pairs are taken in two steps: those of the
+that are frequent in a sample last; it decides the work, not the result. Of the smaller set the shared shingle is
+among fewer still, the first n - ceil(2 * 0.8 / 1.8 n) + 1, so a passage that many documents hold makes no pairs but
+of those that it nearly fills. Pairs are taken in two steps: those of the
 grid and each set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet.
 
 Texts are fetched only for pairs whose sketches (``SKETCH`` min-hashes of a byte) agree in ``AGREE`` places at least:
@@ -31,6 +33,8 @@ from .words import BASE, mix, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 CHUNK = 1 << 18
+#: Shingles that a verifying task keeps of the sets that it met.
+CACHED = 1 << 21
 #: Of so many sets one is in the sample; shingles seen in so many of it are frequent, the first so many of these count.
 SAMPLE, OFTEN, MOST = 16, 8, 200_000
 
@@ -145,7 +149,8 @@ def _prefixes(shared, width, similarity):
                 if len(keys):
                     k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     h = h[np.lexsort((h, np.where(keys[k] == h, often[k], 0)))]
-                yield pa.RecordBatch.from_arrays([pa.array(h[:n]), pa.array(np.full(n, node), pa.int64())], ["h", "node"])
+                short = np.arange(n) <= size - math.ceil(2 * similarity / (1 + similarity) * size - 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:n]), pa.array(np.full(n, node), pa.int64()), pa.array(short)], ["h", "node", "short"])
 
     return run
 
@@ -161,14 +166,23 @@ def _agree(batches):
 def _similar(width, similarity):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        last, x = None, None
+        kept: dict[int, np.ndarray] = {}
+        size = 0
+
+        def shingles_of(node: int, packed) -> np.ndarray:
+            nonlocal size
+            if node not in kept:
+                if size > CACHED:
+                    kept.clear()
+                    size = 0
+                kept[node] = shingles([unpack.decompress(packed.as_py())], width)[0]
+                size += len(kept[node])
+            return kept[node]
+
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                a, ta, tb = (batch.column(k)[i].as_py() for k in (0, 2, 3))
-                if a != last:
-                    last, x = a, shingles([unpack.decompress(ta)], width)[0]
-                y = shingles([unpack.decompress(tb)], width)[0]
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                x, y = shingles_of(a, ta), shingles_of(b, tb)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both / (len(x) + len(y) - both) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
@@ -201,8 +215,8 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     often = sorted((r["h"], r["count"]) for r in sample.orderBy(F.desc("count"), "h").limit(MOST).collect())
     shared = spark.sparkContext.broadcast((np.array([h for h, _ in often], np.int64), np.array([n for _, n in often], np.int64)))
     # one shuffle serves the aggregation and the join
-    prefix = pairs.mapInArrow(tidy(_prefixes(shared, width, similarity)), "h long, node long").repartition("h")
-    met = prefix.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("h", "low")
+    prefix = pairs.mapInArrow(tidy(_prefixes(shared, width, similarity)), "h long, node long, short boolean").repartition("h")
+    met = prefix.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("short").alias("any")).where("low != high and any").select("h", "low")
     places = materialize(prefix.join(met.hint("shuffle_merge"), "h"), "places")
     reps = materialize(sets.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
     alike = sets.select("fp", "node").join(reps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
@@ -211,13 +225,13 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     linked = _verified(first, sets, docs, width, similarity)
     cc = materialize(connected_components(linked), "components")
     # what is still apart at a shingle
-    part = materialize(places.select("h", "node").distinct().join(cc, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c")), "places")
+    part = materialize(places.select("h", "node", "short").distinct().join(cc, "node", "left").select("h", "node", "short", F.coalesce("component", "node").alias("c")), "places")
     apart = part.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
     part = materialize(part.join(apart, "h", "left_semi").join(sets.select("node", "n"), "node"), "apart")
     x, y = part.alias("x"), part.alias("y")
-    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node"))
-    near &= (F.col("x.n") >= similarity * F.col("y.n") - 1e-6) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6)
-    rest = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & F.col("x.short")
+    near &= (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)
+    rest = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
     cc = connected_components(linked.union(_verified(rest, sets, docs, width, similarity)))
     return ids.select("doc_id", "key", "node").join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))

@@ -148,17 +148,59 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     return without(out, again, "left_anti").union(one.select("__row.*"))
 
 
+#: Edges that one task brings to components by itself: some 60 MB of memory.
+EDGES = 1 << 18
+
+
+def _trees(whole: bool):
+    """Edges (u, v) of a task as (node, smallest node reachable by them), ``EDGES`` at a time; ``whole`` gives roots too."""
+
+    def stars(us, vs):
+        ids, at = np.unique(np.concatenate([*us, *vs]), return_inverse=True)
+        n = len(at) // 2
+        parent = list(range(len(ids)))
+        for i, j in zip(at[:n].tolist(), at[n:].tolist()):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            while parent[j] != j:
+                parent[j] = parent[parent[j]]
+                j = parent[j]
+            parent[max(i, j)] = min(i, j)
+        for i, p in enumerate(parent):  # a parent is never the larger one, so it is settled before
+            parent[i] = parent[p]
+        low = ids[np.array(parent, np.int64)]
+        keep = np.ones(len(ids), bool) if whole else ids != low
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(low[keep])], ["u", "v"])
+
+    def run(batches):
+        us, vs, n = [], [], 0
+        for b in pieces(batches, EDGES):
+            if n and n + b.num_rows > EDGES:
+                yield stars(us, vs)
+                us, vs, n = [], [], 0
+            us.append(b.column(0).to_numpy(zero_copy_only=False))
+            vs.append(b.column(1).to_numpy(zero_copy_only=False))
+            n += b.num_rows
+        if n:
+            yield stars(us, vs)
+
+    return run
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge list; component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each moves every neighbour to the smallest one known, and the
-    number of rounds grows with the logarithm of the longest path. The smallest neighbours are aggregated before the
-    shuffle and written as a table, with a row for each of a hub's ``salts``: a hub's edges meet them in as many
-    tasks. Each round is written to the shared folder. Empty in, empty out.
+    Each task first brings its own edges to stars, ``EDGES`` at a time, which keeps what they connect. Then alternating
+    large-star and small-star steps move every neighbour to the smallest one known; the number of rounds grows with the
+    logarithm of the longest path. As soon as ``EDGES`` edges or fewer are left, counted first, one task ends the work.
+    The smallest neighbours are aggregated before the shuffle and written as a table, with a row for each of a hub's
+    ``salts``: a hub's edges meet them in as many tasks. Each round is written to the shared folder. Empty in, empty out.
     """
-    cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "cc")
+    own = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v")
+    cur = materialize(own.mapInArrow(tidy(_trees(False)), "u long, v long"), "cc")
     seen = _digest(cur)
-    while seen[0]:
+    while seen[0] > EDGES:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _salted(both, "low")
         large = _meet(both.where("v > u"), low.select("u", F.least("u", "m").alias("m"), "k", "salt")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -169,10 +211,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         cur = materialize(nxt, "cc")
         now = _digest(cur)
         if now == seen:
-            break
+            roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
         seen = now
-    roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return cur.coalesce(1).mapInArrow(tidy(_trees(True)), "node long, component long")
 
 
 def forest(n: int, ii: np.ndarray, jj: np.ndarray) -> list[int]:

@@ -233,7 +233,8 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     near &= (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)
     rest = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    cc = connected_components(linked.union(_verified(rest, sets, docs, width, similarity)))
+    if not rest.isEmpty():  # the components found stand for the links that made them
+        cc = connected_components(cc.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_verified(rest, sets, docs, width, similarity)))
     return ids.select("doc_id", "key", "node").join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))
 
 

@@ -139,9 +139,11 @@ def test_keep_one_row_of_a_group(spark):
     assert len(out) == 4 and out[1:] == [("5", "f"), ("5", "g"), ("None", "e")] and out[0] in (("1", "a"), ("1", "b"))
 
 
-@pytest.mark.parametrize("hub", [1 << 16, 3])
-def test_components_with_hubs(spark, monkeypatch, hub):
+@pytest.mark.parametrize("hub,held", [(1 << 16, 1 << 18), (1 << 16, 4), (3, 4), (3, 25)])
+def test_components_with_hubs(spark, monkeypatch, hub, held):
+    """Rounds of stars, the last task and both in turn give the same components."""
     monkeypatch.setattr(common, "HUB", hub)
+    monkeypatch.setattr(common, "EDGES", held)
     rng = random.Random(2)
     edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(50, 120)] + [(rng.randrange(130, 200), rng.randrange(130, 200)) for _ in range(45)] + [(300, 300)]
     want = components(301, edges)

@@ -92,10 +92,12 @@ def brute_vectors(vs, threshold=0.9):
     return links, components(len(vs), edges)
 
 
-@pytest.mark.parametrize("run,block", [(512, 4096), (8, 16)])
-def test_vectors_equal_brute_force(spark, monkeypatch, run, block):
-    monkeypatch.setattr(embed_dedup, "RUN", run)
+@pytest.mark.parametrize("window,block,cell", [(512, 1024, 4096), (8, 16, 4096), (8, 16, 16)])
+def test_vectors_equal_brute_force(spark, monkeypatch, window, block, cell):
+    """One window over all vectors, several passes of small ones, and components counted in many blocks."""
+    monkeypatch.setattr(embed_dedup, "WINDOW", window)
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "CELL", cell)
     rng = np.random.default_rng(7)
     vs = [None, [], [0.0] * 8, [None] + [1.0] * 7, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [1.0] * 4, [2.0] * 4]
     centre = rng.standard_normal(8)
@@ -112,9 +114,11 @@ def test_vectors_equal_brute_force(spark, monkeypatch, run, block):
 
 def test_vectors_empty_and_recall(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    bits, passes = embed_dedup.plan_passes(50_000, 0.9, 1 - 1e-6)
-    meet = (1 - np.arccos(0.9) / np.pi) ** bits
-    assert (1 - meet) ** passes <= 1e-6 and embed_dedup.plan_passes(500, 0.9, 0.99) == (0, 1)
+    for n in (10_000, 50_000, 10**9):
+        meet = (1 - np.arccos(0.9) / np.pi) ** np.ceil(np.log2(n / embed_dedup.WINDOW))
+        passes = embed_dedup.plan_passes(n, 0.9, 0.97)
+        assert (1 - meet) ** passes <= 0.03 < (1 - meet) ** (passes - 1)
+    assert embed_dedup.plan_passes(embed_dedup.WINDOW, 0.9, 0.99) == embed_dedup.plan_passes(0, 0.9, 0.99) == 1
 
 
 def test_simhash_null_ids_bridge(spark):

@@ -8,6 +8,7 @@ from .embed_dedup import op7_embedding_dedup
 from .langid import op10_language_id
 from .lm_score import op6_lm_scoring
 from .mixing import op2_mixing
+from .repetition import LIMITS, LINE_CHARS, op11_quality_rules
 from .simhash import op3_simhash
 from .suffix_dedup import op8_suffix_dedup
 from .warc import op5_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 #: op4: the template, the escapes and the loss mask, written out.
@@ -70,6 +72,22 @@ _STRINGS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(co
     q AS (SELECT r, sum(hi - lo) AS removed, count(*) AS spans, string_agg(substr(h, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo) AS kept, max(hi) AS top FROM p JOIN d USING (r) GROUP BY r)
     SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN q.r IS NULL THEN h ELSE kept || substr(h, 2 * top + 1) END)) AS kept_sha256 FROM d LEFT JOIN q USING (r)"""
 
+#: op11: every window of 5 to 10 words as text, and the words that one held twice covers.
+_REPEATS = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+    e AS (SELECT *, {", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(1, 10))} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+    g AS ({" UNION ALL ".join(f"SELECT r, i, length(word) AS chars, {n} AS n, CASE WHEN w{n - 1} IS NOT NULL THEN md5(concat_ws(' ', word, {', '.join(f'w{j}' for j in range(1, n))})) END AS k FROM e" for n in LIMITS)}),
+    t AS (SELECT r, i, chars, n, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY r, n, k) > 1 THEN i END AS last FROM g),
+    c AS (SELECT r, chars, n, i - max(last) OVER (PARTITION BY r, n ORDER BY i) < n AS inside FROM t),
+    s AS (SELECT r, count(*) FILTER (n = 8 AND inside) AS repeated, {", ".join(f"coalesce(sum(chars) FILTER (n = {n} AND inside), 0)::BIGINT AS chars_{n}" for n in LIMITS)} FROM c GROUP BY r),
+    l AS (SELECT r, length(line) AS chars, row_number() OVER (PARTITION BY r, line) > 1 AS again FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    m AS (SELECT r, count(*) FILTER (again) AS n_dup_lines, sum(chars) AS line_chars, coalesce(sum(chars) FILTER (again), 0) AS dup_line_chars FROM l GROUP BY r),
+    x AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(repeated, 0) AS n_repeat_words,
+        coalesce(line_chars, 0) AS line_chars, coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(chars_{n}, 0) AS chars_{n}" for n in LIMITS)} FROM d LEFT JOIN s USING (r) LEFT JOIN m USING (r)),
+    y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {", ".join(f"chars_{n}" for n in LIMITS)},
+    NOT base_failed AND dup_line_chars <= {LINE_CHARS} * line_chars AND {" AND ".join(f"chars_{n} <= {share} * word_chars" for n, share in LIMITS.items())} AS kept FROM y"""
+
 #: The others can't be put in SQL: they are tested against brute force or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": _CHAT,
@@ -77,4 +95,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_lm_scoring": _SCORES,
     "op7_embedding_dedup": _VECTORS,
     "op8_suffix_dedup": _STRINGS,
+    "op11_quality_rules": _REPEATS,
 }

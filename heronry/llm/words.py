@@ -37,10 +37,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 BLOCK = 1 << 19
 
 
-def word_hashes(texts: list[bytes], table: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hash) of every word of the texts, in order. Long data goes in blocks that end at a space."""
+def word_hashes(texts: list[bytes], table: bytes = PLAIN, lengths: bool = False) -> tuple[np.ndarray, ...]:
+    """(text index, hash) of every word of the texts, in order. Long data goes in blocks that end at a space.
+
+    ``lengths`` adds each word's first byte in its text and its length in code points."""
     data = b" " + b" ".join(texts).translate(table) + b" "
-    starts, hashes, lo, last = [], [], 0, len(data) - 1
+    starts, hashes, chars, lo, last = [], [], [], 0, len(data) - 1
     while lo < last:
         hi = last
         if last - lo > BLOCK:
@@ -55,7 +57,16 @@ def word_hashes(texts: list[bytes], table: bytes = PLAIN) -> tuple[np.ndarray, n
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         starts.append(start + lo)
+        if lengths:
+            points = np.zeros(len(x) + 1, np.int64)
+            np.cumsum((x & 0xC0) != 0x80, out=points[1:])
+            chars.append(points[end] - points[start])
         hashes.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
         lo = hi
     ends = 1 + np.cumsum([len(t) + 1 for t in texts])
-    return np.searchsorted(ends, np.concatenate(starts), "right"), np.concatenate(hashes)
+    start = np.concatenate(starts)
+    index = np.searchsorted(ends, start, "right")
+    if not lengths:
+        return index, np.concatenate(hashes)
+    first = np.concatenate([[1], ends[:-1]])  # of each text in the joined bytes
+    return index, np.concatenate(hashes), start - first[index], np.concatenate(chars)

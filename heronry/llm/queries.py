@@ -8,6 +8,7 @@ from .embed_dedup import op7_embedding_dedup
 from .langid import op10_language_id
 from .lm_score import op6_lm_scoring
 from .mixing import op2_mixing
+from .ranked_search import op12_ranked_search
 from .repetition import LIMITS, LINE_CHARS, op11_quality_rules
 from .simhash import op3_simhash
 from .suffix_dedup import op8_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_quality_rules": op11_quality_rules,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 #: op4: the template, the escapes and the loss mask, written out.
@@ -88,6 +90,17 @@ _REPEATS = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(te
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {", ".join(f"chars_{n}" for n in LIMITS)},
     NOT base_failed AND dup_line_chars <= {LINE_CHARS} * line_chars AND {" AND ".join(f"chars_{n} <= {share} * word_chars" for n, share in LIMITS.items())} AS kept FROM y"""
 
+#: op12: every document's score for every item.
+_RANKS = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+    b AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t FROM benchmark),
+    a AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+    p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) SEMI JOIN b USING (t) GROUP BY ALL),
+    f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), a),
+    i AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ts) * n_docs) // n_terms))) AS impact FROM p JOIN f USING (t) JOIN d USING (r), a),
+    s AS (SELECT q, item_id, r, sum(impact)::BIGINT AS score FROM b JOIN i USING (t) GROUP BY ALL),
+    o AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0)
+    SELECT * FROM o WHERE rank <= 50"""
+
 #: The others can't be put in SQL: they are tested against brute force or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": _CHAT,
@@ -96,4 +109,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": _VECTORS,
     "op8_suffix_dedup": _STRINGS,
     "op11_quality_rules": _REPEATS,
+    "op12_ranked_search": _RANKS,
 }

@@ -74,6 +74,11 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(lo, rows)
 
 
+def lists(counts: np.ndarray, values: pa.Array | np.ndarray) -> pa.Array:
+    """Values as lists of the given lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+
+
 def tidy(run: Callable) -> Callable:
     """A step over Arrow batches that gives its memory back at the end: workers live on, and keep what they freed."""
 

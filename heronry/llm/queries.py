@@ -12,6 +12,7 @@ from .ranked_search import op12_ranked_search
 from .repetition import LIMITS, LINE_CHARS, op11_quality_rules
 from .simhash import op3_simhash
 from .suffix_dedup import op8_suffix_dedup
+from .token_alignment import op13_token_alignment
 from .warc import op5_warc
 from .wrapper import op1_html_extraction
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_quality_rules": op11_quality_rules,
     "op12_ranked_search": op12_ranked_search,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: op4: the template, the escapes and the loss mask, written out.

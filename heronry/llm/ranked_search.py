@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, read_table, tidy
+from .common import lists, materialize, pieces, read_table, tidy
 from .words import LETTERS, word_hashes
 
 #: Documents returned for an item.
@@ -42,17 +42,13 @@ def _some(batches, ids: int):
         yield rows
 
 
-def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
-
-
 def _item_terms(batches):
     """(item_id, its distinct terms as hashes)."""
     for rows in _some(batches, 1):
         index, hashes = word_hashes([t for _, t in rows], LETTERS)
         both = np.unique(np.rec.fromarrays([index, hashes]))
         counts = np.bincount(both.f0, minlength=len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), _lists(counts, pa.array(both.f1.view(np.int64)))], ["item_id", "terms"])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), lists(counts, pa.array(both.f1.view(np.int64)))], ["item_id", "terms"])
 
 
 def _postings(wanted):
@@ -67,7 +63,7 @@ def _postings(wanted):
             hit = want[at] == hashes
             both, times = np.unique(index[hit] * len(want) + at[hit], return_counts=True)
             counts = np.bincount(both // len(want), minlength=len(rows))
-            columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes), _lists(counts, pa.array((both % len(want)).astype(np.int32))), _lists(counts, pa.array(times.astype(np.int32)))]
+            columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes), lists(counts, pa.array((both % len(want)).astype(np.int32))), lists(counts, pa.array(times.astype(np.int32)))]
             held = pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "times"])
             yield held.filter(pa.array(sizes > 0))
 

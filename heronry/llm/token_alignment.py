@@ -10,6 +10,7 @@ import shutil
 import tempfile
 from collections.abc import Callable
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from .common import lists, materialize, pieces, read_table, tidy
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of text that are aligned at once; a longer text goes alone.
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
+#: Stretches that are encoded at once, and kept with their alignment by a task: some 400 bytes each.
+SLICE, KEPT = 4096, 400_000
 #: Memory of DuckDB in a task; beyond it DuckDB spills to the task's own temporary folder.
 DUCK_MEMORY = "300MB"
 #: Pairs with their counts that are broadcast at most, some 100 bytes each in an executor; more are joined by a shuffle.
@@ -85,7 +88,7 @@ def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
 
 #: Tables a and b: lo and hi are bytes in the joined stretches, s is the stretch. A token begins inside exactly one token of
 #: the other side; those that begin with it are taken from the first join only. Groups are numbered by the common ends before.
-PAIRS = """CREATE TEMP TABLE links AS SELECT s, pair, count(*) AS links FROM (
+PAIRS = """INSERT INTO links SELECT s, pair, count(*) AS links FROM (
     SELECT a.s, a.id * $width + b.id AS pair FROM a ASOF JOIN b ON a.lo >= b.lo
     UNION ALL SELECT a.s, a.id * $width + b.id FROM b JOIN a ON b.lo > a.lo AND b.lo < a.hi) GROUP BY s, pair"""
 GROUPS = """WITH e AS (SELECT a.hi FROM a JOIN b ON a.hi = b.hi),
@@ -94,16 +97,32 @@ GROUPS = """WITH e AS (SELECT a.hi FROM a JOIN b ON a.hi = b.hi),
 OF_ROWS = """SELECT r, pair, sum(times * links)::BIGINT AS links FROM held JOIN links USING (s) GROUP BY r, pair ORDER BY r, pair"""
 
 
-def intervals(ids: list[list[int]], sizes: np.ndarray, first: np.ndarray) -> pa.Table:
-    """The tokens of stretches that begin at the bytes ``first``, as a table."""
-    counts = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum()))
-    hi = np.cumsum(sizes[flat])
-    return pa.table({"s": np.repeat(np.arange(len(ids)), counts), "id": flat, "lo": hi - sizes[flat] + (first[0] if len(first) else 0), "hi": hi})
-
-
-def listed(tokens: list[dict], n: int) -> list[str]:
-    """The groups of each of n stretches as ids: commas inside, a bar between the sides, semicolons between groups."""
+def encoded(side: Side, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each stretch, their ids in a row, which stretches the tokens give back byte for byte)."""
+    counts, flat, same = [], [], []
+    for lo in range(0, len(names), SLICE):
+        whole = [(" " + t).encode() for t in names[lo : lo + SLICE]]
+        ids = side.encode(names[lo : lo + SLICE])
+        counts.append(np.array([len(x) for x in ids], np.int64))
+        flat.append(np.array(list(chain.from_iterable(ids)), np.int64))
+        ends = np.concatenate([[0], np.cumsum(side.sizes[flat[-1]])])[np.cumsum(counts[-1])]
+        fine = np.diff(ends, prepend=0) == np.array([len(w) for w in whole])
+        if not (fine.all() and b"".join(map(side.data.__getitem__, flat[-1].tolist())) == b"".join(whole)):
+            fine = np.array([w == b"".join(map(side.data.__getitem__, x)) for w, x in zip(whole, ids)])
+        same.append(fine)
+    return tuple(np.concatenate(x) for x in (counts, flat, same))
+
+
+def intervals(counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, keep: np.ndarray, first: int) -> pa.Table:
+    """The tokens of the kept stretches, numbered from ``first``, as a table."""
+    held = np.repeat(keep, counts)
+    s, ids = np.repeat(np.arange(len(counts)) + first, counts)[held], ids[held]
+    hi = np.cumsum(sizes[ids])
+    return pa.table({"s": s, "id": ids, "lo": hi - sizes[ids], "hi": hi})
+
+
+def listed(tokens: list[dict], first: int, n: int) -> list[str]:
+    """The groups of n stretches as ids: commas inside, a bar between the sides, semicolons between groups."""
     s, g, ids = (np.concatenate([t[c] for t in tokens]) for c in ("s", "g", "id"))
     side = np.repeat([0, 1], [len(t["s"]) for t in tokens])
     order = np.lexsort((side, g))  # stable: in order of bytes within a side
@@ -111,43 +130,62 @@ def listed(tokens: list[dict], n: int) -> list[str]:
     after = np.where(g[1:] != g[:-1], 2, side[1:] != side[:-1])
     text = [x + y for x, y in zip(map(str, ids.tolist()), map(",|;".__getitem__, after.tolist()))]
     text += map(str, ids[-1:].tolist())
-    ends = np.searchsorted(s, np.arange(n + 1)).tolist()
+    ends = np.searchsorted(s, np.arange(first, first + n + 1)).tolist()
     return ["".join(text[lo:hi]).rstrip(";") for lo, hi in zip(ends[:-1], ends[1:])]
 
 
-def align(duck, texts: list[str | None], a: Side, b: Side) -> dict:
-    """Counts and digests of the texts, the distinct pairs of each with their links, and how many texts hold a pair."""
-    stretches: dict[str, int] = {}
-    held = [[stretches.setdefault(x, len(stretches)) for x in (PARTS.split(t) if a.parts and b.parts else [t])] if t else [] for t in texts]
-    names = list(stretches)
-    a_ids, b_ids = a.encode(names), b.encode(names)
-    whole = [(" " + t).encode() for t in names]
-    same = np.array([w == b"".join(map(a.data.__getitem__, i)) == b"".join(map(b.data.__getitem__, j)) for w, i, j in zip(whole, a_ids, b_ids)], bool)
-    held = [x if all(map(same.__getitem__, x)) else [] for x in held]
-    # stretches that lose something have no tokens, and no text has them
-    a_ids, b_ids = ([i if ok else [] for i, ok in zip(ids, same.tolist())] for ids in (a_ids, b_ids))
-    first = np.zeros(1, np.int64)
-    flat = np.fromiter((s for x in held for s in x), np.int64)
-    rows = np.repeat(np.arange(len(texts)), [len(x) for x in held])
-    both, times = np.unique(rows * max(len(names), 1) + flat, return_counts=True)
-    duck.register("a", intervals(a_ids, a.sizes, first))
-    duck.register("b", intervals(b_ids, b.sizes, first))
-    duck.register("held", pa.table({"r": both // max(len(names), 1), "s": both % max(len(names), 1), "times": times}))
-    duck.execute("DROP TABLE IF EXISTS links")
-    duck.execute(PAIRS, {"width": len(b.data)})
-    tokens = [duck.execute(GROUPS.format(side=side)).fetchnumpy() for side in "ab"]
-    pairs = duck.execute(OF_ROWS).fetchnumpy()
-    out, each = {}, lambda x, of: np.bincount(x, of, len(names))
-    heads = [t["g"] != np.append(-1, t["g"][:-1]) for t in tokens]
-    for c, x, of in (("n_a", tokens[0]["s"], None), ("n_b", tokens[1]["s"], None), ("n_groups", tokens[0]["s"], heads[0])):
-        out[c] = np.bincount(rows, each(x, of)[flat], len(texts)).astype(np.int64)
-    told = listed(tokens, len(names))
-    out["groups_sha256"] = [hashlib.sha256(";".join(map(told.__getitem__, x)).encode()).hexdigest() if x else "" for x in held]
-    r, links = pairs["r"], pairs["links"]
-    out["n_links"] = np.bincount(r, links, len(texts)).astype(np.int64)
-    out["sizes"], out["pairs"], out["links"] = np.bincount(r, minlength=len(texts)), pairs["pair"], links
-    out["counted"] = np.unique(out["pairs"], return_counts=True)
-    return out
+class Aligner:
+    """Aligns texts in DuckDB. A stretch's alignment is kept for the texts to come, up to ``KEPT`` of them."""
+
+    def __init__(self, duck, a: Side, b: Side):
+        self.duck, self.a, self.b = duck, a, b
+        self.clear()
+
+    def clear(self) -> None:
+        self.stretches: dict[str, int] = {}
+        self.told: list[str] = []
+        self.same = np.zeros(0, bool)
+        self.each = {c: np.zeros(0, np.int64) for c in ("n_a", "n_b", "n_groups")}
+        self.duck.execute("CREATE OR REPLACE TEMP TABLE links (s BIGINT, pair BIGINT, links BIGINT)")
+
+    def learn(self, names: list[str]) -> None:
+        """Align stretches that are new."""
+        first, n = len(self.same), len(names)
+        sides = [encoded(side, names) for side in (self.a, self.b)]
+        # a stretch that loses something has no tokens, and no text has it
+        same = sides[0][2] & sides[1][2]
+        for name, side, (counts, ids, _) in zip("ab", (self.a, self.b), sides):
+            self.duck.register(name, intervals(counts, ids, side.sizes, same, first))
+        self.duck.execute(PAIRS, {"width": len(self.b.data)})
+        tokens = [self.duck.execute(GROUPS.format(side=side)).fetchnumpy() for side in "ab"]
+        heads = tokens[0]["g"] != np.append(-1, tokens[0]["g"][:-1])
+        for c, s, of in (("n_a", tokens[0]["s"], None), ("n_b", tokens[1]["s"], None), ("n_groups", tokens[0]["s"], heads)):
+            self.each[c] = np.append(self.each[c], np.bincount(s - first, of, n).astype(np.int64))
+        self.told += listed(tokens, first, n)
+        self.same = np.append(self.same, same)
+
+    def align(self, texts: list[str | None]) -> dict:
+        """Counts and digests of the texts, the distinct pairs of each with their links, and how many texts hold a pair."""
+        if len(self.stretches) > KEPT:
+            self.clear()
+        known, n = self.stretches, len(texts)
+        parts = PARTS.split if self.a.parts and self.b.parts else lambda t: [t]
+        held = [[known.setdefault(x, len(known)) for x in parts(t)] if t else [] for t in texts]
+        if len(known) > len(self.same):
+            self.learn(list(islice(known, len(self.same), None)))
+        if not self.same.all():
+            held = [x if all(map(self.same.__getitem__, x)) else [] for x in held]
+        flat = np.array(list(chain.from_iterable(held)), np.int64)
+        rows = np.repeat(np.arange(n), [len(x) for x in held])
+        both, times = np.unique(rows * max(len(known), 1) + flat, return_counts=True)
+        self.duck.register("held", pa.table({"r": both // max(len(known), 1), "s": both % max(len(known), 1), "times": times}))
+        pairs = self.duck.execute(OF_ROWS).fetchnumpy()
+        out = {c: np.bincount(rows, of[flat], n).astype(np.int64) for c, of in self.each.items()}
+        out["groups_sha256"] = [hashlib.sha256(";".join(map(self.told.__getitem__, x)).encode()).hexdigest() if x else "" for x in held]
+        out["n_links"] = np.bincount(pairs["r"], pairs["links"], n).astype(np.int64)
+        out |= {"sizes": np.bincount(pairs["r"], minlength=n), "pairs": pairs["pair"], "links": pairs["links"]}
+        out["counted"] = np.unique(pairs["pair"], return_counts=True)
+        return out
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -165,9 +203,10 @@ def _aligned(a_path: str, b_path: str):
         a, b = sides(a_path, b_path)
         spill = tempfile.mkdtemp()
         duck = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": spill, "preserve_insertion_order": False})
+        aligner = Aligner(duck, a, b)
 
         def told(ids, texts):
-            x = align(duck, texts, a, b)
+            x = aligner.align(texts)
             n = len(ids)
             columns = [pa.array([True] * n), pa.array(ids, pa.int64()), *(pa.array(x[c]) for c in COUNTS), pa.array(x["groups_sha256"]), lists(x["sizes"], x["pairs"]), lists(x["sizes"], x["links"])]
             yield pa.RecordBatch.from_arrays(columns, names)

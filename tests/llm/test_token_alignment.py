@@ -96,14 +96,18 @@ def test_rows_and_empty_table(spark, sides):
     assert alignment.align_tokenizers(spark.createDataFrame([], schema), A, B).count() == 0
 
 
-def test_small_memory(sides):
-    """Texts aligned at once or apart give the same rows."""
-    duck = duckdb.connect(config={"threads": 1})
-    texts = [t for t in TEXTS if t]
-    whole = alignment.align(duck, texts, *sides)
-    alone = [alignment.align(duck, [t], *sides) for t in texts]
-    for c in (*alignment.COUNTS, "groups_sha256"):
-        assert list(whole[c]) == [x[c][0] for x in alone]
+def test_texts_at_once_or_apart(sides, monkeypatch):
+    """Texts aligned at once, apart, in small slices, or with nothing kept give the same rows."""
+    texts = [t for t in TEXTS if t] + [None, ""]
+    whole = alignment.Aligner(duckdb.connect(config={"threads": 1}), *sides).align(texts)
+    for slice_, kept in ((4096, 10**6), (3, 10**6), (7, 0)):
+        monkeypatch.setattr(alignment, "SLICE", slice_)
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        aligner = alignment.Aligner(duckdb.connect(config={"threads": 1}), *sides)
+        alone = [aligner.align([t]) for t in texts]
+        for c in (*alignment.COUNTS, "groups_sha256"):
+            assert list(whole[c]) == [x[c][0] for x in alone]
+        assert whole["pairs"].tolist() == [p for x in alone for p in x["pairs"].tolist()]
 
 
 def test_query(spark, sf_dir):

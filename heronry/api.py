@@ -26,10 +26,19 @@ def prepare(rows: DataFrame, target_sec: float, order: list[str], bucket: Column
     return sampling.take_budget(rows, "duration_sec", target_sec, bucket, order)
 
 
-def extract_prosody(rows: DataFrame, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Enrich the rows that have no prosody yet, then class all of them."""
+def extract_prosody(rows: DataFrame, audio: DataFrame | Callable[[DataFrame], DataFrame], key: str = "audio_path") -> DataFrame:
+    """Enrich the rows that have no prosody yet, then class all of them.
+
+    ``audio`` holds the samples of clips (key, sr, samples); only those of rows without prosody are measured. A function
+    that fills the column of such rows may stand in for it."""
+    from .functions import prosody
     from .streaming.incremental import enrich_missing
 
+    def measured(missing: DataFrame) -> DataFrame:
+        found = prosody.prosody(prosody.blocks(audio.join(missing.select(key), key, "left_semi"), key)).withColumnRenamed("clip", key)
+        return missing.drop("prosody").join(found, key, "left").select(*missing.columns)
+
+    extractor = audio if callable(audio) else measured
     return enrich_missing(rows, "prosody", extractor).withColumn("prosody_class", gates.prosody_class("prosody", "text"))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SENTENCE, TOKEN, col, is_word
+from .text import IS_WORD, SENTENCE, TOKEN, col, is_word
 
 #: Symbols and their sparse ids in a space of 178 (fixed values).
 SLOTS = 178
@@ -63,8 +68,40 @@ def lexicon_with_precedence(*lexicons: DataFrame) -> DataFrame:
     return best
 
 
-#: Bytes of a lexicon that travels with the plan as one map.
-MAP_BYTES = 16 << 20
+#: Bytes of a lexicon that is broadcast: by the plan's statistics (which know no filter), then as it is.
+PLAN_BYTES, LEXICON_BYTES = 512 << 20, 64 << 20
+_WORD = re.compile(IS_WORD)
+
+
+def _collected(lexicon: DataFrame) -> dict[str, str] | None:
+    """A lexicon checked to be small as one mapping, else None. One job, and none where the plan says it is large."""
+    if int(str(lexicon._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > PLAN_BYTES:
+        return None
+    size = F.octet_length("word") + F.octet_length("ipa") + 32
+    if (lexicon.agg(F.sum(size)).first()[0] or 0) > LEXICON_BYTES:
+        return None
+    rows = lexicon.toArrow()
+    return dict(zip(rows["word"].to_pylist(), rows["ipa"].to_pylist()))
+
+
+def spoken(sents: pa.Array, lexicon: dict[str, str]) -> pa.Array:
+    """The phonemes of lists of sentences of tokens. Each distinct token is looked up once."""
+    per_text = pc.fill_null(pc.list_value_length(sents), 0).to_numpy()
+    flat = pc.list_flatten(sents)
+    per_sent = pc.list_value_length(flat).to_numpy()
+    tokens = pc.list_flatten(flat).dictionary_encode()
+    names, at = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+    word = np.array([bool(_WORD.fullmatch(t)) for t in names], bool)
+    plain = [lexicon.get(t.lower(), "") if w else t for t, w in zip(names, word)]
+    ends = np.concatenate([[0], np.cumsum(per_sent)])
+    follows = np.ones(len(at) + 1, bool)
+    follows[ends] = False
+    gap = word[at] & np.concatenate([[False], word[at[:-1]]])[: len(at)] & follows[: len(at)]
+    pieces = pa.array(plain + [" " + p for p in plain], pa.string()).take(pa.array(at + gap * len(names)))
+    said = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces), "")
+    keep = pc.greater(pc.utf8_length(said), 0)
+    kept = np.bincount(np.repeat(np.arange(len(per_text)), per_text), keep.to_numpy(zero_copy_only=False), len(per_text)).astype(np.int64)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), said.filter(keep)), " ")
 
 
 def phonemise(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text", fallback=None) -> DataFrame:
@@ -72,8 +109,8 @@ def phonemise(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "t
 
     A space stands between words that follow one another, none after punctuation; sentences without a phoneme are
     left out, the others are joined by a space. ``fallback`` maps a frame of (word) to (word, ipa). A lexicon that is
-    checked to be small is one map that every text's tokens are looked up in, without a shuffle; of a larger one
-    each text meets the words that it holds."""
+    checked to be small is broadcast as a hash table, which a lookup's time does not depend on, and no text is shuffled.
+    Of a larger one each text meets the words that it holds by a hash-partitioned join."""
     sents = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), 0), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), 0))
     rows = df.select(F.col(key), sents.alias("__s"))
     words = F.filter(F.flatten("__s"), is_word)
@@ -81,21 +118,23 @@ def phonemise(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "t
         held = rows.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")).distinct()
         lexicon = lexicon.select("word", "ipa").unionByName(fallback(held.join(lexicon.select("word"), "word", "left_anti")))
     lexicon = lexicon.select("word", F.array_join("ipa", "").alias("ipa"))
-    size, n = lexicon.agg(F.sum(F.octet_length("word") + F.octet_length("ipa") + 32), F.count("*")).first()
-    if not n or size <= MAP_BYTES:
-        table = lexicon.agg(F.map_from_entries(F.collect_list(F.struct("word", "ipa"))).alias("__m"))
-        rows = rows.crossJoin(F.broadcast(table))  # one row
-    else:
-        used = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(TOKEN), 0), is_word), F.lower))).alias("word")).distinct()
-        per = used.join(lexicon, "word").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "ipa"))).alias("__m"))
-        rows = rows.join(per, F.col(key) == F.col("k"), "left").drop("k")
-
-    def spoken(toks: Column) -> Column:
-        def piece(t: Column, i: Column) -> Column:
-            gap = F.when((i > 0) & is_word(t) & is_word(F.get(toks, i - 1)), " ").otherwise("")
-            return F.concat(gap, F.when(is_word(t), F.coalesce(F.try_element_at(F.col("__m"), F.lower(t)), F.lit(""))).otherwise(t))
-
-        return F.array_join(F.transform(toks, piece), "")
-
-    whole = F.array_join(F.filter(F.transform("__s", spoken), lambda s: F.length(s) > 0), " ")
-    return rows.select(key, F.coalesce(whole, F.lit("")).alias("phonemes"))
+    table = _collected(lexicon)
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, phonemes string"
+    if table is not None:
+        shared = df.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), spoken(b.column(1), shared.value)], [key, "phonemes"])
+
+        return rows.mapInArrow(run, schema)
+    used = rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")).distinct()
+    per = used.join(lexicon, "word").groupBy("k").agg(F.collect_list("word").alias("words"), F.collect_list("ipa").alias("ipas"))
+    rows = rows.join(per, F.col(key).eqNullSafe(F.col("k")), "left").select(key, "__s", "words", "ipas")
+
+    def run_own(batches):
+        for b in batches:
+            own = (dict(zip(w or [], i or [])) for w, i in zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.concat_arrays([spoken(b.column(1).slice(k, 1), lex) for k, lex in enumerate(own)])], [key, "phonemes"])
+
+    return rows.mapInArrow(run_own, schema)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 METRIC_LETTERS = "a-zåäöéü"
 #: Sentence and token patterns (fixed values).
 SENTENCE = r"[^.!?]+[.!?]?"
-TOKEN = r"[a-zåäöéèüáàâäëïöüA-ZÅÄÖ]+|[,.!?;:\-]"
+IS_WORD = "[a-zåäöéèüáàâäëïöüA-ZÅÄÖ]+"
+TOKEN = IS_WORD + r"|[,.!?;:\-]"
 
 
 def col(c: str | Column) -> Column:
@@ -49,7 +50,7 @@ def tokens(c: str | Column) -> Column:
 
 
 def is_word(c: str | Column) -> Column:
-    return col(c).rlike("^[a-zåäöéèüáàâäëïöüA-ZÅÄÖ]+$")
+    return col(c).rlike(f"^{IS_WORD}$")
 
 
 def split_sentences(c: str | Column) -> Column:

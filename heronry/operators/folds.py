@@ -1,7 +1,10 @@
-"""Folds with running state over ordered lists (W11, W12): greedy merging of intervals and greedy text packing."""
+"""Folds with running state over ordered lists (W11, W12): greedy merging of intervals and greedy text packing.
+
+``intervals.merge`` is W11 for intervals in rows, whatever a key's size."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,39 +28,63 @@ def merge_intervals(intervals: str | Column, longest, shortest) -> Column:
     return F.aggregate(xs, start, add, end)
 
 
-def _strings() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _merge_short(parts: Column, longest: int, short: int) -> Column:
+def _merged(longest: int, short: int):
     """Neighbours are joined where either is short and both fit."""
 
-    def add(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & ((F.length(last) < short) | (F.length(p) < short)) & (F.length(last) + 1 + F.length(p) <= longest)
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(fits, F.concat(head, F.array(F.concat(last, F.lit(" "), p)))).otherwise(F.concat(acc, F.array(p)))
-
-    return F.aggregate(F.filter(F.transform(parts, F.trim), lambda p: F.length(p) > 0), _strings(), lambda a, p: F.when(F.size(a) == 0, F.array(p)).otherwise(add(a, p)))
-
-
-def _pack_clauses(sentence: Column, longest: int, least: int) -> Column:
-    """One overlong sentence: clauses are gathered up to the limit; only what a full buffer holds has no upper bound."""
-    start = F.struct(_strings().alias("out"), F.lit("").alias("buf"))
-
-    def add(acc: Column, s: Column) -> Column:
-        buf = acc["buf"]
-        fits = F.length(buf) + F.length(s) + 1 <= longest
-        flushed = F.when(F.length(buf) >= least, F.concat(acc["out"], F.array(buf))).otherwise(acc["out"])
-        return F.struct(F.when(fits, acc["out"]).otherwise(flushed).alias("out"), F.when(fits, F.trim(F.concat(buf, F.lit(" "), s))).otherwise(s).alias("buf"))
-
-    end = lambda acc: F.when(F.length(acc["buf"]).between(least, longest), F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
-    return F.aggregate(split_clauses(sentence), start, add, end)
+    @F.pandas_udf("array<string>")
+    def run(parts: pd.Series) -> pd.Series:
+        def one(xs):
+            out, size = [], 0
+            for x in [] if xs is None else xs:
+                if out and (size < short or len(x) < short) and size + 1 + len(x) <= longest:
+                    out[-1].append(x)
+                    size += 1 + len(x)
+                else:
+                    out.append([x])
+                    size = len(x)
+            return [" ".join(x) for x in out]
+
+        return parts.map(one)
+
+    return run
+
+
+def _packed(longest: int, least: int):
+    """Of each merged piece's clauses: a piece of one is itself; clauses of an overlong one are gathered up to the limit. Only
+    what a full buffer holds has no upper bound."""
+
+    @F.pandas_udf("array<string>")
+    def run(pieces: pd.Series) -> pd.Series:
+        def gathered(clauses, out):
+            buf = ""
+            for c in clauses:
+                if len(buf) + len(c) + 1 <= longest:
+                    buf = (buf + " " + c).strip(" ")
+                else:
+                    if len(buf) >= least:
+                        out.append(buf)
+                    buf = c
+            if least <= len(buf) <= longest:
+                out.append(buf)
+
+        def one(xs):
+            out = []
+            for x in [] if xs is None else xs:
+                if x["whole"] is None:
+                    gathered(x["clauses"], out)
+                elif len(x["whole"]) >= least:
+                    out.append(x["whole"])
+            return out
+
+        return pieces.map(one)
+
+    return run
 
 
 def split_line(text: str | Column, longest: int = 150, short: int = 25, least: int = 10) -> Column:
-    """Pieces of a line; a line within the limit stays as it is."""
+    """Pieces of a line; a line within the limit stays as it is. Each piece is looked at once, however long the line."""
     t = col(text)
-    merged = _merge_short(split_sentences(t), longest, short)
-    pieces = F.transform(merged, lambda m: F.when(F.length(m) <= longest, F.when(F.length(m) >= least, F.array(m)).otherwise(_strings())).otherwise(_pack_clauses(m, longest, least)))
-    return F.when(F.length(t) <= longest, F.array(t)).otherwise(F.flatten(pieces))
+    parts = F.filter(F.transform(split_sentences(t), F.trim), lambda p: F.length(p) > 0)
+    fits = lambda m: F.length(m) <= longest
+    pieces = F.transform(_merged(longest, short)(parts), lambda m: F.struct(F.when(fits(m), m).alias("whole"), F.when(~fits(m), split_clauses(m)).alias("clauses")))
+    return F.when(F.length(t) <= longest, F.array(t)).otherwise(_packed(longest, least)(pieces))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import signal as sg
-from ..operators import folds, joins, stats
+from ..operators import intervals, joins, stats
 from .tables import SIGNAL_SQL, signal, table
 
 QUERIES: dict = {}
@@ -142,8 +142,7 @@ def spectral_metrics(spark, sf_dir):
 def interval_merge(spark, sf_dir):
     """A user's bursts of events merged greedily, 12 hours at most, 1 hour at least."""
     e = table(spark, sf_dir, "events").where("ts is not null").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
-    xs = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("s") + 600).alias("e")))).alias("xs"))
-    return xs.select("user_id", F.explode(folds.merge_intervals("xs", 12 * 3600.0, 3600.0)).alias("x")).select("user_id", "x.s", "x.e")
+    return intervals.merge(e.withColumn("e", F.col("s") + 600), "user_id", "s", "e", 12 * 3600.0, 3600.0)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -34,8 +34,10 @@ def norm_metric(c: str | Column) -> Column:
 
 def cer(ref: str | Column, hyp: str | Column) -> Column:
     """Edit distance over code points by the reference's length; an empty reference gives 0 or 1."""
+    from .edit_distance import edit_distance
+
     r, h = col(ref), col(hyp)
-    return F.when(F.length(r) == 0, F.when(F.length(h) > 0, 1.0).otherwise(0.0)).otherwise(F.levenshtein(r, h) / F.length(r))
+    return F.when(F.length(r) == 0, F.when(F.length(h) > 0, 1.0).otherwise(0.0)).otherwise(edit_distance(r, h) / F.length(r))
 
 
 def sentences(c: str | Column) -> Column:

@@ -11,7 +11,8 @@ from .. import api
 from ..functions import backends, signal as sg, swedish, text
 from ..operators import folds, gates, joins, sampling, stats
 from ..schemas import MANIFEST, PROSODY
-from ..sources import readers, writers
+from ..sources import early_stop as early_stop_scan
+from ..sources import readers, versions, writers
 from ..sources.scratch import put_text, scratch
 from ..streaming import incremental
 from .language import _HUND, _LISTS, quoted
@@ -315,7 +316,7 @@ def scored_stream(spark, sf_dir):
     for batch in (d.where("doc_id % 2 = 0"), d):
         batch.write.mode("append").parquet(f"{base}/in")
         incremental.score_stream(spark, f"{base}/in", d.schema, f"{base}/report", f"{base}/state", "doc_id", _length_scorer, schema).awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/report")
+    return incremental.read_report(spark, f"{base}/report", schema)
 
 
 @query("SELECT doc_id + 1000000 AS doc_id, source FROM documents")
@@ -325,7 +326,36 @@ def merged_shards(spark, sf_dir):
     for shard in (d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0")):
         shard.write.mode("append").parquet(f"{base}/in")
         incremental.merge_stream(spark, f"{base}/in", d.schema, f"{base}/out", f"{base}/state", "doc_id", 1_000_000).awaitTermination()
-    return spark.read.schema(d.schema).parquet(f"{base}/out")
+    return incremental.read_report(spark, f"{base}/out", d.schema)
+
+
+@query("WITH t AS (SELECT sum(n_chars) * 2 // 5 AS target FROM documents WHERE n_chars % 3 > 0), r AS (SELECT doc_id, n_chars, source, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS before FROM documents WHERE n_chars % 3 > 0) SELECT doc_id, n_chars, source FROM r, t WHERE before < target")
+def early_stop(spark, sf_dir):
+    """Files in order are read with their payload until a budget is met."""
+    path, d = scratch(spark, "shards"), table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "text")
+    d.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    wanted = F.col("n_chars") % 3 > 0
+    target = (d.where(wanted).agg(F.sum("n_chars")).first()[0] or 0) * 2 // 5
+    return early_stop_scan.scan_until(spark, path, "n_chars", target, wanted, ["doc_id", "n_chars", "source"])
+
+
+@query("SELECT doc_id, n_chars * 2 AS score FROM documents")
+def published_batches(spark, sf_dir):
+    """Batches published one by one; a run that stops between writing and publishing is gone on with."""
+    path, d = scratch(spark, "versions"), table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    schema = _length_scorer(d).schema
+
+    def stop():
+        raise InterruptedError
+
+    for k in range(2):
+        versions.add(_length_scorer(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == k)), path, str(k))
+    try:
+        versions.add(_length_scorer(d), path, "2", before_publish=stop)
+    except InterruptedError:
+        pass
+    versions.run(d, path, "doc_id", 5, _length_scorer, compact=3)
+    return versions.current(spark, path, schema)
 
 
 @query("SELECT * FROM (VALUES ('known symbols', false), ('unknown symbol', true), ('enough rows', false), ('too few rows', true), ('strict encode', true)) AS v(what, failed)")

@@ -27,20 +27,54 @@ def score_new(rows: DataFrame, report: str, key: str, scorer: Callable[[DataFram
     scorer(todo).select(*schema.fieldNames()).write.mode("append").parquet(report)
 
 
-def score_stream(spark: SparkSession, source: str, source_schema: StructType, report: str, checkpoint: str, key: str, scorer: Callable[[DataFrame], DataFrame], schema: StructType):
-    """R2: the same for every file that arrives under ``source``; takes what is there and stops."""
-    rows = spark.readStream.schema(source_schema).parquet(source)
-    return rows.writeStream.foreachBatch(lambda df, _: score_new(df, report, key, scorer, schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+#: Keeps keyed state on disk, with a cache of fixed size in memory.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
 
 
-def merge_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str, offset: int):
-    """Worker shards merged under remapped keys; a shard that comes again adds nothing."""
+def _unseen(rows: DataFrame, key: str, within: tuple[str, str] | None) -> DataFrame:
+    """The first row of each key, by state that the stream keeps; ``within`` (time column, delay) lets old keys go."""
+    if within is None:
+        return rows.dropDuplicates([key])
+    return rows.withWatermark(*within).dropDuplicatesWithinWatermark([key])
 
-    def merge(df: DataFrame, _: int) -> None:
-        moved = df.withColumn(key, F.col(key) + offset).dropDuplicates([key])
-        exclude(moved, read_or_empty(spark, target, schema), key).write.mode("append").parquet(target)
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _start(rows: DataFrame, write, checkpoint: str):
+    """Take what is there and stop. The state's store is chosen when a checkpoint is made, and stays."""
+    spark = rows.sparkSession
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _put(report: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """Each batch has a folder of its own, so one that is done again after a failure replaces itself; the stream's id, which
+    its checkpoint keeps, tells batches of another stream apart."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        stream = df.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        df.write.mode("overwrite").parquet(f"{report}/batch={stream}-{batch:06d}")
+
+    return write
+
+
+def read_report(spark: SparkSession, report: str, schema: StructType) -> DataFrame:
+    """All rows that a stream has written."""
+    return read_or_empty(spark, report, schema).select(*schema.fieldNames())
+
+
+def score_stream(spark: SparkSession, source: str, source_schema: StructType, report: str, checkpoint: str, key: str, scorer: Callable[[DataFrame], DataFrame], schema: StructType, within: tuple[str, str] | None = None):
+    """Rows of files that arrive under ``source`` are scored once for each key.
+
+    The keys seen are the stream's state: a batch reads its own files and the state of its own keys, never the report."""
+    rows = _unseen(spark.readStream.schema(source_schema).parquet(source), key, within)
+    put = _put(report, checkpoint)
+    return _start(rows, lambda df, batch: put(scorer(df).select(*schema.fieldNames()), batch), checkpoint)
+
+
+def merge_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str, offset: int, within: tuple[str, str] | None = None):
+    """Worker shards merged under remapped keys; a shard that comes again adds nothing, by the same state."""
+    rows = _unseen(spark.readStream.schema(schema).parquet(source).withColumn(key, F.col(key) + offset), key, within)
+    return _start(rows, _put(target, checkpoint), checkpoint)
 
 
 def enrich_missing(df: DataFrame, column: str, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:

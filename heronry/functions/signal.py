@@ -44,7 +44,9 @@ def tail_index(df: DataFrame, clip: str, pos: str, value: str, db: float = -40.0
 
 def semitones(df: DataFrame, clip: str, value: str, name: str = "st") -> DataFrame:
     """M1: twelve times the binary logarithm of the ratio to the clip's median."""
-    med = df.groupBy(clip).agg(F.median(value).alias("med"))
+    from ..operators.stats import medians
+
+    med = medians(df, clip, value).select(clip, F.col("median").alias("med"))
     return df.join(med, clip).withColumn(name, 12 * F.log2(F.col(value) / F.col("med")))
 
 
@@ -209,7 +211,7 @@ def pitch(x: pd.Series, sr: pd.Series) -> pd.Series:
 
 
 def resample_to(rate: int):
-    """To another rate, by the band that both hold (exact for periodic signals)."""
+    """M12 for periodic signals, of which it is exact: by the band that both rates hold. Clips go by ``resample``."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, sr: pd.Series) -> pd.Series:
@@ -228,28 +230,111 @@ def resample_to(rate: int):
     return run
 
 
-def notch_at(*frequencies: float, q: float = 30.0):
-    """M9: zero-phase notches: second-order sections run forward and back."""
+#: Zero crossings of the filter on either side, its pass band as a share of the lower rate's, and outputs made at once.
+CROSSINGS, PASS, OUTPUTS = 24, 0.95, 1 << 16
+
+
+def resampling_filter(rate: int, to: int) -> tuple[int, int, int, np.ndarray]:
+    """(up, down, half, taps): to / rate = up / down; taps[p, j] weighs the input ``j - half`` places from the one at or before
+    an output that lies p / up beyond it. A windowed sinc (Hann); the weights of a phase add up to one."""
+    g = np.gcd(rate, to)
+    up, down = to // g, rate // g
+    band = PASS * min(1.0, to / rate)
+    half = int(np.ceil(CROSSINGS / band))
+    t = np.arange(-half, half + 1)[None, :] - np.arange(up)[:, None] / up
+    taps = np.sinc(band * t) * np.where(np.abs(t) < half, 0.5 + 0.5 * np.cos(np.pi * t / half), 0)
+    return up, down, half, taps / taps.sum(1, keepdims=True)
+
+
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """A clip at another rate; it is silent before its start and after its end. Outputs are made in blocks, phase by phase."""
+    if rate == to or not len(x):
+        return x
+    up, down, half, taps = resampling_filter(rate, to)
+    n = -(-len(x) * up // down)
+    out = np.empty(n)
+    for lo in range(0, n, OUTPUTS):
+        hi = min(lo + OUTPUTS, n)
+        first, last = lo * down // up - half, (hi - 1) * down // up + half
+        part = np.pad(x[max(first, 0) : last + 1], (max(-first, 0), max(last + 1 - len(x), 0)))
+        for phase in range(min(up, hi - lo)):
+            k = np.arange(lo + phase, hi, up)
+            at = k * down // up - half - first
+            rows = np.lib.stride_tricks.sliding_window_view(part, 2 * half + 1)[at[0] :: down]
+            out[k] = rows[: len(k)] @ taps[(k[0] * down) % up]
+    return out
+
+
+def resample(rate: int):
+    """To another rate, by a polyphase windowed sinc."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, sr: pd.Series) -> pd.Series:
-        def section(a, b, c):
-            out, x1, x2, y1, y2 = np.empty(len(a)), 0.0, 0.0, 0.0, 0.0
-            for i, v in enumerate(a):
-                y = b[0] * v + b[1] * x1 + b[2] * x2 - c[0] * y1 - c[1] * y2
-                x2, x1, y2, y1 = x1, v, y1, y
-                out[i] = y
-            return out
+        return pd.Series([None if a is None else resampled(np.asarray(a, float), int(r), rate).tolist() for a, r in zip(x, sr)])
 
-        def one(a, r):
-            a = np.asarray(a, float)
-            for f in frequencies:
-                w = 2 * np.pi * f / r
-                g = 1 / (1 + np.tan(w / q / 2))
-                b, c = (g, -2 * g * np.cos(w), g), (-2 * g * np.cos(w), 2 * g - 1)
-                a = section(section(a, b, c)[::-1], b, c)[::-1]
-            return a.tolist()
+    return run
 
-        return pd.Series([one(a, r) for a, r in zip(x, sr)])
+
+#: Samples that a recurrence takes in one step.
+STEP = 64
+
+
+def recurrence(x: np.ndarray, b: tuple, c: tuple) -> np.ndarray:
+    """Second-order sections over rows of signals: y[n] = b0 x[n] + b1 x[n-1] + b2 x[n-2] - c0 y[n-1] - c1 y[n-2].
+
+    In steps of ``STEP`` samples: what a step's own inputs give is a product with the impulse response, what the two
+    values before give one with the response to them; only those are carried on."""
+    rows, n = x.shape
+    steps = -(-n // STEP)
+    given = b[0] * x
+    given[:, 1:] += b[1] * x[:, :-1]
+    given[:, 2:] += b[2] * x[:, :-2]
+    # responses of the feedback alone: to one input, and to the last and the last but one output before the step
+    h = np.zeros(STEP + 2)
+    h[2] = 1
+    for i in range(3, STEP + 2):
+        h[i] = -c[0] * h[i - 1] - c[1] * h[i - 2]
+    h = h[2:]
+    at = np.arange(STEP)
+    own = np.where(at[:, None] <= at[None, :], h[np.abs(at[None, :] - at[:, None])], 0)
+    last = -c[0] * h - c[1] * np.append(0, h[:-1])
+    carry = np.stack([last, -c[1] * h])
+    out = np.pad(given, ((0, 0), (0, steps * STEP - n))).reshape(rows, steps, STEP) @ own
+    state = np.zeros((rows, 2))
+    for k in range(steps):
+        out[:, k] += state @ carry
+        state = out[:, k, :-3:-1]
+    return out.reshape(rows, -1)[:, :n]
+
+
+def notch_at(*frequencies: float, q: float = 30.0):
+    """M9: zero-phase notches: second-order sections run forward and back."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, sr: pd.Series) -> pd.Series:
+        clips = [None if a is None else np.asarray(a, float) for a in x]
+        # clips of one rate and about one length go together
+        groups: dict[tuple, list[int]] = {}
+        for i, (a, r) in enumerate(zip(clips, sr)):
+            if a is not None and len(a):
+                groups.setdefault((int(r), len(a).bit_length()), []).append(i)
+        for (r, _), which in groups.items():
+            for lo in range(0, len(which), 64):
+                some = which[lo : lo + 64]
+                size = np.array([len(clips[i]) for i in some])
+                y = np.zeros((len(some), size.max()))
+                for k, i in enumerate(some):
+                    y[k, : size[k]] = clips[i]
+                back = np.maximum(size[:, None] - 1 - np.arange(size.max()), -1)  # each clip from its end, then what lies behind it
+                for f in frequencies:
+                    w = 2 * np.pi * f / r
+                    g = 1 / (1 + np.tan(w / q / 2))
+                    b, c = (g, -2 * g * np.cos(w), g), (-2 * g * np.cos(w), 2 * g - 1)
+                    for _ in range(2):
+                        y = recurrence(y, b, c)
+                        y = np.where(back >= 0, np.take_along_axis(y, np.maximum(back, 0), 1), 0)
+                for k, i in enumerate(some):
+                    clips[i] = y[k, : size[k]]
+        return pd.Series([None if a is None else a.tolist() for a in clips])
 
     return run

@@ -84,8 +84,17 @@ def length_stats(df: DataFrame, index: str, text: str) -> DataFrame:
 
 
 def signal_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Reductions over a signal in rows."""
+    """Reductions over a signal in rows; the quantiles are exact, and a long signal's values are never in one task."""
+    from .quantiles import quantiles
+
     v = F.col(value)
-    return df.groupBy(key).agg(
-        F.median(v).alias("med"), F.stddev_pop(v).alias("sd"), (F.percentile(v, F.lit(0.95)) - F.percentile(v, F.lit(0.05))).alias("p90"), F.avg(v).alias("mean"), F.max(v).alias("top"), F.sqrt(F.avg(v * v)).alias("rms")
-    )
+    sums = df.groupBy(key).agg(F.stddev_pop(v).alias("sd"), F.avg(v).alias("mean"), F.max(v).alias("top"), F.sqrt(F.avg(v * v)).alias("rms"))
+    ranks = quantiles(df, key, value, 0.5, 0.95, 0.05).select(F.col(key).alias("__k"), F.col("q")[0].alias("med"), (F.col("q")[1] - F.col("q")[2]).alias("p90"))
+    return sums.join(ranks, F.col(key).eqNullSafe(F.col("__k")), "left").select(key, "med", "sd", "p90", "mean", "top", "rms")
+
+
+def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The median of each key."""
+    from .quantiles import quantiles
+
+    return quantiles(df, key, value, 0.5).select(key, F.col("q")[0].alias("median"), "n")

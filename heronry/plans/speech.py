@@ -96,3 +96,48 @@ def pitch_accuracy(spark, sf_dir):
     unheard = lambda y: F.size(F.filter(sg.pitch(y, F.lit(16000)), lambda f: f.isNotNull())) == 0
     found = t.withColumn("p", sg.pitch(x, F.lit(16000))).withColumn("quiet", unheard(noise) & unheard(F.array_repeat(F.lit(0.0), 6144)))
     return found.select("tone", (F.forall("p", lambda p: F.abs(p / F.col("f") - 1) < 1e-3) & F.col("quiet")).alias("within"), F.size("p").alias("frames"))
+
+
+# the filter from 8 to 4 kHz: every output is a weighted sum of 103 inputs
+_TAPS = """taps AS (SELECT j, w / sum(w) OVER () AS w FROM (SELECT j, CASE WHEN j = 0 THEN 1 ELSE sin(pi() * 0.475 * j) / (pi() * 0.475 * j) END * (0.5 + 0.5 * cos(pi() * j / 51)) AS w FROM (SELECT unnest(range(-51, 52)) AS j)))"""
+
+
+@query(
+    f"""WITH {_TAPS}, x AS (SELECT n_nationkey, i, sin(2 * pi() * (100 + 70 * n_nationkey) * i / 8000.0) + (i = 799)::INT AS x FROM nation, (SELECT unnest(range(800)) AS i)),
+    y AS (SELECT n_nationkey, n, sum(w * x) AS y FROM (SELECT unnest(range(400)) AS n), taps JOIN x ON i = 2 * n + j GROUP BY n_nationkey, n) SELECT n_nationkey, n AS i, round(y, 6) + 0.0 AS x FROM y"""
+)
+def resampled_clips(spark, sf_dir):
+    """Tones with a click at their end, from 8 to 4 kHz, against the weighted sums."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", (100 + 70 * F.col("n_nationkey")).cast("double").alias("f"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(799)), lambda i: F.sin(2 * np.pi * F.col("f") * i / 8000) + F.when(i == 799, 1.0).otherwise(0.0))
+    out = n.select("n_nationkey", F.posexplode(sg.resample(4000)(x, F.lit(8000))).alias("i", "x"))
+    return out.select("n_nationkey", F.col("i").cast("long").alias("i"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
+# a notch at 1500 Hz as its recurrence, forward and then back
+_NOTCH = "SELECT 1 / (1 + tan(2 * pi() * 1500 / 8000 / 30 / 2)) AS g, cos(2 * pi() * 1500 / 8000) AS c"
+
+
+@query(
+    f"""WITH RECURSIVE k AS ({_NOTCH}), x AS (SELECT n_nationkey AS key, i, sin(2 * pi() * (100 + 100 * n_nationkey) * i / 8000.0) AS x FROM nation, (SELECT unnest(range(300)) AS i)),
+    f(key, i, x1, x2, y1, y2) AS (SELECT DISTINCT key, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM x UNION ALL SELECT f.key, f.i + 1, x.x, f.x1, g * x.x - 2 * g * c * f.x1 + g * f.x2 + 2 * g * c * f.y1 - (2 * g - 1) * f.y2, f.y1 FROM f JOIN x ON x.key = f.key AND x.i = f.i, k),
+    b(key, i, x1, x2, y1, y2) AS (SELECT DISTINCT key, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM x UNION ALL SELECT b.key, b.i + 1, f.y1, b.x1, g * f.y1 - 2 * g * c * b.x1 + g * b.x2 + 2 * g * c * b.y1 - (2 * g - 1) * b.y2, b.y1 FROM b JOIN f ON f.key = b.key AND f.i = 300 - b.i, k WHERE b.i < 300)
+    SELECT key AS n_nationkey, 300 - i AS i, round(y1, 6) + 0.0 AS x FROM b WHERE i > 0"""
+)
+def notch_values(spark, sf_dir):
+    """M9: every value of a zero-phase notch, against the recurrence a sample at a time."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", (100 + 100 * F.col("n_nationkey")).cast("double").alias("f"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.sin(2 * np.pi * F.col("f") * i / 8000))
+    out = n.select("n_nationkey", F.posexplode(sg.notch_at(1500.0)(x, F.lit(8000))).alias("i", "x"))
+    return out.select("n_nationkey", F.col("i").alias("i"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
+@query("SELECT l_returnflag AS flag, count(l_extendedprice) AS n, median(l_extendedprice::DOUBLE) AS mid, round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice::DOUBLE, 0.05), 6) AS p05, median(l_quantity::DOUBLE) AS quantity FROM lineitem GROUP BY l_returnflag")
+def refined_quantiles(spark, sf_dir):
+    """Exact quantiles of a few large keys, values that differ and values that repeat, narrowed by sketches."""
+    from ..operators.quantiles import quantiles
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice", "l_quantity")
+    price = quantiles(rows, "flag", "l_extendedprice", 0.5, 0.95, 0.05, most=1000)
+    quantity = quantiles(rows, "flag", "l_quantity", 0.5, most=1000).select(F.col("flag").alias("k"), F.col("q")[0].alias("quantity"))
+    return price.join(quantity, F.col("flag").eqNullSafe(F.col("k"))).select("flag", "n", F.col("q")[0].alias("mid"), F.round(F.col("q")[1], 6).alias("p95"), F.round(F.col("q")[2], 6).alias("p05"), "quantity")

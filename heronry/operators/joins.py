@@ -56,10 +56,13 @@ def at_length(vectors: DataFrame, n: str | Column) -> DataFrame:
 
 
 def dense_index(df: DataFrame, key: str, name: str = "speaker_index") -> DataFrame:
-    """0-based index of each key by sorted order; distinct keys are numbered by a prefix sum over their first letters."""
+    """0-based index of each key by sorted order: ranges of the sorted keys are numbered apart, whatever they begin with."""
+    from ..sources.scratch import scratch
     from .sampling import sequence_ids
 
-    keys = sequence_ids(df.select(key).distinct(), F.substring(F.col(key).cast("string"), 1, 3), [F.col(key).cast("string")], name)
+    path, text = scratch(df.sparkSession, "keys"), F.col(key).cast("string")
+    df.select(key).distinct().repartitionByRange(text).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    keys = sequence_ids(df.sparkSession.read.parquet(path), F.col("__range"), [text], name).drop("__range")
     return df.join(small(keys), key)
 
 

@@ -124,3 +124,13 @@ def test_backends():
     assert backends.route("en-gb") == "b"
     with pytest.raises(KeyError):
         backends.route("xx")
+
+
+def test_dense_index_of_keys_with_one_beginning(spark):
+    """Speakers that all begin alike are numbered in ranges, as many as there are tasks."""
+    names = sorted(f"nst_{i * 37 % 1000}" for i in range(1000))
+    rows = spark.createDataFrame([(n, k) for k, n in enumerate(names * 2)], "speaker_id string, k int").repartition(4)
+    got = joins.dense_index(rows, "speaker_id")
+    assert {(r["speaker_id"], r["speaker_index"]) for r in got.collect()} == set(zip(names, range(1000))) and got.count() == 2000
+    assert got.columns == ["speaker_id", "k", "speaker_index"]
+    assert joins.dense_index(rows.limit(0), "speaker_id").count() == 0

@@ -345,6 +345,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
     schema = lambda text: StructType([*StructType.fromDDL(text).fields, *(StructField(f"x_{f.name}", f.dataType) for f in others)])
     whole = docs.select("doc_id", "text", tag(), more_tag(), *(F.col(f"`{f.name}`").alias(f"x_{f.name}") for f in others))
     same = ("doc", "tag", "more_tag")  # what tells rows apart
+    # rows equal in these have the same places: a set of them is gathered, and one copy of each context is compared
+    repeated = not whole.groupBy("doc_id", "tag", "more_tag").count().where("count > 1").isEmpty()
+    gathered = F.collect_set if repeated else F.collect_list
     occ = whole.select("doc_id", "text", "tag", "more_tag").mapInArrow(tidy(_occurrences(length)), "g long, c long, doc long, tag long, q long")
     # a table of its own: a join of two shuffles can split an anchor that very many documents share
     counted = whole.select("doc_id", "text", F.lit(0).alias("tag"), F.lit(0).alias("more_tag")).mapInArrow(tidy(_occurrences(length)), "g long, c long, doc long, tag long, q long")
@@ -359,12 +362,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, keep: str = "none",
         full, is_open = F.col("k") > 1, (F.col("k") == 1) & F.col("multi")
     place = [F.shiftright("q", 39).cast("int").alias("more_tag"), F.shiftright("q", 8).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("p"), F.col("q").bitwiseAND(F.lit(0xFF)).cast("int").alias("n")]
     rows = rows.select("doc", "tag", *place, full.alias("full"), is_open.alias("open"), (F.col("own") & F.col("multi")).alias("ship"), "g", "many").where("full or ship")
-    per = rows.groupBy(*same).agg(F.collect_list(F.struct("p", "n", "full", "open", "ship", "g", "many")).alias("rows"))
+    per = rows.groupBy(*same).agg(gathered(F.struct("p", "n", "full", "open", "ship", "g", "many")).alias("rows"))
     sent = whole.mapInArrow(tidy(_packed(extra)), schema("doc_id long, data binary, tag long, more_tag int"))
     mine = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag")) & (F.col(f"{a}.more_tag") == F.col(f"{b}.more_tag"))
     joined = sent.alias("s").join(per.alias("r"), mine("s", "r"), "left").select("s.doc_id", "s.data", "s.tag", "s.more_tag", "r.rows", *(f"s.{x}" for x in quoted))
     first = materialize(joined.mapInArrow(tidy(_first_pass(length, texts, extra)), schema(FIRST)), "pass1")
     ship = first.select(F.col("doc_id").alias("doc"), "tag", "more_tag", F.explode("ship").alias("s")).select("s.g", *same, "s.p", "s.b", "s.many")
+    if repeated:
+        ship = ship.dropDuplicates(["g", *same, "p"])
     few = ship.where("not many").drop("many").repartition("g").sortWithinPartitions("g", *same, "p").mapInArrow(tidy(_resolve(length, keep)), RESOLVED)
     strings = ship.where("many").drop("many").mapInArrow(tidy(_strings(length)), "g long, s1 long, s2 long, doc long, tag long, more_tag int, p int")
     found = strings.groupBy("g", "s1", "s2").agg(F.count("*").alias("k"), F.min(F.struct(*same, "p")).alias("f")).where("k > 1")

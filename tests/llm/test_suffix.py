@@ -91,6 +91,18 @@ def test_columns_and_repeats(spark):
     assert sd.repeated_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_that_repeat_often(spark, doc_id):
+    """Thousands of rows equal in doc_id and text, beside near copies of theirs, end in linear time."""
+    rng = random.Random(6)
+    long = " ".join(f"ord{rng.randrange(10**5)}" for _ in range(1800))
+    near = long[:8000] + "#" + long[8001:]
+    texts = [long] * 3000 + [near, "kort", "kort", long[300:900], "x" * 400]
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.repeated_strings(spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string").repartition(4)).collect())
+    few = brute(texts[2998:], 200, "none")  # two copies, or three thousand, remove alike
+    assert got == sorted([few[0]] * 2998 + few)
+
+
 def test_suffix_order():
     texts = [b"banana banana", b"", b"anan"]
     text, start, cls = sd.suffix_classes(texts, 4)

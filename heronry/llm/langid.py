@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import pieces, tidy
 
 #: Bounds of the training sample.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 1500
+SAMPLE_DOCS, SAMPLE_CHARS, PASSAGES = 600, 1500, 5
 #: log2 of the entries of the n-gram and word tables.
 TABLE_BITS = 16
 #: Characters that are labelled at once; a text of more than two of these goes in pieces.
@@ -276,6 +276,9 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, seed: int = 5, rate: flo
             first = np.zeros(len(y), bool)
             first[::160] = True
             p, forward = marginals(f.emissions(model.weights), first, model.trans, model.start, filtered=True)
+            if k == 1:  # a lone label has no gradient; what training met is marked all the same
+                for grams, valid in zip(f.grams, f.valid):
+                    model.weights[grams if valid is None else grams[valid]] = 1e-6
             inner = ~first[1:]
             joint = forward[:-1, :, None] * np.exp(model.trans)
             joint = (joint / joint.sum(1, keepdims=True) * p[1:, None, :])[inner].sum(0)
@@ -292,6 +295,15 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, seed: int = 5, rate: flo
     return model
 
 
+def passages(text: str) -> Column:
+    """SAMPLE_CHARS characters of a text at most: PASSAGES stretches dealt evenly from its start to its end, without the words
+    that their ends cut."""
+    size, n = SAMPLE_CHARS // PASSAGES, F.length(text)
+    whole = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda k: F.substring(text, (F.floor(k * (n - size) / (PASSAGES - 1)) + 1).cast("int"), F.lit(size)))
+    parts = F.transform(whole, lambda x, k: F.regexp_replace(F.when(k > 0, F.regexp_replace(x, r"^\S*\s", "")).otherwise(x), r"\s\S*$", ""))
+    return F.when(n <= SAMPLE_CHARS, F.col(text)).otherwise(F.array_join(parts, " "))
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Learns from documents with a language whose crc32(doc_id) mod 5 is not 0, within the sample's bounds."""
     pool = docs.where("lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "lang")
@@ -301,7 +313,7 @@ def fit(docs: DataFrame) -> Model | None:
     w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "doc_id")
     ids = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang")
     # at most SAMPLE_DOCS rows a language
-    rows = docs.where("text is not null").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    rows = docs.where("text is not null").select("doc_id", "lang", passages("text").alias("text")).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     got = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.collect())
     return train([(t, label) for _, t, label in got if has_letter(t)])
 

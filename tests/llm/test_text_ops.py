@@ -189,3 +189,30 @@ def test_edited_copies_equal_brute_force(spark, monkeypatch, threshold):
     ).collect()
     assert len(want) > 60 and {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want and len(got) == len(want)
     assert all(int(plain_align(items[r["item_id"]], docs[r["doc_id"]][r["start_word"] : r["end_word"]])) == round(r["score"] * 2 * len(items[r["item_id"]])) for r in got)
+
+
+def test_language_id_on_held_out_documents(spark):
+    """Accuracy on documents that training never saw."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    found = langid.op10_language_id(spark, folder).where("held_out and lang_pred != 'und'").join(docs.where("lang is not null and length(text) > 40"), "doc_id")
+    n, right = found.selectExpr("count(*)", "count_if(lang = lang_pred)").first()
+    assert n > 100 and right >= 0.97 * n
+
+
+def test_passages_over_the_whole_text(spark):
+    short, long = "kort text " * 20, " ".join(f"ord{k}" for k in range(9000))
+    got = [r[0] for r in spark.createDataFrame([(short,), (long,), ("",), ("x" * 4000,)], "text string").coalesce(1).select(langid.passages("text")).collect()]
+    assert got[0] == short and got[2] == "" and len(got[3]) <= langid.SAMPLE_CHARS + langid.PASSAGES
+    words = got[1].split()
+    assert set(words) <= set(long.split()) and words[0] == "ord0" and words[-1] in ("ord8998", "ord8999") and len(got[1]) <= langid.SAMPLE_CHARS + langid.PASSAGES
+    numbers = [int(w[3:]) for w in words]
+    assert numbers == sorted(numbers) and sum(3000 < n < 6000 for n in numbers) > 20
+
+
+def test_one_language(spark):
+    """With one label there is nothing to learn, but what training met is known."""
+    rows = [(k, f"the house number {k} and the old garden by the river", "en") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(docs.select("text").limit(3), langid.fit(docs), known="known").collect()
+    assert all(r["lang_pred"] == "en" and r["known"] > 0.9 for r in out)

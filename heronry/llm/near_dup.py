@@ -7,7 +7,8 @@ n - ceil(0.8 n) + 1 of each - and every pair that meets is verified by the exact
 that are frequent in a sample last; it decides the work, not the result. Of the smaller set the shared shingle is
 among fewer still, the first n - ceil(2 * 0.8 / 1.8 n) + 1, so a passage that many documents hold makes no pairs but
 of those that it nearly fills. Pairs are taken in two steps: those of the
-grid and each set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet.
+grid and each set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet;
+these are compared by size and sketch in blocks of sets, and only those that pass become rows.
 
 Texts are fetched only for pairs whose sketches (``SKETCH`` min-hashes of a byte) agree in ``AGREE`` places at least:
 at similarity 0.8 a pair has fewer with a probability of 1e-9, unrelated ones never come near.
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, keep_one, materialize, row_key, tidy
+from .common import connected_components, keep_one, materialize, pieces, row_key, tidy
 from .decontaminate import grams
 from .simhash import links
 from .words import BASE, mix, word_hashes
@@ -163,6 +164,62 @@ def _agree(batches):
         yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
 
+#: Sets that share a shingle and are compared by one task at once.
+BLOCK = 1024
+
+
+def _meet(similarity):
+    """Pairs of sets that share a shingle, lie in different components and could be similar by size and sketch.
+
+    Rows come sorted by (h, i, j): the sets of the blocks i and j of shingle h. Nothing but the pairs found is given."""
+
+    def block(rows):
+        node, c, n, short, side = (np.array(x) for x in zip(*(r[:5] for r in rows)))
+        if (c == c[0]).all():
+            return None
+        sk = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, SKETCH)
+        one = (side == 0).all()
+        found = []
+        for x in np.flatnonzero(short):
+            other = (c != c[x]) & (n >= n[x]) & (n[x] >= similarity * n - 1e-6)
+            if not one:
+                other &= side != side[x]
+            y = np.flatnonzero(other)
+            y = y[(sk[y] == sk[x]).sum(1) >= AGREE]
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
+
+    def run(batches):
+        key, rows = None, []
+        for b in pieces(batches, 4096):
+            for *k, node, c, n, short, side, sk in zip(*(x.to_pylist() for x in b.columns)):
+                if k != key and rows:
+                    pairs = block(rows)
+                    if pairs is not None and pairs.size:
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                    rows = []
+                key = k
+                rows.append((node, c, n, short, side, sk))
+        if rows:
+            pairs = block(rows)
+            if pairs is not None and pairs.size:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return run
+
+
+def _apart(part: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``part`` (h, node, short, c, n, sk) that ``_meet`` finds. A shingle's sets go in blocks of ``BLOCK``
+    and each two blocks to a task of their own, so no task holds more than two."""
+    sizes = materialize(part.groupBy("h").agg(F.count("*").alias("m"), F.max("short").alias("any")).where("any"), "sizes").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    at = part.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    rows = dealt.select("h", i, j, "node", "c", "n", "short", side, "sk").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return rows.mapInArrow(tidy(_meet(similarity)), "a long, b long").distinct()
+
+
 def _similar(width, similarity):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -190,11 +247,15 @@ def _similar(width, similarity):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is high enough, as a table."""
+def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that could be similar by size and sketch, as a table."""
     a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}")) for x in ("a", "b"))
     sized = pairs.join(a, "a").join(b, "b").where((F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6))
-    near = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(tidy(_agree), "a long, b long"), "near")
+    return materialize(sized.select("a", "b", "sa", "sb").mapInArrow(tidy(_agree), "a long, b long"), "near")
+
+
+def _verified(near: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is high enough, as a table."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
     texts = materialize(packed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -222,19 +283,15 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     alike = sets.select("fp", "node").join(reps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     grid = alike.union(links(reps).select(F.least("a", "b"), F.greatest("a", "b")))
     first = materialize(places.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).union(grid).distinct(), "first")
-    linked = _verified(first, sets, docs, width, similarity)
+    linked = _verified(_close(first, sets, similarity), docs, width, similarity)
     cc = materialize(connected_components(linked), "components")
     # what is still apart at a shingle
     part = materialize(places.select("h", "node", "short").distinct().join(cc, "node", "left").select("h", "node", "short", F.coalesce("component", "node").alias("c")), "places")
     apart = part.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-    part = materialize(part.join(apart, "h", "left_semi").join(sets.select("node", "n"), "node"), "apart")
-    x, y = part.alias("x"), part.alias("y")
-    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & F.col("x.short")
-    near &= (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)
-    rest = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    part = materialize(part.join(apart, "h", "left_semi").join(sets.select("node", "n", "sk"), "node"), "apart")
+    rest = materialize(_apart(part, similarity).join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():  # the components found stand for the links that made them
-        cc = connected_components(cc.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_verified(rest, sets, docs, width, similarity)))
+        cc = connected_components(cc.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_verified(rest, docs, width, similarity)))
     return ids.select("doc_id", "key", "node").join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))
 
 

@@ -57,3 +57,64 @@ def test_near_dedup_equals_brute_force(spark):
     want = sorted(set(group))
     assert 50 < len(want) < 110 and sorted(r["doc_id"] for r in kept.collect()) == want
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    """A crowd of copies that are near one another but not near any one of them: blocks of a few sets give the same."""
+    from heronry.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    rng = random.Random(9)
+    base = [f"ord{k}" for k in range(120)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for k in rng.sample(range(40, 120), rng.choice([1, 2, 3, 4])):
+            copy[k] = f"ny{rng.randrange(50)}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_dup.dedup_simhash(docs).collect()) == sorted(set(group))
+
+
+def test_pairs_of_blocks(spark):
+    from heronry.llm import near_dup
+
+    rng = random.Random(3)
+    sketches = [bytes(rng.choice([1, 2]) if rng.random() < 0.3 else 1 for _ in range(near_dup.SKETCH)) for _ in range(40)]
+    sets = [(h, k, bool(k % 3), k % 4, 10 + k % 5, bytearray(sketches[k])) for h in range(3) for k in range(h, 40, h + 1)]
+    part = spark.createDataFrame(sets, "h long, node long, short boolean, c long, n long, sk binary")
+    want = set()
+    for h, k, short, c, n, sk in sets:
+        for h2, k2, _, c2, n2, sk2 in sets:
+            if h == h2 and c != c2 and short and n <= n2 and n >= 0.8 * n2 - 1e-6 and sum(x == y for x, y in zip(sk, sk2)) >= near_dup.AGREE:
+                want.add((min(k, k2), max(k, k2)))
+    for block in (1024, 7):
+        near_dup.BLOCK, whole = block, near_dup.BLOCK
+        try:
+            assert {tuple(r) for r in near_dup._apart(part, 0.8).collect()} == want and len(want) > 50
+        finally:
+            near_dup.BLOCK = whole
+
+
+def test_stages_take_nulls_clashing_names_and_empty_tables(spark, sf_dir):
+    """Each stage alone: nulls in any column, empty and repeated texts, columns named like those that stages add."""
+    word = "the house and the garden of a small town near the river with old trees in it"
+    texts = [None, "", " \n", word, word, word + " again", "x", "12 34 !", word.upper(), (word + " ") * 300]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, __lang string, key long, x_text string, `group` int"
+    rows = [(None if k == 3 else k, t, "en" if k % 2 else None, None if k % 3 else "a", None if k == 4 else len(t or ""), "r", None, k, "x", 1) for k, t in enumerate(texts)]
+    train = [(100 + k, f"{word} number {k} of many", "en", "b", 60, None, "l", None, None, None) for k in range(30)]
+    docs = spark.createDataFrame(rows + rows[3:5] + train, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        kept = corpus_pipeline.materialize(out, name)
+        assert 0 < kept.count() <= 2 * docs.count(), name
+        empty = stage(spark, docs.where("false"), sf_dir)
+        assert empty.columns == docs.columns and corpus_pipeline.materialize(empty, name).count() == 0, name

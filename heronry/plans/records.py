@@ -217,6 +217,20 @@ def rejected_audio(spark, sf_dir):
     return rejects.select("vec_id", F.lit("rejected").alias("what"))
 
 
+@query("SELECT vec_id, i, trunc(greatest(least(embedding[i + 1]::DOUBLE, 1.0), -1.0) * 8388607)::INT AS q, count(*) OVER (PARTITION BY vec_id) AS n FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE vec_id % 10 > 0")
+def flac_round_trip(spark, sf_dir):
+    """Vectors as lossless clips of 24 bits, decoded again; clips with a changed byte are set aside."""
+    e = table(spark, sf_dir, "embeddings")
+    clip = writers.flac_bytes("embedding", 100, 24)
+    n = F.octet_length("clip")
+    broken = F.concat(F.substring("clip", 1, n - 9), F.lit(b"\x55"), F.substring("clip", n - 7, F.lit(8)))
+    files = e.select("vec_id", clip.alias("clip")).select("vec_id", F.when(F.col("vec_id") % 10 > 0, F.col("clip")).otherwise(broken).alias("content"))
+    fine, rejects = readers.set_aside(readers.decode_audio(files), F.col("audio").isNull())
+    rows = fine.select("vec_id", F.posexplode("audio.samples").alias("i", "x"), F.size("audio.samples").alias("n"))
+    whole = rows.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") * 8388608).cast("int").alias("q"), F.col("n").cast("long").alias("n"))
+    return whole.join(rejects.select("vec_id"), "vec_id", "left_anti")
+
+
 _QC = "qc AS (SELECT 'd' || doc_id AS audio, (n_chars % 100) / 250.0 AS cer, 1 + (n_chars % 30) / 8.0 AS dnsmos, (n_chars % 40)::DOUBLE AS rate, (n_chars % 5) * 0.75 AS tail FROM documents), fl AS (SELECT *, list_filter([CASE WHEN round(cer, 3) > 0.15 THEN 'cer' END, CASE WHEN round(dnsmos, 2) < 2.6 THEN 'dnsmos' END, CASE WHEN rate NOT BETWEEN 6 AND 30 THEN 'rate' END, CASE WHEN tail > 2 THEN 'tail' END], lambda x: x IS NOT NULL) AS f FROM qc)"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import wave
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.gates import cast_or_drop
 from ..schemas import MANIFEST, SPEAKERS_CSV
+from . import flac
 from .scratch import get_text
 
 
@@ -118,14 +120,53 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length").orderBy("path")
 
 
+def _wave(data: bytes) -> tuple[int, np.ndarray]:
+    """(rate, channels x samples in [-1, 1]) of a WAV of whole numbers of 8, 16, 24 or 32 bits, or floats."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("no wave file")
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        part = data[at + 8 : at + 8 + size]
+        if name == b"fmt ":
+            kind, channels, rate, _, _, width = struct.unpack("<HHIIHH", part[:16])
+            form = (int.from_bytes(part[24:26], "little") if kind == 0xFFFE else kind, channels, rate, width)
+        elif name == b"data":
+            break
+        at += 8 + size + size % 2
+    else:
+        raise ValueError("no samples")
+    if form is None or form[1] < 1 or form[2] < 1:
+        raise ValueError("no format")
+    kind, channels, rate, width = form
+    part = part[: len(part) // (channels * width // 8 or 1) * (channels * width // 8)]
+    if (kind, width) == (3, 32) or (kind, width) == (3, 64):
+        x = np.frombuffer(part, f"<f{width // 8}").astype(float)
+    elif (kind, width) == (1, 8):
+        x = (np.frombuffer(part, np.uint8) - 128.0) / 128
+    elif kind == 1 and width in (16, 24, 32):
+        low = np.zeros((len(part) // (width // 8), 4), np.uint8)
+        low[:, 4 - width // 8 :] = np.frombuffer(part, np.uint8).reshape(-1, width // 8)
+        x = low.view("<i4")[:, 0] / 2.0**31
+    else:
+        raise ValueError("an unknown kind of samples")
+    return rate, x.reshape(-1, channels).T
+
+
+def decoded(data: bytes, mix: str = "mean") -> tuple[int, np.ndarray] | None:
+    """Rate and samples in [-1, 1] of WAV or FLAC bytes; their channels' mean or the first one; None if they can't be read."""
+    try:
+        rate, x = flac.decode(data) if data[:4] == flac.MAGIC else _wave(data)
+    except (ValueError, struct.error):
+        return None
+    return rate, (x.mean(0) if mix == "mean" else x[0])
+
+
 def pcm16(data: bytes, mix: str = "mean") -> tuple[int, np.ndarray] | None:
-    """Rate and samples in [-1, 1] of a 16-bit WAV; its channels' mean or its first one; None if it can't be read."""
+    """The same of a 16-bit WAV alone."""
     try:
         with wave.open(io.BytesIO(data)) as w:
-            if w.getsampwidth() != 2:
-                return None
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()) / 32768
-            return w.getframerate(), (x.mean(1) if mix == "mean" else x[:, 0])
+            return decoded(data, mix) if w.getsampwidth() == 2 else None
     except (wave.Error, EOFError):
         return None
 
@@ -135,7 +176,7 @@ def decode_audio(df: DataFrame, content: str = "content", mix: str = "mean") ->
 
     @F.pandas_udf("sr int, samples array<double>")
     def run(data: pd.Series) -> pd.DataFrame:
-        got = [pcm16(x, mix) if x is not None else None for x in data]
+        got = [decoded(x, mix) if x is not None else None for x in data]
         return pd.DataFrame({"sr": pd.array([g[0] if g else None for g in got], "Int32"), "samples": [g[1].tolist() if g else None for g in got]})
 
     return df.withColumn("audio", run(content)).withColumn("audio", F.when(F.col("audio.sr").isNotNull(), F.col("audio")))

@@ -80,6 +80,18 @@ def wav_bytes(samples: str | Column, sr: int = 24000, pad_ms: int = 200) -> Colu
     return run(F.col(samples) if isinstance(samples, str) else samples)
 
 
+def flac_bytes(samples: str | Column, sr: int = 24000, width: int = 16) -> Column:
+    """Mono lossless content, as a binary column; samples are clipped to [-1, 1] and cut to ``width`` bits toward zero."""
+    from . import flac
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        top = (1 << (width - 1)) - 1
+        return x.map(lambda a: None if a is None else flac.encode((np.clip(np.asarray(a, float), -1, 1) * top).astype(np.int64)[None], sr, width))
+
+    return run(F.col(samples) if isinstance(samples, str) else samples)
+
+
 def write_failures(df: DataFrame, path: str) -> None:
     """A line for each failed clip (audio, flags, cer, dnsmos)."""
     df.select(F.format_string("%s  [%s] cer=%s mos=%s", "audio", "flags", "cer", "dnsmos").alias("value")).write.text(path)

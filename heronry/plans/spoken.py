@@ -115,3 +115,26 @@ def abbreviations_in_texts(spark, sf_dir):
     s = F.col("short")
     said = F.concat("word", F.lit(" "), s, F.lit(" b ("), s, F.lit(") x"), s, F.lit(" och "), s, F.lit(", slut"))
     return rows.select("short", "word", swedish.normalise(said).alias("said"))
+
+
+@query(f"WITH {_WORDS}, n AS (SELECT DISTINCT o_custkey AS n FROM orders) SELECT n, 'Bil nummer ' || {_MILLIONS.format('n')} || ' kostar ' || {_MILLIONS.format('(n * 7)')} || ' kronor.' AS normalised FROM n, l")
+def normalize_flow(spark, sf_dir):
+    """the verb over a table of texts."""
+    from .. import api
+
+    n = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("n")).distinct()
+    texts = n.withColumn("text", F.concat(F.lit("  Bil nr "), F.col("n").cast("string"), F.lit(" kostar  "), (F.col("n") * 7).cast("string"), F.lit(" kr .")))
+    return api.normalize(texts).select("n", "normalised")
+
+
+@query(
+    """WITH m AS (SELECT source AS system, avg((n_chars % 50) / 200.0::DOUBLE) AS cer, avg(2.2 + (n_chars % 30) / 40.0::DOUBLE) AS mos, avg((n_chars % 7) * 0.4::DOUBLE) AS comb, count(*) AS n FROM documents GROUP BY source)
+    SELECT system, round(cer, 9) AS cer, round(mos, 9) AS mos, round(comb, 9) AS comb, n, CASE WHEN cer > 0.20 THEN 'FAIL-intelligibility' WHEN mos < 2.5 THEN 'FAIL-quality' WHEN comb < 1.2 THEN 'ok (comb low)' ELSE 'ok (comb audible)' END AS verdict FROM m"""
+)
+def evaluate_flow(spark, sf_dir):
+    """The verb over a table of metrics: a system's means and verdict."""
+    from .. import api
+
+    n = F.col("n_chars")
+    metrics = table(spark, sf_dir, "documents").select(F.col("source").alias("system"), ((n % 50) / 200.0).alias("cer"), (2.2 + (n % 30) / 40.0).alias("dnsmos"), ((n % 7) * 0.4).alias("comb"))
+    return api.evaluate(metrics).select("system", F.round("mean_cer", 9).alias("cer"), F.round("mean_dnsmos", 9).alias("mos"), F.round("mean_comb", 9).alias("comb"), "n", "verdict")

@@ -11,7 +11,7 @@ reaches T takes 3 n - T words of a text at most, so seeds are counted in overlap
 The items travel to the executors, in slices of at most ``SLICE`` words; a larger benchmark takes more passes.
 
 Defined cases: words are runs of letters, digits and non-ASCII characters, lower-cased; null and empty texts
-hold nothing; items of fewer than ``least`` words are not looked for; repeated items are reported each, repeated
+hold nothing; items of fewer than ``WHOLE`` words must be there as a whole, those of fewer than ``least`` are not looked for; repeated items are reported each, repeated
 documents give a row each; a null doc_id is reported as null; ties go to the leftmost place; empty tables give an empty result. Extra columns are
 ignored.
 """
@@ -29,7 +29,8 @@ from .common import pieces, tidy
 from .words import LETTERS, mix, word_hashes
 
 SEED_WORDS, SPREAD = 2, 4
-THRESHOLD, LEAST = 0.5, 5
+#: Items of fewer words than ``WHOLE`` say little, so they are found as whole runs only; filtering leaves them out.
+THRESHOLD, WHOLE = 0.5, 5
 SLICE = 4_000_000
 CHUNK = 1 << 18
 #: Seeds found in texts that are counted at once, unless one text has more.
@@ -151,7 +152,7 @@ def _windows(d, p, seed, n_seeds, item_of, step, need):
     return sorted(zip((place[ok] // per_text).tolist(), item[ok].tolist(), (place[ok] % per_text).tolist()))
 
 
-def _finder(plan, threshold):
+def _finder(plan):
     """A function that gives (text, item, score, start, end) for the items that each of some texts holds."""
     seeds, item_of, step, need, least_score, item_ids, words, begin = plan
     find = [(_Lookup(keys), first, seed) for keys, first, seed in seeds]
@@ -193,17 +194,17 @@ def _finder(plan, threshold):
                 if score > top[0]:
                     top = (score, a + s, a + e)
             share = top[0] / (MATCH * len(words_of))
-            if share >= threshold:
+            if top[0] >= least_score[item]:
                 yield d, int(item_ids[item]), share, top[1], top[2]
 
     return run
 
 
-def _match(shared, threshold):
+def _match(shared):
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches):
-        find = _finder(shared.value, threshold)
+        find = _finder(shared.value)
         for ids, texts in _chunks(batches):
             out = [(ids[d], *rest) for d, *rest in find(texts)]
             if out:
@@ -212,11 +213,11 @@ def _match(shared, threshold):
     return run
 
 
-def _clean(shared, threshold, at: int):
+def _clean(shared, at: int):
     """The rows whose text, the column at ``at``, holds no item."""
 
     def run(batches):
-        find = _finder(shared.value, threshold)
+        find = _finder(shared.value)
         for b in pieces(batches):
             held = np.zeros(b.num_rows, bool)
             numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], ["i", "text"])
@@ -239,8 +240,8 @@ def _plans(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int,
     items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(words)).first()[0] or 0
     slices = max(1, -(-total // slice_words))
-    for s in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).collect()  # at most about slice_words words
+    for part in range(slices):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).collect()  # at most about slice_words words
         rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)
         if not rows:
             continue
@@ -252,7 +253,8 @@ def _plans(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int,
         if len(own):  # 16 bytes a different word of the items
             found = pairs.mapInArrow(tidy(_count(spark.sparkContext.broadcast(own))), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
             counts[np.searchsorted(own, found["w"].to_numpy().view(np.uint64))] = found["n"].to_numpy()
-        least_score = np.array([next(x for x in range(int(MATCH * n * threshold), MATCH * n + 2) if x > 0 and (x >= MATCH * n or x / (MATCH * n) >= threshold)) if n else 1 for n in length.tolist()])
+        share = np.where(length < WHOLE, 1.0, threshold).tolist()
+        least_score = np.array([next(x for x in range(int(MATCH * n * s), MATCH * n + 2) if x > 0 and (x >= MATCH * n or x / (MATCH * n) >= s)) if n else 1 for n, s in zip(length.tolist(), share)])
         need, rare = np.zeros(len(rows), np.int64), []
         for i in np.nonzero(length >= least)[0].tolist():
             n, t = counts[np.searchsorted(own, h[begin[i] : begin[i + 1]])], int(least_score[i])
@@ -270,20 +272,20 @@ def _plans(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int,
         yield spark.sparkContext.broadcast(plan)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, slice_words: int = SLICE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = 1, slice_words: int = SLICE) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): documents that hold an edited copy of an item."""
     pairs, out = docs.select("doc_id", "text"), None
     for plan in _plans(docs, benchmark, threshold, least, slice_words):
-        part = pairs.mapInArrow(tidy(_match(plan, threshold)), RESULT)
+        part = pairs.mapInArrow(tidy(_match(plan)), RESULT)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], RESULT) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, slice_words: int = SLICE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = WHOLE, slice_words: int = SLICE) -> DataFrame:
     """The rows whose texts hold no benchmark item; every row is judged by its own text, whatever its doc_id."""
     out = docs
     for plan in _plans(docs, benchmark, threshold, least, slice_words):
-        out = out.mapInArrow(tidy(_clean(plan, threshold, docs.columns.index("text"))), docs.schema)
+        out = out.mapInArrow(tidy(_clean(plan, docs.columns.index("text"))), docs.schema)
     return out
 
 

@@ -216,3 +216,19 @@ def test_one_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = langid.identify(docs.select("text").limit(3), langid.fit(docs), known="known").collect()
     assert all(r["lang_pred"] == "en" and r["known"] > 0.9 for r in out)
+
+
+def test_short_items_as_whole_runs(spark):
+    """Items of one to four words are found where all their words follow one another, and nowhere else; filters pass them."""
+    rng = random.Random(12)
+    words = ["alfa", "beta", "gamma", "delta", "epsilon"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 8, 200]))) for _ in range(60)] + [None, "ALFA, beta!"]
+    items = [(1, "delta"), (2, "alfa beta"), (3, "beta beta gamma"), (4, "gamma alfa delta alfa"), (5, "saknas"), (6, "alfa saknas"), (7, "Alfa  beta")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    holds = lambda t, i: any(t[k : k + len(i)] == i for k in range(len(t) - len(i) + 1))
+    want = sorted((d, i) for d, t in enumerate(texts) for i, x in items if holds(split(t), split(x)))
+    got = dc.leaks(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == want and len(want) > 60 and all(r["score"] == 1.0 for r in got)
+    assert dc.decontaminate(docs, bench).count() == len(texts)

@@ -74,7 +74,8 @@ ENDS = {
     "li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
     "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",)),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
+#: A quote that never closes stands for itself, so its tag ends at the next bracket.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|\"(?![^\"]*\")|'(?![^']*'))*)(>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
@@ -442,7 +443,8 @@ def region(t: Slot) -> Slot:
         inner = max(best.kids, key=chars, default=None)
         if inner is None or not inner.kids or 2 * chars(inner) < total:
             break
-        if any(prose(k) or 10 * chars(k) >= total for k in best.kids if k is not inner) or ((best.varies or alone) and 10 * (best.chars - best.linked) >= total):
+        # what varies beside it is content too, but for a little text in an element without prose and without a name
+        if any(prose(k) or 10 * chars(k) >= total or (chars(k) and " " in k.key.strip()) for k in best.kids if k is not inner) or ((best.varies or alone) and 10 * (best.chars - best.linked) >= total):
             break
         best = inner
     return best
@@ -465,31 +467,33 @@ def verdicts(slot: Slot, template: Slot, shapes: Shapes) -> list[tuple[bool, boo
 
 
 def declared(s: Skeleton, order: list, skipped: set[int]) -> set[int]:
-    """Nodes inside the articles of a page, or inside its main element where that holds more than twice as much text."""
-    sizes: dict[int, int] = {}
-    for k, x in order:
-        if id(k) not in skipped:
-            sizes[id(k)] = sizes.get(id(k), 0) + len(x)
-    held: dict[str, set[int]] = {"article": set(), "main": set()}
-    stack = [(s, frozenset())]
+    """Nodes inside the articles and main elements of a page, if any of them holds text."""
+    held: set[int] = set()
+    stack = [(s, False)]
     while stack:
         k, within = stack.pop()
-        tag = k.key.split(" ")[0]
-        if tag in held and id(k) not in skipped:
-            within |= {tag}
-        for tag in within:
-            held[tag].add(id(k))
+        within = within or k.key.split(" ")[0] in REGIONS and id(k) not in skipped
+        if within:
+            held.add(id(k))
         stack += [(x, within) for x in k.kids]
-    total = {tag: sum(n for k, n in sizes.items() if k in nodes) for tag, nodes in held.items()}
-    tag = "article" if total["article"] and 2 * total["article"] >= total["main"] else "main"
-    return held[tag] if total[tag] else set()
+    return held if any(id(k) in held and id(k) not in skipped for k, _ in order) else set()
+
+
+def blocks_at(s: Skeleton, order: list) -> list[tuple[int, int]]:
+    """(place, text) of each block in order, as hashes; the place is the names of the elements that hold it."""
+    path, stack = {}, [(s, 0)]
+    while stack:
+        k, above = stack.pop()
+        path[id(k)] = own = xxhash.xxh3_64_intdigest(f"{above} {k.key}".encode("utf-8", "replace")) >> 1
+        stack += [(x, own) for x in k.kids]
+    return [(path[id(k)], xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) >> 1) for k, x in order]
 
 
 class Extractor:
     """Main text of pages of one host; what the template says of a shape is kept for the next page of that shape."""
 
-    def __init__(self, template: Slot | None = None):
-        self.template, self.shapes, self.known = template, Shapes(), {}
+    def __init__(self, template: Slot | None = None, constant: frozenset = frozenset()):
+        self.template, self.shapes, self.known, self.constant = template, Shapes(), {}, constant
 
     def __call__(self, html: str) -> str:
         s, order, slot, number = page(html, self.shapes, learn=False)
@@ -508,8 +512,9 @@ class Extractor:
         known = self.known[number]
         inside = declared(s, order, skipped)
         kept = []
-        for k, x in order:
-            if id(k) in skipped or (inside and id(k) not in inside):
+        fixed = [p in self.constant for p in blocks_at(s, order)] if self.constant else [False] * len(order)
+        for (k, x), again in zip(order, fixed):
+            if again or id(k) in skipped or (inside and id(k) not in inside):
                 continue
             if known is not None and (known[k.slot][0] or not (inside or known[k.slot][1])):
                 continue
@@ -517,31 +522,39 @@ class Extractor:
         return "\n".join(kept)
 
 
-def extract(html: str, template: Slot | None = None) -> str:
-    """The main text of a page, with its host's template."""
-    return Extractor(template)(html)
+def extract(html: str, template: Slot | None = None, constant: frozenset = frozenset()) -> str:
+    """The main text of a page, with its host's template and constant blocks."""
+    return Extractor(template, constant)(html)
 
 
 def host(url) -> object:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-PARTS = pa.schema([("host", pa.string()), ("name", pa.string()), ("salt", pa.int32()), ("template", pa.string())])
-#: Slots that a task holds of templates not yet handed on.
+#: A row holds a template, or a block: its place and text, the pages that have it, and the least and largest of each
+#: min-hash of these. Text 0 stands for any text at that place.
+MARKS = [f"{end}{k}" for end in ("low", "high") for k in range(4)]
+PARTS = pa.schema([("host", pa.string()), ("name", pa.string()), ("salt", pa.int32()), ("template", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("pages", pa.int64()), *((m, pa.int64()) for m in MARKS)])
+#: Slots and blocks that a task holds of templates not yet handed on.
 HELD = 200_000
+#: A block is constant if this share of the host's pages with its place have it, so many at least.
+SHARE, LEAST = 0.9, 3
 
 
 def _induce(batches):
     held: dict[tuple[str, str], Slot] = {}
+    blocks: dict[tuple, list] = {}
     shapes, names, slots = Shapes(), {}, 0
     salt = int(TaskContext.get().partitionId()) % SALTS
 
     def flush():
-        return pa.RecordBatch.from_pydict({"host": [h for h, _ in held], "name": [n for _, n in held], "salt": [salt] * len(held), "template": [json.dumps(t.dump()) for t in held.values()]}, schema=PARTS)
+        rows = [{"host": h, "name": n, "salt": salt, "template": json.dumps(t.dump())} for (h, n), t in held.items()]
+        rows += [{"host": h, "place": p, "text": x, "pages": v[0], **dict(zip(MARKS, v[1] + v[2]))} for (h, p, x), v in blocks.items()]
+        return pa.RecordBatch.from_pylist(rows, schema=PARTS)
 
     for b in batches:
         for h, x in zip(b.column(0).to_pylist(), b.column(1)):
-            _, _, t, number = page(x.as_py() or "", shapes)
+            s, order, t, number = page(x.as_py() or "", shapes)
             if number not in names:
                 names[number] = t.name()
             at = (h, names[number])
@@ -550,9 +563,14 @@ def _induce(batches):
             else:
                 held[at] = t
                 slots += 1 + len(shapes.shape[number][2]) * 4
-            if slots > HELD or len(shapes.shape) > HELD:
+            found = set(blocks_at(s, order))
+            for at in found | {(p, 0) for p, _ in found}:
+                v = blocks.setdefault((h, *at), [0, t.low, t.low])
+                v[0] += 1
+                v[1], v[2] = [*map(min, v[1], t.low)], [*map(max, v[2], t.low)]
+            if slots + len(blocks) > HELD or len(shapes.shape) > HELD:
                 yield flush()
-                held, shapes, names, slots = {}, Shapes(), {}, 0
+                held, blocks, shapes, names, slots = {}, {}, Shapes(), {}, 0
     if held:
         yield flush()
 
@@ -564,9 +582,15 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def induced(pages: DataFrame) -> DataFrame:
+    """Templates and blocks of all pages, a few rows a task and host, as a table: the pages are parsed once for both."""
+    schema = "host string, name string, salt int, template string, place long, text long, pages long, " + ", ".join(f"{m} long" for m in MARKS)
+    return materialize(pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(tidy(_induce), schema), "induced")
+
+
+def templates(parts: DataFrame) -> DataFrame:
     """(host, template): one row a host."""
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(tidy(_induce), "host string, name string, salt int, template string")
+    seen = parts.where("template is not null").select("host", "name", "salt", "template")
     bucket = F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")
     for keys, salt in ((["host", "name", "salt"], None), (["host", "name"], bucket), (["host", "salt"], None), (["host"], None)):
         seen = seen.groupBy(*keys).applyInPandas(_merge, "host string, name string, salt int, template string")
@@ -575,24 +599,40 @@ def templates(pages: DataFrame) -> DataFrame:
     return seen.select("host", "template")
 
 
+def constant_blocks(parts: DataFrame) -> DataFrame:
+    """(host, constant): blocks with one text at one place on nearly all pages of a host that have the place, where these are
+    no near copies of each other. So a repeated notice is found in a run of paragraphs that is one slot of the template."""
+    marks = [(F.min if m.startswith("low") else F.max)(m).alias(m) for m in MARKS]
+    seen = parts.where("place is not null").groupBy("host", "place", "text").agg(F.sum("pages").alias("pages"), *marks)
+    often = seen.where((F.col("pages") >= LEAST) & (F.col("text") != 0))
+    for k in range(3):  # as Slot.proved
+        often = often.where(F.col(f"low{k}") != F.col(f"high{k}"))
+    every = seen.where("text = 0").select("host", "place", F.col("pages").alias("all"))
+    kept = often.join(every, ["host", "place"]).where(F.col("pages") >= SHARE * F.col("all"))
+    # no more of them than a page has blocks, over SHARE
+    return kept.groupBy("host").agg(F.collect_list(F.struct("place", "text")).alias("constant"))
+
+
 def _extract(batches):
     cache: dict[str, Extractor] = {}
     for b in pieces(batches):
         out = []
-        for h, t, x in zip(b.column("host").to_pylist(), b.column("template"), b.column("html")):
+        for h, t, c, x in zip(b.column("host").to_pylist(), b.column("template"), b.column("constant"), b.column("html")):
             if h not in cache:
                 if len(cache) > 200:
                     cache.clear()
-                cache[h] = Extractor(Slot.load(json.loads(t.as_py())) if t.is_valid else None)
+                constant = frozenset((r["place"], r["text"]) for r in c.as_py() or ())
+                cache[h] = Extractor(Slot.load(json.loads(t.as_py())) if t.is_valid else None, constant)
             out.append(cache[h](x.as_py() or ""))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
-    made = materialize(templates(pages), "templates")
+    parts = induced(pages)
+    made = materialize(templates(parts).join(constant_blocks(parts), "host", "left"), "templates")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    return rows.join(made, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
+    return rows.join(made, "host", "left").select("page_id", "url", "html", "host", "template", "constant").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:

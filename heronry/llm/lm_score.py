@@ -10,8 +10,9 @@ Both tables are partitioned by hash and met by the documents' exploded n-grams;
 of documents sends each partition its distinct pairs once, with the documents that hold them. The partition of a
 pair is its first word's, so c(v) is at hand; pairs that miss the table go on to the partitions of the word table.
 Frequent words would make partitions uneven, so three tables of bounded size go to the executors first: words of
-more than ``known_share`` of all (1 / known_share at most), words of more than ``hot_share`` (1 / hot_share at
-most) and pairs of two of these. Pairs that start with a hot word are spread by both words.
+more than ``known_share`` of all (1 / known_share at most), those among them that would fill a partition, and pairs of
+two words of more than ``hot_share`` (1 / hot_share^2 at most). Pairs that start with a word that would fill a
+partition are spread by both words.
 
 Defined cases: null, empty and blank texts have 0 words, score 0 and mean null; a single word is scored by its
 share; rows of one doc_id (null too) count each and are scored together; an empty table gives an empty result. Extra columns are ignored.
@@ -109,16 +110,18 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _hot_pairs(shared):
-    """Counts of pairs of two hot words, as first * size + second, and of pairs that start with one, as -1 - first."""
+    """Counts of pairs of two hot words, as first * size + second by their numbers, and of pairs that start with a word that is
+    spread, as -1 - its place."""
 
     def run(batches):
-        hot, total = shared.value, {}
+        (hot, number, size), total = shared.value, {}
         for _, texts in _batches(batches):
             of, h = _words(texts)
             k = _find(hot, h)
             inner = (of[1:] == of[:-1]) & (k[:-1] >= 0)
             a, b = k[:-1][inner], k[1:][inner]
-            v, n = np.unique(np.concatenate((-1 - a, (a * len(hot) + b)[b >= 0])), return_counts=True)
+            x, y = _numbers(number, a), _numbers(number, b)
+            v, n = np.unique(np.concatenate((-1 - a, (x * size + y)[(x >= 0) & (y >= 0)])), return_counts=True)
             for x, c in zip(v.tolist(), n.tolist()):
                 total[x] = total.get(x, 0) + c
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["p", "n"])
@@ -126,6 +129,11 @@ def _hot_pairs(shared):
     return run
 
 
+def _numbers(number: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers of the hot words among the spread ones, -1 for others."""
+    return np.where(places >= 0, number[places], -1) if len(number) else np.full(len(places), -1, np.int64)
+
+
 KINDS = (np.int64, np.bool_, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 SENT = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
@@ -154,14 +162,15 @@ def _explode(shared, parts: int):
             k = _find(hot, h)
             first = np.concatenate(([True], of[1:] != of[:-1]))[: len(of)]
             v, w, d, kv, kw, inner = h[:-1], h[1:], of[1:], k[:-1], k[1:], ~first[1:]
-            both = inner & (kv >= 0) & (kw >= 0)
+            nv, nw = _numbers(t["number"], kv), _numbers(t["number"], kw)
+            both = inner & (nv >= 0) & (nw >= 0)
             count = np.bincount(of, minlength=m)
             own_word = _own(h, of)  # of the word itself
             own_start = np.zeros(len(h), np.int64)  # pairs of the row that start with the word
             begins = np.nonzero(inner)[0]
             own_start[begins] = _own(v[begins], d[begins])
             at = np.nonzero(both)[0]
-            j = _find(t["pairs"], kv[at] * len(hot) + kw[at])
+            j = _find(t["pairs"], nv[at] * t["numbered"] + nw[at])
             own_pair = _own(v[at], w[at], d[at])
             n = (t["pairs_n"][j] if len(at) else np.zeros(0, np.int64)) - own_pair
             others = np.maximum(total - count, 1)
@@ -255,19 +264,24 @@ def _join(shared):
     return run
 
 
-def lm_scores(docs: DataFrame, hot_share: float = HOT_SHARE, known_share: float = KNOWN_SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, hot_share: float = HOT_SHARE, known_share: float = KNOWN_SHARE, part_words: int | None = None) -> DataFrame:
     """(doc_id, n_words, log_score, mean_score) for every document, by word pairs."""
-    spark = docs.sparkSession
+    spark, part_words = docs.sparkSession, part_words or PART
     pairs = docs.select("doc_id", "text")
     words = materialize(pairs.mapInArrow(tidy(_unigrams), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    hot_share = min(hot_share, max(PART / max(total, 1), known_share))  # a word that would fill a partition is hot
+    spread_share = min(hot_share, max(part_words / max(total, 1), known_share))  # a word that would fill a partition is spread
     # at most 1 / known_share rows
     known = sorted((r["w"] & 0xFFFFFFFFFFFFFFFF, r["n"]) for r in words.where(F.col("n") > known_share * total).collect())
     table = {"total": max(total, 1), "words": np.array([w for w, _ in known], np.uint64), "words_n": np.array([n for _, n in known], np.int64)}
-    hot = table["words_n"] > hot_share * total
-    table |= {"hot": table["words"][hot], "hot_n": table["words_n"][hot]}
-    got = pairs.mapInArrow(tidy(_hot_pairs(spark.sparkContext.broadcast(table["hot"]))), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most 1 / hot_share^2 rows
+    spread = table["words_n"] > spread_share * total
+    table |= {"hot": table["words"][spread], "hot_n": table["words_n"][spread]}
+    # of pairs only those of two hot words are gathered, whatever the corpus's size
+    is_hot = table["hot_n"] > hot_share * total
+    table |= {"number": np.where(is_hot, np.cumsum(is_hot) - 1, -1), "numbered": int(is_hot.sum())}
+    sought = spark.sparkContext.broadcast((table["hot"], table["number"], table["numbered"]))
+    # at most 1 / known_share + 1 / hot_share^2 rows
+    got = pairs.mapInArrow(tidy(_hot_pairs(sought)), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
     table["hot_start"] = np.ones(len(table["hot"]), np.int64)
     for r in got:
         if r["p"] < 0:
@@ -275,7 +289,7 @@ def lm_scores(docs: DataFrame, hot_share: float = HOT_SHARE, known_share: float
     both = sorted((r["p"], r["n"]) for r in got if r["p"] >= 0)
     table |= {"pairs": np.array([p for p, _ in both], np.int64), "pairs_n": np.array([n for _, n in both], np.int64)}
     shared = spark.sparkContext.broadcast(table)
-    parts = max(1, math.ceil(total / PART))
+    parts = max(1, math.ceil(total / part_words))
     sent = pairs.mapInArrow(tidy(_explode(shared, parts)), "part int, blob binary, doc long, n long, score double")
     found = sent.groupBy("part").applyInPandas(_join(shared), JOINED)
     rare = words.where(F.col("n") <= known_share * total).select(F.col("w").alias("u"), F.col("n").alias("c"))

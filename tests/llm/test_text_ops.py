@@ -91,7 +91,7 @@ def score_texts():
     return texts + [texts[20]] * 5
 
 
-@pytest.mark.parametrize("hot,known,part", [(1e-3, 2e-6, 3_000_000), (0.02, 0.01, 500), (0.9, 0.9, 200)])
+@pytest.mark.parametrize("hot,known,part", [(1e-3, 2e-6, 3_000_000), (0.02, 0.01, 500), (0.9, 0.9, 200), (0.02, 0.002, 12), (0.5, 0.001, 9)])
 def test_scores_equal_brute_force(spark, monkeypatch, hot, known, part):
     monkeypatch.setattr(lm_score, "PART", part)
     texts = score_texts()

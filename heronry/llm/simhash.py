@@ -80,28 +80,50 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]]}, dtype="int64")
 
 
+def _heavy(own: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of too many pairs, with their own rows and arrivals; only those with both can hold a link."""
+    sizes = right.groupBy(*keys).agg(F.count_if(~F.col("up")).alias("n_own"), F.count("*").alias("n_all"))
+    return materialize(sizes.where(F.col("n_own") * F.col("n_all") > CELL_PAIRS), "cells")
+
+
+def _joined(own: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Links inside cells, pair by pair."""
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 3) & (F.col("b.up") | (F.col("a.fp") < F.col("b.fp")))
+    for x in same:
+        near = x & near
+    return own.alias("a").join(right.alias("b"), near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) links between the representatives of distinct fingerprints (fp, rep) at 3 or fewer differing bits.
 
-    Cells with many fingerprints give a spanning forest of their links in place of every pair."""
+    A cell with many fingerprints is split by each quarter of the bits: three differing bits leave one quarter alike.
+    Where a part is still large, its fingerprints are alike, and blocks of it give a spanning forest of their links in
+    place of every pair."""
     halves = F.explode(F.array(*(F.struct(F.lit(h).alias("half"), _cell(F.shiftrightunsigned("fp", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF))).alias("cell")) for h in (0, 1)))).alias("g")
     own = fps.select("fp", "rep", halves).select("g.half", "g.cell", "fp", "rep")
     steps = F.array(*(F.when(F.shiftright("cell", 2 * j).bitwiseAND(F.lit(3)) < 2, F.col("cell") + F.lit(1 << (2 * j))) for j in range(16)))
     up = own.select("half", F.explode(steps).alias("cell"), "fp", "rep").where("cell is not null")
     right = own.withColumn("up", F.lit(False)).union(up.withColumn("up", F.lit(True)))
-    # a cell's own rows and arrivals; only those with both sides can hold a link
-    sizes = right.groupBy("half", "cell").agg(F.count_if(~F.col("up")).alias("n_own"), F.count("*").alias("n_all"))
-    heavy = materialize(sizes.where(F.col("n_own") * F.col("n_all") > CELL_PAIRS), "cells")
-    dense = not heavy.isEmpty()
-    a, b = (x.join(heavy, ["half", "cell"], "left_anti") if dense else x for x in (own, right))
-    light = a.alias("a").join(b.alias("b"), (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 3) & (F.col("b.up") | (F.col("a.fp") < F.col("b.fp")))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    if not dense:
-        return light
-    grid = heavy.select("half", "cell", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("ka"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("kb"))
-    left = own.join(grid, ["half", "cell"]).select("half", "cell", F.pmod(F.hash("fp"), "ka").alias("x"), F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("y"), F.lit(0).alias("side"), "fp", "rep")
-    arrive = right.join(grid, ["half", "cell"]).select("half", "cell", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("x"), F.pmod(F.hash("fp"), "kb").alias("y"), F.lit(1).alias("side"), "fp", "rep")
-    blocks = left.union(arrive).groupBy("half", "cell", "x", "y").applyInPandas(_blocks, "a long, b long")
-    return light.union(blocks)
+    keys, found = ["half", "cell"], None
+    quarters = F.explode(F.array(*(F.struct(F.lit(q).alias("quarter"), F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF)).alias("bits")) for q in range(4)))).alias("q")
+    for last in (False, True):
+        heavy = _heavy(own, right, keys)
+        dense = not heavy.isEmpty()
+        light = _joined(*((x.join(heavy, keys, "left_anti") if dense else x) for x in (own, right)), keys)
+        found = light if found is None else found.union(light)
+        if not dense:
+            return found
+        own, right = (x.join(heavy.select(*keys), keys) for x in (own, right))
+        if not last:
+            own, right = (x.select("*", quarters).select(*x.columns, "q.quarter", "q.bits") for x in (own, right))
+            keys = [*keys, "quarter", "bits"]
+    grid = heavy.select(*keys, F.ceil(F.col("n_own") / BLOCK).cast("int").alias("ka"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("kb"))
+    left = own.join(grid, keys).select(*keys, F.pmod(F.hash("fp"), "ka").alias("x"), F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("y"), F.lit(0).alias("side"), "fp", "rep")
+    arrive = right.join(grid, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("x"), F.pmod(F.hash("fp"), "kb").alias("y"), F.lit(1).alias("side"), "fp", "rep")
+    blocks = left.union(arrive).groupBy(*keys, "x", "y").applyInPandas(_blocks, "a long, b long")
+    return found.union(blocks)
 
 
 def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -75,7 +75,7 @@ def test_simhash_dense_cells(spark, monkeypatch):
     fps = sorted(fps)
     frame = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x, i) for i, x in enumerate(fps)], "fp long, rep long")
     want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
-    for limit, block in ((1 << 14, 1024), (0, 7)):
+    for limit, block in ((1 << 14, 1024), (400, 1024), (30, 16), (0, 7)):
         monkeypatch.setattr(simhash, "CELL_PAIRS", limit)
         monkeypatch.setattr(simhash, "BLOCK", block)
         got = dict(common.connected_components(simhash.links(frame)).collect())

@@ -8,7 +8,8 @@ that are frequent in a sample last; it decides the work, not the result. Of the
 among fewer still, the first n - ceil(2 * 0.8 / 1.8 n) + 1, so a passage that many documents hold makes no pairs but
 of those that it nearly fills. Pairs are taken in two steps: those of the
 grid and each set with the smallest of those it meets at a shingle, then all pairs that are not in one component yet;
-these are compared by size and sketch in blocks of sets, and only those that pass become rows.
+these are compared in blocks of sets by size, sketch and texts, and a pair that is joined by then is left out, so that a crowd
+gives no more links than it has sets.
 
 Texts are fetched only for pairs whose sketches (``SKETCH`` min-hashes of a byte) agree in ``AGREE`` places at least:
 at similarity 0.8 a pair has fewer with a probability of 1e-9, unrelated ones never come near.
@@ -164,60 +165,123 @@ def _agree(batches):
         yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
 
-#: Sets that share a shingle and are compared by one task at once.
-BLOCK = 1024
+#: Sets of a block; two blocks are compared by one task at once.
+BLOCK = 512
 
 
-def _meet(similarity):
-    """Pairs of sets that share a shingle, lie in different components and could be similar by size and sketch.
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
-    Rows come sorted by (h, i, j): the sets of the blocks i and j of shingle h. Nothing but the pairs found is given."""
 
-    def block(rows):
-        node, c, n, short, side = (np.array(x) for x in zip(*(r[:5] for r in rows)))
-        if (c == c[0]).all():
-            return None
-        sk = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, SKETCH)
-        one = (side == 0).all()
-        found = []
-        for x in np.flatnonzero(short):
-            other = (c != c[x]) & (n >= n[x]) & (n[x] >= similarity * n - 1e-6)
+def _meet(width, similarity):
+    """Links (a, b) between the sets of two blocks that share a shingle, as many as join their components.
+
+    Rows come sorted by (g, i, j): first the sets (node, component, size, sketch, packed text), then the shingles (h, node,
+    short). A pair that is joined by then is not looked at; any other that could be similar by size and sketch is verified
+    by its texts, so a crowd gives no more rows than it has sets."""
+
+    def links_of(sets, places, one):
+        at = {s[0]: k for k, s in enumerate(sets)}
+        node, c, n, side = (np.array([s[k] for s in sets]) for k in range(4))
+        sk = np.frombuffer(b"".join(s[4] for s in sets), np.uint8).reshape(-1, SKETCH)
+        meets = np.zeros((len(sets), len(sets)), bool)
+        held: dict[int, list] = {}
+        for h, x, short in places:
+            held.setdefault(h, []).append((at[x], short))
+        for members in held.values():
+            every = np.array([k for k, _ in members])
+            for k, short in members:
+                if short:
+                    meets[k, every] = True
+        names, label = np.unique(c, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        unpack, kept, size = zstandard.ZstdDecompressor(), {}, 0
+
+        def of(k):
+            nonlocal size
+            if k not in kept:
+                if size > CACHED:
+                    kept.clear()
+                    size = 0
+                kept[k] = shingles([unpack.decompress(sets[k][5])], width)[0]
+                size += len(kept[k])
+            return kept[k]
+
+        for x in np.flatnonzero(meets.any(1)).tolist():
+            fits = meets[x] & (label != label[x]) & (n >= n[x]) & (n[x] >= similarity * n - 1e-6)
             if not one:
-                other &= side != side[x]
-            y = np.flatnonzero(other)
+                fits &= side != side[x]
+            y = np.flatnonzero(fits)
             y = y[(sk[y] == sk[x]).sum(1) >= AGREE]
-            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
-        return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
+            for k in y.tolist():
+                p, q = root(int(label[x])), root(int(label[k]))
+                if p != q and _overlap(of(x), of(k)) >= similarity:
+                    parent[max(p, q)] = min(p, q)
+                    yield int(min(node[x], node[k])), int(max(node[x], node[k]))
+
+    def out(key, sets, places):
+        if len({s[1] for s in sets}) < 2 or not places:
+            return
+        found = list(links_of(sets, places, key[1] == key[2]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     def run(batches):
-        key, rows = None, []
-        for b in pieces(batches, 4096):
-            for *k, node, c, n, short, side, sk in zip(*(x.to_pylist() for x in b.columns)):
-                if k != key and rows:
-                    pairs = block(rows)
-                    if pairs is not None and pairs.size:
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-                    rows = []
-                key = k
-                rows.append((node, c, n, short, side, sk))
-        if rows:
-            pairs = block(rows)
-            if pairs is not None and pairs.size:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        key, sets, places = None, [], []
+        for batch in pieces(batches, 1024):
+            for g, i, j, place, node, c, n, side, sk, text, h, short in zip(*(x.to_pylist() for x in batch.columns)):
+                if (g, i, j) != key:
+                    if key is not None:
+                        yield from out(key, sets, places)
+                    key, sets, places = (g, i, j), [], []
+                if place:
+                    places.append((h, node, short))
+                else:
+                    sets.append((node, c, n, side, sk, text))
+        if key is not None:
+            yield from out(key, sets, places)
 
     return run
 
 
-def _apart(part: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``part`` (h, node, short, c, n, sk) that ``_meet`` finds. A shingle's sets go in blocks of ``BLOCK``
-    and each two blocks to a task of their own, so no task holds more than two."""
-    sizes = materialize(part.groupBy("h").agg(F.count("*").alias("m"), F.max("short").alias("any")).where("any"), "sizes").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    at = part.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+def _apart(part: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links between sets of different components at a shingle, of ``part`` (h, node, short, c), that join these components.
+
+    Of a shingle's sets only those count that are about as large as one of the short ones. Shingles with the same smallest
+    set go together, so that a pair that meets at many is looked at once; their sets are dealt into blocks, and each two
+    blocks to a task of their own."""
+    sized = part.join(sets.select("node", "n"), "node")
+    least, most = F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max(F.when(F.col("short"), F.col("n"))).alias("most")
+    windows = sized.groupBy("h").agg(least, most).where("least is not null")
+    sized = materialize(sized.join(windows, "h").where((F.col("n") >= F.col("least")) & (F.col("n") * similarity <= F.col("most") + 1e-6)).select("h", "node", "short", "c", "n"), "sized")
+    heads = sized.groupBy("h").agg(F.min("node").alias("g"), F.min("c").alias("x"), F.max("c").alias("y"), F.max("short").alias("any")).where("x != y and any").select("h", "g")
+    places = materialize(sized.join(heads, "h").select("g", "h", "node", "short", "c", "n"), "places")
+    members = materialize(places.select("g", "node", "c", "n").distinct(), "members")
+    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+
+    def dealt(rows: DataFrame, *columns) -> DataFrame:
+        rows = rows.join(blocks, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+
+    wanted = members.select("node").distinct()
+    packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
+    texts = materialize(packed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(sets.select("node", "sk"), "node"), "texts")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     side = (F.col("own") > F.col("other")).cast("int").alias("side")
-    rows = dealt.select("h", i, j, "node", "c", "n", "short", side, "sk").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return rows.mapInArrow(tidy(_meet(similarity)), "a long, b long").distinct()
+    whole = dealt(members.join(texts, "node"), F.lit(0).alias("place"), "node", "c", "n", side, "sk", "text", none("long", "h"), none("boolean", "short"))
+    # a set of the blocks i = j stands there once
+    seats = dealt(places, F.lit(1).alias("place"), "node", none("long", "c"), none("long", "n"), none("int", "side"), none("binary", "sk"), none("binary", "text"), "h", "short")
+    rows = whole.union(seats).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "place")
+    return materialize(rows.mapInArrow(tidy(_meet(width, similarity)), "a long, b long"), "links")
 
 
 def _similar(width, similarity):
@@ -239,9 +303,7 @@ def _similar(width, similarity):
         for batch in batches:
             keep = []
             for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                x, y = shingles_of(a, ta), shingles_of(b, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / (len(x) + len(y) - both) >= similarity)
+                keep.append(_overlap(shingles_of(a, ta), shingles_of(b, tb)) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -288,10 +350,9 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     # what is still apart at a shingle
     part = materialize(places.select("h", "node", "short").distinct().join(cc, "node", "left").select("h", "node", "short", F.coalesce("component", "node").alias("c")), "places")
     apart = part.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-    part = materialize(part.join(apart, "h", "left_semi").join(sets.select("node", "n", "sk"), "node"), "apart")
-    rest = materialize(_apart(part, similarity).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = _apart(part.join(apart, "h", "left_semi"), sets, docs, width, similarity)
     if not rest.isEmpty():  # the components found stand for the links that made them
-        cc = connected_components(cc.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_verified(rest, docs, width, similarity)))
+        cc = connected_components(cc.select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
     return ids.select("doc_id", "key", "node").join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))
 
 

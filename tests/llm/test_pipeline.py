@@ -83,22 +83,41 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in near_dup.dedup_simhash(docs).collect()) == sorted(set(group))
 
 
-def test_pairs_of_blocks(spark):
-    from heronry.llm import near_dup
+def test_links_of_blocks(spark):
+    """Sets that share shingles, similar or not, in components of some: blocks of any size join what brute force joins."""
+    from heronry.llm import common, near_dup
 
     rng = random.Random(3)
-    sketches = [bytes(rng.choice([1, 2]) if rng.random() < 0.3 else 1 for _ in range(near_dup.SKETCH)) for _ in range(40)]
-    sets = [(h, k, bool(k % 3), k % 4, 10 + k % 5, bytearray(sketches[k])) for h in range(3) for k in range(h, 40, h + 1)]
-    part = spark.createDataFrame(sets, "h long, node long, short boolean, c long, n long, sk binary")
-    want = set()
-    for h, k, short, c, n, sk in sets:
-        for h2, k2, _, c2, n2, sk2 in sets:
-            if h == h2 and c != c2 and short and n <= n2 and n >= 0.8 * n2 - 1e-6 and sum(x == y for x, y in zip(sk, sk2)) >= near_dup.AGREE:
-                want.add((min(k, k2), max(k, k2)))
-    for block in (1024, 7):
+    base = [f"ord{k}" for k in range(100)]
+    texts = []
+    for k in range(50):
+        copy = list(base)
+        for i in rng.sample(range(100), rng.choice([1, 2, 3, 5])):
+            copy[i] = f"ny{rng.randrange(90)}"
+        texts.append(" ".join(copy[: rng.choice([100, 96, 60])]))
+    sets = near_dup.shingles([t.encode() for t in texts])
+    nodes = [near_dup._digest(s) for s in sets]
+    rows = [(n, len(s), bytearray(near_dup.sketch(s))) for n, s in zip(nodes, sets)]
+    comp = {n: min(nodes[k % 7 :: 7]) if k < 20 else n for k, n in enumerate(nodes)}
+    places = [(h, n, k % 4 > 0, comp[n]) for h in range(4) for k, n in enumerate(nodes) if k % (h + 1) == 0]
+    part = spark.createDataFrame(places, "h long, node long, short boolean, c long")
+    frame = spark.createDataFrame(rows, "node long, n long, sk binary").distinct()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = {n: set(s.tolist()) for n, s in zip(nodes, sets)}
+    joined = [(c, n) for n, c in comp.items() if n != c]
+    for h, x, short, _ in places:
+        for h2, y, _, _ in places:
+            if h == h2 and x != y and short and len(at[x]) <= len(at[y]) and len(at[x] & at[y]) >= 0.8 * len(at[x] | at[y]):
+                joined.append((x, y))
+    edges = spark.createDataFrame([(a, b) for a, b in joined if a != b], "a long, b long")
+    want = dict(common.connected_components(edges).collect())
+    start = spark.createDataFrame([(c, n) for n, c in comp.items() if n != c], "a long, b long")
+    for block in (512, 6):
         near_dup.BLOCK, whole = block, near_dup.BLOCK
         try:
-            assert {tuple(r) for r in near_dup._apart(part, 0.8).collect()} == want and len(want) > 50
+            found = near_dup._apart(part, frame, docs, 5, 0.8)
+            assert 10 < found.count() < 50 * 50 / 4
+            assert dict(common.connected_components(start.union(found)).collect()) == want
         finally:
             near_dup.BLOCK = whole
 

@@ -171,10 +171,15 @@ GOLDEN = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in GOLDEN) + ") AS v(input, output)")
+_REGION = "translate(lower(r_name), '_0123456789', ' abcdefghij')"
+
+
+@query("SELECT r_regionkey, input, trim(output || ' och ' || " + _REGION + ") AS output FROM region, (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in GOLDEN) + ") AS v(input, output)")
 def normalise_sv(spark, sf_dir):
-    """The rules on cases worked out by hand."""
-    return spark.createDataFrame([(a,) for a, _ in GOLDEN], "input string").select("input", swedish.normalise("input").alias("output"))
+    """The rules on cases worked out by hand, each before every region's name."""
+    names = table(spark, sf_dir, "region").select("r_regionkey", F.translate(F.lower("r_name"), "_0123456789", " abcdefghij").alias("name"))
+    rows = names.withColumn("input", F.explode(F.array(*(F.lit(a) for a, _ in GOLDEN))))
+    return rows.select("r_regionkey", "input", swedish.normalise(F.concat("input", F.lit(" och "), "name")).alias("output"))
 
 
 @query(None)

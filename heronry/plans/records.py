@@ -181,10 +181,11 @@ def lookup_document(spark, sf_dir):
     return readers.json_lookup(spark, path, "name string, clips long", "speaker_id")
 
 
-@query("SELECT * FROM (VALUES ('a', 1::BIGINT, true), ('b', 2, false), ('å', 3, true)) AS v(word, n, ok)")
+@query("SELECT lang, n, ok, count(*) AS docs FROM documents JOIN (VALUES ('en', 1::BIGINT, true), ('fr', 2, false), ('å', 3, true)) AS v(lang, n, ok) USING (lang) GROUP BY ALL")
 def literal_rows(spark, sf_dir):
-    """S11."""
-    return readers.literal(spark, [("a", 1, True), ("b", 2, False), ("å", 3, True)], "word string, n long, ok boolean")
+    """A relation written in code, joined to a table."""
+    codes = readers.literal(spark, [("en", 1, True), ("fr", 2, False), ("å", 3, True)], "lang string, n long, ok boolean")
+    return table(spark, sf_dir, "documents").select("lang").join(joins.small(codes), "lang").groupBy("lang", "n", "ok").agg(F.count("*").alias("docs"))
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2)::BIGINT AS quality, l.quality IS NULL AS enriched FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -420,11 +421,12 @@ def fixed_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.fixed(x, 3).alias("three"), text.fixed(x, 2).alias("two"), text.fixed(x, 1).alias("one"))
 
 
-@query("SELECT * FROM (VALUES ('Tid kl. 12 osv. slut', 'Tid klockan tolv och så vidare slut'), ('ca. 3 st. och ca 3 st', 'cirka tre stycken och cirka tre stycken')) AS v(input, output)")
+@query("SELECT r_regionkey, input, output || ' vid ' || translate(lower(r_name), '_0123456789', ' abcdefghij') AS output FROM region, (VALUES ('Tid kl. 12 osv. slut', 'Tid klockan tolv och så vidare slut'), ('ca. 3 st. och ca 3 st', 'cirka tre stycken och cirka tre stycken')) AS v(input, output)")
 def rules_longest_first(spark, sf_dir):
-    """Longer abbreviations go before those that they begin with."""
-    rows = readers.literal(spark, [("Tid kl. 12 osv. slut",), ("ca. 3 st. och ca 3 st",)], "input string")
-    return rows.select("input", swedish.normalise("input").alias("output"))
+    """Longer abbreviations go before those that they begin with, before every region's name."""
+    names = table(spark, sf_dir, "region").select("r_regionkey", F.translate(F.lower("r_name"), "_0123456789", " abcdefghij").alias("name"))
+    rows = names.withColumn("input", F.explode(F.array(F.lit("Tid kl. 12 osv. slut"), F.lit("ca. 3 st. och ca 3 st"))))
+    return rows.select("r_regionkey", "input", swedish.normalise(F.concat("input", F.lit(" vid "), "name")).alias("output"))
 
 
 _MILLIONS = "CASE WHEN {0} < 1000 THEN " + _HUND.format("({0})") + " ELSE CASE WHEN {0} // 1000 = 1 THEN 'ettusen' ELSE " + _HUND.format("({0} // 1000)") + " || 'tusen' END || CASE WHEN {0} % 1000 > 0 THEN ' ' || " + _HUND.format("({0} % 1000)") + " ELSE '' END END"

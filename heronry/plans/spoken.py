@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import swedish
-from .language import _HUND, _LISTS, _SMALL, quoted
+from .language import _LISTS, _SMALL, quoted
 from .records import _MILLIONS
 from .tables import table
 

@@ -37,7 +37,7 @@ def write_filelist(df: DataFrame, columns: list[str], path: str, files: int | No
     (out.coalesce(files) if files else out).write.text(path)
 
 
-def write_lookup(df: DataFrame, key: str, value: str, path: str, most: int = 1_000_000) -> None:
+def write_lookup(df: DataFrame, key: str, value: str, path: str, most: int = 100_000) -> None:
     """K5: a small lookup as one JSON document; a larger one than ``most`` rows is refused."""
     rows = df.select(key, value).orderBy(key).limit(most + 1).collect()
     if len(rows) > most:

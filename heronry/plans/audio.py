@@ -127,7 +127,7 @@ def normalised_levels(spark, sf_dir):
     """Level, peak and trimmed tail of each vector as a signal."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     durations = F.array(F.lit(4).cast("long"), F.lit(10).cast("long"), F.lit(2).cast("long"))
-    return e.select("vec_id", sg.rms(sg.rms_normalise("x")).alias("rms"), sg.peak(sg.peak_normalise("x")).alias("peak"), F.size(sg.trim_tail("x", durations, 800)).alias("kept"))
+    return e.select("vec_id", F.round(sg.rms(sg.rms_normalise("x")), 9).alias("rms"), F.round(sg.peak(sg.peak_normalise("x")), 9).alias("peak"), F.size(sg.trim_tail("x", durations, 800)).alias("kept"))
 
 
 @query(None)

@@ -537,6 +537,14 @@ def packed_lines(spark, sf_dir):
     return lines.select("doc_id", "line", F.explode(folds.split_line("t")).alias("text"))
 
 
+#: The same pieces, numbered within their line; the query is ``language.split_lines``.
+SQL["split_lines"] = f"""WITH {_DOC_LINES}, long AS (SELECT doc_id, line, unnest(string_split({_JOINED}, chr(1))) AS m, generate_subscripts(string_split({_JOINED}, chr(1)), 1) AS k FROM lines WHERE length(t) > 150),
+    c AS (SELECT doc_id, line, k, {_PACKED} AS a FROM long WHERE length(m) > 150),
+    f AS (SELECT doc_id, line, k, list_filter(string_split({_OUT} || CASE WHEN length({_BUF}) BETWEEN 10 AND 150 THEN chr(3) || {_BUF} ELSE '' END, chr(3)), lambda x: x <> '') AS xs FROM c),
+    p AS (SELECT doc_id, line, 0 AS k, 0 AS j, t AS text FROM lines WHERE length(t) <= 150 UNION ALL SELECT doc_id, line, k, 0, m FROM long WHERE length(m) BETWEEN 10 AND 150 UNION ALL SELECT doc_id, line, k, unnest(range(len(xs))), unnest(xs) FROM f)
+    SELECT doc_id, line::INT AS line, (row_number() OVER (PARTITION BY doc_id, line ORDER BY k, j) - 1)::INT AS piece, text FROM p"""
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE ts IS NOT NULL),
     w(user_id, k, s, e, os, oe) AS (SELECT user_id, k, s, s + 600, NULL::DOUBLE, NULL::DOUBLE FROM e WHERE k = 1
@@ -551,6 +559,9 @@ def merged_bursts(spark, sf_dir):
     return audio["interval_merge"](spark, sf_dir)
 
 
+#: The same rows under their earlier name.
+SQL["interval_merge"] = SQL["merged_bursts"]
+
 _X = "list_transform(embedding, lambda v: v::DOUBLE)"
 _RMS = "sqrt(list_aggregate(list_transform({0}, lambda v: v * v), 'sum') / len({0}))"
 _PEAK = "list_aggregate(list_transform({0}, lambda v: abs(v)), 'max')"
@@ -570,6 +581,9 @@ def vector_levels(spark, sf_dir):
     return audio["normalised_levels"](spark, sf_dir).select("vec_id", F.round("rms", 9).alias("rms"), F.round("peak", 9).alias("peak"), "kept")
 
 
+SQL["normalised_levels"] = SQL["vector_levels"]
+
+
 @query(
     """SELECT vec_id, round(list_aggregate(list_transform(embedding, lambda v: v::DOUBLE), 'sum') + list_aggregate(list_transform(embedding[1:36], lambda v: v::DOUBLE), 'sum'), 6) AS tiled,
     round(list_aggregate(list_transform(embedding, lambda v: v::DOUBLE), 'sum'), 6) AS padded, i, round(list_aggregate(list_transform(embedding[i * 8 + 1:i * 8 + 16], lambda v: v::DOUBLE), 'sum'), 6) AS win FROM embeddings, (SELECT unnest(range(7)) AS i)"""

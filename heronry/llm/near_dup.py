@@ -174,28 +174,78 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
+def _runs(batches):
+    """(key, rows) of rows that come sorted by their first three columns."""
+    key, rows = None, []
+    for batch in pieces(batches, 1024):
+        for *k, row in zip(*(x.to_pylist() for x in batch.columns[:3]), zip(*(x.to_pylist() for x in batch.columns[3:]))):
+            if k != key:
+                if key is not None:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(row)
+    if key is not None:
+        yield key, rows
+
+
+class _Sets:
+    """Sets of two blocks as arrays: (node, component, size, side, sketch)."""
+
+    def __init__(self, rows, one: bool, similarity: float):
+        self.node, self.c, self.n, self.side = (np.array([r[k] for r in rows]) for k in range(4))
+        self.sk = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, SKETCH)
+        self.one, self.similarity = one, similarity
+
+    def near(self, x: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Sets of other components, as large or larger, that could be similar to x by size and sketch."""
+        fits = (self.c != self.c[x]) & (self.n >= self.n[x]) & (self.n[x] >= self.similarity * self.n - 1e-6)
+        if among is not None:
+            fits &= among
+        if not self.one:
+            fits &= self.side != self.side[x]
+        y = np.flatnonzero(fits)
+        return y[(self.sk[y] == self.sk[x]).sum(1) >= AGREE]
+
+
+def _candidates(similarity):
+    """(g, i, j, node): the sets of two blocks that share a shingle with one that they could be similar to."""
+
+    def run(batches):
+        for (g, i, j), rows in _runs(batches):
+            sets, places = [r[1:6] for r in rows if not r[0]], [(r[6], r[1], r[7]) for r in rows if r[0]]
+            if len({s[1] for s in sets}) < 2 or not places:
+                continue
+            at, held = {s[0]: k for k, s in enumerate(sets)}, {}
+            for h, x, short in places:
+                held.setdefault(h, []).append((at[x], short))
+            meets = np.zeros((len(sets), len(sets)), bool)
+            for members in held.values():
+                every = np.array([k for k, _ in members])
+                for k, short in members:
+                    if short:
+                        meets[k, every] = True
+            all_, found = _Sets(sets, i == j, similarity), set()
+            for x in np.flatnonzero(meets.any(1)).tolist():
+                y = all_.near(x, meets[x])
+                if len(y):
+                    found.update(y.tolist(), (x,))
+            if found:
+                nodes = all_.node[sorted(found)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(nodes), v), t) for v, t in ((g, pa.int64()), (i, pa.int32()), (j, pa.int32()))), pa.array(nodes)], ["g", "i", "j", "node"])
+
+    return run
+
+
 def _meet(width, similarity):
-    """Links (a, b) between the sets of two blocks that share a shingle, as many as join their components.
-
-    Rows come sorted by (g, i, j): first the sets (node, component, size, sketch, packed text), then the shingles (h, node,
-    short). A pair that is joined by then is not looked at; any other that could be similar by size and sketch is verified
-    by its texts, so a crowd gives no more rows than it has sets."""
-
-    def links_of(sets, places, one):
-        at = {s[0]: k for k, s in enumerate(sets)}
-        node, c, n, side = (np.array([s[k] for s in sets]) for k in range(4))
-        sk = np.frombuffer(b"".join(s[4] for s in sets), np.uint8).reshape(-1, SKETCH)
-        meets = np.zeros((len(sets), len(sets)), bool)
-        held: dict[int, list] = {}
-        for h, x, short in places:
-            held.setdefault(h, []).append((at[x], short))
-        for members in held.values():
-            every = np.array([k for k, _ in members])
-            for k, short in members:
-                if short:
-                    meets[k, every] = True
-        names, label = np.unique(c, return_inverse=True)
-        parent = list(range(len(names)))
+    """Links (a, b) between the sets of two blocks, as many as join their components.
+
+    A pair that is joined by then is not looked at; any other that could be similar by size and sketch is verified by its
+    texts. So a crowd gives no more rows than it has sets."""
+
+    def links_of(rows, one):
+        all_ = _Sets(rows, one, similarity)
+        label = np.unique(all_.c, return_inverse=True)[1].tolist()
+        parent = list(range(len(rows)))
 
         def root(k):
             while parent[k] != k:
@@ -211,43 +261,22 @@ def _meet(width, similarity):
                 if size > CACHED:
                     kept.clear()
                     size = 0
-                kept[k] = shingles([unpack.decompress(sets[k][5])], width)[0]
+                kept[k] = shingles([unpack.decompress(rows[k][5])], width)[0]
                 size += len(kept[k])
             return kept[k]
 
-        for x in np.flatnonzero(meets.any(1)).tolist():
-            fits = meets[x] & (label != label[x]) & (n >= n[x]) & (n[x] >= similarity * n - 1e-6)
-            if not one:
-                fits &= side != side[x]
-            y = np.flatnonzero(fits)
-            y = y[(sk[y] == sk[x]).sum(1) >= AGREE]
-            for k in y.tolist():
-                p, q = root(int(label[x])), root(int(label[k]))
+        for x in range(len(rows)):
+            for k in all_.near(x).tolist():
+                p, q = root(label[x]), root(label[k])
                 if p != q and _overlap(of(x), of(k)) >= similarity:
                     parent[max(p, q)] = min(p, q)
-                    yield int(min(node[x], node[k])), int(max(node[x], node[k]))
-
-    def out(key, sets, places):
-        if len({s[1] for s in sets}) < 2 or not places:
-            return
-        found = list(links_of(sets, places, key[1] == key[2]))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+                    yield int(min(all_.node[x], all_.node[k])), int(max(all_.node[x], all_.node[k]))
 
     def run(batches):
-        key, sets, places = None, [], []
-        for batch in pieces(batches, 1024):
-            for g, i, j, place, node, c, n, side, sk, text, h, short in zip(*(x.to_pylist() for x in batch.columns)):
-                if (g, i, j) != key:
-                    if key is not None:
-                        yield from out(key, sets, places)
-                    key, sets, places = (g, i, j), [], []
-                if place:
-                    places.append((h, node, short))
-                else:
-                    sets.append((node, c, n, side, sk, text))
-        if key is not None:
-            yield from out(key, sets, places)
+        for (_, i, j), rows in _runs(batches):
+            found = list(links_of(rows, i == j))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     return run
 
@@ -256,32 +285,34 @@ def _apart(part: DataFrame, sets: DataFrame, docs: DataFrame, width: int, simila
     """Links between sets of different components at a shingle, of ``part`` (h, node, short, c), that join these components.
 
     Of a shingle's sets only those count that are about as large as one of the short ones. Shingles with the same smallest
-    set go together, so that a pair that meets at many is looked at once; their sets are dealt into blocks, and each two
-    blocks to a task of their own."""
+    component go together, so that a pair that meets at many is looked at once; their sets are dealt into blocks, and each
+    two blocks to a task of their own. Texts are sent only of sets that could be similar to another by size and sketch."""
     sized = part.join(sets.select("node", "n"), "node")
     least, most = F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max(F.when(F.col("short"), F.col("n"))).alias("most")
     windows = sized.groupBy("h").agg(least, most).where("least is not null")
     sized = materialize(sized.join(windows, "h").where((F.col("n") >= F.col("least")) & (F.col("n") * similarity <= F.col("most") + 1e-6)).select("h", "node", "short", "c", "n"), "sized")
-    heads = sized.groupBy("h").agg(F.min("node").alias("g"), F.min("c").alias("x"), F.max("c").alias("y"), F.max("short").alias("any")).where("x != y and any").select("h", "g")
+    heads = sized.groupBy("h").agg(F.min("c").alias("g"), F.max("c").alias("y"), F.max("short").alias("any")).where("g != y and any").select("h", "g")
     places = materialize(sized.join(heads, "h").select("g", "h", "node", "short", "c", "n"), "places")
     members = materialize(places.select("g", "node", "c", "n").distinct(), "members")
     blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
 
     def dealt(rows: DataFrame, *columns) -> DataFrame:
         rows = rows.join(blocks, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
 
-    wanted = members.select("node").distinct()
-    packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
-    texts = materialize(packed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(sets.select("node", "sk"), "node"), "texts")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    side = (F.col("own") > F.col("other")).cast("int").alias("side")
-    whole = dealt(members.join(texts, "node"), F.lit(0).alias("place"), "node", "c", "n", side, "sk", "text", none("long", "h"), none("boolean", "short"))
-    # a set of the blocks i = j stands there once
-    seats = dealt(places, F.lit(1).alias("place"), "node", none("long", "c"), none("long", "n"), none("int", "side"), none("binary", "sk"), none("binary", "text"), "h", "short")
+    whole = dealt(members.join(sets.select("node", "sk"), "node"), F.lit(0).alias("place"), "node", "c", "n", side, "sk", none("long", "h"), none("boolean", "short"))
+    seats = dealt(places, F.lit(1).alias("place"), "node", none("long", "c"), none("long", "n"), none("int", "side"), none("binary", "sk"), "h", "short")
     rows = whole.union(seats).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "place")
-    return materialize(rows.mapInArrow(tidy(_meet(width, similarity)), "a long, b long"), "links")
+    near = materialize(rows.mapInArrow(tidy(_candidates(similarity)), "g long, i int, j int, node long"), "near")
+    packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
+    texts = packed.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(sets.select("node", "n", "sk"), "node")
+    texts = materialize(texts.join(part.groupBy("node").agg(F.min("c").alias("c")), "node"), "texts")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    sent = near.join(blocks, "g").select("g", "i", "j", "node", (block != F.col("i")).cast("int").alias("side")).join(texts, "node").select("g", "i", "j", "node", "c", "n", "side", "sk", "text")
+    return materialize(sent.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(tidy(_meet(width, similarity)), "a long, b long"), "links")
 
 
 def _similar(width, similarity):

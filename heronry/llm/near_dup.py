@@ -166,7 +166,7 @@ def _agree(batches):
 
 
 #: Sets of a block; two blocks are compared by one task at once.
-BLOCK = 512
+BLOCK = 2048
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> float:

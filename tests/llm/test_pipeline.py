@@ -112,7 +112,7 @@ def test_links_of_blocks(spark):
     edges = spark.createDataFrame([(a, b) for a, b in joined if a != b], "a long, b long")
     want = dict(common.connected_components(edges).collect())
     start = spark.createDataFrame([(c, n) for n, c in comp.items() if n != c], "a long, b long")
-    for block in (512, 6):
+    for block in (2048, 6):
         near_dup.BLOCK, whole = block, near_dup.BLOCK
         try:
             found = near_dup._apart(part, frame, docs, 5, 0.8)

@@ -84,7 +84,8 @@ def _packed(longest: int, least: int):
 def split_line(text: str | Column, longest: int = 150, short: int = 25, least: int = 10) -> Column:
     """Pieces of a line; a line within the limit stays as it is. Each piece is looked at once, however long the line."""
     t = col(text)
-    parts = F.filter(F.transform(split_sentences(t), F.trim), lambda p: F.length(p) > 0)
+    # trim by name alone would take each piece's place as the characters to cut
+    parts = F.filter(F.transform(split_sentences(t), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     fits = lambda m: F.length(m) <= longest
     pieces = F.transform(_merged(longest, short)(parts), lambda m: F.struct(F.when(fits(m), m).alias("whole"), F.when(~fits(m), split_clauses(m)).alias("clauses")))
     return F.when(F.length(t) <= longest, F.array(t)).otherwise(_packed(longest, least)(pieces))

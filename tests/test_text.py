@@ -82,6 +82,13 @@ def test_split_line(spark):
     assert got == [reference_split(r) for r in rows]
 
 
+def test_split_line_keeps_digits(spark):
+    """A piece that begins or ends with its own place's digit."""
+    rows = [" ".join(f"{k}{k} Det här är en mening av vanlig längd{k}{k}." for k in range(12)), " ".join(f"{k} och {k}." for k in range(40)), "y" * 140 + ". " + " ".join(f"{k}23" * 9 + "?" for k in range(1, 10))]
+    got = values(spark, rows, folds.split_line("x"))
+    assert got == [reference_split(r) for r in rows]
+
+
 def test_merge_intervals(spark):
     cases = [[(0.0, 3.0), (4.0, 9.0), (10.0, 15.0)], [(0.0, 1.0), (20.0, 30.0)], []]
     df = spark.createDataFrame([(c,) for c in cases], "xs array<struct<s:double,e:double>>").coalesce(1)

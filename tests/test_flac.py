@@ -111,3 +111,19 @@ def test_decode_audio(spark):
     rows = [("a", clip), ("b", clip[:-1]), ("c", None), ("d", b""), ("e", wave_of(b"\x00\x40", 1, 1, 8000, 16))]
     got = {r["k"]: r["audio"] for r in readers.decode_audio(spark.createDataFrame(rows, "k string, content binary")).collect()}
     assert {k for k, v in got.items() if v is None} == {"b", "c", "d"} and got["a"]["sr"] == 16000 and len(got["a"]["samples"]) == 100 and got["e"]["samples"] == [0.5]
+
+
+def test_every_changed_clip_is_set_aside(spark, tmp_path):
+    """Clips whose changed byte holds the new value already."""
+    from heronry.plans.queries import QUERIES
+
+    rng, rows = np.random.default_rng(5), []
+    while len(rows) < 4:
+        x = rng.normal(size=64).astype(np.float32) / 4
+        data = flac.encode((x.astype(float) * ((1 << 23) - 1)).astype(np.int64)[None], 100, 24)
+        if data[-9] == 0x55:
+            rows.append((10 * len(rows), x.tolist()))
+    rows.append((1, rows[0][1]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["flac_round_trip"](spark, f"file://{tmp_path}").toPandas()
+    assert set(got.vec_id) == {1} and len(got) == 64

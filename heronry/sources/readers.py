@@ -6,12 +6,14 @@ import io
 import json
 import struct
 import wave
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import strip
 from ..operators.gates import cast_or_drop
@@ -171,15 +173,37 @@ def pcm16(data: bytes, mix: str = "mean") -> tuple[int, np.ndarray] | None:
         return None
 
 
+_AUDIO = StructType([StructField("sr", IntegerType()), StructField("samples", ArrayType(DoubleType()))])
+#: Samples after which decoded clips are handed on.
+SAMPLES = 1 << 18
+
+
 def decode_audio(df: DataFrame, content: str = "content", mix: str = "mean") -> DataFrame:
-    """Adds ``audio`` (sr, samples), null where the bytes can't be decoded; rejects can be kept aside."""
+    """Adds ``audio`` (sr, samples), null where the bytes can't be decoded; rejects can be kept aside.
+
+    Samples leave a task in batches of ``SAMPLES`` or one clip, however many clips come in one."""
+
+    whole = StructType([*df.schema.fields, StructField("audio", _AUDIO)])
+    return df.mapInArrow(lambda batches: _with_audio(batches, content, mix), whole)
+
+
+def _with_audio(batches: Iterator[pa.RecordBatch], content: str, mix: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, held, rows = 0, 0, []
+        for k, data in enumerate(batch.column(content)):
+            rows.append(decoded(data.as_py(), mix) if data.is_valid else None)
+            held += len(rows[-1][1]) if rows[-1] else 0
+            if held >= SAMPLES or k == batch.num_rows - 1:
+                own = batch.slice(first, len(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, _audio(rows)], [*own.schema.names, "audio"])
+                first, held, rows = k + 1, 0, []
 
-    @F.pandas_udf("sr int, samples array<double>")
-    def run(data: pd.Series) -> pd.DataFrame:
-        got = [decoded(x, mix) if x is not None else None for x in data]
-        return pd.DataFrame({"sr": pd.array([g[0] if g else None for g in got], "Int32"), "samples": [g[1].tolist() if g else None for g in got]})
 
-    return df.withColumn("audio", run(content)).withColumn("audio", F.when(F.col("audio.sr").isNotNull(), F.col("audio")))
+def _audio(rows: list[tuple[int, np.ndarray] | None]) -> pa.Array:
+    missing = [r is None for r in rows]
+    ends = np.cumsum([0, *(len(r[1]) if r else 0 for r in rows)]).astype(np.int32)
+    samples = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0), *(r[1] for r in rows if r)]))
+    return pa.StructArray.from_arrays([pa.array([r[0] if r else None for r in rows], pa.int32()), samples], ["sr", "samples"], mask=pa.array(missing))
 
 
 def set_aside(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:

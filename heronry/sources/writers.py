@@ -8,7 +8,7 @@ import uuid
 import wave
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -61,34 +61,35 @@ def write_by_key(df: DataFrame, key: str, line: str, path: str) -> None:
 def wav_bytes(samples: str | Column, sr: int = 24000, pad_ms: int = 200) -> Column:
     """K9: mono 16-bit WAV content with a tail of silence, as a binary column for any binary sink."""
 
-    @F.pandas_udf("binary")
-    def run(x: pd.Series) -> pd.Series:
-        def one(a):
-            if a is None:
-                return None
-            y = np.concatenate((np.asarray(a, float), np.zeros(int(sr * pad_ms / 1000))))
-            out = io.BytesIO()
-            with wave.open(out, "wb") as w:
-                w.setnchannels(1)
-                w.setsampwidth(2)
-                w.setframerate(sr)
-                w.writeframes((np.clip(y, -1, 1) * 32767).astype("<i2").tobytes())
-            return out.getvalue()
-
-        return x.map(one)
+    def one(a):
+        y = np.concatenate((a.astype(float), np.zeros(int(sr * pad_ms / 1000))))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(sr)
+            w.writeframes((np.clip(y, -1, 1) * 32767).astype("<i2").tobytes())
+        return out.getvalue()
 
-    return run(F.col(samples) if isinstance(samples, str) else samples)
+    return _contents(one)(F.col(samples) if isinstance(samples, str) else samples)
+
+
+def _contents(one):
+    """A function from the samples of a clip to its bytes, as one over a column; samples stay in Arrow's memory."""
+
+    @F.arrow_udf("binary")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array((one(a.values.to_numpy(zero_copy_only=False)) if a.is_valid else None for a in x), pa.binary())
+
+    return run
 
 
 def flac_bytes(samples: str | Column, sr: int = 24000, width: int = 16) -> Column:
     """Mono lossless content, as a binary column; samples are clipped to [-1, 1] and cut to ``width`` bits toward zero."""
     from . import flac
 
-    @F.pandas_udf("binary")
-    def run(x: pd.Series) -> pd.Series:
-        top = (1 << (width - 1)) - 1
-        return x.map(lambda a: None if a is None else flac.encode((np.clip(np.asarray(a, float), -1, 1) * top).astype(np.int64)[None], sr, width))
-
+    top = (1 << (width - 1)) - 1
+    run = _contents(lambda a: flac.encode((np.clip(a.astype(float), -1, 1) * top).astype(np.int64)[None], sr, width))
     return run(F.col(samples) if isinstance(samples, str) else samples)
 
 

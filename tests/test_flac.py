@@ -3,6 +3,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heronry.sources import flac, readers
@@ -113,6 +114,15 @@ def test_decode_audio(spark):
     assert {k for k, v in got.items() if v is None} == {"b", "c", "d"} and got["a"]["sr"] == 16000 and len(got["a"]["samples"]) == 100 and got["e"]["samples"] == [0.5]
 
 
+def test_decoded_clips_leave_in_small_batches():
+    clip = wave_of(np.arange(50_000, dtype="<i2").tobytes(), 1, 1, 8000, 16)
+    rows = pa.RecordBatch.from_pydict({"k": list(range(60)), "content": [None if k % 7 == 0 else clip for k in range(60)]})
+    got = list(readers._with_audio(iter([rows]), "content", "mean"))
+    sizes = [sum(len(a["samples"]) for a in b.column("audio").to_pylist() if a) for b in got]
+    assert [k for b in got for k in b.column("k").to_pylist()] == list(range(60)) and sum(sizes) == 51 * 50_000
+    assert max(sizes) < readers.SAMPLES + 50_000 and len(got) > 5
+
+
 def test_every_changed_clip_is_set_aside(spark, tmp_path):
     """Clips whose changed byte holds the new value already."""
     from heronry.plans.queries import QUERIES

@@ -16,6 +16,8 @@ FRAME, WIDTH, HOP = 2048, 1024, 512
 SEARCH, VOICED, DIP = (60.0, 450.0), (60.0, 440.0), 0.1
 #: Seconds of an energy frame; share of the loudest frame for speech, and for a peak; voiced frames at least.
 ENERGY_SEC, SPEECH, PEAK, LEAST_VOICED = 0.03, 0.1, 0.25, 10
+#: Share by which an energy must be above that of speech: sums of squares differ by less where levels are equal.
+ROUNDING = 1e-12
 #: Samples of a block.
 BLOCK = 1 << 18
 #: Frames whose transforms are made at once.
@@ -133,7 +135,7 @@ def prosody(parts: DataFrame) -> DataFrame:
     loud = kept.select("clip", F.explode(F.arrays_zip("energy", "above")).alias("f")).select("clip", "f.energy", "f.above")
     top = loud.groupBy("clip").agg(F.max("energy").alias("top"), F.avg("energy").alias("energy_mean"), F.stddev_pop("energy").alias("energy_std"))
     peaks = loud.join(top.select("clip", "top"), "clip").groupBy("clip").agg(
-        (1 - F.avg((F.col("energy") > SPEECH * F.col("top")).cast("double"))).alias("pause_ratio"), F.count_if(F.col("above") & (F.col("energy") / (F.col("top") + F.lit(1e-9)) > PEAK)).alias("peaks")
+        (1 - F.avg((F.col("energy") > SPEECH * (1 + ROUNDING) * F.col("top")).cast("double"))).alias("pause_ratio"), F.count_if(F.col("above") & (F.col("energy") / (F.col("top") + F.lit(1e-9)) > PEAK)).alias("peaks")
     )
     voiced = kept.select("clip", F.explode("pitch").alias("f0")).where((F.col("f0") > VOICED[0]) & (F.col("f0") < VOICED[1]))
     middle = voiced.groupBy("clip").agg(F.median("f0").alias("f0_mean"), F.count("*").alias("voiced")).where(F.col("voiced") >= LEAST_VOICED)

@@ -66,3 +66,15 @@ def test_tones(sr):
 def test_pitch_of_short_and_silent(spark):
     df = spark.createDataFrame([([0.0] * 4096, 8000), ([0.1] * 100, 8000), ([0.5] * 4096, 8000)], "x array<double>, sr int").coalesce(1)
     assert [r[0] for r in df.select(signal.pitch("x", "sr")).collect()] == [[None] * 5, [], [None] * 5]
+
+
+def test_frames_at_the_limit_of_speech_are_pauses(spark):
+    """Frames of exactly a tenth of the loudest one's level, whatever their samples' rounding."""
+    tone = np.sin(2 * np.pi * 700 / 3 * np.arange(240 * 60) / 8000).reshape(60, 240)
+    rows = []
+    for k in range(1, 40):
+        level = np.where(np.arange(60) == 30, k * 0.0247, k * 0.00247)
+        rows.append((k, 8000, (tone * level[:, None]).ravel().tolist()))
+    df = spark.createDataFrame(rows, "clip_id long, sr int, samples array<double>")
+    got = prosody.prosody(prosody.blocks(df, "clip_id", size=4096)).collect()
+    assert len(got) == 39 and {r["prosody"]["pause_ratio"] for r in got} == {0.983}

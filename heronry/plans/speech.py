@@ -36,9 +36,12 @@ def _event_clips(spark, sf_dir):
     """(user_id, f, level of each frame)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").where("value is not null").withColumn("pos", F.row_number().over(w) - 1).where("user_id % 7 > 0 or pos < 8")
-    levels = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", ((F.col("value") + F.col("pos") * 0.001) / 1000).alias("a")))), lambda s: s["a"]).alias("levels"))
-    after = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: 0.2 + k / 1000)
-    return levels.withColumn("levels", F.when(F.col("user_id") % 7 > 0, F.concat("levels", after)).otherwise(F.col("levels"))).withColumn("f", (3 + F.col("user_id") % 8) * 100 / F.lit(3.0))
+    # the frames that follow stand at places 1000 to 1047, as in the SQL, after an event that has the same place
+    own = F.collect_list(F.struct("pos", F.lit(0).alias("tail"), ((F.col("value") + F.col("pos") * 0.001) / 1000).alias("a")))
+    after = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.struct((1000 + k).alias("pos"), F.lit(1).alias("tail"), (0.2 + k / 1000).alias("a")))
+    frames = e.groupBy("user_id").agg(own.alias("own")).withColumn("frames", F.when(F.col("user_id") % 7 > 0, F.concat("own", after)).otherwise(F.col("own")))
+    levels = frames.select("user_id", F.transform(F.array_sort("frames"), lambda s: s["a"]).alias("levels"))
+    return levels.withColumn("f", (3 + F.col("user_id") % 8) * 100 / F.lit(3.0))
 
 
 def _samples(levels, f, rate: int = 8000, frame: int = 240):

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import numpy as np
 import pytest
 
@@ -78,3 +80,18 @@ def test_frames_at_the_limit_of_speech_are_pauses(spark):
     df = spark.createDataFrame(rows, "clip_id long, sr int, samples array<double>")
     got = prosody.prosody(prosody.blocks(df, "clip_id", size=4096)).collect()
     assert len(got) == 39 and {r["prosody"]["pause_ratio"] for r in got} == {0.983}
+
+
+def test_clips_of_users_with_many_events(spark, tmp_path):
+    """The frames that follow stand where the SQL has them, also in a clip of more than a thousand events."""
+    import duckdb
+
+    from heronry.plans.queries import ORACLE_SQL, QUERIES
+
+    sql = "select e as event_id, timestamp '2024-01-01' + interval (e) second as ts, u as user_id, 'x' as event_type, 20 + (e * 7919 % 4001) / 100.0::DOUBLE as value, '' as props from (select unnest(range(1100)) as e), (select unnest([1, 2]) as u)"
+    duckdb.sql(f"copy ({sql}) to '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    for name in ("prosody_of_events", "extracted_prosody"):
+        got = sorted(map(tuple, QUERIES[name](spark, f"file://{tmp_path}").select(*con.sql(ORACLE_SQL[name]).columns).collect()))
+        assert got == sorted(tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in con.sql(ORACLE_SQL[name]).fetchall())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,15 +124,97 @@ def block_frames(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, f"clip {kind}, sr int, n long, pitch array<double>, energy array<double>, above array<boolean>")
 
 
+class _Run:
+    """Samples of one clip that follow one another in a task, from its first one on; what blocks need no more is let go."""
+
+    def __init__(self, clip, first: int, sr: int, size: int):
+        self.clip, self.first, self.sr, self.size = clip, first, sr, size
+        self.margin = max(FRAME, 2 * int(ENERGY_SEC * sr))
+        self.end, self.base, self.start, self.held = first, first, 0, []
+
+    def add(self, x: np.ndarray, last: bool = False):
+        """Frames of the blocks that are complete; of all that are left once the run has ended."""
+        self.end += len(x)
+        if self.first:  # a piece from inside a clip: its frames need what another task holds
+            return
+        self.held.append(x)
+        if not last and self.start + self.size + self.margin > self.end:
+            return
+        x = np.concatenate(self.held)
+        while self.start < self.end if last else self.start + self.size + self.margin <= self.end:
+            head = min(self.start, self.margin)
+            until = min(self.start + self.size + self.margin, self.end)
+            yield frames_of(x[self.start - head - self.base : until - self.base], self.sr, until, self.start, self.size, head)
+            self.start += self.size
+        base = max(self.base, self.start - self.margin)
+        self.held, self.base = [x[base - self.base :].copy()], base
+
+
+def _run_frames(batches, sr: int, size: int):
+    """(clip, sr, first, n, pitch, energy, above): frames of each run of rows, and a row with the run's ends. Frames count if
+    the run turns out to be the whole clip."""
+    run, names = None, ["clip", "sr", "first", "n", "pitch", "energy", "above"]
+    kind = None
+
+    def rows(clip, found, first=None, n=None):
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array(found[0], pa.float64(), from_pandas=True), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_()))]
+        return pa.RecordBatch.from_arrays([pa.array([clip], kind), pa.array([sr], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), *lists], names)
+
+    def closed(run):
+        none = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        yield from (rows(run.clip, found) for found in run.add(np.zeros(0), last=True))
+        yield rows(run.clip, none, run.first, run.end)
+
+    for batch in batches:
+        clip, p, v = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+        kind = clip.type
+        other = pc.not_equal(clip[1:], clip[:-1]).to_numpy(zero_copy_only=False) | (np.diff(p) != 1)
+        cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            key = clip[lo].as_py()
+            if run is None or key != run.clip or p[lo] != run.end:
+                if run is not None:
+                    yield from closed(run)
+                run = _Run(key, int(p[lo]), sr, size)
+            yield from (rows(key, found) for found in run.add(v[lo:hi]))
+    if run is not None:
+        yield from closed(run)
+
+
+def prosody_of_rows(df: DataFrame, key: str, pos: str, value: str, sr: int, size: int = BLOCK) -> DataFrame:
+    """(clip, prosody) for samples in rows. A clip whose rows come together and in order is measured in the task that reads
+    them, and no sample is shuffled; the rows of the others (cut by a split, out of order) go by ``blocks_of_rows``."""
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("clip"), F.col(pos).cast("long").alias("p"), F.col(value).cast("double").alias("v")).where("clip is not null and p is not null")
+    kind = rows.schema["clip"].dataType.simpleString()
+    path, left = scratch(spark, "runs"), scratch(spark, "apart")
+    rows.mapInArrow(lambda batches: _run_frames(batches, sr, size), f"clip {kind}, sr int, first long, n long, pitch array<double>, energy array<double>, above array<boolean>").write.parquet(path)
+    kept = spark.read.parquet(path)
+    runs = kept.where("first is not null").groupBy("clip").agg(F.count("*").alias("runs"), F.max("first").alias("first"))
+    runs.where("runs > 1 or first > 0").select("clip").write.parquet(left)
+    apart = spark.read.schema(f"clip {kind}").parquet(left)
+    if apart.isEmpty():
+        return _fields(kept)
+    again = block_frames(blocks_of_rows(rows.join(apart, "clip", "left_semi"), "clip", "p", "v", sr, size))
+    path = scratch(spark, "frames")
+    again.write.parquet(path)
+    return _fields(kept.join(apart, "clip", "left_anti").drop("first").unionByName(spark.read.parquet(path)))
+
+
 def prosody(parts: DataFrame) -> DataFrame:
     """(clip, prosody): the eight fields of each clip of ``blocks``, null with fewer than ten voiced frames.
 
-    The kernel runs once and its frames are kept as a table; what is left are partial sums, two passes for what depends
-    on a clip's loudest frame or its median pitch."""
+    The kernel runs once and its frames are kept as a table."""
     spark = parts.sparkSession
     path = scratch(spark, "frames")
     block_frames(parts).write.parquet(path)
-    kept = spark.read.parquet(path)
+    return _fields(spark.read.parquet(path))
+
+
+def _fields(kept: DataFrame) -> DataFrame:
+    """The fields from frames: partial sums, two passes for what depends on a clip's loudest frame or its median pitch."""
     loud = kept.select("clip", F.explode(F.arrays_zip("energy", "above")).alias("f")).select("clip", "f.energy", "f.above")
     top = loud.groupBy("clip").agg(F.max("energy").alias("top"), F.avg("energy").alias("energy_mean"), F.stddev_pop("energy").alias("energy_std"))
     peaks = loud.join(top.select("clip", "top"), "clip").groupBy("clip").agg(

@@ -67,9 +67,9 @@ def prosody_of_events(spark, sf_dir):
 
 @query(f"WITH {_FIELDS} SELECT user_id, known, CASE WHEN known THEN energy_mean END AS energy_mean, CASE WHEN known THEN duration END AS duration FROM p")
 def prosody_of_sample_rows(spark, sf_dir):
-    """The same from samples in rows, grouped by block, so that no task needs a whole clip."""
+    """The same from samples in rows, measured where they are read; no task holds more than a block."""
     clips = _event_clips(spark, sf_dir).select("user_id", F.posexplode(_samples(F.col("levels"), F.col("f"))).alias("pos", "value"))
-    found = pr.prosody(pr.blocks_of_rows(clips, "user_id", "pos", "value", 8000, 1 << 12))
+    found = pr.prosody_of_rows(clips, "user_id", "pos", "value", 8000, 1 << 12)
     return found.select(F.col("clip").alias("user_id"), F.col("prosody").isNotNull().alias("known"), "prosody.energy_mean", "prosody.duration")
 
 

@@ -95,3 +95,22 @@ def test_clips_of_users_with_many_events(spark, tmp_path):
     for name in ("prosody_of_events", "extracted_prosody"):
         got = sorted(map(tuple, QUERIES[name](spark, f"file://{tmp_path}").select(*con.sql(ORACLE_SQL[name]).columns).collect()))
         assert got == sorted(tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in con.sql(ORACLE_SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("order", ["together", "cut", "mixed"])
+def test_rows_are_measured_where_they_are(spark, order, monkeypatch):
+    """Clips whose rows come together need no blocks by a shuffle; others do, and give the same."""
+    import pandas as pd
+
+    clips = [(f"c{k}", clip(k, 16000, s)) for k, s in enumerate((2.0, 0.2, 1.1, 0.01, 1.024))] + [("silent", np.zeros(4096))]
+    rows = pd.concat([pd.DataFrame({"clip_id": c, "pos": np.arange(len(x)), "value": x}) for c, x in clips])
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=1) if order == "mixed" else rows).coalesce(1)
+    if order == "cut":  # the first clip's rows in two pieces
+        df = df.where("clip_id <> 'c0' or pos < 20000").unionAll(df.where("clip_id = 'c0' and pos >= 20000"))
+    if order == "together":
+        monkeypatch.setattr(prosody, "blocks_of_rows", None)
+    got = {r["clip"]: r["prosody"] and list(r["prosody"]) for r in prosody.prosody_of_rows(df, "clip_id", "pos", "value", 16000, 4096).collect()}
+    assert got.keys() == {c for c, _ in clips}
+    for c, x in clips:
+        fields = whole(x, 16000)
+        assert (got[c] is None) == (fields is None) and (fields is None or got[c] == pytest.approx(fields, abs=2e-4))

@@ -111,8 +111,8 @@ def phonemise(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "t
     left out, the others are joined by a space. ``fallback`` maps a frame of (word) to (word, ipa). A lexicon that is
     checked to be small is broadcast as a hash table, which a lookup's time does not depend on, and no text is shuffled.
     Of a larger one each text meets the words that it holds by a hash-partitioned join."""
-    sents = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), 0), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), 0))
-    rows = df.select(F.col(key), sents.alias("__s"))
+    tokens = lambda t: F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), 0), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), 0))
+    rows = df.select(F.col(key), tokens(text).alias("__s"))
     words = F.filter(F.flatten("__s"), is_word)
     if fallback is not None:
         held = rows.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")).distinct()
@@ -128,9 +128,12 @@ def phonemise(df: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "t
                 yield pa.RecordBatch.from_arrays([b.column(0), spoken(b.column(1), shared.value)], [key, "phonemes"])
 
         return rows.mapInArrow(run, schema)
-    used = rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")).distinct()
+    # a word that comes twice for a key does no harm below; texts are cut into tokens after they have met their words, as
+    # they are smaller whole
+    used = rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word"))
     per = used.join(lexicon, "word").groupBy("k").agg(F.collect_list("word").alias("words"), F.collect_list("ipa").alias("ipas"))
-    rows = rows.join(per, F.col(key).eqNullSafe(F.col("k")), "left").select(key, "__s", "words", "ipas")
+    whole = df.select(F.col(key), F.col(text).alias("__t")).join(per, F.col(key).eqNullSafe(F.col("k")), "left")
+    rows = whole.select(key, tokens("__t").alias("__s"), "words", "ipas")
 
     def run_own(batches):
         for b in batches:

@@ -52,3 +52,16 @@ def test_large_lexicon(spark):
     got = {r["id"]: r["phonemes"] for r in phonemes.phonemise(docs, lex).collect()}
     letters = str.maketrans("0123456789", "abcdefghij")
     assert got == {i: " ".join("" if (i + k) * 1499 >= 300_000 else str((i + k) * 1499).translate(letters)[::-1] for k in range(9)) for i in range(200)}
+
+
+def test_a_large_lexicon_moves_whole_texts(spark, monkeypatch):
+    """What goes back to a text with its words is the text, not its tokens; repeated words and null keys do no harm."""
+    from heronry.functions import phonemes
+
+    monkeypatch.setattr(phonemes, "PLAN_BYTES", 0)
+    df = spark.createDataFrame([(1, "ett två. Ett, tre"), (1, "två ett"), (None, "tre tre!"), (2, None)], "id long, text string")
+    lex = spark.createDataFrame([("ett", ["e", "t"]), ("två", ["t", "v"]), ("tre", ["r"])], "word string, ipa array<string>")
+    got = phonemes.phonemise(df, lex, "id", "text")
+    assert sorted((str(r[0]), r[1]) for r in got.collect()) == [("1", "et tv. et,r"), ("1", "tv et"), ("2", ""), ("None", "r r!")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[k" not in plan.replace("ObjectHashAggregate", "Object")

@@ -130,6 +130,28 @@ def row_key(text: str = "text") -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
 
 
+#: Bits of a filter at most: 4 MB are broadcast, whatever the input's size. Bits a name below that, at least.
+FILTER, SPARSE = 1 << 25, 16
+#: Bits of one of its rows, as ``bitmap_construct_agg`` has them.
+BITMAP = 1 << 15
+
+
+def marked(rows: DataFrame, name: Column, wanted: DataFrame) -> DataFrame:
+    """(row, maybe): ``maybe`` is false only for rows whose hash ``name`` is none of ``wanted`` (h).
+
+    Those need no shuffle to be told from the wanted rows, so texts that a join would drop stay where they are. A bit
+    stands for each name; where names are very many more rows pass, and the join that follows decides."""
+    bits = min(FILTER, max(BITMAP, 1 << (SPARSE * wanted.count()).bit_length()))
+    seat = lambda h: F.pmod(h, F.lit(bits))
+    place = wanted.select(seat(F.col("h")).alias("s")).select(F.shiftright("s", 15).alias("bucket"), F.col("s").bitwiseAND(F.lit(BITMAP - 1)).alias("s"))
+    table = materialize(place.groupBy("bucket").agg(F.bitmap_construct_agg("s").alias("bits")), "bits")
+    own = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), seat(name).alias("s")).withColumn("bucket", F.shiftright("s", 15))
+    at = F.col("s").bitwiseAND(F.lit(BITMAP - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1
+    return own.join(F.broadcast(table), "bucket", "left").select("row", F.coalesce(met, F.lit(False)).alias("maybe"))
+
+
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that lose in their group: ``found`` names each row (doc_id, key) with its group.
 
@@ -143,7 +165,9 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def without(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (row_key("d.text") == F.col("k.key"))
-        return left.alias("d").join(keys.alias("k"), same, how).select(*names)
+        rows = marked(left, F.xxhash64("doc_id", row_key()), keys.select(F.xxhash64("doc_id", "key").alias("h")))
+        met = rows.where("maybe").select("row.*").alias("d").join(keys.alias("k"), same, how).select(*names)
+        return met if how == "left_semi" else rows.where("not maybe").select("row.*").union(met)
 
     out = without(docs, lost, "left_anti")
     again = materialize(rows.where("n > 1").select("doc_id", "key"), "again")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, keep_one, materialize, pieces, row_key, tidy
+from .common import connected_components, keep_one, marked, materialize, pieces, row_key, tidy
 from .decontaminate import grams
 from .simhash import links
 from .words import BASE, mix, word_hashes
@@ -115,16 +115,28 @@ def _sets(width):
     return run
 
 
-def _held(width):
-    """Packed texts of the sets whose digest is wanted."""
+def _nodes(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, node, fp, n, sk): a row for each document."""
+    named = docs.select(F.struct("doc_id", row_key().alias("key")).alias("r"), "text")
+    ids = named.mapInArrow(tidy(_sets(width)), "r struct<doc_id: long, key: struct<a: long, b: long>>, node long, fp long, n long, sk binary")
+    return materialize(ids.select("r.doc_id", "r.key", "node", "fp", "n", "sk"), "nodes")
 
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
-        for _, texts in _texts(batches):
-            nodes = [_digest(s) for s in shingles(texts, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["node", "text"])
 
-    return run
+def _packed(batches):
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in pieces(batches):
+        texts = [pack.compress((t.as_py() or "").encode("utf-8", "replace")) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(texts, pa.binary())], ["a", "b", "text"])
+
+
+def _fetched(nodes: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text): the packed text of one row of each set. Rows that ``marked`` leaves out are not shuffled."""
+    one = ids.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("r"))
+    one = materialize(one.select("node", "r.doc_id", "r.key"), "wanted")
+    rows = marked(docs.select("doc_id", "text", row_key().alias("key")), F.xxhash64("doc_id", "key"), one.select(F.xxhash64("doc_id", "key").alias("h")))
+    packed = rows.where("maybe").select("row.key.a", "row.key.b", "row.text").mapInArrow(tidy(_packed), "a long, b long, text binary")
+    # equal keys are equal texts
+    return packed.groupBy("a", "b").agg(F.first("text").alias("text")).join(one.select("node", "key.a", "key.b"), ["a", "b"]).select("node", "text")
 
 
 def _sample(width):
@@ -281,7 +293,7 @@ def _meet(width, similarity):
     return run
 
 
-def _apart(part: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _apart(part: DataFrame, sets: DataFrame, docs: DataFrame, width: int, similarity: float, ids: DataFrame | None = None) -> DataFrame:
     """Links between sets of different components at a shingle, of ``part`` (h, node, short, c), that join these components.
 
     Of a shingle's sets only those count that are about as large as one of the short ones. Shingles with the same smallest
@@ -307,8 +319,7 @@ def _apart(part: DataFrame, sets: DataFrame, docs: DataFrame, width: int, simila
     seats = dealt(places, F.lit(1).alias("place"), "node", none("long", "c"), none("long", "n"), none("int", "side"), none("binary", "sk"), "h", "short")
     rows = whole.union(seats).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "place")
     near = materialize(rows.mapInArrow(tidy(_candidates(similarity)), "g long, i int, j int, node long"), "near")
-    packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
-    texts = packed.join(near.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(sets.select("node", "n", "sk"), "node")
+    texts = _fetched(near.select("node").distinct(), docs, _nodes(docs, width) if ids is None else ids).join(sets.select("node", "n", "sk"), "node")
     texts = materialize(texts.join(part.groupBy("node").agg(F.min("c").alias("c")), "node"), "texts")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sent = near.join(blocks, "g").select("g", "i", "j", "node", (block != F.col("i")).cast("int").alias("side")).join(texts, "node").select("g", "i", "j", "node", "c", "n", "side", "sk", "text")
@@ -347,11 +358,10 @@ def _close(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialize(sized.select("a", "b", "sa", "sb").mapInArrow(tidy(_agree), "a long, b long"), "near")
 
 
-def _verified(near: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _verified(near: DataFrame, docs: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose similarity is high enough, as a table."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    packed = docs.select("doc_id", "text").mapInArrow(tidy(_held(width)), "node long, text binary")
-    texts = materialize(packed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = materialize(_fetched(wanted, docs, ids), "texts")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
     whole = near.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
     return materialize(whole.mapInArrow(tidy(_similar(width, similarity)), "a long, b long"), "links")
@@ -361,9 +371,7 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     """(doc_id, key, group): every row, named by its doc_id and ``row_key``, with the number of its group."""
     spark = docs.sparkSession
     pairs = docs.select("doc_id", "text")
-    named = docs.select(F.struct("doc_id", row_key().alias("key")).alias("r"), "text")
-    ids = named.mapInArrow(tidy(_sets(width)), "r struct<doc_id: long, key: struct<a: long, b: long>>, node long, fp long, n long, sk binary")
-    ids = materialize(ids.select("r.doc_id", "r.key", "node", "fp", "n", "sk"), "nodes")
+    ids = _nodes(docs, width)
     sets = materialize(ids.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sk").alias("sk")), "sets")
     sample = pairs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(tidy(_sample(width)), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
     often = sorted((r["h"], r["count"]) for r in sample.orderBy(F.desc("count"), "h").limit(MOST).collect())
@@ -376,12 +384,12 @@ def near_dup_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     alike = sets.select("fp", "node").join(reps, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     grid = alike.union(links(reps).select(F.least("a", "b"), F.greatest("a", "b")))
     first = materialize(places.where("low != node").select(F.col("low").alias("a"), F.col("node").alias("b")).union(grid).distinct(), "first")
-    linked = _verified(_close(first, sets, similarity), docs, width, similarity)
+    linked = _verified(_close(first, sets, similarity), docs, ids, width, similarity)
     cc = materialize(connected_components(linked), "components")
     # what is still apart at a shingle
     part = materialize(places.select("h", "node", "short").distinct().join(cc, "node", "left").select("h", "node", "short", F.coalesce("component", "node").alias("c")), "places")
     apart = part.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-    rest = _apart(part.join(apart, "h", "left_semi"), sets, docs, width, similarity)
+    rest = _apart(part.join(apart, "h", "left_semi"), sets, docs, width, similarity, ids)
     if not rest.isEmpty():  # the components found stand for the links that made them
         cc = connected_components(cc.select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
     return ids.select("doc_id", "key", "node").join(cc, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("group"))

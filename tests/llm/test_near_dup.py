@@ -167,3 +167,54 @@ def test_shared_folder(spark):
     assert last.count() == 5 and common.written(spark) == mark + 1
     with pytest.raises(Exception):
         spark.read.parquet(first.inputFiles()[0]).count()
+
+
+def test_rows_marked_before_a_join(spark):
+    """No wanted row is left out, few others pass; texts that a join drops are not shuffled, however it is planned."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("s"), F.col("id").alias("bits"), F.lit("x").alias("a.b"))
+    hashed = F.xxhash64("bits")
+    for n in (0, 1, 900, 20_000):
+        wanted = rows.where(F.col("bits") < n).select(hashed.alias("h"))
+        got = common.marked(rows, hashed, wanted)
+        passed = got.where("maybe").select("row.*")
+        assert passed.columns == rows.columns and passed.where(F.col("bits") < n).count() == n and got.count() == 20_000
+        assert passed.count() <= n + (20_000 - n) // 8
+
+
+def test_crowded_filter(spark, monkeypatch):
+    """Where a filter is too small for the names all may pass, and the same rows stay."""
+    monkeypatch.setattr(common, "FILTER", common.BITMAP)
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    found = docs.select("doc_id", common.row_key().alias("key"), F.floor(F.col("doc_id") / 2).alias("group"))
+    row = common.keep_one(docs, found).agg(F.count("*"), F.sum("doc_id"), F.max(F.col("doc_id") % 2)).first()
+    assert tuple(row) == (30_000, sum(range(0, 60_000, 2)), 0)
+
+
+def test_near_dedup_leaves_other_texts_in_place(spark):
+    """Without broadcasts, as on large inputs, only texts of near copies are shuffled."""
+    from heronry.llm import near_dup
+
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(60)) + " " + f"{rng.getrandbits(80_000):x}" for _ in range(400)]
+    texts += [t.replace(" ", "\t", 3) for t in texts[:20]]
+    docs = common.materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    near = [t.rsplit(" ", 1)[0] + f" last {k}" for k, t in enumerate(texts[:20])]
+    docs = common.materialize(docs.union(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(near)], "doc_id long, text string")))
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    set_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in set_}
+    for k, v in set_.items():
+        spark.conf.set(k, v)
+    try:
+        start = shuffled()
+        kept = sorted(r["doc_id"] for r in common.materialize(near_dup.dedup_simhash(docs)).select("doc_id").collect())
+        moved = shuffled() - start
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert kept == list(range(400))
+    assert moved < 0.6 * sum(map(len, texts))

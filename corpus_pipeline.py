@@ -27,8 +27,8 @@ LEAST_KNOWN = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = ("__lang", "__score", "__known")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    named = identify(rows, fit(docs), *marks)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    named = identify(rows, fit(docs), *marks, inside="row")
     return named.where((F.col("__lang") != "und") & (F.col("__known") >= LEAST_KNOWN)).select("row.*")
 
 

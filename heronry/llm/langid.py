@@ -318,16 +318,17 @@ def fit(docs: DataFrame) -> Model | None:
     return train([(t, label) for _, t, label in got if has_letter(t)])
 
 
-def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score", known: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score", known: str | None = None, inside: str | None = None) -> DataFrame:
     """The columns of docs, a language and its score: only the text is read for the prediction.
 
     Columns of docs that have these names are replaced. ``known`` adds the share of a text's four-byte grams that
-    training met: low for a language that none of the labels stands for."""
+    training met: low for a language that none of the labels stands for. ``inside`` names a struct column that holds
+    the text, so that whole rows go to Python and back without a second copy of it."""
     # plain arrays of a fixed size; the class travels with the function
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.labels, model.weights, model.trans, model.start))
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (lang, score, known)))
     names = docs.columns
-    at = names.index("text")
+    at = names.index(inside or "text")
 
     def run(batches):
         m = None
@@ -335,7 +336,7 @@ def identify(docs: DataFrame, model: Model | None, lang: str = "lang_pred", scor
             m = Model(shared.value[0])
             m.weights, m.trans, m.start = shared.value[1:]
         for b in pieces(batches, 1024):
-            texts = b.column(at)
+            texts = b.column(at).field("text") if inside else b.column(at)
             pred, held, size = [("und", 0.0, 0.0)] * b.num_rows, [], 0
 
             def flush():

@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,8 +144,10 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("n"), F.count_if(F.col("size") > 0).alias("c")).collect()
     per = sorted(((r["source"], r["n"], r["c"]) for r in totals), key=lambda r: (r[0] is None, [ord(c) for c in r[0] or ""]))
     goal = targets([n for _, n, _ in per], weights, share, most)
-    schema = "source string, source_size long, target double, blocks long"
-    table = spark.createDataFrame([(s, n, float(t), max(1, math.ceil(c / BLOCK))) for (s, n, c), t in zip(per, goal)], schema)
+    # as an Arrow table: rows of Python objects would start a second set of workers in every executor
+    sources, sizes, counts = zip(*per) if per else ((), (), ())
+    columns = [pa.array(sources, pa.string()), pa.array(sizes, pa.int64()), pa.array([float(t) for t in goal], pa.float64()), pa.array([max(1, math.ceil(c / BLOCK)) for c in counts], pa.int64())]
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, ["source", "source_size", "target", "blocks"]))
     rows = units.alias("b").join(table.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "t.source_size", "t.target", "t.blocks")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("pi", F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0))

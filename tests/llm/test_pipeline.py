@@ -137,3 +137,37 @@ def test_stages_take_nulls_clashing_names_and_empty_tables(spark, sf_dir):
         assert 0 < kept.count() <= 2 * docs.count(), name
         empty = stage(spark, docs.where("false"), sf_dir)
         assert empty.columns == docs.columns and corpus_pipeline.materialize(empty, name).count() == 0, name
+
+
+def test_language_id_sends_a_text_once(spark, monkeypatch):
+    """Python gets each text once, whatever the columns are called; rows and columns stay as they are."""
+    sent, identify = [], corpus_pipeline.identify
+
+    def seen(docs, *rest, **more):
+        sent.append(docs.schema.simpleString().count("text:string"))
+        return identify(docs, *rest, **more)
+
+    monkeypatch.setattr(corpus_pipeline, "identify", seen)
+    rows = [(i, ("det är en rad om ord" if i % 2 else "this is a line of words") + f" {i}", "sv" if i % 2 else "en", float(i), f"k{i}", i) for i in range(40)]
+    rows += [(40, None, None, 0.5, None, 40), (41, "1 2 3", None, 0.5, "k", 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __score double, __LANG string, `_a.b` long")
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows[:40]
+    assert sent == [1]
+
+
+def test_mixing_starts_no_further_workers(spark, monkeypatch):
+    """The table of sources is a local relation: rows of Python objects need workers of another kind in the executors."""
+    from heronry.llm import mixing
+
+    plans, materialize = [], mixing.materialize
+
+    def seen(df, name="t"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return materialize(df, name)
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    docs = spark.createDataFrame([(i, "ord " * (i + 1), [None, "a", "b"][i % 3]) for i in range(30)], "doc_id long, text string, source string")
+    assert mixing.mix(materialize(docs)).count() > 0
+    assert [("LocalRelation" in p, "LogicalRDD" in p) for name, p in plans if name == "pi"] == [(True, False)]
+    assert mixing.mix(materialize(docs.where("false"))).count() == 0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..schemas import PROSODY
 from ..sources.scratch import scratch
@@ -21,8 +24,8 @@ ENERGY_SEC, SPEECH, PEAK, LEAST_VOICED = 0.03, 0.1, 0.25, 10
 ROUNDING = 1e-12
 #: Samples of a block.
 BLOCK = 1 << 18
-#: Frames whose transforms are made at once.
-AT_ONCE = 256
+#: Frames whose transforms are made at once, samples of a run that are measured at once, and rows of frames in a batch.
+AT_ONCE, TOGETHER, ROWS = 256, 1 << 16, 1 << 10
 
 
 def fundamental(frames: np.ndarray, rate: float, lo: float = SEARCH[0], hi: float = SEARCH[1], dip: float = DIP) -> np.ndarray:
@@ -31,11 +34,13 @@ def fundamental(frames: np.ndarray, rate: float, lo: float = SEARCH[0], hi: floa
     The shift is the first local minimum under ``dip``, set between samples by a parabola through the difference there. A frame
     without one (noise), or without energy, is unvoiced."""
     least, most = max(2, int(rate / hi)), min(int(np.ceil(rate / lo)), frames.shape[1] - WIDTH - 1)
+    reach = WIDTH + most + 1  # no shift meets later samples
+    size = min(k << max(0, (-(-reach // k) - 1).bit_length()) for k in (1, 3, 5, 9, 15, 25))
     out = np.full(len(frames), np.nan)
     for at in range(0, len(frames), AT_ONCE):
-        x = frames[at : at + AT_ONCE]
-        spectrum = np.fft.rfft(x, 2 * FRAME)
-        both = np.fft.irfft(spectrum * np.conj(np.fft.rfft(x[:, :WIDTH], 2 * FRAME)))[:, : most + 2]
+        x = frames[at : at + AT_ONCE, :reach]
+        spectrum = np.fft.rfft(x, size)
+        both = np.fft.irfft(spectrum * np.conj(np.fft.rfft(x[:, :WIDTH], size)), size)[:, : most + 2]
         power = np.cumsum(np.pad(x * x, ((0, 0), (1, 0))), axis=1)
         own = power[:, WIDTH : WIDTH + most + 2] - power[:, : most + 2]
         difference = np.maximum(own[:, :1] + own - 2 * both, 0)[:, 1:]  # of shifts 1, 2, ...
@@ -106,20 +111,43 @@ def frames_of(x: np.ndarray, rate: int, n: int, start: int, size: int, head: int
     return pitch, energy[lo - a : hi - a], above[lo - a : hi - a]
 
 
+class _Rows:
+    """Rows of frames that leave in batches, each of ``ROWS`` at most; a row's frames in one list a column."""
+
+    def __init__(self, names: list[str], kinds: list[pa.DataType]):
+        self.names, self.kinds, self.fields, self.frames = names, kinds, [], []
+
+    def add(self, fields: tuple, found: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.fields.append(fields)
+        self.frames.append(found)
+        if len(self.fields) >= ROWS:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.fields:
+            return
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*self.fields), self.kinds)]
+        for found, kind in zip(zip(*self.frames), (pa.float64(), pa.float64(), pa.bool_())):
+            values = pa.array(np.concatenate(found), kind, from_pandas=True)  # nan is null
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), values))
+        self.fields, self.frames = [], []
+        yield pa.RecordBatch.from_arrays(columns, [*self.names, "pitch", "energy", "above"])
+
+
 def block_frames(parts: DataFrame) -> DataFrame:
     """(clip, sr, n, pitch, energy, above) of every block; a task holds one block of samples at a time."""
     kind = parts.schema["clip"].dataType.simpleString()
 
     def run(batches):
+        rows = None
         for batch in batches:
+            rows = rows or _Rows(["clip", "sr", "n"], [batch.schema.field("clip").type, pa.int32(), pa.int64()])
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                sr, n, start, size, head = (row.column(c)[0].as_py() for c in ("sr", "n", "start", "size", "head"))
-                x = row.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
-                pitch, energy, above = frames_of(x, sr, n, start, size, head)
-                pitch = pa.array(pitch, from_pandas=True)  # nan is null
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pitch, pa.array(energy), pa.array(above))]
-                yield pa.RecordBatch.from_arrays([row.column("clip"), row.column("sr"), row.column("n"), *lists], ["clip", "sr", "n", "pitch", "energy", "above"])
+                clip, sr, n, start, size, head = (batch.column(c)[i].as_py() for c in ("clip", "sr", "n", "start", "size", "head"))
+                x = batch.column("x").slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+                yield from rows.add((clip, sr, n), frames_of(x, sr, n, start, size, head))
+        if rows:
+            yield from rows.flush()
 
     return parts.mapInArrow(run, f"clip {kind}, sr int, n long, pitch array<double>, energy array<double>, above array<boolean>")
 
@@ -133,19 +161,23 @@ class _Run:
         self.end, self.base, self.start, self.held = first, first, 0, []
 
     def add(self, x: np.ndarray, last: bool = False):
-        """Frames of the blocks that are complete; of all that are left once the run has ended."""
+        """Frames of the blocks that are complete, once they are ``TOGETHER`` samples; of all that are left once the run has
+        ended. Blocks that follow one another are measured as one."""
         self.end += len(x)
         if self.first:  # a piece from inside a clip: its frames need what another task holds
             return
         self.held.append(x)
-        if not last and self.start + self.size + self.margin > self.end:
+        if not last and self.start + max(self.size, TOGETHER) + self.margin > self.end:
             return
         x = np.concatenate(self.held)
         while self.start < self.end if last else self.start + self.size + self.margin <= self.end:
+            whole = max(min(self.end - self.margin - self.start, TOGETHER) // self.size, 1) * self.size
+            if last and self.end - self.start <= max(self.size, TOGETHER):
+                whole = self.end - self.start
             head = min(self.start, self.margin)
-            until = min(self.start + self.size + self.margin, self.end)
-            yield frames_of(x[self.start - head - self.base : until - self.base], self.sr, until, self.start, self.size, head)
-            self.start += self.size
+            until = min(self.start + whole + self.margin, self.end)
+            yield frames_of(x[self.start - head - self.base : until - self.base], self.sr, until, self.start, whole, head)
+            self.start += whole
         base = max(self.base, self.start - self.margin)
         self.held, self.base = [x[base - self.base :].copy()], base
 
@@ -153,21 +185,16 @@ class _Run:
 def _run_frames(batches, sr: int, size: int):
     """(clip, sr, first, n, pitch, energy, above): frames of each run of rows, and a row with the run's ends. Frames count if
     the run turns out to be the whole clip."""
-    run, names = None, ["clip", "sr", "first", "n", "pitch", "energy", "above"]
-    kind = None
-
-    def rows(clip, found, first=None, n=None):
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array(found[0], pa.float64(), from_pandas=True), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_()))]
-        return pa.RecordBatch.from_arrays([pa.array([clip], kind), pa.array([sr], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), *lists], names)
+    run, rows, none = None, None, (np.zeros(0), np.zeros(0), np.zeros(0, bool))
 
     def closed(run):
-        none = np.zeros(0), np.zeros(0), np.zeros(0, bool)
-        yield from (rows(run.clip, found) for found in run.add(np.zeros(0), last=True))
-        yield rows(run.clip, none, run.first, run.end)
+        for found in run.add(none[0], last=True):
+            yield from rows.add((run.clip, sr, None, None), found)
+        yield from rows.add((run.clip, sr, run.first, run.end), none)
 
     for batch in batches:
         clip, p, v = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-        kind = clip.type
+        rows = rows or _Rows(["clip", "sr", "first", "n"], [clip.type, pa.int32(), pa.int64(), pa.int64()])
         other = pc.not_equal(clip[1:], clip[:-1]).to_numpy(zero_copy_only=False) | (np.diff(p) != 1)
         cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
@@ -178,9 +205,27 @@ def _run_frames(batches, sr: int, size: int):
                 if run is not None:
                     yield from closed(run)
                 run = _Run(key, int(p[lo]), sr, size)
-            yield from (rows(key, found) for found in run.add(v[lo:hi]))
+            for found in run.add(v[lo:hi]):
+                yield from rows.add((key, sr, None, None), found)
     if run is not None:
         yield from closed(run)
+        yield from rows.flush()
+
+
+@contextlib.contextmanager
+def _unweighed(spark, rows: DataFrame):
+    """Spark weighs an Arrow batch after every row, most of what a row of three numbers costs; a batch of such rows is bounded
+    by their number. Keys that are texts are still weighed."""
+    name, narrow = "spark.sql.execution.arrow.maxBytesPerBatch", all(isinstance(f.dataType, NumericType) for f in rows.schema)
+    had, most = spark.conf.get(name, None), int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not narrow or not 0 < most <= 1 << 20:
+        yield
+        return
+    spark.conf.set(name, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had) if had else spark.conf.unset(name)
 
 
 def prosody_of_rows(df: DataFrame, key: str, pos: str, value: str, sr: int, size: int = BLOCK) -> DataFrame:
@@ -190,7 +235,9 @@ def prosody_of_rows(df: DataFrame, key: str, pos: str, value: str, sr: int, size
     rows = df.select(F.col(key).alias("clip"), F.col(pos).cast("long").alias("p"), F.col(value).cast("double").alias("v")).where("clip is not null and p is not null")
     kind = rows.schema["clip"].dataType.simpleString()
     path, left = scratch(spark, "runs"), scratch(spark, "apart")
-    rows.mapInArrow(lambda batches: _run_frames(batches, sr, size), f"clip {kind}, sr int, first long, n long, pitch array<double>, energy array<double>, above array<boolean>").write.parquet(path)
+    found = rows.mapInArrow(lambda batches: _run_frames(batches, sr, size), f"clip {kind}, sr int, first long, n long, pitch array<double>, energy array<double>, above array<boolean>")
+    with _unweighed(spark, rows):
+        found.write.parquet(path)
     kept = spark.read.parquet(path)
     runs = kept.where("first is not null").groupBy("clip").agg(F.count("*").alias("runs"), F.max("first").alias("first"))
     runs.where("runs > 1 or first > 0").select("clip").write.parquet(left)

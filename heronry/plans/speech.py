@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import prosody as pr
 from ..functions import signal as sg
+from ..functions.text import let
 from .tables import table
 
+#: Samples a second, and in an energy frame, of the clips made from events.
+RATE, FRAME = 8000, 240
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -41,11 +45,19 @@ def _event_clips(spark, sf_dir):
     after = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.struct((1000 + k).alias("pos"), F.lit(1).alias("tail"), (0.2 + k / 1000).alias("a")))
     frames = e.groupBy("user_id").agg(own.alias("own")).withColumn("frames", F.when(F.col("user_id") % 7 > 0, F.concat("own", after)).otherwise(F.col("own")))
     levels = frames.select("user_id", F.transform(F.array_sort("frames"), lambda s: s["a"]).alias("levels"))
-    return levels.withColumn("f", (3 + F.col("user_id") % 8) * 100 / F.lit(3.0))
+    # levels take few bytes, the samples made of them every core: so many parts are not coalesced
+    return levels.repartition(4 * spark.sparkContext.defaultParallelism).withColumn("f", (3 + F.col("user_id") % 8) * 100 / F.lit(3.0))
+
+
+def _tone(f, i):
+    """A sample of a frame's tone, which has whole periods in a frame."""
+    return F.sin(2 * np.pi * f * i / RATE)
 
 
-def _samples(levels, f, rate: int = 8000, frame: int = 240):
-    return F.flatten(F.transform(levels, lambda a, k: F.transform(F.sequence(F.lit(0), F.lit(frame - 1)), lambda i: a * F.sin(2 * np.pi * f * (k * frame + i) / rate))))
+def _samples():
+    """A clip's samples, from the tone's once."""
+    tone = F.transform(F.sequence(F.lit(0), F.lit(FRAME - 1)), lambda i: _tone(F.col("f"), i))
+    return let(tone, lambda t: F.flatten(F.transform("levels", lambda a: F.transform(t, lambda s: a * s))))
 
 
 _FIELDS = f"""{_LOUD}, m AS (SELECT user_id, pos, a / sqrt(2) AS rms, max(a) OVER (PARTITION BY user_id) / sqrt(2) AS top, a > lag(a) OVER w AND a > lead(a) OVER w AS above FROM loud WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
@@ -59,7 +71,7 @@ _SEVEN = ["f0_mean", "f0_std", "energy_mean", "energy_std", "speech_rate", "paus
 )
 def prosody_of_events(spark, sf_dir):
     """Prosody of whole clips; null where fewer than ten frames are voiced."""
-    clips = _event_clips(spark, sf_dir).select("user_id", F.lit(8000).alias("sr"), _samples(F.col("levels"), F.col("f")).alias("samples"))
+    clips = _event_clips(spark, sf_dir).select("user_id", F.lit(RATE).alias("sr"), _samples().alias("samples"))
     found = pr.prosody(pr.blocks(clips, "user_id", size=1 << 12))
     fields = [F.round("prosody.f0_mean").alias("f0_mean"), F.coalesce(F.col("prosody.f0_std") < 0.2, F.lit(False)).alias("steady"), *(F.col(f"prosody.{c}").alias(c) for c in _SEVEN[2:])]
     return found.select(F.col("clip").alias("user_id"), *fields)
@@ -68,8 +80,10 @@ def prosody_of_events(spark, sf_dir):
 @query(f"WITH {_FIELDS} SELECT user_id, known, CASE WHEN known THEN energy_mean END AS energy_mean, CASE WHEN known THEN duration END AS duration FROM p")
 def prosody_of_sample_rows(spark, sf_dir):
     """The same from samples in rows, measured where they are read; no task holds more than a block."""
-    clips = _event_clips(spark, sf_dir).select("user_id", F.posexplode(_samples(F.col("levels"), F.col("f"))).alias("pos", "value"))
-    found = pr.prosody_of_rows(clips, "user_id", "pos", "value", 8000, 1 << 12)
+    frames = _event_clips(spark, sf_dir).select("user_id", "f", F.posexplode("levels").alias("k", "a"))
+    samples = frames.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(FRAME - 1))))
+    rows = samples.select("user_id", (F.col("k") * FRAME + F.col("i")).alias("pos"), (F.col("a") * _tone(F.col("f"), F.col("i"))).alias("value"))
+    found = pr.prosody_of_rows(rows, "user_id", "pos", "value", RATE, 1 << 12)
     return found.select(F.col("clip").alias("user_id"), F.col("prosody").isNotNull().alias("known"), "prosody.energy_mean", "prosody.duration")
 
 
@@ -83,7 +97,7 @@ def extracted_prosody(spark, sf_dir):
     from ..schemas import PROSODY
 
     c = _event_clips(spark, sf_dir)
-    audio = c.select(F.col("user_id").alias("audio_path"), F.lit(8000).alias("sr"), _samples(F.col("levels"), F.col("f")).alias("samples"))
+    audio = c.select(F.col("user_id").alias("audio_path"), F.lit(RATE).alias("sr"), _samples().alias("samples"))
     had = F.struct(*(F.lit(1.0).alias(n) for n in PROSODY.fieldNames()))
     rows = c.select(F.col("user_id").alias("audio_path"), F.when((F.col("user_id") % 5 == 0) & (F.col("user_id") % 4 > 0), "va? ").otherwise("ja").alias("text"), F.when(F.col("user_id") % 4 == 0, had).alias("prosody"))
     return api.extract_prosody(rows, audio).select(F.col("audio_path").alias("user_id"), "prosody.duration", "prosody_class")

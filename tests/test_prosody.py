@@ -114,3 +114,29 @@ def test_rows_are_measured_where_they_are(spark, order, monkeypatch):
     for c, x in clips:
         fields = whole(x, 16000)
         assert (got[c] is None) == (fields is None) and (fields is None or got[c] == pytest.approx(fields, abs=2e-4))
+
+
+def test_samples_in_rows_cost_little_a_block(spark, sf_dir, monkeypatch):
+    """Blocks of a run are measured together and leave in few batches, Spark does not weigh rows of numbers one by one, and
+    clips of few bytes are dealt to every core."""
+    import pyarrow as pa
+
+    from heronry.plans import speech
+
+    x, calls, frames_of = clip(3, 8000, 30.0), [], prosody.frames_of
+    batches = [pa.RecordBatch.from_arrays([pa.array([7] * len(v)), pa.array(range(at, at + len(v))), pa.array(v)], ["clip", "p", "v"]) for at in range(0, len(x), 10000) for v in [x[at : at + 10000]]]
+    monkeypatch.setattr(prosody, "frames_of", lambda *a: calls.append(a[4]) or frames_of(*a))
+    found = list(prosody._run_frames(iter(batches), 8000, 4096))
+    assert len(found) == 1 and len(calls) <= 8 and sum(calls[:-1]) % 4096 == 0
+    pitch, energy, above = frames_of(x, 8000, len(x), 0, len(x), 0)
+    got = [np.array([np.nan if v is None else v for v in found[0].column(c).flatten().to_pylist()]) for c in ("pitch", "energy", "above")]
+    assert got[0] == pytest.approx(pitch, rel=1e-9, nan_ok=True) and got[1] == pytest.approx(energy, rel=1e-12) and (got[2] == above).all()
+    assert found[0].column("first").to_pylist()[-1] == 0 and found[0].column("n").to_pylist()[-1] == len(x)
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for key, weighed in (("long", False), ("string", True)):
+        had = spark.conf.get(name)
+        with prosody._unweighed(spark, spark.createDataFrame([], f"clip {key}, p long, v double")):
+            assert (spark.conf.get(name) == had) == weighed
+        assert spark.conf.get(name) == had
+    assert speech._event_clips(spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
